@@ -1,4 +1,689 @@
-"""Registry of the engine's queries and of the SQL that each is compared with."""
+"""Registry of the engine's queries and of the SQL that each is compared with.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+Volumes, features and points are derived from the tables as the same relations in both engines: `embeddings` are
+descriptors of images (their labels), `lineitem` binned by quantity, discount and tax is a volume.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxelweave.functions import vectors as V
+from voxelweave.operators import features as FT
+from voxelweave.operators import match as M
+from voxelweave.operators import points as P
+from voxelweave.operators import volumes as VOL
+from voxelweave.operators import vote as VT
+
+DIMS = (9, 11, 50)
+KERNEL = [(-1, 0.25), (0, 0.5), (1, 0.25)]
+PAIRS = [(0, 7), (3, 12), (20, 41), (63, 1), (30, 31), (8, 40)]
+SPREAD = [1, 2, 3, 4, 5, 6]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r(c: Column | str, n: int = 6) -> Column:
+    """Rounded, and without a negative zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, n) + F.lit(0.0)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ------------------------------------------------------------------------------------------------------- relations
+
+
+def descriptors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("feat_id"), F.col("label").alias("image_id"), F.col("embedding").alias("pc"))
+
+
+def volume(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    key = [F.lit("lineitem").alias("vol"), F.round(100 * F.col("l_tax")).cast("int").alias("z"), F.round(100 * F.col("l_discount")).cast("int").alias("y"), (F.col("l_quantity").cast("int") - 1).alias("x")]
+    cents = F.sum(F.round(100 * F.col("l_extendedprice")).cast("long"))
+    return li.groupBy(*key).agg((cents / (100.0 * F.count("*")) * 1.00123457).alias("v"))
+
+
+def features(spark: SparkSession, d: str) -> DataFrame:
+    e = lambda i: F.col("embedding")[i - 1].cast("double")
+    return table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("feat_id"), F.col("label").alias("image_id"), (50 * e(1)).alias("x"), (50 * e(2)).alias("y"), (50 * e(3)).alias("z"), (1 + 10 * F.abs(e(4))).alias("scale"),
+        F.array(*[F.abs(e(i)) + 0.01 for i in (5, 6, 7)]).alias("eigs"), (16 * (F.col("vec_id") % 2) + 32 * (F.floor(F.col("vec_id") / 2) % 2)).cast("int").alias("info"),
+        F.array(*[F.array(*map(F.lit, row)) for row in FT.IDENTITY]).alias("ori"), F.col("embedding").alias("pc"),
+    )
+
+
+def located(spark: SparkSession, d: str) -> DataFrame:
+    return volume(spark, d).select("x", "y", "z", "v", (F.col("x") + 50 * (F.col("y") + 11 * F.col("z"))).alias("seq"))
+
+
+_D = "d AS (SELECT vec_id AS feat_id, label AS image_id, embedding AS pc FROM embeddings)"
+_G = "g AS (SELECT round(100 * l_tax)::INT AS z, round(100 * l_discount)::INT AS y, l_quantity::INT - 1 AS x, sum(round(100 * l_extendedprice)::BIGINT)::DOUBLE / (100.0::DOUBLE * count(*)) * 1.00123457::DOUBLE AS v FROM lineitem GROUP BY 1, 2, 3)"
+_F = """f AS (SELECT vec_id AS feat_id, label AS image_id, 50 * embedding[1]::DOUBLE AS x, 50 * embedding[2]::DOUBLE AS y, 50 * embedding[3]::DOUBLE AS z, 1 + 10 * abs(embedding[4]::DOUBLE) AS scale,
+ abs(embedding[5]::DOUBLE) + 0.01 AS e1, abs(embedding[6]::DOUBLE) + 0.01 AS e2, abs(embedding[7]::DOUBLE) + 0.01 AS e3, (16 * (vec_id % 2) + 32 * ((vec_id // 2) % 2))::INT AS info FROM embeddings)"""
+_DIST = "power(list_distance(a.pc::DOUBLE[], b.pc::DOUBLE[]), 2)"
+
+
+def _nn(k: int, other: str) -> str:
+    return f"{_D}, nn AS (SELECT a.feat_id AS q, a.image_id AS qimg, b.feat_id AS t, b.image_id AS timg, {_DIST} AS d, row_number() OVER (PARTITION BY a.feat_id ORDER BY {_DIST}, b.feat_id) AS rank FROM d a JOIN d b ON {other} QUALIFY rank <= {k})"
+
+
+_OTHER = "a.image_id <> b.image_id"
+
+
+def _near(spark: SparkSession, d: str, k: int, other: bool) -> DataFrame:
+    x = descriptors(spark, d).select(F.col("feat_id").alias("id"), F.col("image_id").cast("long").alias("grp"), "pc")
+    return M.nearest(x, x, k, other)
+
+
+def _near_images(spark: SparkSession, d: str) -> DataFrame:
+    n, x = _near(spark, d, 20, False), descriptors(spark, d)
+    n = n.join(x.select(F.col("feat_id").alias("q"), F.col("image_id").alias("qimg")), "q").join(x.select(F.col("feat_id").alias("t"), F.col("image_id").alias("timg")), "t")
+    return n.withColumn("label", F.col("timg"))
+
+
+# ------------------------------------------------------------------------------------------------------- matching
+
+
+@query(f"WITH {_nn(5, _OTHER)} SELECT q, t, rank::INT AS rank, round(d, 6) + 0.0 AS d FROM nn")
+def knn5(spark, d):
+    return _near(spark, d, 5, True).select("q", "t", "rank", r("d").alias("d"))
+
+
+@query(f"WITH {_nn(2, _OTHER)} SELECT q, max(CASE WHEN rank = 1 THEN t END) AS t, round(max(CASE WHEN rank = 1 THEN d END) / max(CASE WHEN rank = 2 THEN d END), 6) AS ratio FROM nn GROUP BY q")
+def knn_ratio(spark, d):
+    return M.ratio(_near(spark, d, 2, True)).select("q", "t", r("ratio").alias("ratio"))
+
+
+@query(f"WITH {_nn(2, _OTHER)}, m AS (SELECT q, any_value(qimg) AS qimg, max(CASE WHEN rank = 1 THEN d END) / max(CASE WHEN rank = 2 THEN d END) AS ratio FROM nn GROUP BY q) SELECT q, qimg, row_number() OVER (PARTITION BY qimg ORDER BY ratio, q)::INT AS n FROM m QUALIFY n <= 30")
+def best_matches(spark, d):
+    x = descriptors(spark, d).select(F.col("feat_id").alias("q"), F.col("image_id").alias("qimg"))
+    return M.best_matches(M.ratio(_near(spark, d, 2, True)).join(x, "q"), ["qimg"], 30).select("q", "qimg", "n")
+
+
+@query(f"WITH {_D} SELECT a.feat_id AS feat_id, b.feat_id AS next_id, round(power(list_distance(a.pc[1:16]::DOUBLE[], b.pc[1:16]::DOUBLE[]), 2), 6) + 0.0 AS d16, round({_DIST}, 6) + 0.0 AS d64 FROM d a JOIN d b ON b.feat_id = a.feat_id + 1")
+def desc_dist(spark, d):
+    x = descriptors(spark, d)
+    y = x.select((F.col("feat_id") - 1).alias("feat_id"), F.col("feat_id").alias("next_id"), F.col("pc").alias("pc2"))
+    return x.join(y, "feat_id").select("feat_id", "next_id", r(V.dist2(F.col("pc"), F.col("pc2"), 16)).alias("d16"), r(V.dist2(F.col("pc"), F.col("pc2"))).alias("d64"))
+
+
+_FIRST = f"{_nn(20, 'a.feat_id <> b.feat_id')}, o AS (SELECT *, row_number() OVER (PARTITION BY q, timg ORDER BY rank) AS n FROM nn WHERE qimg <> timg QUALIFY n = 1)"
+_WEIGHT = f"{_FIRST}, mm AS (SELECT *, coalesce(min(CASE WHEN d > 0 THEN d END) OVER (PARTITION BY q), 1.0) AS m FROM o), e AS (SELECT *, exp(-(d / m) * (d / m)) AS e FROM mm), w AS (SELECT *, log2(e / sum(e) OVER (PARTITION BY q) + 1) AS w FROM e)"
+_VOTES = f"{_WEIGHT}, best AS (SELECT qimg, t, timg AS label, max(w) AS w FROM w GROUP BY 1, 2, 3), votes AS (SELECT qimg AS image, label, sum(w) AS votes, count(*) AS cnt FROM best GROUP BY 1, 2)"
+
+
+@query(f"WITH {_FIRST} SELECT q, timg, t, rank::INT AS rank FROM o")
+def first_per_image(spark, d):
+    return VT.first_per_image(_near_images(spark, d)).select("q", "timg", "t", "rank")
+
+
+@query(f"WITH {_VOTES} SELECT image, label, round(votes, 5) AS votes, cnt, round(votes / cnt, 5) AS share FROM votes")
+def soft_vote(spark, d):
+    v = VT.soft_votes(_near_images(spark, d))
+    return v.select("image", "label", r("votes", 5).alias("votes"), "cnt", r(F.col("votes") / F.col("cnt"), 5).alias("share"))
+
+
+@query(f"WITH {_VOTES} SELECT image, {', '.join(f'round(max(CASE WHEN label = {i} THEN votes END), 5) AS l{i}' for i in range(10))} FROM votes GROUP BY image")
+def vote_pivot(spark, d):
+    m = VT.matrix(VT.soft_votes(_near_images(spark, d)), list(range(10)))
+    return m.select("image", *[r(F.col(f"`{i}`"), 5).alias(f"l{i}") for i in range(10)])
+
+
+_PRIOR = "p AS (SELECT label, count(*) AS rows, (count(*) + 1) / sum(count(*) + 1) OVER () AS prior FROM embeddings GROUP BY label)"
+
+
+@query(f"WITH {_PRIOR} SELECT label, rows, round(prior, 9) AS prior FROM p")
+def label_prior(spark, d):
+    return VT.priors(table(spark, d, "embeddings")).select("label", "rows", r("prior", 9).alias("prior"))
+
+
+@query(f"""WITH {_PRIOR}, {_FIRST}, mm AS (SELECT *, coalesce(min(CASE WHEN d > 0 THEN d END) OVER (PARTITION BY q), 0.0) AS m FROM o),
+got AS (SELECT q, timg AS l, sum(exp(-(d / (m + 1)) * (d / (m + 1)))) AS e FROM mm GROUP BY 1, 2),
+c AS (SELECT k.q, k.qimg, p.label, p.prior + coalesce(got.e, 0) / p.prior AS c FROM (SELECT DISTINCT q, qimg FROM o) k CROSS JOIN p LEFT JOIN got ON got.q = k.q AND got.l = p.label),
+s AS (SELECT *, ln(c / sum(c) OVER (PARTITION BY q)) AS ll FROM c) SELECT qimg AS image, label, round(sum(ll), 4) AS loglik FROM s GROUP BY 1, 2""")
+def label_loglik(spark, d):
+    out = VT.log_likelihood(_near_images(spark, d), VT.priors(table(spark, d, "embeddings")))
+    return out.select("image", "label", r("loglik", 4).alias("loglik"))
+
+
+_SPHERE = "abs(ln(a.scale / b.scale)) < 0.4054651081081644 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) < 0.5 * a.scale"
+
+
+@query(f"WITH {_F} SELECT a.feat_id AS a_id, b.feat_id AS b_id FROM f a JOIN f b ON {_SPHERE}")
+def compat_sphere(spark, d):
+    x = features(spark, d).select("feat_id", "x", "y", "z", "scale", "ori")
+    return M.compatible(x, x).select(F.col("a.feat_id").alias("a_id"), F.col("b.feat_id").alias("b_id"))
+
+
+@query(f"""WITH {_F}, l AS (SELECT feat_id, image_id, x, y, z, z AS ex, x AS ey, y AS ez FROM f),
+dd AS (SELECT a.feat_id AS a_id, b.feat_id AS b_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) + sqrt((a.ex - b.ex) ** 2 + (a.ey - b.ey) ** 2 + (a.ez - b.ez) ** 2) AS gap,
+ sqrt((a.x - a.ex) ** 2 + (a.y - a.ey) ** 2 + (a.z - a.ez) ** 2) + sqrt((b.x - b.ex) ** 2 + (b.y - b.ey) ** 2 + (b.z - b.ez) ** 2) AS len FROM l a JOIN l b ON a.image_id = b.image_id AND a.feat_id < b.feat_id)
+SELECT a_id, b_id FROM dd WHERE gap / len < 0.5""")
+def compat_line(spark, d):
+    x = features(spark, d).select("feat_id", "image_id", "x", "y", "z", F.array(F.array("z", "x", "y")).alias("ori"))
+    j = x.alias("a").join(x.alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.feat_id") < F.col("b.feat_id")))
+    return j.filter(M.line_ok("a", "b")).select(F.col("a.feat_id").alias("a_id"), F.col("b.feat_id").alias("b_id"))
+
+
+def correspondences(spark: SparkSession, d: str) -> DataFrame:
+    """Each feature and its place after a planted transform; of three tenths the place belongs to another one."""
+    f = features(spark, d).select("feat_id", "x", "y", "z", "scale")
+    other = f.select((F.col("feat_id") - 7).alias("feat_id"), *[F.col(c).alias(f"o{c}") for c in "xyz"])
+    j = f.join(other, "feat_id")
+    bad = F.col("feat_id") % 10 < 3
+    px, py, pz = (F.when(bad, F.col(f"o{c}")).otherwise(F.col(c)) for c in "xyz")
+    eye = F.array(*[F.array(*map(F.lit, row)) for row in FT.IDENTITY])
+    turn = F.array(*[F.array(*map(F.lit, row)) for row in ((0.0, 1.0, 0.0), (-1.0, 0.0, 0.0), (0.0, 0.0, 1.0))])
+    return j.select(F.lit("m").alias("pair"), F.col("feat_id").alias("id"), F.array("x", "y", "z").alias("p0"), F.array(-1.5 * py + 10, 1.5 * px - 5, 1.5 * pz + 2).alias("p1"), F.col("scale").alias("s0"), (F.col("scale") * (1.5 + 0.05 * (F.col("feat_id") % 3 - 1))).alias("s1"), eye.alias("o0"), F.when(F.col("feat_id") % 13 == 0, eye).otherwise(turn).alias("o1"))
+
+
+_CORR = f"""{_F}, c AS (SELECT a.feat_id AS id, a.x, a.y, a.z, a.scale AS s0, a.scale * (1.5 + 0.05 * (a.feat_id % 3 - 1)) AS s1, a.feat_id % 13 = 0 AS eye,
+ -1.5 * CASE WHEN a.feat_id % 10 < 3 THEN b.y ELSE a.y END + 10 AS u, 1.5 * CASE WHEN a.feat_id % 10 < 3 THEN b.x ELSE a.x END - 5 AS v, 1.5 * CASE WHEN a.feat_id % 10 < 3 THEN b.z ELSE a.z END + 2 AS w
+ FROM f a JOIN f b ON b.feat_id = a.feat_id + 7), k AS (SELECT h.id AS hyp, j.id AS corr, h.s1 / h.s0 AS hs, h.eye = j.eye AS turn, j.s0, j.s1,
+ h.u + h.s1 / h.s0 * CASE WHEN h.eye THEN j.x - h.x ELSE -(j.y - h.y) END - j.u AS du, h.v + h.s1 / h.s0 * CASE WHEN h.eye THEN j.y - h.y ELSE j.x - h.x END - j.v AS dv, h.w + h.s1 / h.s0 * (j.z - h.z) - j.w AS dw FROM c h CROSS JOIN c j),
+ i AS (SELECT hyp, corr FROM k WHERE turn AND du * du + dv * dv + dw * dw < s1 * s1 AND abs(ln(s0 * hs / s1)) < 0.6931471805599453), n AS (SELECT hyp, count(*) AS inliers FROM i GROUP BY hyp)"""
+
+
+@query(f"WITH {_CORR} SELECT hyp, inliers FROM n")
+def hough_votes(spark, d):
+    return M.hough(correspondences(spark, d), ["pair"]).groupBy("hyp").agg(F.count("*").alias("inliers"))
+
+
+@query(f"WITH {_CORR} SELECT hyp, inliers FROM n ORDER BY inliers DESC, hyp LIMIT 1")
+def hough_best(spark, d):
+    return M.best_hypothesis(M.hough(correspondences(spark, d), ["pair"]), ["pair"]).select("hyp", "inliers")
+
+
+@query(f"WITH {_CORR} SELECT corr FROM i WHERE hyp = (SELECT hyp FROM n ORDER BY inliers DESC, hyp LIMIT 1)")
+def hough_inliers(spark, d):
+    v = M.hough(correspondences(spark, d), ["pair"])
+    return v.join(M.best_hypothesis(v, ["pair"]).select("pair", "hyp"), ["pair", "hyp"]).select("corr")
+
+
+@query("WITH l AS (SELECT DISTINCT label FROM embeddings) SELECT (SELECT min(label) FROM l) AS a, label AS b FROM l WHERE label <> (SELECT min(label) FROM l)")
+def image_pairs(spark, d):
+    return M.image_pairs(table(spark, d, "embeddings").select("label").distinct(), "label")
+
+
+@query("WITH l AS (SELECT DISTINCT label FROM embeddings) SELECT label AS a, coalesce(lead(label) OVER (ORDER BY label), min(label) OVER ()) AS b FROM l")
+def image_ring(spark, d):
+    return M.image_pairs(table(spark, d, "embeddings").select("label").distinct(), "label", ring=True)
+
+
+# ------------------------------------------------------------------------------------------------------- descriptors
+
+
+@query("SELECT vec_id AS feat_id, (p - 1)::INT AS pos, (row_number() OVER (PARTITION BY vec_id ORDER BY v, p) - 1)::INT AS rank FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM embeddings)")
+def rank_desc(spark, d):
+    return FT.ranked(descriptors(spark, d)).select("feat_id", F.posexplode("pc").alias("pos", "rank"))
+
+
+@query("SELECT vec_id AS feat_id, (p - 1)::INT AS pos, (row_number() OVER (PARTITION BY vec_id ORDER BY round(v::DOUBLE, 1), p) - 1)::INT AS rank FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM embeddings)")
+def rank_ties(spark, d):
+    return FT.rank_rows(descriptors(spark, d).withColumn("pc", F.transform("pc", lambda x: F.round(x.cast("double"), 1)))).select("feat_id", "pos", F.col("rank").cast("int").alias("rank"))
+
+
+@query("WITH x AS (SELECT vec_id AS feat_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS p, list_min(embedding)::DOUBLE AS lo FROM embeddings) SELECT feat_id, (p - 1)::INT AS pos, round((v - lo) / sqrt(sum((v - lo) * (v - lo)) OVER (PARTITION BY feat_id)), 6) + 0.0 AS v FROM x")
+def norm_positive(spark, d):
+    return descriptors(spark, d).select("feat_id", F.posexplode(V.positive_unit(F.col("pc"))).alias("pos", "v")).select("feat_id", "pos", r("v").alias("v"))
+
+
+def _pairs_sql(how: str) -> str:
+    diff = [f"(embedding[{a + 1}]::DOUBLE - embedding[{b + 1}]::DOUBLE)" for a, b in PAIRS]
+    return "SELECT vec_id AS feat_id, " + ", ".join(f"{how.format(x, s)} AS c{i}" for i, (x, s) in enumerate(zip(diff, SPREAD, strict=True))) + " FROM embeddings"
+
+
+def _pairs(spark, d, how):
+    return FT.pair_differences(descriptors(spark, d), PAIRS, how, SPREAD).select("feat_id", *[r(F.col("pc")[i]).alias(f"c{i}") for i in range(len(PAIRS))])
+
+
+@query(_pairs_sql("round({0}, 6) + 0.0"))
+def pair_diff(spark, d):
+    return _pairs(spark, d, "raw")
+
+
+@query(_pairs_sql("({0} < 0)::INT::DOUBLE"))
+def sign_diff(spark, d):
+    return _pairs(spark, d, "sign")
+
+
+@query(_pairs_sql("round({0} / {1}, 6) + 0.0"))
+def scaled_diff(spark, d):
+    return _pairs(spark, d, "scaled")
+
+
+@query("SELECT o_orderkey, bit_count(xor(o_orderkey, o_custkey))::INT AS bits FROM orders")
+def hamming(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", V.hamming(F.col("o_orderkey"), F.col("o_custkey")).alias("bits"))
+
+
+# ------------------------------------------------------------------------------------------------------- feature rows
+
+
+@query(f"WITH {_F} SELECT feat_id, 1 AS keeps FROM f WHERE info & 32 <> 0 UNION ALL SELECT feat_id, 2 FROM f WHERE info & 32 = 0 UNION ALL SELECT feat_id, 3 FROM f WHERE info & 16 = 0 UNION ALL SELECT feat_id, 4 FROM f WHERE info & 16 <> 0")
+def flag_filters(spark, d):
+    f = features(spark, d)
+    parts = [FT.reoriented(f), FT.reoriented(f, False), FT.polarity(f, False), FT.polarity(f, True)]
+    out = [p.select("feat_id", F.lit(i + 1).alias("keeps")) for i, p in enumerate(parts)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query(f"WITH {_F} SELECT image_id, (info & 16 <> 0) AS is_max, count(*) AS n FROM f GROUP BY 1, 2")
+def split_polarity(spark, d):
+    return features(spark, d).groupBy("image_id", FT.has(FT.MAXIMUM).alias("is_max")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_F} SELECT feat_id FROM f WHERE (e1 + e2 + e3) * (e1 + e2 + e3) * (e1 + e2 + e3) < 140 * e1 * e2 * e3")
+def eig_filter(spark, d):
+    return FT.eigen_ratio(features(spark, d)).select("feat_id")
+
+
+@query(f"WITH {_F} SELECT feat_id FROM f WHERE floor(x) - floor(2 * scale + 2) >= 0 AND floor(x) + floor(2 * scale + 2) < 50 AND floor(y) - floor(2 * scale + 2) >= 0 AND floor(y) + floor(2 * scale + 2) < 40 AND floor(z) - floor(2 * scale + 2) >= 0 AND floor(z) + floor(2 * scale + 2) < 30")
+def box_guard(spark, d):
+    return FT.box_inside(features(spark, d), (30, 40, 50)).select("feat_id")
+
+
+@query(f"WITH {_F} SELECT image_id, {', '.join(f'round(min({c}), 6) AS min_{c}, round(max({c}), 6) AS max_{c}, round((min({c}) + max({c})) / 2, 6) + 0.0 AS mid_{c}' for c in 'xyz')} FROM f GROUP BY image_id")
+def bbox_center(spark, d):
+    b = FT.bounding_box(features(spark, d), "image_id")
+    return b.select("image_id", *[r(c).alias(c) for c in b.columns[1:]])
+
+
+@query(f"WITH {_F} SELECT image_id, count(*) AS n FROM f GROUP BY 1")
+def feature_count(spark, d):
+    return features(spark, d).groupBy("image_id").agg(F.count("*").alias("n"))
+
+
+_M4 = [[0.0, -2.0, 0.0, 10.0], [2.0, 0.0, 0.0, -5.0], [0.0, 0.0, 2.0, 2.0]]
+
+
+@query(f"WITH {_F} SELECT feat_id, round(-2 * y + 10, 6) + 0.0 AS x, round(2 * x - 5, 6) + 0.0 AS y, round(2 * z + 2, 6) + 0.0 AS z, round(scale * 2, 6) AS scale, 1.0::DOUBLE AS o01 FROM f")
+def world_xform(spark, d):
+    w = FT.world(features(spark, d), _M4)
+    return w.select("feat_id", *[r(c).alias(c) for c in ("x", "y", "z", "scale")], r(F.col("ori")[0][1]).alias("o01"))
+
+
+@query(f"WITH {_F} SELECT feat_id, round(x * 0.5, 6) + 0.0 AS x, round(scale * 0.5, 6) AS scale FROM f")
+def size_factor(spark, d):
+    return FT.size_factor(features(spark, d), 0.5).select("feat_id", r("x").alias("x"), r("scale").alias("scale"))
+
+
+def _t(s: float, rot: list, t: list) -> Column:
+    return F.struct(F.lit(s).alias("scale"), F.array(*[F.array(*map(F.lit, row)) for row in rot]).alias("rot"), F.array(*map(F.lit, t)).alias("trans"))
+
+
+_T1 = (1.5, [[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]], [10.0, -5.0, 2.0])
+
+
+@query(f"WITH {_F} SELECT feat_id, round(-1.5 * (y - 2) + 4, 6) + 0.0 AS x, round(1.5 * (x - 1) + 5, 6) + 0.0 AS y, round(1.5 * (z - 3) + 6, 6) + 0.0 AS z FROM f")
+def sim_apply(spark, d):
+    t = _t(*_T1)
+    p = M.apply_similarity(F.col("p"), F.array(*map(F.lit, (1.0, 2.0, 3.0))), F.array(*map(F.lit, (4.0, 5.0, 6.0))), t["rot"], t["scale"])
+    return features(spark, d).select("feat_id", F.array("x", "y", "z").alias("p")).select("feat_id", *[r(p[i]).alias(c) for i, c in enumerate("xyz")])
+
+
+@query(f"WITH {_F} SELECT feat_id, round(1 / scale, 6) AS s, round(-y / scale, 6) + 0.0 AS t0, round(x / scale, 6) + 0.0 AS t1, round(-z / scale, 6) + 0.0 AS t2, 1.0::DOUBLE AS r01 FROM f")
+def sim_invert(spark, d):
+    t = F.struct(F.col("scale").alias("scale"), _t(*_T1)["rot"].alias("rot"), F.array("x", "y", "z").alias("trans"))
+    i = M.invert(t)
+    return features(spark, d).select("feat_id", r(i["scale"]).alias("s"), *[r(i["trans"][k]).alias(f"t{k}") for k in range(3)], r(i["rot"][0][1]).alias("r01"))
+
+
+@query(f"WITH {_F} SELECT feat_id, round(1.5 * scale, 6) AS s, round(-1.5 * y + 10, 6) + 0.0 AS t0, round(1.5 * x - 5, 6) + 0.0 AS t1, round(1.5 * z + 2, 6) + 0.0 AS t2, -1.0::DOUBLE AS r00 FROM f")
+def sim_compose(spark, d):
+    own = F.struct(F.col("scale").alias("scale"), _t(*_T1)["rot"].alias("rot"), F.array("x", "y", "z").alias("trans"))
+    c = M.compose(_t(*_T1), own)
+    return features(spark, d).select("feat_id", r(c["scale"]).alias("s"), *[r(c["trans"][k]).alias(f"t{k}") for k in range(3)], r(c["rot"][0][0]).alias("r00"))
+
+
+# ------------------------------------------------------------------------------------------------------- volumes
+
+
+def _vox(df: DataFrame, n: int = 4) -> DataFrame:
+    return df.select("z", "y", "x", r("v", n).alias("v"))
+
+
+_OUT = "SELECT z, y, x, round(v, 4) + 0.0 AS v FROM "
+_BOX = "z BETWEEN 0 AND 8 AND y BETWEEN 0 AND 10 AND x BETWEEN 0 AND 49"
+
+
+def _conv(src: str, axis: str, name: str) -> str:
+    cols = ", ".join(f"{c} - o AS {c}" if c == axis else c for c in "zyx")
+    return f"{name} AS (SELECT z, y, x, sum(v * w) AS v FROM (SELECT {cols}, v, w FROM {src}, (VALUES (-1, 0.25::DOUBLE), (0, 0.5::DOUBLE), (1, 0.25::DOUBLE)) k(o, w)) WHERE {_BOX} GROUP BY 1, 2, 3)"
+
+
+def _blur_sql(src: str, to: str) -> str:
+    return ", ".join([_conv(src, "x", f"{to}1"), _conv(f"{to}1", "y", f"{to}2"), _conv(f"{to}2", "z", to)])
+
+
+_B1 = f"{_G}, {_blur_sql('g', 'b')}"
+_DOG = f"{_B1}, {_blur_sql('b', 'c')}, {_blur_sql('c', 'h')}, d1 AS (SELECT g.z, g.y, g.x, round(g.v - b.v, 6) AS v FROM g JOIN b USING (z, y, x)), d2 AS (SELECT b.z, b.y, b.x, round(b.v - c.v, 6) AS v FROM b JOIN c USING (z, y, x)), d3 AS (SELECT c.z, c.y, c.x, round(c.v - h.v, 6) AS v FROM c JOIN h USING (z, y, x))"
+_OFF = "(VALUES " + ", ".join(f"({a}, {b}, {c})" for a, b, c in VOL.OFFSETS) + ") o(dz, dy, dx)"
+
+
+def _strict(src: str, level: str, name: str, n: int, extra: str = "") -> str:
+    skip = "WHERE NOT (dz = 0 AND dy = 0 AND dx = 0)" if n == 26 else ""
+    return f"{name} AS (SELECT p.z, p.y, p.x, p.v{extra}, sum(sign(p.v - q.v))::INT AS s FROM (SELECT * FROM {src}, (SELECT * FROM {_OFF} {skip})) p JOIN {level} q ON q.z = p.z + p.dz AND q.y = p.y + p.dy AND q.x = p.x + p.dx GROUP BY ALL HAVING abs(s) = {n})"
+
+
+def _blur(spark, v):
+    return VOL.blur(v, None, DIMS, KERNEL)
+
+
+def _dogs(spark, d):
+    """Three levels of differences of blurs, to six digits."""
+    g = [volume(spark, d)]
+    for _ in range(3):
+        g.append(_blur(spark, g[-1]))
+    six = lambda df: df.withColumn("v", F.round("v", 6))
+    return [six(VOL.mult_sum(a, b, -1.0)) for a, b in zip(g, g[1:], strict=False)]
+
+
+@query(f"WITH {_G} {_OUT} g")
+def grid_volume(spark, d):
+    return _vox(volume(spark, d))
+
+
+@query(f"WITH {_B1} {_OUT} b")
+def blur3(spark, d):
+    return _vox(_blur(spark, volume(spark, d)))
+
+
+@query(f"WITH {_DOG} SELECT z, y, x, v + 0.0 AS v FROM d1")
+def dog(spark, d):
+    return _vox(_dogs(spark, d)[0], 6)
+
+
+@query(f"WITH {_B1} SELECT g.z, g.y, g.x, round(g.v + 0.5 * b.v, 4) AS v FROM g JOIN b USING (z, y, x)")
+def mult_sum(spark, d):
+    g = volume(spark, d)
+    return _vox(VOL.mult_sum(g, _blur(spark, g), 0.5))
+
+
+@query(f"WITH {_B1} SELECT g.z, g.y, g.x, round(least(g.v, b.v), 4) AS v FROM g JOIN b USING (z, y, x)")
+def voxel_min(spark, d):
+    g = volume(spark, d)
+    return _vox(VOL.combine(g, _blur(spark, g), F.least))
+
+
+@query(f"WITH {_B1} SELECT g.z, g.y, g.x, round(g.v * b.v / 1000000, 4) AS v FROM g JOIN b USING (z, y, x)")
+def voxel_product(spark, d):
+    g = volume(spark, d)
+    return _vox(VOL.combine(g, _blur(spark, g), lambda a, b: a * b / 1000000))
+
+
+_E26 = f"{_DOG}, {_strict('d2', 'd2', 'e', 26)}"
+
+
+@query(f"WITH {_E26} SELECT z, y, x, (s > 0)::INT AS polarity FROM e")
+def extrema26(spark, d):
+    return VOL.extrema(_dogs(spark, d)[1]).select("z", "y", "x", "polarity")
+
+
+_E53 = f"{_DOG}, {_strict('d1', 'd1', 'e', 26)}, {_strict('e', 'd2', 'e2', 27, ', p.s AS p')}"
+
+
+@query(f"WITH {_E53} SELECT z, y, x, (p > 0)::INT AS polarity FROM e2 WHERE s * p > 0")
+def extrema53(spark, d):
+    g = _dogs(spark, d)
+    return VOL.extrema(g[0], g[1]).select("z", "y", "x", "polarity")
+
+
+@query(f"WITH {_E26}, {_strict('e', 'd3', 'e3', 27, ', p.s AS p')} SELECT z, y, x, (p > 0)::INT AS polarity FROM e3 WHERE s * p > 0")
+def validate_next(spark, d):
+    g = _dogs(spark, d)
+    return VOL.validate(VOL.extrema(g[1]), g[2]).select("z", "y", "x", "polarity")
+
+
+def _vertex_sql(c: str) -> str:
+    low, high = (f"max(CASE WHEN d{c} = {k} THEN q.v END)" for k in (-1, 1))
+    return f"round(e.{c} + 0.5 * ({low} - {high}) / ({low} - 2 * e.v + {high}) + 0.5, 4) + 0.0 AS f{c}"
+
+
+@query(f"WITH {_E26}, six(dz, dy, dx) AS (VALUES (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)), e6 AS (SELECT e.*, dz, dy, dx, e.z + dz AS nz, e.y + dy AS ny, e.x + dx AS nx FROM e CROSS JOIN six) SELECT e.z, e.y, e.x, {', '.join(map(_vertex_sql, 'xyz'))} FROM e6 e JOIN d2 q ON q.z = nz AND q.y = ny AND q.x = nx GROUP BY e.z, e.y, e.x, e.v")
+def refine(spark, d):
+    g = _dogs(spark, d)[1]
+    return VOL.refine(VOL.extrema(g), g).select("z", "y", "x", *[r(f"f{c}", 4).alias(f"f{c}") for c in "xyz"])
+
+
+@query(f"WITH {_G}, p AS (SELECT z // 2 AS z, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM g GROUP BY 1, 2, 3) {_OUT} p WHERE z < 4 AND y < 5 AND x < 25")
+def pool2(spark, d):
+    return _vox(VOL.pool(volume(spark, d), DIMS))
+
+
+@query(f"WITH {_G} SELECT z // 2 AS z, y // 2 AS y, x // 2 AS x, round(v, 4) AS v FROM g WHERE z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0")
+def decimate2(spark, d):
+    return _vox(VOL.decimate(volume(spark, d)))
+
+
+@query(f"WITH {_G} SELECT z, y // 2 AS y, x // 2 AS x, round(v, 4) AS v FROM g WHERE y % 2 = 0 AND x % 2 = 0")
+def decimate2_xy(spark, d):
+    return _vox(VOL.decimate(volume(spark, d), "yx"))
+
+
+def _double_sql(src: str, axis: str, n: int, to: str) -> str:
+    cols = lambda e: ", ".join(f"{e} AS {c}" if c == axis else c for c in "zyx")
+    odd = f"SELECT {cols(f'2 * {axis} + 1')}, v * CASE WHEN {axis} = {n - 1} THEN 1 ELSE 0.5 END AS v FROM {src} UNION ALL SELECT {cols(f'2 * {axis} - 1')}, v * 0.5 FROM {src} WHERE {axis} > 0"
+    return f"{to} AS (SELECT z, y, x, sum(v) AS v FROM (SELECT {cols(f'2 * {axis}')}, v FROM {src} UNION ALL {odd}) GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {_G}, {_double_sql('g', 'z', 9, 'u1')}, {_double_sql('u1', 'y', 11, 'u2')}, {_double_sql('u2', 'x', 50, 'u3')} {_OUT} u3")
+def double2(spark, d):
+    return _vox(VOL.double(volume(spark, d), DIMS))
+
+
+@query(f"WITH {_G} SELECT z - 1 AS z, y - 2 AS y, x - 10 AS x, round(v, 4) AS v FROM g WHERE z BETWEEN 1 AND 4 AND y BETWEEN 2 AND 6 AND x BETWEEN 10 AND 29")
+def crop(spark, d):
+    return _vox(VOL.crop(volume(spark, d), (1, 2, 10), (4, 5, 20)))
+
+
+@query(f"WITH {_G} SELECT y, x, v FROM g WHERE z = 4")
+def slice_xy(spark, d):
+    return VOL.plane(volume(spark, d), "z", 4).select("y", "x", "v")
+
+
+@query(f"WITH {_G} SELECT z, x, v FROM g WHERE y = 5")
+def slice_zx(spark, d):
+    return VOL.plane(volume(spark, d), "y", 5).select("z", "x", "v")
+
+
+@query(f"WITH {_G} SELECT z, y, v FROM g WHERE x = 25")
+def slice_zy(spark, d):
+    return VOL.plane(volume(spark, d), "x", 25).select("z", "y", "v")
+
+
+@query(f"WITH {_G} SELECT z, y, 49 - x AS x, round(v, 4) AS v FROM g")
+def flip_x(spark, d):
+    return _vox(VOL.flip(volume(spark, d), "x", 50))
+
+
+@query(f"WITH {_G} SELECT z, 10 - y AS y, x, round(v, 4) AS v FROM g")
+def flip_y(spark, d):
+    return _vox(VOL.flip(volume(spark, d), "y", 11))
+
+
+@query(f"WITH {_G} SELECT g.z, g.y, g.x, round(coalesce(s.v, 0), 4) AS v FROM g LEFT JOIN g s ON s.x > 0 AND s.y > 0 AND s.z > 0 AND g.z = s.z + 1 AND g.y = s.y - 2 AND g.x = s.x + 3")
+def translate(spark, d):
+    return _vox(VOL.translate(volume(spark, d), (1, -2, 3), DIMS))
+
+
+@query(f"WITH {_G}, m AS (SELECT min(v) AS m FROM g) SELECT z, y, x, round((v - m) * exp(-((x - 25.0::DOUBLE) ** 2 + (y - 5.0::DOUBLE) ** 2 + (z - 4.0::DOUBLE) ** 2) / 72.0::DOUBLE) + m, 4) AS v FROM g, m")
+def fade(spark, d):
+    return _vox(VOL.fade(volume(spark, d), (25.0, 5.0, 4.0), 6.0))
+
+
+@query(f"WITH {_G} SELECT z, y, x, round((v - min(v) OVER ()) * 2 / (max(v) OVER () - min(v) OVER ()), 6) + 0.0 AS v FROM g")
+def minmax_norm(spark, d):
+    return _vox(VOL.normalise(volume(spark, d), "minmax", 2.0), 6)
+
+
+@query(f"WITH {_G} SELECT z, y, x, round(v / sqrt(sum(v * v) OVER ()), 6) + 0.0 AS v FROM g")
+def l2_norm(spark, d):
+    return _vox(VOL.normalise(volume(spark, d), "l2"), 6)
+
+
+@query(f"WITH {_G}, m AS (SELECT avg(v) AS m FROM g), c AS (SELECT sum((v - m) * (v - m)) AS q FROM g, m) SELECT z, y, x, round((v - m) / sqrt(q), 6) + 0.0 AS v FROM g, m, c")
+def zero_mean_l2(spark, d):
+    return _vox(VOL.normalise(volume(spark, d), "zero_mean_l2"), 6)
+
+
+@query(f"WITH {_G} SELECT count(*) AS n, round(sum(v), 2) AS total, round(avg(v), 4) AS mean, round(var_samp(v), 2) AS variance FROM g")
+def chan_stats(spark, d):
+    return VOL.statistics(volume(spark, d)).select("n", r("total", 2).alias("total"), r("mean", 4).alias("mean"), r("variance", 2).alias("variance"))
+
+
+@query(f"WITH {_G}, lo AS (SELECT * FROM g ORDER BY v, z, y, x LIMIT 1), hi AS (SELECT * FROM g ORDER BY v DESC, z, y, x LIMIT 1) SELECT lo.v AS low, lo.z AS lz, lo.y AS ly, lo.x AS lx, hi.v AS high, hi.z AS hz, hi.y AS hy, hi.x AS hx FROM lo, hi")
+def argmin_argmax(spark, d):
+    s = VOL.statistics(volume(spark, d))
+    return s.select("low", *[F.col(f"low_at.{c}").alias(f"l{c}") for c in "zyx"], "high", *[F.col(f"high_at.{c}").alias(f"h{c}") for c in "zyx"])
+
+
+def _grad_sql(c: str, n: int) -> str:
+    low, high = (f"max(CASE WHEN d{c} = {k} THEN q.v END)" for k in (-1, 1))
+    return f"round(CASE WHEN g.{c} IN (0, {n - 1}) THEN 0 ELSE coalesce({high} - {low}, 0) END, 4) + 0.0 AS d{c}"
+
+
+_GRAD = f"{_G}, six(dz, dy, dx) AS (VALUES (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)), g6 AS (SELECT g.*, dz, dy, dx, z + dz AS nz, y + dy AS ny, x + dx AS nx FROM g CROSS JOIN six), q AS (SELECT g.z, g.y, g.x, {_grad_sql('x', 50)}, {_grad_sql('y', 11)}, {_grad_sql('z', 9)} FROM g6 g LEFT JOIN g q ON q.z = nz AND q.y = ny AND q.x = nx GROUP BY g.z, g.y, g.x)"
+
+
+def _grad(spark, d):
+    return VOL.gradient(volume(spark, d), DIMS).select("z", "y", "x", *[r(f"d{c}", 4).alias(f"d{c}") for c in "xyz"])
+
+
+@query(f"WITH {_GRAD} SELECT * FROM q")
+def grad3(spark, d):
+    return _grad(spark, d)
+
+
+_BIN = "(CASE WHEN dx > 0 THEN 1 ELSE 0 END + CASE WHEN dy > 0 THEN 2 ELSE 0 END + CASE WHEN dz > 0 THEN 4 ELSE 0 END)"
+
+
+@query(f"WITH {_GRAD} SELECT {_BIN}::INT AS bin, count(*) AS n, round(sum(sqrt(dx * dx + dy * dy + dz * dz)), 2) AS weight FROM q GROUP BY 1")
+def ori_bins(spark, d):
+    # of the eight corner directions the nearest is that of the components' signs, the first one at a tie
+    one = lambda c, w: F.when(F.col(c) > 0, w).otherwise(0)
+    size = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
+    return _grad(spark, d).groupBy((one("dx", 1) + one("dy", 2) + one("dz", 4)).alias("bin")).agg(F.count("*").alias("n"), r(F.sum(size), 2).alias("weight"))
+
+
+def _places(spark, d):
+    e = lambda i: F.col("embedding")[i - 1].cast("double")
+    return table(spark, d, "embeddings").select(F.lit("lineitem").alias("vol"), F.col("vec_id").alias("id"), F.round(25 + 60 * e(1), 3).alias("fx"), F.round(5.5 + 14 * e(2), 3).alias("fy"), F.round(4.5 + 12 * e(3), 3).alias("fz"), F.round(e(4), 6).alias("value"))
+
+
+def _cell_sql(c: str, n: int) -> str:
+    return f"CASE WHEN f{c} < 0.5 THEN 0 WHEN f{c} >= {n - 0.5} THEN {n - 2} ELSE floor(f{c} - 0.5)::INT END AS i{c}, CASE WHEN f{c} < 0.5 THEN 1.0::DOUBLE WHEN f{c} >= {n - 0.5} THEN 0.0 ELSE 1.0 - (f{c} - 0.5 - floor(f{c} - 0.5)) END AS w{c}"
+
+
+_CORNER = f"""pt AS (SELECT vec_id AS id, round(25 + 60 * embedding[1]::DOUBLE, 3) AS fx, round(5.5 + 14 * embedding[2]::DOUBLE, 3) AS fy, round(4.5 + 12 * embedding[3]::DOUBLE, 3) AS fz, round(embedding[4]::DOUBLE, 6) AS value FROM embeddings),
+cl AS (SELECT *, {_cell_sql('x', 50)}, {_cell_sql('y', 11)}, {_cell_sql('z', 9)} FROM pt), b2(a) AS (VALUES (0), (1)),
+cn AS (SELECT id, value, iz + p.a AS z, iy + q.a AS y, ix + s.a AS x, abs(p.a - wz) AS kz, abs(q.a - wy) AS ky, abs(s.a - wx) AS kx FROM cl, b2 p, b2 q, b2 s),
+co AS (SELECT id, value, z, y, x, kz * ky * kx AS w FROM cn)""".replace("abs(p.a - wz)", "CASE p.a WHEN 0 THEN wz ELSE 1 - wz END").replace("abs(q.a - wy)", "CASE q.a WHEN 0 THEN wy ELSE 1 - wy END").replace("abs(s.a - wx)", "CASE s.a WHEN 0 THEN wx ELSE 1 - wx END")
+
+
+@query(f"WITH {_G}, {_CORNER} SELECT id, round(sum(w * v), 4) + 0.0 AS value FROM co JOIN g USING (z, y, x) WHERE w > 0 GROUP BY id")
+def trilinear_read(spark, d):
+    return VOL.sample(_places(spark, d).drop("value"), volume(spark, d), DIMS).filter("value is not null").select("id", r("value", 4).alias("value"))
+
+
+@query(f"WITH {_CORNER} SELECT z, y, x, round(sum(w * value), 6) + 0.0 AS v FROM co WHERE w > 0 GROUP BY 1, 2, 3")
+def trilinear_scatter(spark, d):
+    return _vox(VOL.scatter(_places(spark, d), DIMS), 6)
+
+
+@query(f"WITH {_B1}, j AS (SELECT g.z, g.y, g.x, g.v AS a0, 1.0::DOUBLE AS a1, b.v AS b0, 2.0::DOUBLE AS b1 FROM g JOIN b USING (z, y, x)) SELECT z, y, x, round(a0 * b0 / 1000, 3) AS p0, round(a0 * b1, 3) AS p1, round(a1 * b0, 3) AS p2, round(a1 * b1 / (a0 * b0 + a0 * b1 + a1 * b0 + a1 * b1), 9) AS s3 FROM j")
+def joint_outer(spark, d):
+    g = volume(spark, d)
+    a, b = g.select(*VOL.KEY, F.array("v", F.lit(1.0)).alias("vec")), _blur(spark, g).select(*VOL.KEY, F.array("v", F.lit(2.0)).alias("vec"))
+    j = VOL.joint(a, b)
+    return j.select("z", "y", "x", r(F.col("vec")[0] / 1000, 3).alias("p0"), r(F.col("vec")[1], 3).alias("p1"), r(F.col("vec")[2], 3).alias("p2"), r(F.col("share")[3], 9).alias("s3"))
+
+
+# ------------------------------------------------------------------------------------------------------- points
+
+
+@query(f"WITH {_G} SELECT x, y, z FROM g WHERE x BETWEEN 10 AND 40 AND y BETWEEN 2 AND 8 AND z BETWEEN 1 AND 7 AND abs(v) >= 30000")
+def range_filters(spark, d):
+    p = located(spark, d)
+    return P.at_least(P.in_range(P.in_range(P.in_range(p, "x", 10, 40), "y", 2, 8), "z", 1, 7), 30000).select("x", "y", "z")
+
+
+@query(f"WITH {_G}, q AS (SELECT *, (x - 25) * (x - 25) + (y - 5) * (y - 5) + (z - 4) * (z - 4) AS d FROM g) SELECT x, y, z, 'in' AS side FROM q WHERE d <= 100 UNION ALL SELECT x, y, z, 'out' FROM q WHERE d >= 400")
+def dist_filters(spark, d):
+    p = located(spark, d).select("x", "y", "z")
+    return P.within(p, (25, 5, 4), 10).withColumn("side", F.lit("in")).unionByName(P.outside(p, (25, 5, 4), 20).withColumn("side", F.lit("out")))
+
+
+@query(f"WITH {_G} SELECT x, y, min(z) AS z FROM g GROUP BY 1, 2")
+def dedupe_xy(spark, d):
+    return P.first_per_xy(located(spark, d)).select("x", "y", "z")
+
+
+@query(f"WITH {_G} SELECT x, y, z FROM g WHERE NOT EXISTS (SELECT 1 FROM g s WHERE s.v > 50000 AND s.x + 1 = g.x AND s.y = g.y AND s.z - 1 = g.z)")
+def anti_points(spark, d):
+    p = located(spark, d)
+    return P.different(p, p.filter("v > 50000"), (1, 0, -1)).select("x", "y", "z")
+
+
+@query(f"WITH {_G}, s AS (SELECT *, x + 50 * (y + 11 * z) AS seq FROM g) SELECT w.x, w.y, w.z, coalesce(min(s.seq), -1)::INT AS index FROM (SELECT x, y, z + 4 AS z FROM g) w LEFT JOIN s ON s.x = w.x AND s.y = w.y AND s.z = w.z GROUP BY 1, 2, 3")
+def point_index(spark, d):
+    p = located(spark, d)
+    return P.index_of(p, p.select("x", "y", (F.col("z") + 4).alias("z"))).select("x", "y", "z", F.col("index").cast("int").alias("index"))
+
+
+@query(f"WITH {_G}, t AS (SELECT *, max(v) OVER (PARTITION BY z) AS m FROM g) SELECT z, y, x, row_number() OVER (PARTITION BY z ORDER BY v DESC, z, y, x)::INT AS rank FROM t WHERE v >= 0.8 * m QUALIFY rank <= 11")
+def top_share(spark, d):
+    return P.top_share(located(spark, d), ["z"], 0.8, 11).select("z", "y", "x", "rank")
+
+
+@query()
+def nms_min_dist(spark, d):
+    p = P.by_value(located(spark, d)).withColumn("seq", -F.col("v")).withColumn("vol", F.lit("lineitem"))
+    return P.suppress(p.select("vol", "x", "y", "z", "v", "seq"), "vol", 5).select("x", "y", "z", "v")
+
+
+@query()
+def extract_features(spark, d):
+    from voxelweave.plans.extract import Options, extract
+
+    twice = VOL.double(VOL.double(volume(spark, d), DIMS), tuple(2 * n for n in DIMS))
+    return extract(twice, Options(eigen=-1.0))
+
+
+@query()
+def match_images(spark, d):
+    from voxelweave.plans.match import match_to_first
+
+    return match_to_first(features(spark, d))
+
+
+@query()
+def knn5_lsh(spark, d):
+    x = descriptors(spark, d).select(F.col("feat_id").alias("id"), F.col("image_id").cast("long").alias("grp"), "pc")
+    return M.nearest_lsh(x, x, 5)
+
+
+@query()
+def pca(spark, d):
+    """The descriptors' first components: the covariance is summed where the rows are."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    x = descriptors(spark, d).select("feat_id", array_to_vector(F.transform("pc", lambda c: c.cast("double"))).alias("v"))
+    return PCA(k=3, inputCol="v", outputCol="c").fit(x).transform(x).select("feat_id", vector_to_array("c").alias("c"))
