@@ -69,7 +69,8 @@ class LineRuns:
     def kept(self, lines: DataFrame, least: int) -> DataFrame:
         """The rows of lines (h1, h2, id and more) that stay: an anti-join against the runs' keys that are in `least`
         documents or more, of which another document is the largest."""
-        taken = self.merged().filter(F.col("docs") >= least).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "top")
+        # written, so that both sides of the join are dealt for it alone and a skewed key can be split
+        taken = spill(self.merged().filter(F.col("docs") >= least).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "top"), "taken")
         return lines.join(taken, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & ~F.col("id").eqNullSafe(F.col("top")), "left_anti")
 
 
