@@ -79,7 +79,7 @@ class Tokenizer:
     Characters that no piece covers become their bytes' pieces (without these, the unknown id, and the round trip is not
     exact). A literal U+2581 in a text becomes bytes as well, since the piece stands for a space. The empty text has
     no ids. Pieces hold the space mark only in front, and no newline, so the best segmentation of a text is that of
-    its stretches between these; stretches met before are looked up in a cache of `cache` entries.
+    its stretches between these; stretches met before are looked up in two generations of `cache` entries.
     """
 
     def __init__(self, model: Pieces, cache: int = 200_000):
@@ -104,6 +104,7 @@ class Tokenizer:
         self.stretches = re.compile(cut).findall
         self.table = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t in (CONTROL, UNUSED) else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in model.pieces]
         self.cache: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def _char(self, c: str) -> list[int]:
         raw = [self.bytes.get(b) for b in c.encode()]
@@ -143,10 +144,13 @@ class Tokenizer:
     def _stretch(self, s: str) -> list[int]:
         got = self.cache.get(s)
         if got is None:
-            got = self.viterbi(s)
+            got = self.older.get(s)
+            if got is None:
+                got = self.viterbi(s)
             if len(s) <= 64:
                 if len(self.cache) >= self.limit:
-                    self.cache.clear()
+                    # what was used since the last turn stays at hand
+                    self.cache, self.older = {}, self.cache
                 self.cache[s] = got
         return got
 
