@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,6 +121,10 @@ def _ball(x: Column, width: int, radius: int) -> Column:
     return F.transform(F.filter(bits, lambda f: x.bitwiseAND(f) == 0), lambda f: x.bitwiseOR(f))
 
 
+def _entry(where, sketch: Column):
+    return lambda x: F.struct(where(x).alias("key"), sketch.alias("sketch"))
+
+
 def _bucket_links(words: int, most: int, block: int = 512):
     """Function over Arrow batches sorted by bucket: the links of each bucket as a spanning forest.
 
@@ -192,15 +197,22 @@ def links(fps: DataFrame, words: int, count: int, radius: int, most: int) -> Dat
     def where(i: int):
         return lambda x: x.bitwiseOR(F.lit(i << 56)) if i else x
 
-    table = fps.select("node", F.explode(F.array(*[where(i)(_part(*s)) for i, s in enumerate(segs)])).alias("key"))
-    balls = [F.transform(_ball(_part(*s), s[1], radius), where(i)) for i, s in enumerate(segs)]
-    probes = fps.select("node", F.explode(F.flatten(F.array(*balls))).alias("key"))
-    table = spill(table, "table")
-    counts = table.groupBy("key").agg(F.count("*").alias("n"))
-    found = spill(probes.join(counts.select("key"), "key", "left_semi"), "found")
-    # Buckets that can hold a link: two table entries, or an entry and a ball's member.
-    live = counts.filter("n > 1").select("key").unionByName(found.select("key")).distinct()
-    met = table.join(live, "key", "left_semi").withColumn("role", F.lit(0).cast("long")).unionByName(found.withColumn("role", F.lit(1).cast("long")))
+    # A bucket's rows meet by another word of their fingerprints first: rows that share a key by chance end here.
+    q = most / (64 * words)
+    near = most if words == 1 else math.ceil(64 * q + 4 * math.sqrt(64 * q * (1 - q)))
+    sketch = lambda first: F.col(f"w{words - 1 if first < 32 * words else 0}")
+    own = [F.struct(where(i)(_part(*s)).alias("key"), sketch(s[0]).alias("sketch")) for i, s in enumerate(segs)]
+    table = spill(fps.select("node", F.explode(F.array(*own)).alias("e")).select("node", "e.key", "e.sketch"), "table")
+    balls = [F.transform(_ball(_part(*s), s[1], radius), _entry(where(i), sketch(s[0]))) for i, s in enumerate(segs)]
+    probes = fps.select("node", F.explode(F.flatten(F.array(*balls))).alias("e")).select("node", "e.key", "e.sketch", F.lit(1).cast("long").alias("role"))
+    probes = table.withColumn("role", F.lit(0).cast("long")).unionByName(probes)
+    there = table.select(F.col("node").alias("n2"), F.col("key").alias("k2"), F.col("sketch").alias("s2"))
+    met = (F.col("key") == F.col("k2")) & (F.col("node") != F.col("n2")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("s2"))) <= near)
+    found = spill(probes.join(there, met, "left_semi").select("node", "key", "role"), "found")
+    # Ball members need the entries they met; entries that met other entries are there already.
+    live = found.filter("role = 1").select(F.col("key").alias("k2")).distinct()
+    hit = table.select("node", "key").join(live, F.col("key") == F.col("k2"), "left_semi").withColumn("role", F.lit(0).cast("long"))
+    met = found.unionByName(hit).distinct()
     full = met.join(fps.select(F.col("node").alias("id"), *[f"w{i}" for i in range(words)]), F.col("node") == F.col("id"))
     full = full.select("key", "role", "node", *[f"w{i}" for i in range(words)])
     dealt = full.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "role", "node")
