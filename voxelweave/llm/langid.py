@@ -84,7 +84,7 @@ class Model:
         return self.languages[order[0]], float(min(1.0, share[order[0]])), bool(lead < self.min_margin)
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 4000, max_languages: int = 512, buckets: int = 4096, bits: int = 15, min_margin: float = 0.1, epochs: int = 300) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 1600, max_languages: int = 512, buckets: int = 4096, bits: int = 15, min_margin: float = 0.1, epochs: int = 300) -> Model:
     """A model from the labelled rows of docs (text and lang not null; give training rows only).
 
     The classifiers are fitted on at most sample rows in all, an even share of each language's, chosen by the hash of
