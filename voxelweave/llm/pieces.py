@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -82,7 +83,7 @@ class Tokenizer:
     its stretches between these; stretches met before are looked up in two generations of `cache` entries.
     """
 
-    def __init__(self, model: Pieces, cache: int = 200_000):
+    def __init__(self, model: Pieces, cache: int = 100_000):
         self.model, self.limit = model, cache
         self.auto = ahocorasick.Automaton()
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(model.pieces) if t == BYTE}
@@ -103,8 +104,8 @@ class Tokenizer:
             cut = rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
         self.stretches = re.compile(cut).findall
         self.table = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t in (CONTROL, UNUSED) else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in model.pieces]
-        self.cache: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as int32, which take less room than lists
+        self.older: dict[str, bytes] = {}
 
     def _char(self, c: str) -> list[int]:
         raw = [self.bytes.get(b) for b in c.encode()]
@@ -141,12 +142,12 @@ class Tokenizer:
             at -= size
         return list(chain.from_iterable(reversed(out)))
 
-    def _stretch(self, s: str) -> list[int]:
+    def _stretch(self, s: str) -> bytes:
         got = self.cache.get(s)
         if got is None:
             got = self.older.get(s)
             if got is None:
-                got = self.viterbi(s)
+                got = array("i", self.viterbi(s)).tobytes()
             if len(s) <= 64:
                 if len(self.cache) >= self.limit:
                     # what was used since the last turn stays at hand
@@ -154,20 +155,20 @@ class Tokenizer:
                 self.cache[s] = got
         return got
 
-    def _marked(self, s: str) -> Iterator[list[int]]:
+    def _marked(self, s: str) -> Iterator[bytes]:
         return map(self._stretch, self.stretches(s))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, as int32."""
         if not text:
             return np.zeros(0, np.int32)
-        parts: list[list[int]] = []
+        parts: list[bytes] = []
         for i, part in enumerate(text.split(SPACE)):
             if i:
-                parts.append(self._char(SPACE))
+                parts.append(array("i", self._char(SPACE)).tobytes())
             lead = SPACE if i == 0 and self.model.dummy_prefix else ""
             parts += self._marked(lead + part.replace(" ", SPACE))
-        return np.fromiter(chain.from_iterable(parts), np.int32)
+        return np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no valid UTF-8 are replaced."""
