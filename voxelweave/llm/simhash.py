@@ -125,7 +125,7 @@ def _entry(where, sketch: Column):
     return lambda x: F.struct(where(x).alias("key"), sketch.alias("sketch"))
 
 
-def _bucket_links(words: int, most: int, block: int = 512):
+def _bucket_links(words: int, most: int, block: int = 1 << 14):
     """Function over Arrow batches sorted by bucket: the links of each bucket as a spanning forest.
 
     A bucket's rows are compared with each other by their whole fingerprints, first with its first row and then, those
@@ -136,20 +136,25 @@ def _bucket_links(words: int, most: int, block: int = 512):
     def forest(role: np.ndarray, fp: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
         n, out = len(ids), []
         root = np.arange(n)
-
-        def link(i: int, j: int) -> None:
-            a, b = root[i], root[j]
-            if a != b:
-                root[root == max(a, b)] = min(a, b)
-                out.append((int(ids[i]), int(ids[j])))
-
+        # rows outside the largest tree: all that its members have to meet
+        largest, outside = -1, root.copy()
         for i in np.flatnonzero(role == 0).tolist():
-            others = np.flatnonzero((root != root[i]) & ((role == 1) | (np.arange(n) > i)))
+            others = outside if root[i] == largest else np.flatnonzero(root != root[i])
+            others = others[(role[others] == 1) | (others > i)]
+            near = []
             for at in range(0, len(others), block):
                 part = others[at : at + block]
-                far = np.bitwise_count((fp[part] ^ fp[i]).view(np.uint64)).sum(axis=1)
-                for j in part[far <= most].tolist():
-                    link(i, j)
+                near.append(part[np.bitwise_count((fp[part] ^ fp[i]).view(np.uint64)).sum(axis=1) <= most])
+            if not any(map(len, near)):
+                continue
+            near = np.concatenate(near)
+            trees, first = np.unique(root[near], return_index=True)
+            out += [(int(ids[i]), int(ids[j])) for j in near[first].tolist()]
+            root[np.isin(root, trees)] = root[i]
+            largest = int(np.bincount(root, minlength=n).argmax())
+            outside = np.flatnonzero(root != largest)
+            if not len(outside):
+                break
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
