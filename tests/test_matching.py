@@ -97,6 +97,44 @@ def test_feature_text_round_trip(spark, tmp_path):
     assert next(first).read_text().startswith("# made here\nFeatures: 1\n")
 
 
+def test_feature_binary_round_trip(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    row = lambda i, e: (f"i{i % 2}", *map(float, rng.random(4).astype(np.float32)), rng.random((3, 3)).astype(np.float32).tolist(), e, 48, [float(x) for x in rng.integers(0, 256, 64)])
+    rows = [row(i, [3.0, 2.0, 1.0]) for i in range(7)] + [row(0, [1e6, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "image_id string, x float, y float, z float, scale float, ori array<array<float>>, eigs array<float>, info int, pc array<float>")
+    VS.save(TX.feature_files(df, limit=140.0), str(tmp_path / "b"), "").collect()
+    assert (tmp_path / "b" / "i0").read_bytes().startswith(b"# featExtract 1.1\nFeatures: 4\n") and (tmp_path / "b" / "i1").stat().st_size == 30 + 3 * 132
+    key = lambda r: (r[0], r[1], [list(a) for a in r[5]], list(r[6]), r[7], list(r[8]))
+    assert sorted(map(key, TX.read_feature_files(spark, str(tmp_path / "b")).collect())) == sorted(map(key, rows[:7]))
+    assert TX.feature_files(df.limit(0)).count() == 0
+
+
+def test_summary_lines(spark):
+    t = (2.0, [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]], [1.0, 2.0, 3.0])
+    df = spark.createDataFrame([("0-1", "b.key", 7, t)], "pair string, name string, inliers long, transform struct<scale double, rot array<array<double>>, trans array<double>>")
+    assert TX.summary_lines(df).first().line == "b.key:\t7\t0\t0\t2.000000\t1.000000\t2.000000\t3.000000"
+
+
+def test_similarity_of_three_points(spark):
+    rng = np.random.default_rng(4)
+    r, p = rotation(rng), rng.random((3, 3)) * 10
+    q = 2.5 * p @ r.T + [1, -2, 3]
+    df = spark.createDataFrame([(p.tolist(), q.tolist()), ([[0.0] * 3] * 3, q.tolist())], "p array<array<double>>, q array<array<double>>")
+    got = [x.t for x in df.select(M.similarity_of(df["p"], df["q"]).alias("t")).collect()]
+    assert np.isclose(got[0].scale, 2.5) and np.allclose(got[0].rot, r) and np.allclose(got[0].trans, [1, -2, 3]) and got[1] is None
+
+
+def test_gaussian_2d():
+    w = np.zeros((21, 21))
+    for i, j, v in V.gaussian_2d((21, 21), (2.0, 3.0)):
+        w[i, j] = v
+    assert np.isclose(w.sum(), 1, atol=1e-3) and np.allclose(w, w[::-1, ::-1])
+    turned = {(i, j): v for i, j, v in V.gaussian_2d((21, 21), (2.0, 3.0), theta=np.pi / 2)}
+    assert all(np.isclose(turned[i, j], w[j, i]) for i in range(21) for j in range(21))
+    slope = {(i, j): v for i, j, v in V.gaussian_2d((21, 21), (2.0, 3.0), along=0.0)}
+    assert np.isclose(slope[10, 5], w[10, 6] - w[10, 4]) and np.isclose(slope[10, 10], 0)
+
+
 def test_points_text(spark, tmp_path):
     (tmp_path / "p.txt").write_text("1.9\t2\t3\t0.5\nbad\t1\n-1.9\t0\t0\t2\n")
     assert sorted(map(tuple, TX.read_points(spark, str(tmp_path / "p.txt")).collect())) == [(-1, 0, 0, 2.0), (1, 2, 3, 0.5)]
@@ -112,6 +150,8 @@ def test_nifti_round_trip(spark, tmp_path):
     assert len(rows) == 2 * 60 + 60
     assert all(np.isclose(r.v, a[r.t, r.z, r.y, r.x]) for r in rows)
     assert {r.t for r in VS.read_nifti(spark, str(tmp_path / "a.nii"), volumes=[1]).collect()} == {1}
+    part = VS.read_nifti(spark, str(tmp_path / "a.nii"), volumes=[1], box=((1, 2), (3, 1), (0, 4))).collect()
+    assert {(r.z, r.y, r.x) for r in part} == {(z, 3, x) for z in (1, 2) for x in range(4)} and all(r.v == float(a[1, r.z, r.y, r.x]) for r in part)
     h = VS.read_headers(spark, str(tmp_path / "a.nii")).first()
     assert list(h.dims) == [3, 4, 5] and list(h.spacing) == [3.0, 2.0, 1.0]
     files = VS.assembled(VS.read_nifti(spark, str(tmp_path / "a.nii")), (3, 4, 5), VS.encode_nifti)
@@ -125,6 +165,11 @@ def test_raw_and_pnm(spark, tmp_path):
     (tmp_path / "a.txt").write_text("Features: 2\nx: 3\ny: 2\nz: 2\nt: 1\ndata: a.img\nmeans: 1 2\nvars: 3 4\n")
     got = {(r.z, r.y, r.x): r.v for r in VS.read_array(spark, str(tmp_path / "a.txt"), channel=1).collect()}
     assert got[1, 1, 2] == a.reshape(2, 2, 3, 2)[1, 1, 2, 1]
+    both = VS.read_array(spark, str(tmp_path / "a.txt"))
+    VS.save_arrays(both, (2, 2, 3), str(tmp_path / "again")).collect()
+    (header,) = (tmp_path / "again").glob("*.txt")
+    back = {(r.z, r.y, r.x): r.v for r in VS.read_array(spark, str(header)).collect()}
+    assert back == {(r.z, r.y, r.x): r.v for r in both.collect()}
     assert VS.means_and_variances("m: 1 2\nv: 3\n") == {"means": [1.0, 2.0], "variances": [3.0]}
     img = np.arange(12).reshape(3, 4)
     assert np.array_equal(VS.parse_pnm(VS.encode_pgm(img, 0, 255)), img)

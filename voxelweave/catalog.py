@@ -352,6 +352,22 @@ def sim_compose(spark, d):
     return features(spark, d).select("feat_id", r(c["scale"]).alias("s"), *[r(c["trans"][k]).alias(f"t{k}") for k in range(3)], r(c["rot"][0][0]).alias("r00"))
 
 
+@query(f"WITH {_F} SELECT feat_id, 1.5::DOUBLE AS s, 10.0::DOUBLE AS t0, -5.0::DOUBLE AS t1, 2.0::DOUBLE AS t2, -1.0::DOUBLE AS r01 FROM f")
+def sim_from_points(spark, d):
+    p = M.three_points(F.array("x", "y", "z"), F.col("ori"), F.col("scale"))
+    t = _t(*_T1)
+    q = F.transform(p, lambda a: V.plus(F.transform(V.mat_vec(t["rot"], a), lambda v: v * t["scale"]), t["trans"]))
+    x = features(spark, d).select("feat_id", p.alias("p"), q.alias("q")).select("feat_id", M.similarity_of(F.col("p"), F.col("q")).alias("m"))
+    m = F.col("m")
+    return x.select("feat_id", r(m["scale"]).alias("s"), *[r(m["trans"][k]).alias(f"t{k}") for k in range(3)], r(m["rot"][0][1]).alias("r01"))
+
+
+@query(f"WITH {_D} SELECT feat_id, round(pc[41]::DOUBLE - pc[4]::DOUBLE, 6) + 0.0 AS s0, round(pc[4]::DOUBLE - pc[21]::DOUBLE, 6) + 0.0 AS s1, 2::INT AS n FROM d")
+def picked_steps(spark, d):
+    s = V.steps(V.picked(F.col("pc").cast("array<double>"), [40, 3, 20]))
+    return descriptors(spark, d).select("feat_id", r(s[0]).alias("s0"), r(s[1]).alias("s1"), F.size(s).alias("n"))
+
+
 # ------------------------------------------------------------------------------------------------------- volumes
 
 
@@ -493,6 +509,13 @@ def crop(spark, d):
     return _vox(VOL.crop(volume(spark, d), (1, 2, 10), (4, 5, 20)))
 
 
+@query(f"WITH {_G} SELECT (x + 50 * y + 550 * z)::BIGINT AS at, x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z FROM g")
+def index_place(spark, d):
+    at = V.index_at(F.col("x"), F.col("y"), F.col("z"), 50, 11).cast("long")
+    x = volume(spark, d).select(at.alias("at"))
+    return x.select("at", *[c.cast("long").alias(n) for c, n in zip(V.place_of(F.col("at"), 50, 11), "xyz", strict=True)])
+
+
 @query(f"WITH {_G} SELECT y, x, v FROM g WHERE z = 4")
 def slice_xy(spark, d):
     return VOL.plane(volume(spark, d), "z", 4).select("y", "x", "v")
@@ -602,6 +625,21 @@ def trilinear_read(spark, d):
     return VOL.sample(_places(spark, d).drop("value"), volume(spark, d), DIMS).filter("value is not null").select("id", r("value", 4).alias("value"))
 
 
+_LINES = [(1, 2.0, 1.0, 1.0, 40.0, 8.0, 6.0), (2, 45.5, 9.0, 7.0, 3.0, 2.0, 7.0), (3, 5.0, 5.0, 5.0, 5.0, 5.0, 5.0)]
+_LINE_SQL = f"""ln(id, x1, y1, z1, x2, y2, z2) AS (VALUES {', '.join(map(str, _LINES))}),
+pt AS (SELECT id, i, x1 + (x2 - x1) * i / 16.0::DOUBLE + 0.5 AS fx, y1 + (y2 - y1) * i / 16.0::DOUBLE + 0.5 AS fy, z1 + (z2 - z1) * i / 16.0::DOUBLE + 0.5 AS fz
+       FROM ln, range(16) n(i) WHERE x1 <> x2 OR y1 <> y2 OR z1 <> z2),
+cl AS (SELECT *, {_cell_sql('x', 50)}, {_cell_sql('y', 11)}, {_cell_sql('z', 9)} FROM pt), b2(a) AS (VALUES (0), (1)),
+co AS (SELECT id, i, iz + p.a AS z, iy + q.a AS y, ix + s.a AS x, CASE p.a WHEN 0 THEN wz ELSE 1 - wz END * CASE q.a WHEN 0 THEN wy ELSE 1 - wy END * CASE s.a WHEN 0 THEN wx ELSE 1 - wx END AS w
+       FROM cl, b2 p, b2 q, b2 s)"""
+
+
+@query(f"WITH {_G}, {_LINE_SQL} SELECT id, i::INT AS i, round(sum(w * v), 4) + 0.0 AS value FROM co JOIN g USING (z, y, x) WHERE w > 0 GROUP BY id, i")
+def line_samples(spark, d):
+    lines = spark.createDataFrame([("lineitem", *n) for n in _LINES], "vol string, id int, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double")
+    return VOL.along(lines, volume(spark, d), DIMS, 16).filter("value is not null").select("id", "i", r("value", 4).alias("value"))
+
+
 @query(f"WITH {_CORNER} SELECT z, y, x, round(sum(w * value), 6) + 0.0 AS v FROM co WHERE w > 0 GROUP BY 1, 2, 3")
 def trilinear_scatter(spark, d):
     return _vox(VOL.scatter(_places(spark, d), DIMS), 6)

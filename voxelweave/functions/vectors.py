@@ -77,6 +77,28 @@ def outer(a: Column, b: Column) -> Column:
     return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: x.cast("double") * y.cast("double"))))
 
 
+def picked(a: Column, places: list[int]) -> Column:
+    """The components at these places, in this order."""
+    return F.array(*[a[i] for i in places])
+
+
+def steps(a: Column) -> Column:
+    """Each component less the next one: one shorter than a."""
+    n = F.greatest(F.size(a) - 1, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(2), n), lambda x, y: x - y)
+
+
+def index_at(x: Column, y: Column, z: Column, nx: int, ny: int) -> Column:
+    """A voxel's place in an array whose x runs fastest."""
+    return x + nx * (y + ny * z)
+
+
+def place_of(index: Column, nx: int, ny: int) -> list[Column]:
+    """x, y, z of a place in such an array."""
+    row = F.floor(index / nx)
+    return [index % nx, row % ny, F.floor(row / ny)]
+
+
 def positive_unit(a: Column) -> Column:
     """Shifted to a least component of 0, then to length 1; a constant vector becomes zeros."""
     lifted = F.transform(a, lambda x: x.cast("double") - F.array_min(a).cast("double"))
@@ -123,3 +145,23 @@ def gaussian(sigma: float, least: float = 0.01) -> list[tuple[int, float]]:
         r += 1
         got += 2 * tail(r)
     return [(o, tail(o) / got) for o in range(-r, r + 1)]
+
+
+def gaussian_2d(shape: tuple[int, int], sigma: tuple[float, float], mean: tuple[float, float] | None = None, theta: float = 0.0, along: float | None = None) -> list[tuple[int, int, float]]:
+    """(row, column, weight) of a 2-D Gaussian density, turned by theta, around the middle if no mean is given.
+
+    along: its central difference over one sample to each side, in this direction. Sigmas and means go row, column.
+    """
+    r0, c0 = mean or ((shape[0] - 1) / 2, (shape[1] - 1) / 2)
+
+    def density(r: float, c: float) -> float:
+        across, on = r * math.cos(theta) - c * math.sin(theta), r * math.sin(theta) + c * math.cos(theta)
+        return math.exp(-((across / sigma[0]) ** 2 + (on / sigma[1]) ** 2) / 2) / (2 * math.pi * sigma[0] * sigma[1])
+
+    def weight(r: float, c: float) -> float:
+        if along is None:
+            return density(r, c)
+        dr, dc = math.sin(along), math.cos(along)
+        return density(r + dr, c + dc) - density(r - dr, c - dc)
+
+    return [(i, j, weight(i - r0, j - c0)) for i in range(shape[0]) for j in range(shape[1])]

@@ -178,6 +178,37 @@ def three_points(p: Column, ori: Column, scale: Column) -> Column:
     return F.transform(ori, lambda a: V.plus(p, F.transform(a, lambda x: x * scale)))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), where value is computed once however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def frame_of(p: Column) -> Column:
+    """The orthonormal frame of an array of three points: towards the second, in the plane of the third, normal to it."""
+    towards = lambda i: _let(V.minus(p[i], p[0]), V.unit)
+    normal = lambda first: _let(_let(towards(2), lambda side: V.cross(first, side)), V.unit)
+    whole = lambda first: _let(normal(first), lambda up: F.array(first, _let(V.cross(up, first), V.unit), up))
+    return _let(towards(1), whole)
+
+
+def similarity_of(p: Column, q: Column) -> Column:
+    """The similarity (scale, rot, trans) that takes three points p to q; null if two points of either are one.
+
+    Its scale is the ratio of the triangles' perimeters; the first points lie exactly on each other.
+    """
+    sides = lambda t: F.array(*[_let(V.minus(t[a], t[b]), V.magnitude) for a, b in ((0, 1), (0, 2), (1, 2))])
+    turn = lambda s: _let(s["fq"], lambda fq: V.mat_mul(V.transpose(fq), s["fp"]))
+
+    def made(s: Column) -> Column:
+        scale = V.total(s["sq"]) / V.total(s["sp"])
+        trans = lambda rot: V.minus(s["q"], F.transform(V.mat_vec(rot, s["p"]), lambda x: x * scale))
+        found = _let(turn(s), lambda rot: F.struct(scale.alias("scale"), rot.alias("rot"), trans(rot).alias("trans")))
+        return F.when(F.least(F.array_min(s["sp"]), F.array_min(s["sq"])) > 0, found)
+
+    both = F.struct(sides(p).alias("sp"), sides(q).alias("sq"), frame_of(p).alias("fp"), frame_of(q).alias("fq"), p[0].alias("p"), q[0].alias("q"))
+    return _let(both, made)
+
+
 def image_pairs(images: DataFrame, col: str, ring: bool = False) -> DataFrame:
     """(a, b): every image with the first, or each with the next and the last with the first. One row an image."""
     if ring:

@@ -220,6 +220,15 @@ def sample(points: DataFrame, vol: DataFrame, dims: tuple[int, int, int]) -> Dat
     return points.join(got, ["vol", "id"], "left")
 
 
+def along(lines: DataFrame, vol: DataFrame, dims: tuple[int, int, int], count: int) -> DataFrame:
+    """(vol, id, i, value): `count` samples on each line (vol, id, x1, y1, z1, x2, y2, z2), from its start, the end left
+    out. Whole coordinates are voxel centres. Lines of no length give no rows."""
+    part = F.col("i") / F.lit(float(count))
+    on = lines.filter("x1 != x2 or y1 != y2 or z1 != z2").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    on = on.select("vol", F.struct(F.col("id").alias("line"), "i").alias("id"), *[(F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * part + 0.5).alias(f"f{c}") for c in "xyz"])
+    return sample(on, vol, dims).select("vol", F.col("id.line").alias("id"), F.col("id.i").alias("i"), "value")
+
+
 def scatter(points: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
     """(key, v): the points' `value`s spread on the eight voxels around each, summed."""
     return _corners(points, dims).groupBy(*KEY).agg(F.sum(F.col("w") * F.col("value")).alias("v"))

@@ -1,7 +1,11 @@
-"""Text formats: features, transforms, located values, lists, match reports and vote matrices."""
+"""Features as text and binary records; transforms, located values, lists, match reports and vote matrices."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,9 @@ from voxelweave.schemas import DESCRIPTOR
 #: The feature format's lines.
 HEADER = "Scale-space location[x y z scale] orientation[o11 o12 o13 o21 o22 o23 o31 o32 o32] 2nd moment eigenvalues[e1 e2 e3] info flag[i1] descriptor[d1 .. d64]"
 MARK = "Scale-space location[x y z scale]"
+#: The first line of the binary format, and its record of 132 bytes.
+BINARY = "# featExtract 1.1"
+RECORD = np.dtype([("at", "<f4", 4), ("ori", "<f4", 9), ("eigs", "<f4", 3), ("info", "<u4"), ("pc", "u1", DESCRIPTOR)])
 
 
 def read_features(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -51,6 +58,39 @@ def write_features(feats: DataFrame, path: str, limit: float = -1.0, comments: t
     both.repartition("image_id").sortWithinPartitions("image_id", "o").select("image_id", F.col("line").alias("value")).write.partitionBy("image_id").text(path)
 
 
+def feature_files(feats: DataFrame, limit: float = -1.0) -> DataFrame:
+    """(vol, content): the features of each image that pass the eigen filter, as one binary file; one image is a task's
+    turn. `volumes.save` writes them. Descriptors are cut to bytes. An image that keeps none has no row."""
+    cols = [F.array("x", "y", "z", "scale").cast("array<float>").alias("at"), F.flatten("ori").cast("array<float>").alias("ori"), F.col("eigs").cast("array<float>").alias("eigs"), F.col("info").cast("long").alias("info"), F.transform("pc", lambda x: x.cast("int")).alias("pc")]
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(len(pdf), RECORD)
+        for c in RECORD.names:
+            v = np.array(pdf[c].tolist(), np.int64 if c in ("info", "pc") else np.float32)
+            out[c] = v & 0xFF if c == "pc" else v & 0xFFFFFFFF if c == "info" else v
+        head = f"{BINARY}\nFeatures: {len(pdf)}\n".encode()
+        return pd.DataFrame({"vol": [key[0]], "content": [head + out.tobytes()]})
+
+    return eigen_ratio(feats, limit).select(F.col("image_id").alias("vol"), *cols).groupBy("vol").applyInPandas(one, "vol string, content binary")
+
+
+def read_feature_files(spark: SparkSession, path: str) -> DataFrame:
+    """Features of one or more binary files; image_id is the file's name. A short or foreign file is an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, data in zip(b.path, b.content, strict=True):
+                lines = bytes(data[:200]).split(b"\n", 2)
+                if len(lines) < 3 or lines[0].decode("latin-1") != BINARY or not lines[1].startswith(b"Features:"):
+                    raise ValueError(f"{name}: not a file of features")
+                n, at = int(lines[1].split(b":")[1]), len(lines[0]) + len(lines[1]) + 2
+                a = np.frombuffer(data, RECORD, n, at)
+                yield pd.DataFrame({"image_id": name.rsplit("/", 1)[-1], "at": list(a["at"]), "ori": list(a["ori"]), "eigs": list(a["eigs"]), "info": a["info"].astype(np.int32), "pc": list(a["pc"].astype(np.float32))})
+
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "image_id string, at array<float>, ori array<float>, eigs array<float>, info int, pc array<float>")
+    return rows.select("image_id", *[F.col("at")[i].alias(c) for i, c in enumerate(("x", "y", "z", "scale"))], F.array(*[F.slice("ori", 3 * i + 1, 3) for i in range(3)]).alias("ori"), "eigs", "info", "pc")
+
+
 def transform_lines(t: Column) -> Column:
     """Four rows of [scale R | shift] as tab-separated text."""
     row = lambda i: F.concat_ws("\t", *[F.format_string("%f", t["rot"][i][j] * t["scale"]) for j in range(3)], F.format_string("%f", t["trans"][i]))
@@ -91,6 +131,12 @@ def report_lines(matches: DataFrame) -> DataFrame:
     return matches.select("pair", F.concat_ws("\t", "name", *[six(F.col(c)) for c in ("x", "y", "z", "scale")], F.col("tag").cast("string"), six(F.col("d")), *[six(F.col("ori")[i][j]) for i in range(3) for j in range(3)]).alias("line"))
 
 
+def summary_lines(pairs: DataFrame) -> DataFrame:
+    """(pair, line): name, inliers and the transform found of each pair, the two unused counts as zeros."""
+    t = F.col("transform")
+    return pairs.select("pair", F.format_string("%s:\t%d\t0\t0\t%f\t%f\t%f\t%f", "name", F.col("inliers").cast("long"), t["scale"], *[t["trans"][i] for i in range(3)]).alias("line"))
+
+
 def write_partitioned(lines: DataFrame, by: str, path: str, mode: str = "errorifexists") -> None:
     """Match reports by pair, or summaries with mode="append"."""
     lines.select(by, F.col("line").alias("value")).write.mode(mode).partitionBy(by).text(path)

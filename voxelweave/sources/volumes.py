@@ -18,10 +18,15 @@ DTYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 7
 VOXELS = "vol string, t int, z int, y int, x int, v double"
 
 
-def parse_nifti(data: bytes, scaled: bool = False, volumes: list[int] | None = None) -> tuple[np.ndarray, dict]:
+#: (first, size) of a part along z, y and x.
+Box = tuple[tuple[int, int], tuple[int, int], tuple[int, int]]
+
+
+def parse_nifti(data: bytes, scaled: bool = False, volumes: list[int] | None = None, box: Box | None = None) -> tuple[np.ndarray, dict]:
     """([t, z, y, x] as float32, header) of a .nii file, of .nii.gz, or of a header followed by its image.
 
-    volumes: only these of the t axis are decoded. scaled: slope and intercept are applied. Other codes are errors.
+    volumes: only these of the t axis are decoded, box: only this part (size 1 along an axis: a plane of it). scaled:
+    slope and intercept are applied. Other codes, and parts that leave the volume, are errors.
     """
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
@@ -39,7 +44,10 @@ def parse_nifti(data: bytes, scaled: bool = False, volumes: list[int] | None = N
     dt = np.dtype(end + DTYPES[code])
     at, size = max(348, int(offset)), nx * ny * nz
     want = list(range(nt)) if volumes is None else volumes
-    arr = np.stack([np.frombuffer(data, dt, size, at + i * size * dt.itemsize).reshape(nz, ny, nx).astype(np.float32) for i in want])
+    if box and any(a < 0 or k < 1 or a + k > m for (a, k), m in zip(box, (nz, ny, nx), strict=True)):
+        raise ValueError(f"{box} leaves a volume of {(nz, ny, nx)}")
+    part = tuple(slice(a, a + k) for a, k in box) if box else ...
+    arr = np.stack([np.frombuffer(data, dt, size, at + i * size * dt.itemsize).reshape(nz, ny, nx)[part].astype(np.float32) for i in want])
     if scaled and slope:
         arr = arr * slope + inter
     affine = np.array(struct.unpack(end + "12f", data[280:328])).reshape(3, 4) if struct.unpack(end + "h", data[254:256])[0] > 0 else _quatern(struct.unpack(end + "6f", data[256:280]), pix)
@@ -71,13 +79,13 @@ def encode_nifti(arr: np.ndarray, spacing: tuple[float, float, float] = (1, 1, 1
     return bytes(h) + arr.astype("<f4").tobytes()
 
 
-def _exploded(vol: str, arr: np.ndarray, first_t: list[int] | None = None) -> Iterator[pd.DataFrame]:
-    """A volume as voxel rows, a plane at a time."""
+def _exploded(vol: str, arr: np.ndarray, first_t: list[int] | None = None, low: tuple[int, int, int] = (0, 0, 0)) -> Iterator[pd.DataFrame]:
+    """A volume as voxel rows, a plane at a time; low: where its first voxel is."""
     nt, nz, ny, nx = arr.shape
-    y, x = np.mgrid[:ny, :nx]
+    y, x = np.mgrid[low[1] : low[1] + ny, low[2] : low[2] + nx]
     for t in range(nt):
         for z in range(nz):
-            yield pd.DataFrame({"vol": vol, "t": first_t[t] if first_t else t, "z": z, "y": y.ravel(), "x": x.ravel(), "v": arr[t, z].ravel().astype(float)})
+            yield pd.DataFrame({"vol": vol, "t": first_t[t] if first_t else t, "z": low[0] + z, "y": y.ravel(), "x": x.ravel(), "v": arr[t, z].ravel().astype(float)})
 
 
 def _read(spark: SparkSession, path: str, decode) -> DataFrame:
@@ -91,9 +99,10 @@ def _read(spark: SparkSession, path: str, decode) -> DataFrame:
     return files.mapInPandas(run, VOXELS)
 
 
-def read_nifti(spark: SparkSession, path: str, scaled: bool = False, volumes: list[int] | None = None) -> DataFrame:
-    """Voxels of all files at path; one file a task's turn, its name the volume's."""
-    return _read(spark, path, lambda name, data: _exploded(name, parse_nifti(data, scaled, volumes)[0], volumes))
+def read_nifti(spark: SparkSession, path: str, scaled: bool = False, volumes: list[int] | None = None, box: Box | None = None) -> DataFrame:
+    """Voxels of all files at path; one file a task's turn, its name the volume's. Voxels of a box keep their places."""
+    low = tuple(a for a, _ in box) if box else (0, 0, 0)
+    return _read(spark, path, lambda name, data: _exploded(name, parse_nifti(data, scaled, volumes, box)[0], volumes, low))
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -128,6 +137,14 @@ def array_header(text: str) -> dict:
     return {k.lower(): (v if k.lower() == "data" else int(v)) for k, v in got.items()}
 
 
+def save_arrays(vols: DataFrame, dims: tuple[int, int, int], folder: str) -> DataFrame:
+    """Every volume as name.txt and name.img (little-endian float32) in a shared folder; (vol, bytes) of the payloads."""
+    nt = vols.groupBy("vol").agg(((F.max("t") if "t" in vols.columns else F.lit(0)) + 1).alias("nt"))
+    head = F.format_string(f"Features:\t1\nx:\t{dims[2]}\ny:\t{dims[1]}\nz:\t{dims[0]}\nt:\t%d\ndata:\t%s.img\n", "nt", "vol")
+    save(nt.select("vol", head.cast("binary").alias("content")), folder, ".txt").write.format("noop").mode("overwrite").save()
+    return save(assembled(vols, dims, lambda a: a.astype("<f4").tobytes()), folder, ".img")
+
+
 def read_array(spark: SparkSession, header: str, channel: int = 0) -> DataFrame:
     """An array by its header file, whose data: line names the payload, relative to its folder."""
     h = array_header("\n".join(r.value for r in spark.read.text(header).collect()))
