@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from array import array
@@ -58,6 +59,7 @@ class Pieces:
     pieces: list[tuple[str, float, int]]
     dummy_prefix: bool
     unk: int
+    digest: str
 
     @classmethod
     def parse(cls, data: bytes) -> Pieces:
@@ -71,7 +73,7 @@ class Pieces:
                 prefix = bool(d.get(3, 1))
                 if d.get(1, b"identity") != b"identity" or d.get(4, 1):
                     raise ValueError("the model's normaliser changes texts: a round trip would not be exact")
-        return cls(out, prefix, next((i for i, p in enumerate(out) if p[2] == UNKNOWN), 0))
+        return cls(out, prefix, next((i for i, p in enumerate(out) if p[2] == UNKNOWN), 0), hashlib.sha256(data).hexdigest())
 
 
 class Tokenizer:
@@ -178,14 +180,15 @@ class Tokenizer:
         return raw.decode(errors="replace")
 
 
-_made: dict[int, Tokenizer] = {}
+_made: dict[str, Tokenizer] = {}
 
 
 def _tokenizer(model: Pieces) -> Tokenizer:
-    key = id(model)
-    if key not in _made:
-        _made[key] = Tokenizer(model)
-    return _made[key]
+    """This worker's tokenizer of the model: the last one is kept, and serves every task that has the same file."""
+    if model.digest not in _made:
+        _made.clear()
+        _made[model.digest] = Tokenizer(model)
+    return _made[model.digest]
 
 
 def load(path: str = MODEL, most: int = 64 << 20) -> Pieces:
