@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -82,6 +83,42 @@ def test_near_copy_stage(kept):
     assert 0 < len(stay) < len(sets)
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_near_copy_stage_is_exact_at_the_line(spark, parts):
+    rng, rows = random.Random(parts), []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    # 8 to 20 words, and 300, with words changed, added or cut: similarities around 0.8, and just under and at it
+    for i in range(700):
+        a = [word() for _ in range(rng.choice([*range(8, 21), 40, 90, 300]))]
+        b = list(a)
+        for _ in range(rng.choice([1, 1, 2, 3, 5, 7]) if len(a) > 80 else 1):
+            at = rng.choice([0, len(b) - 1, rng.randrange(len(b))])
+            b[at : at + rng.randrange(2)] = [word()] * rng.randrange(2)
+        b = b[: rng.choice([len(b), len(b), max(5, len(b) * 5 // 6)])]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    rows += [(2000, " ".join(f"e{i}" for i in range(9))), (2001, " ".join(f"e{i}" for i in range(8)))]
+    # many texts that share a passage are no copies of each other
+    passage = [f"p{i}" for i in range(30)]
+    rows += [(3000 + i, " ".join(passage + [word() for _ in range(12)])) for i in range(120)]
+    sets = {d: shingles(t) for d, t in rows}
+    holders = defaultdict(list)
+    for d, s in sets.items():
+        for x in s:
+            holders[x].append(d)
+    root = {d: d for d in sets}
+    find = lambda d: d if root[d] == d else find(root[d])
+    seen, at_line = Counter(p for h in holders.values() for p in itertools.combinations(h, 2)), Counter()
+    for (a, b), both in seen.items():
+        union = len(sets[a]) + len(sets[b]) - both
+        at_line[20 * both // union] += 1
+        if 5 * both >= 4 * union:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    assert at_line[15] > 20 and at_line[16] > 20 and find(2001) == 2000
+    df = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(parts)
+    assert {r.doc_id for r in cp.drop_near_copies(spark, df, SF).collect()} == {d for d in sets if find(d) == d}
+
+
 def test_mixing_stage(kept):
     words = lambda t: len(WORD.findall(t or ""))
     own, most, times = Counter(), Counter(), Counter()
