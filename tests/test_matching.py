@@ -66,6 +66,17 @@ def test_nearest_blocks(spark):
         assert [got[i, k + 1] for k in range(4)] == [j for _, j in near]
 
 
+def test_nearest_of_many_equal_vectors(spark):
+    rng = np.random.default_rng(5)
+    kinds = rng.random((3, 64))
+    ids = rng.permutation(180).tolist()
+    rows = [(ids[i], i % 2, kinds[i % 3].tolist()) for i in range(180)]
+    df = spark.createDataFrame(rows, "id long, grp long, pc array<double>").coalesce(1)
+    got = {(r.q, r.rank): (r.t, r.d) for r in M.nearest(df, df, 5).collect()}
+    for q, g, v in rows:
+        assert [got[q, k + 1] for k in range(5)] == [(t, 0.0) for t in sorted(t for t, h, w in rows if h != g and w == v)[:5]]
+
+
 def test_grid_join_loses_no_pair(spark):
     rng = np.random.default_rng(4)
     rows = [(i, *(rng.random(3) * 12).tolist(), float(np.exp(rng.normal())), FT.IDENTITY) for i in range(120)]

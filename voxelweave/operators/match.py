@@ -41,6 +41,7 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, other_groups: bool =
 
     Both have (id long, grp long, pc). other_groups: targets of the query's own group take no part; else only itself.
     Blocks of queries meet blocks of targets, as one matrix product each; k rows a query and block go to the window.
+    Of a block all targets as near as the k-th one, within rounding, are measured exactly, however many are equal.
     """
     q, t = _blocks(queries.select("id", "grp", "pc"), rows, "q"), _blocks(targets.select("id", "grp", "pc"), rows, "t")
 
@@ -49,14 +50,12 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, other_groups: bool =
             for r in b.to_pylist():
                 (qi, qg, qv), (ti, tg, tv) = ((np.frombuffer(r[f"{p}_id"], np.int64), np.frombuffer(r[f"{p}_group"], np.int64), np.frombuffer(r[f"{p}_vec"], np.float64)) for p in "qt")
                 qv, tv = qv.reshape(len(qi), -1), tv.reshape(len(ti), -1)
-                d = (qv * qv).sum(axis=1)[:, None] + (tv * tv).sum(axis=1)[None, :] - 2 * qv @ tv.T
-                d[(qg[:, None] == tg[None, :]) if other_groups else (qi[:, None] == ti[None, :])] = np.inf
-                m = min(len(ti), k + 8)
-                near = np.argpartition(d, m - 1, axis=1)[:, :m]
-                i = np.repeat(np.arange(len(qi)), m)
-                j = near.ravel()
-                ok = np.isfinite(d[i, j])
-                i, j = i[ok], j[ok]
+                qq, tt = (qv * qv).sum(axis=1), (tv * tv).sum(axis=1)
+                d = qq[:, None] + tt[None, :] - 2 * qv @ tv.T
+                d[np.isnan(d) | ((qg[:, None] == tg[None, :]) if other_groups else (qi[:, None] == ti[None, :]))] = np.inf
+                m = min(len(ti), k)
+                slack = 4 * np.finfo(float).eps * (qv.shape[1] + 4) * (qq + np.fmax.reduce(tt))
+                i, j = np.nonzero((d <= (np.partition(d, m - 1, axis=1)[:, m - 1] + slack)[:, None]) & np.isfinite(d))
                 exact = ((qv[i] - tv[j]) ** 2).sum(axis=1)
                 order = np.lexsort((ti[j], exact, i))
                 i, j, exact = i[order], j[order], exact[order]
