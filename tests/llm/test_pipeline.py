@@ -44,6 +44,17 @@ def test_language_stage_rejects_texts_without_letters_alone(kept):
     assert Counter(tuple(r) for r in kept[1].collect()) == want
 
 
+def test_language_stage_fills_null_languages(spark):
+    say = {"en": "the house and the garden of the king {}", "de": "das haus und der garten von dem koenig {}"}
+    rows = [(i, say[c].format(i), c) for i in range(200) for c in [("en", "de")[i % 2]]]
+    rows += [(1000 + i, say[c].format("x" * i), None) for i, c in enumerate(("en", "de"))] + [(1002, "12 ½", None), (1003, None, None)]
+    df = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.lang for r in cp.identify_language(spark, df, SF).collect()}
+    assert got == {**{d: c for d, _, c in rows[:200]}, 1000: "en", 1001: "de"}
+    # no labelled row: no model, and still no text without letters
+    assert {r.doc_id: r.lang for r in cp.identify_language(spark, df.filter("doc_id >= 1000"), SF).collect()} == {1000: None, 1001: None}
+
+
 def test_line_stage(kept):
     rows = kept[1].collect()
     key = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s.strip(" \t\n\x0b\x0c\r"))
