@@ -309,6 +309,15 @@ def test_gru_documents(docs, rows):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_gru_trains_on_every_window():
+    cfg = gru_lm.Config()
+    head = gru_lm._Head({b"a": 0, b"b": 1, b"": 2})
+    number = np.array([0, 1, 2, 3])
+    texts = [(i, "a b c " * n) for i, n in enumerate((1, 40, 200, 700))]
+    got = [c for part in range(cfg.rounds) for c in gru_lm._chunks(iter(texts), head, number, cfg, 2, part)]
+    assert sum(len(c) - 1 for c in got) == sum(3 * n + 1 for n in (1, 40, 200, 700))
+
+
 def test_gru_odd_rows(spark, odd):
     cfg = gru_lm.Config(head=50, vocab=20, classes=4, rate=1)
     got = gru_lm.score_documents(odd, odd["doc_id"] > 2, cfg=cfg).collect()

@@ -34,7 +34,8 @@ def words_of(text: str | None) -> list[bytes]:
 class Config:
     """head: words whose counts every task holds, of at most max_bytes bytes each; vocab: those the network models.
 
-    rate: one window of `chunk` words in `rate` is trained on in each round, from every training document.
+    Every window of `chunk` words of every training document is trained on, in one of the rounds, if rate is 1; at a
+    higher rate one in `rate` is, drawn by the window, so that short documents may have none.
     """
 
     head: int = 65536
@@ -43,11 +44,11 @@ class Config:
     classes: int = 64
     dim: int = 24
     hidden: int = 24
-    rounds: int = 2
-    rate: int = 16
+    rounds: int = 1
+    rate: int = 1
     chunk: int = 256
     window: int = 32
-    train_lanes: int = 64
+    train_lanes: int = 256
     lanes: int = 512
     step: float = 0.01
     group_words: int = 1_000_000
@@ -225,7 +226,9 @@ class Runner:
             dh[fresh[i]] = 0
         flat, back = dx.reshape(-1, 3 * hid), prev.ravel()
         demb = np.zeros((len(p["emb"]), 3 * hid), np.float32)
-        np.add.at(demb, back, flat)
+        order = np.argsort(back, kind="stable")
+        first = np.flatnonzero(np.diff(back[order], prepend=-1))
+        demb[back[order[first]]] = np.add.reduceat(flat[order], first)
         g |= {"u": du, "b": flat.sum(axis=0), "wx": p["emb"].T @ demb, "emb": demb @ p["wx"].T}
         n_all = max(1, int(ok.sum()))
         return -float(lp.sum()) / n_all, {k: v / n_all for k, v in g.items()}
@@ -327,7 +330,7 @@ class _Head(dict):
 
 
 def _chunks(texts: Iterator[tuple[object, str | None]], head: dict, number: np.ndarray, cfg: Config, start: int, part: int) -> Iterator[np.ndarray]:
-    """Windows drawn from every document at the rate: the word before each, then its words."""
+    """The round's windows, all of them at rate 1 and one round: the word before each, then its words."""
     for key, text in texts:
         ids, words = None, words_of(text)
         n = len(words)
@@ -343,8 +346,8 @@ def fit(docs: DataFrame, text_col: str, id_col: str, head: list[tuple[bytes, int
     """(network, classes, number of each head word, number of the end) learned from all rows of docs.
 
     The network starts as the unigram model of the counts. In each round every partition trains a copy of it, by
-    truncated backpropagation, on windows drawn at a fixed rate from all its documents; the copies are averaged,
-    weighted by the words they saw. Weights are averaged in blocks on the executors; one network comes to the driver.
+    truncated backpropagation, on the round's windows of all its documents; the copies are averaged, weighted by the
+    words they saw. Weights are averaged in blocks on the executors; one network comes to the driver.
     """
     spark = docs.sparkSession
     model = [t for t, _ in head[: cfg.vocab]]
