@@ -318,6 +318,12 @@ def test_gru_trains_on_every_window():
     assert sum(len(c) - 1 for c in got) == sum(3 * n + 1 for n in (1, 40, 200, 700))
 
 
+def test_gru_trains_on_few_windows():
+    net, cls = gru_lm.new_net(gru_lm.Config(hidden=5, dim=4, classes=3), [9, 7, 5, 3], 4)
+    got, seen = gru_lm.train(net, cls, iter([np.array([0, 1, 2, 0])]), 0)
+    assert seen == 3 and not np.array_equal(got.flat(), net.flat())
+
+
 def test_gru_odd_rows(spark, odd):
     cfg = gru_lm.Config(head=50, vocab=20, classes=4, rate=1)
     got = gru_lm.score_documents(odd, odd["doc_id"] > 2, cfg=cfg).collect()

@@ -274,7 +274,7 @@ def train(net: Net, cls: np.ndarray, chunks: Iterator[np.ndarray], start: int) -
         if len(held) >= cfg.train_lanes:
             lesson(held)
             held = []
-    if len(held) > 3:
+    if held:
         lesson(held)
     return net, seen
 
