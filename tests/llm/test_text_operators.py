@@ -67,7 +67,7 @@ def test_simhash_equals_brute_force(docs, rows):
     fp = {r.doc_id: brute_fingerprint(r.text, 3) for r in rows}
     linked = [(a, b) for a, b in itertools.combinations(fp, 2) if (fp[a] ^ fp[b]).bit_count() <= 3]
     want = brute_components(fp, linked)
-    got = {r.doc_id: (r.w0 & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    got = {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(docs).collect()}
     assert got == {d: (fp[d], want[d]) for d in fp}
 
 
@@ -75,41 +75,84 @@ def test_simhash_finds_every_pair_at_three_bits(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40)
     fps = sorted({int(b) ^ sum(1 << int(i) for i in rng.choice(64, n, replace=False)) for b in base for n in (0, 1, 2, 3, 3, 4)})
-    fps = [f - (1 << 64) if f >= 1 << 63 else f for f in fps]
-    df = spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "node long, w0 long")
-    pairs = [(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= 3]
-    want = brute_components(range(len(fps)), pairs)
-    forest = [(r.src, r.dst) for r in simhash.links(df, 1, 2, 1, 3).collect()]
-    assert brute_components(range(len(fps)), forest) == want
+    fps = sorted(f - (1 << 64) if f >= 1 << 63 else f for f in fps)
+    df = spark.createDataFrame([(f,) for f in fps], "node long")
+    pairs = [(a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3]
+    want = brute_components(fps, pairs)
+    forest = [(r.src, r.dst) for r in simhash.links(df).collect()]
+    assert brute_components(fps, forest) == want
     assert all(tuple(sorted(p)) in set(pairs) for p in forest)
     # a bucket of n rows gives n - 1 links at most
-    same = spark.createDataFrame([(i, i % 8) for i in range(8)], "node long, w0 long")
-    assert simhash.links(same, 1, 2, 1, 3).count() <= 2 * (8 - 1) + 8
-
-
-def test_wide_simhash_recall_at_similarity(spark):
+    same = spark.createDataFrame([(i,) for i in range(8)], "node long")
+    assert simhash.links(same).count() <= 2 * (8 - 1) + 8
+
+
+def test_buckets_in_blocks(spark, monkeypatch):
+    # one bucket of 400 distinct fingerprints with the same low half, compared in blocks of 32
+    monkeypatch.setattr(simhash, "BLOCK", 32)
+    rng = np.random.default_rng(8)
+    fps = sorted({int(v) << 32 | 7 for v in rng.integers(0, 4096, 400)})
+    near = [(a, b) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 3]
+    df = spark.createDataFrame([(f,) for f in fps], "node long")
+    forest = [(r.src, r.dst) for r in simhash.links(df).collect()]
+    assert set(map(tuple, map(sorted, forest))) <= set(near) and brute_components(fps, forest) == brute_components(fps, near)
+
+
+def test_blocks_meet_in_every_two(spark):
+    df = spark.createDataFrame([(g, i) for g, n in ((1, 40), (2, 3)) for i in range(n)], "g long, i long")
+    rows = simhash.in_blocks(df, "g", "i", simhash.F.lit(1), 10).collect()
+    units = defaultdict(set)
+    for r in rows:
+        units[r.unit].add((r.g, r.i))
+    assert all(len({g for g, _ in u}) == 1 for u in units.values()) and max(map(len, units.values())) < 40
+    for g, n in ((1, 40), (2, 3)):
+        assert all(any({(g, a), (g, b)} <= u for u in units.values()) for a, b in itertools.combinations(range(n), 2))
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_near_copies_find_all_pairs_at_similarity(spark, monkeypatch, blocks):
+    """Isolated pairs of 200 and 800 words just above and below the line, and one large group of chained near copies."""
+    if blocks:
+        monkeypatch.setattr(simhash, "BLOCK", 16)
+        monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 2000)
     rng = np.random.default_rng(5)
-    vocab = [f"w{i}" for i in range(3000)]
-    docs, near = [], []
-    for i in range(60):
-        a = [vocab[j] for j in rng.integers(0, 3000, 300)]
+    shingled = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    docs, at = [], Counter()
+    for i in range(160):
+        size = (200, 800)[i % 2]
+        a = [f"w{j}" for j in rng.integers(0, 50000, size)]
         b = list(a)
-        for j in rng.choice(300, 5, replace=False):
-            b[j] = "changed" + str(i)
-        docs += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
-        s = [{tuple(x[k : k + 5]) for k in range(296)} for x in (a, b)]
-        near.append(len(s[0] & s[1]) / len(s[0] | s[1]))
-    assert min(near) > 0.8
-    out = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=5, words=8, count=22, radius=1, most=82, distinct=True)
-    comp = {r.doc_id: r.component_id for r in out.collect()}
-    assert sum(comp[2 * i + 1] == 2 * i for i in range(60)) >= 54
-    assert len(set(comp.values())) >= 60
+        # changes far apart take five shingles each; the last ones, at the end, one each
+        for j in range(int(0.0215 * size)):
+            b[10 * j + 5] = f"c{i}"
+        while len(shingled(a) & shingled(b)) / len(shingled(a) | shingled(b)) > (0.8 if i % 4 < 2 else 0.805):
+            b = b[:-1]
+        if i % 4 < 2:
+            b.append(a[len(b)])
+        s = len(shingled(a) & shingled(b)) / len(shingled(a) | shingled(b))
+        at[s >= 0.8] += 1
+        docs += [(2 * i, " ".join(a), s), (2 * i + 1, " ".join(b), s)]
+    assert at[True] >= 100
+    base = [f"g{j}" for j in range(120)]
+    chain = []
+    for i in range(150):
+        base = list(base)
+        base[int(rng.integers(0, 120))] = f"h{i}"
+        chain.append((10000 + i, " ".join(base)))
+    df = spark.createDataFrame([(d, t) for d, t, _ in docs] + chain, "doc_id long, text string").repartition(5)
+    comp = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    for d, _, s in docs[1::2]:
+        assert comp[d] == (d - 1 if s >= 0.8 else d)
+    sets = [(d, shingled(t.split())) for d, t in chain]
+    linked = [(a, b) for (a, s), (b, t) in itertools.combinations(sets, 2) if 5 * len(s & t) >= 4 * len(s | t)]
+    want = brute_components([d for d, _ in sets], linked)
+    assert {d: comp[d] for d, _ in sets} == want
 
 
 def test_simhash_odd_rows(spark, odd):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
-    zero = [r for r in got if r.w0 == 0]
+    zero = [r for r in got if r.fp == 0]
     assert {r.doc_id for r in zero} >= {1, 2, 3} and {r.component_id for r in zero} == {1}
     assert [r.component_id for r in got if r.doc_id is None] == [None]
     assert simhash.near_duplicates(odd.limit(0)).count() == 0

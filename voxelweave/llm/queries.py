@@ -16,7 +16,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxelweave.llm.simhash import hexed, near_duplicates
 
     out = near_duplicates(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", hexed(F.col("w0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

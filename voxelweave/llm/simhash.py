@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,51 +64,35 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint(text: str | None, k: int = 3, words: int = 1, distinct: bool = False) -> list[int]:
-    """The SimHash of a text as signed 64-bit words: a bit is 1 if set in over half the shingles' hashes.
+def fingerprint(text: str | None, k: int = 3) -> int:
+    """The SimHash of a text as a signed 64-bit number: a bit is 1 if set in over half the shingles' hashes.
 
-    distinct: repeated shingles count once (the set of hashes is kept for that). No word: zero.
+    Repeated shingles count each. No word: zero. Texts are read in blocks, so a long one needs no more memory.
     """
-    n, counts = 0, np.zeros((words, 64), np.int64)
-    blocks = shingle_hashes(text, k)
-    if distinct:
-        every = list(blocks)
-        blocks = iter([np.unique(np.concatenate(every))] if every else [])
-    for h in blocks:
+    n, counts = 0, np.zeros(64, np.int64)
+    for h in shingle_hashes(text, k):
         n += len(h)
-        for i in range(words):
-            counts[i] += _bit_counts(_word(h, i))
-    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view(np.int64).ravel().tolist()
+        counts += _bit_counts(h)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
-    """(id, w0, w1, ...) for each row of docs; null texts have the fingerprint zero."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
+    """(id, fp) for each row of docs; null texts have the fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [fingerprint(t.as_py(), k, words, distinct) for t in b.column(1)]
-            w = np.array(rows, np.int64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(w[:, i])) for i in range(words)]], names=["id", *[f"w{i}" for i in range(words)]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), k) for t in b.column(1)], pa.int64())], names=["id", "fp"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, " + ", ".join(f"w{i} long" for i in range(words)))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def segments(words: int, count: int) -> list[tuple[int, int]]:
-    """(first bit, width) of each segment: all bits dealt as evenly as they go."""
-    cuts = [round(64 * words * i / count) for i in range(count + 1)]
+def segments(count: int) -> list[tuple[int, int]]:
+    """(first bit, width) of each segment: 64 bits dealt as evenly as they go."""
+    cuts = [round(64 * i / count) for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _part(first: int, width: int) -> Column:
-    """A segment's bits as a number."""
-    w, off = divmod(first, 64)
-    x = F.shiftrightunsigned(F.col(f"w{w}"), off)
-    if off + width > 64:
-        x = x.bitwiseOR(F.shiftleft(F.col(f"w{w + 1}"), 64 - off))
-    return x.bitwiseAND((1 << width) - 1)
-
-
 def _ball(x: Column, width: int, radius: int) -> Column:
     """Keys that differ from x in one of its zero bits (radius 1; none for radius 0).
 
@@ -121,129 +104,157 @@ def _ball(x: Column, width: int, radius: int) -> Column:
     return F.transform(F.filter(bits, lambda f: x.bitwiseAND(f) == 0), lambda f: x.bitwiseOR(f))
 
 
-def _entry(where, sketch: Column):
-    return lambda x: F.struct(where(x).alias("key"), sketch.alias("sketch"))
+def in_blocks(df: DataFrame, group: str, row: str, size: Column, most: int) -> DataFrame:
+    """df with `unit` long: each group's rows dealt to blocks, every two of which meet in one unit.
+
+    A group whose sizes sum to `most` or less is one unit; of a larger one, the rows are dealt by the hash of `row` to
+    blocks of about `most`, and come once for each block that theirs meets. So no group is one task's alone, and any
+    two rows of a group share a unit.
+    """
+    large = df.groupBy(F.col(group).alias("__g")).agg(F.ceil(F.sum(size) / most).cast("int").alias("__blocks")).filter("__blocks > 1")
+    x = df.join(large, F.col(group) == F.col("__g"), "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
+    x = x.withColumn("__own", F.expr(f"pmod(xxhash64(`{row}`), __blocks)")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    unit = F.when(F.col("__blocks") == 1, F.col(group)).otherwise(F.xxhash64(group, F.least("__own", "__other"), F.greatest("__own", "__other")))
+    return x.withColumn("unit", unit).drop("__g", "__blocks", "__own", "__other")
+
+
+def _dealt(df: DataFrame, *order: str) -> DataFrame:
+    """df by its first order column in tasks, sorted; so many tasks as the session has shuffle partitions."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), order[0]).sortWithinPartitions(*order)
 
 
-def _bucket_links(words: int, most: int, block: int = 1 << 14):
-    """Function over Arrow batches sorted by bucket: the links of each bucket as a spanning forest.
+def _forest(ids: np.ndarray, near, root: np.ndarray | None = None, block: int = 1 << 12) -> list[tuple[int, int]]:
+    """Links that join the rows as all pairs would for which near(row, other rows) holds: n - 1 at most.
 
-    A bucket's rows are compared with each other by their whole fingerprints, first with its first row and then, those
-    not yet in one tree, with all others in blocks; n rows give at most n - 1 links, which join whatever the links of
-    all pairs would. Rows of role 0 are table entries, of role 1 the members of balls; two of role 1 don't meet here.
+    root: trees that the rows are in already, as numbers below n. near is asked of rows in different trees only.
     """
+    n, out = len(ids), []
+    root = np.arange(n) if root is None else root
+    # rows outside the largest tree: all that its members have to meet
+    largest = int(np.bincount(root, minlength=n).argmax())
+    outside = np.flatnonzero(root != largest)
+    for i in range(n):
+        if not len(outside):
+            break
+        others = outside if root[i] == largest else np.flatnonzero(root != root[i])
+        others = others[others > i]  # earlier rows have met i
+        got = [part[near(i, part)] for part in (others[at : at + block] for at in range(0, len(others), block))]
+        if not any(map(len, got)):
+            continue
+        got = np.concatenate(got)
+        trees, first = np.unique(root[got], return_index=True)
+        out += [(int(ids[i]), int(ids[j])) for j in got[first].tolist()]
+        root[np.isin(root, trees)] = root[i]
+        largest = int(np.bincount(root, minlength=n).argmax())
+        outside = np.flatnonzero(root != largest)
+    return out
 
-    def forest(role: np.ndarray, fp: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-        n, out = len(ids), []
-        root = np.arange(n)
-        # rows outside the largest tree: all that its members have to meet
-        largest, outside = -1, root.copy()
-        for i in np.flatnonzero(role == 0).tolist():
-            others = outside if root[i] == largest else np.flatnonzero(root != root[i])
-            others = others[(role[others] == 1) | (others > i)]
-            near = []
-            for at in range(0, len(others), block):
-                part = others[at : at + block]
-                near.append(part[np.bitwise_count((fp[part] ^ fp[i]).view(np.uint64)).sum(axis=1) <= most])
-            if not any(map(len, near)):
-                continue
-            near = np.concatenate(near)
-            trees, first = np.unique(root[near], return_index=True)
-            out += [(int(ids[i]), int(ids[j])) for j in near[first].tolist()]
-            root[np.isin(root, trees)] = root[i]
-            largest = int(np.bincount(root, minlength=n).argmax())
-            outside = np.flatnonzero(root != largest)
-            if not len(outside):
-                break
-        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+def _pairs(x: list[tuple[int, int]]) -> pa.RecordBatch:
+    x = np.array(x, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for i in (0, 1)], names=["src", "dst"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by their first column."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(0).to_numpy()
+        first = int(np.searchsorted(key, key[-1]))
+        if held and (first or held[-1].column(0)[-1].as_py() != key[-1]):
+            yield pa.Table.from_batches([*held, b.slice(0, first)])
+            held = []
+        elif first:
+            yield pa.Table.from_batches([b.slice(0, first)])
+        held.append(b.slice(first))
+    if held:
+        yield pa.Table.from_batches(held)
 
-        def done(rows: np.ndarray) -> list[tuple[int, int]]:
-            out, cuts = [], np.flatnonzero(np.diff(rows[:, 0])) + 1
-            for part in np.split(rows, cuts):
-                if len(part) > 1:
-                    out += forest(part[:, 1], part[:, 3:], part[:, 2])
-            return out
 
-        def made(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            x = np.array(pairs, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], names=["src", "dst"])
+def _runs(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of each run of equal numbers."""
+    cuts = np.flatnonzero(np.diff(key)) + 1
+    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True)
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
-            if held and held[-1][-1, 0] == rows[-1, 0]:
-                held.append(rows)
-                continue
-            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            yield made(done(np.concatenate([*held, rows[:last]])) if held or last else [])
-            held = [rows[last:]]
-        if held:
-            yield made(done(np.concatenate(held)))
+
+def _bucket_links(most: int):
+    """Function over Arrow batches (unit, node) sorted by both: the links of each unit as a spanning forest.
+
+    A node is its fingerprint. Rows are compared with those of other trees only, so n rows give at most n - 1 links,
+    which join whatever the links of all pairs would.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            unit, fp = (t.column(i).to_numpy() for i in (0, 1))
+            out = []
+            for a, z in _runs(unit):
+                v = np.unique(fp[a:z])
+                out += _forest(v, lambda i, js, v=v: np.bitwise_count((v[js] ^ v[i]).view(np.uint64)) <= most)
+            yield _pairs(out)
 
     return run
 
 
-def links(fps: DataFrame, words: int, count: int, radius: int, most: int) -> DataFrame:
-    """(src, dst) between rows of fps (node, w0, ...) whose fingerprints differ in `most` bits or fewer.
+#: Rows of a bucket that one task compares at a time.
+BLOCK = 1 << 14
+
+
+def links(fps: DataFrame, most: int = 3, count: int = 2, radius: int = 1) -> DataFrame:
+    """(src, dst) that join the rows of fps (node: distinct fingerprints) as all pairs within `most` bits would.
 
     Multi-index hashing: every fingerprint is entered in a table under each of its `count` segments, and looks up the
-    ball of keys around each of them. Buckets without a match end there; in the others whole fingerprints are compared
-    and a spanning forest of the links goes on, so the output stays below the number of entries whatever a bucket's
-    size. It finds all links if most < count * (radius + 1), else the likely ones.
+    ball of keys around each of them; table entries that a look-up meets are verified by their complete distance, in
+    the join. Most buckets end there. In the others the links go on as a spanning forest, so the output stays below
+    the number of entries whatever a bucket's size; large buckets are compared in blocks of rows. All links are found,
+    as most < count * (radius + 1) is asked for.
     """
-    segs = segments(words, count)
-    if max(n for _, n in segs) > 56 or count > 128:
-        raise ValueError("at most 128 segments of 56 bits")
+    if most >= count * (radius + 1) or count > 128:
+        raise ValueError("these segments and balls don't find all pairs")
+    segs = segments(count)
+    if max(n for _, n in segs) > 56:
+        raise ValueError("segments of 56 bits at most")
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def part(i: int) -> Column:
+        first, width = segs[i]
+        return F.shiftrightunsigned(F.col("node"), first).bitwiseAND((1 << width) - 1)
 
     def where(i: int):
         return lambda x: x.bitwiseOR(F.lit(i << 56)) if i else x
 
-    # A bucket's rows meet by another word of their fingerprints first: rows that share a key by chance end here.
-    q = most / (64 * words)
-    near = most if words == 1 else math.ceil(64 * q + 4 * math.sqrt(64 * q * (1 - q)))
-    sketch = lambda first: F.col(f"w{words - 1 if first < 32 * words else 0}")
-    own = [F.struct(where(i)(_part(*s)).alias("key"), sketch(s[0]).alias("sketch")) for i, s in enumerate(segs)]
-    table = spill(fps.select("node", F.explode(F.array(*own)).alias("e")).select("node", "e.key", "e.sketch"), "table")
-    balls = [F.transform(_ball(_part(*s), s[1], radius), _entry(where(i), sketch(s[0]))) for i, s in enumerate(segs)]
-    probes = fps.select("node", F.explode(F.flatten(F.array(*balls))).alias("e")).select("node", "e.key", "e.sketch", F.lit(1).cast("long").alias("role"))
-    probes = table.withColumn("role", F.lit(0).cast("long")).unionByName(probes)
-    there = table.select(F.col("node").alias("n2"), F.col("key").alias("k2"), F.col("sketch").alias("s2"))
-    met = (F.col("key") == F.col("k2")) & (F.col("node") != F.col("n2")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("s2"))) <= near)
-    found = spill(probes.join(there, met, "left_semi").select("node", "key", "role"), "found")
+    own = F.array(*[where(i)(part(i)) for i in range(len(segs))])
+    balls = F.flatten(F.array(*[F.transform(_ball(part(i), s[1], radius), where(i)) for i, s in enumerate(segs)]))
+    table = spill(fps.select("node", F.explode(own).alias("key")), "table")
+    probes = table.unionByName(fps.select("node", F.explode(balls).alias("key")))
+    there = table.select(F.col("node").alias("n2"), F.col("key").alias("k2"))
+    met = (F.col("key") == F.col("k2")) & (F.col("node") != F.col("n2")) & (F.bit_count(F.col("node").bitwiseXOR(F.col("n2"))) <= most)
+    found = spill(probes.join(there, met, "left_semi").distinct(), "found")
     # Ball members need the entries they met; entries that met other entries are there already.
-    live = found.filter("role = 1").select(F.col("key").alias("k2")).distinct()
-    hit = table.select("node", "key").join(live, F.col("key") == F.col("k2"), "left_semi").withColumn("role", F.lit(0).cast("long"))
-    met = found.unionByName(hit).distinct()
-    full = met.join(fps.select(F.col("node").alias("id"), *[f"w{i}" for i in range(words)]), F.col("node") == F.col("id"))
-    full = full.select("key", "role", "node", *[f"w{i}" for i in range(words)])
-    dealt = full.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "role", "node")
-    return dealt.mapInArrow(_bucket_links(words, most), "src long, dst long")
+    live = found.select(F.col("key").alias("k2")).distinct()
+    hit = table.join(live, F.col("key") == F.col("k2"), "left_semi")
+    full = in_blocks(found.unionByName(hit).distinct(), "key", "node", F.lit(1), BLOCK).select("unit", "node")
+    return _dealt(full, "unit", "node").mapInArrow(_bucket_links(most), "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, words: int = 1, count: int = 2, radius: int = 1, most: int = 3, distinct: bool = False) -> DataFrame:
-    """(doc_id, w0, ..., component_id) for each row of docs; component_id is the smallest id that links reach.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, most: int = 3, count: int = 2, radius: int = 1) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of docs; component_id is the smallest id that links reach.
 
-    The defaults find every pair of 64-bit fingerprints at 3 or fewer differing bits. Equal fingerprints are one node,
-    so copies never meet in pairs. Null and empty texts have the fingerprint zero and are linked like any other. Null ids take
-    their class's component (null if all ids of it are null). Repeated rows are in one class. Empty table: empty result.
+    Every pair of 64-bit fingerprints at `most` or fewer differing bits is a link. Equal fingerprints are one node, so
+    copies never meet in pairs. Null and empty texts have the fingerprint zero and are linked like any other. Null ids
+    take their class's component (null if all ids of it are null). Repeated rows are in one class. Other columns of
+    docs are not read. Very long texts are read in blocks. Empty table: empty result.
     """
-    ws = [f"w{i}" for i in range(words)]
-    fp = spill(fingerprints(docs, id_col, text_col, k, words, distinct), "fingerprints")
-    node = F.col("w0") if words == 1 else F.xxhash64(*ws)
-    nodes = spill(fp.groupBy(*ws).agg(F.min("id").alias("least")).withColumn("node", node), "nodes")
-    cc = components(spill(links(nodes.select("node", *ws), words, count, radius, most), "links")).select(F.col("node").alias("n"), "component")
-    own = nodes.join(cc, F.col("node") == F.col("n"), "left").withColumn("component", F.coalesce("component", "node"))
-    own = spill(own.select(*[F.col(w).alias(f"n{w}") for w in ws], "least", "component"), "classes")
-    named = own.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "c")
-    own = own.join(named, F.col("component") == F.col("c")).select(*[f"n{w}" for w in ws], "component_id")
-    same = None
-    for w in ws:
-        same = (F.col(w) == F.col(f"n{w}")) if same is None else same & (F.col(w) == F.col(f"n{w}"))
-    return fp.join(own, same).select(F.col("id").alias(id_col), *ws, "component_id")
+    fp = spill(fingerprints(docs, id_col, text_col, k), "fingerprints")
+    nodes = spill(fp.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("least")), "nodes")
+    cc = components(spill(links(nodes.select("node"), most, count, radius), "links")).select(F.col("node").alias("n"), "component")
+    own = nodes.join(cc, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    own = spill(own, "classes")
+    named = own.groupBy(F.col("component").alias("c")).agg(F.min("least").alias("component_id"))
+    own = own.join(named, F.col("component") == F.col("c")).select("node", "component_id")
+    return fp.join(own, F.col("fp") == F.col("node")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 # ------------------------------------------------------------------------------------------------------- near copies
@@ -298,9 +309,13 @@ def _rarest(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], share: tuple[i
 
 
 def _set_rows(k: int, words: int, common, share: tuple[int, int]):
-    """Function over Arrow batches (id, text): the id, the set's node, size and fingerprint, and its entries."""
+    """Function over Arrow batches (id, text): the id, the set's node, size and fingerprint, and its entries.
+
+    A set that its task has met of late, as copies are, gives no entries again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for b in batches:
             node, n, w, keys = [], [], [], []
             for t in b.column(1):
@@ -309,7 +324,10 @@ def _set_rows(k: int, words: int, common, share: tuple[int, int]):
                 n.append(len(h))
                 bits = np.stack([_bit_counts(_word(h, i)) for i in range(words)])
                 w.append(np.packbits(bits * 2 > len(h), axis=1, bitorder="little").view(np.int64).ravel())
-                keys.append(_rarest(h, common.value, share).view(np.int64))
+                keys.append(np.zeros(0, np.int64) if node[-1] in met else _rarest(h, common.value, share).view(np.int64))
+                if len(met) >= 1 << 16:
+                    met.clear()
+                met.add(node[-1])
             w = np.array(w, np.int64).reshape(-1, words)
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
@@ -319,42 +337,25 @@ def _set_rows(k: int, words: int, common, share: tuple[int, int]):
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (key, node) sorted by both: each pair once, without keys of one node alone."""
-    last, met = np.zeros((0, 2), np.int64), False  # the last pair, and whether its key had another before
+    """Of (key, node) sorted by both: each pair once with its key's least node as `hub`, without keys of one node alone.
+
+    One row is held between batches, however many a key has.
+    """
+    last, hub, met = np.zeros((0, 2), np.int64), 0, False  # the last pair, its key's hub, and whether that had another node
     for b in batches:
         x = np.concatenate([last, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)])
         if not len(x):
             continue
         x = x[np.append(True, (x[1:] != x[:-1]).any(axis=1))]
         same = x[1:, 0] == x[:-1, 0]
+        first = np.maximum.accumulate(np.where(np.append(False, ~same), np.arange(len(x)), 0))
+        hubs = np.where(first > 0, x[first, 1], hub if len(last) else x[0, 1])
         before = np.append(met, same)
-        go = x[:-1][before[:-1] | same]
-        last, met = x[-1:], bool(before[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(go[:, i])) for i in (0, 1)], names=["key", "node"])
+        go = np.flatnonzero(before[:-1] | same)
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x[go, 0], x[go, 1], hubs[go])], names=["key", "node", "hub"])
+        last, hub, met = x[-1:], int(hubs[-1]), bool(before[-1])
     if met:
-        yield pa.RecordBatch.from_arrays([pa.array(last[:, i]) for i in (0, 1)], names=["key", "node"])
-
-
-def _forest(ids: np.ndarray, near, block: int = 1 << 12) -> list[tuple[int, int]]:
-    """Links that join the rows as all pairs would for which near(row, later rows) holds: n - 1 at most."""
-    n, out = len(ids), []
-    root = np.arange(n)
-    largest, outside = -1, root.copy()
-    for i in range(n):
-        others = outside if root[i] == largest else np.flatnonzero(root != root[i])
-        others = others[others > i]
-        got = [part[near(i, part)] for part in (others[at : at + block] for at in range(0, len(others), block))]
-        if not any(map(len, got)):
-            continue
-        got = np.concatenate(got)
-        trees, first = np.unique(root[got], return_index=True)
-        out += [(int(ids[i]), int(ids[j])) for j in got[first].tolist()]
-        root[np.isin(root, trees)] = root[i]
-        largest = int(np.bincount(root, minlength=n).argmax())
-        outside = np.flatnonzero(root != largest)
-        if not len(outside):
-            break
-    return out
+        yield pa.RecordBatch.from_arrays([pa.array(last[:, 0]), pa.array(last[:, 1]), pa.array([hub])], names=["key", "node", "hub"])
 
 
 def _maybe(n: np.ndarray, fp: np.ndarray, m: np.ndarray, fq: np.ndarray, share: tuple[int, int], most: int) -> np.ndarray:
@@ -364,118 +365,174 @@ def _maybe(n: np.ndarray, fp: np.ndarray, m: np.ndarray, fq: np.ndarray, share:
     return ok & ((low < SMALL) | (np.bitwise_count((fp ^ fq).view(np.uint64)).sum(axis=-1) <= most))
 
 
-def _pairs(x: list[tuple[int, int]]) -> pa.RecordBatch:
-    x = np.array(x, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for i in (0, 1)], names=["src", "dst"])
+def _can_be(words: int, share: tuple[int, int], most: int) -> Column:
+    """The same as a column, for n, w0, ... and m, v0, ..."""
+    low, high = F.least("n", "m"), F.greatest("n", "m")
+    far = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(1, words)), F.bit_count(F.col("w0").bitwiseXOR(F.col("v0"))))
+    return (low * share[1] >= high * share[0]) & ((low < SMALL) | (far <= most))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by their first column."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key = b.column(0).to_numpy()
-        first = int(np.searchsorted(key, key[-1]))
-        if held and (first or held[-1].column(0)[-1].as_py() != key[-1]):
-            yield pa.Table.from_batches([*held, b.slice(0, first)])
-            held = []
-        elif first:
-            yield pa.Table.from_batches([b.slice(0, first)])
-        held.append(b.slice(first))
-    if held:
-        yield pa.Table.from_batches(held)
+def _alike(own: np.ndarray, sets: np.ndarray, sizes: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """Which of the sets, laid end to end, have a Jaccard similarity of the share or more to `own`; none is empty."""
+    at = np.minimum(np.searchsorted(own, sets), len(own) - 1)
+    both = np.add.reduceat(own[at] == sets, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return both * share[1] >= (len(own) + sizes - both) * share[0]
 
 
-def _candidates(words: int, share: tuple[int, int], most: int):
-    """Function over Arrow batches (key, node, n, w0, ...) sorted by key: links of the pairs that can be alike."""
+def _with_hub(share: tuple[int, int]):
+    """Function over Arrow batches (unit, member, node, h) sorted by unit and member: (hub, node) of those alike.
+
+    A unit's first row is its hub, whose set alone is held; the members pass by.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches):
-            x = np.stack([c.to_numpy() for c in t.columns], axis=1)
-            cuts = np.flatnonzero(np.diff(x[:, 0], prepend=x[0, 0] - 1, append=x[-1, 0] + 1))
-            size = np.diff(cuts)
-            a = cuts[:-1][size == 2]
-            two = _maybe(x[a, 2], x[a, 3:], x[a + 1, 2], x[a + 1, 3:], share, most)
-            out = list(zip(x[a[two], 1].tolist(), x[a[two] + 1, 1].tolist(), strict=True))
-            for i in np.flatnonzero(size > 2).tolist():
-                part = x[cuts[i] : cuts[i + 1]]
-                n, fp = part[:, 2], np.ascontiguousarray(part[:, 3:])
-                out += _forest(part[:, 1], lambda i, js, n=n, fp=fp: _maybe(n[i], fp[i], n[js], fp[js], share, most))
+        hub, own = 0, np.zeros(0, np.uint64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            unit, member, node = (b.column(i).to_numpy() for i in range(3))
+            h, out = b.column(3), []
+            ends = np.frombuffer(h.buffers()[1], np.int32)[h.offset : h.offset + len(h) + 1]
+            data = np.frombuffer(h.buffers()[2], np.uint8)
+            for a, z in _runs(unit):
+                if not member[a]:
+                    hub, own = int(node[a]), data[ends[a] : ends[a + 1]].copy().view(np.uint64)
+                    a += 1
+                if a < z:
+                    ok = _alike(own, data[ends[a] : ends[z]].view(np.uint64), np.diff(ends[a : z + 1]).astype(np.int64) // 8, share)
+                    out += [(hub, x) for x in node[a:z][ok].tolist()]
             yield _pairs(out)
 
     return run
 
 
-def _verified(words: int, share: tuple[int, int], most: int):
-    """Function over Arrow batches (component, node, n, h, w0, ...) sorted by component: links of the pairs that are alike."""
+def _hub_links(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (hub, node) whose sets (node, h) are alike. Members of a hub come in parts of BLOCK at most, each with its set."""
+    n = pairs.groupBy(F.col("hub").alias("h0")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    s = sets.select(F.col("node").alias("m"), "h")
+    heads = n.select(F.col("h0").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("unit", F.xxhash64("node", "part")).withColumn("member", F.lit(0))
+    members = pairs.join(n, F.col("hub") == F.col("h0")).select("node", F.xxhash64("hub", F.expr("pmod(xxhash64(node), parts)").cast("int")).alias("unit"), F.lit(1).alias("member"))
+    both = heads.select("unit", "member", "node").unionByName(members.select("unit", "member", "node"))
+    both = both.join(s, F.col("node") == F.col("m")).select("unit", "member", "node", "h")
+    return _dealt(both, "unit", "member", "node").mapInArrow(_with_hub(share), "src long, dst long")
+
+
+def _unit_links(near, words: int):
+    """Function over Arrow batches (unit, label, node, n, w0, ..., more) sorted by unit and node: forests over labels.
+
+    Rows of one label are one tree from the start. near(table) gives the test of a unit's rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            for a, z in _runs(t.column("unit").to_numpy()):
+                part = t.slice(a, z - a)
+                label = part.column("label").to_numpy()
+                first, root = np.unique(label, return_index=True, return_inverse=True)[1:]
+                if len(first) > 1:
+                    yield _pairs(_forest(label, near(part), first[root]))
+
+    return run
+
+
+def _near_rows(words: int, share: tuple[int, int], most: int, exact: bool):
+    """The test of a unit's rows for _unit_links: whether they can be alike, and, if exact, whether their sets are."""
 
-    def links_of(t: pa.Table) -> list[tuple[int, int]]:
+    def of(t: pa.Table):
         n = t.column("n").to_numpy()
         fp = np.stack([t.column(f"w{i}").to_numpy() for i in range(words)], axis=1)
-        sets = [np.frombuffer(v.as_py(), np.uint64) for v in t.column("h")]
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for c in t.column("h").chunks for v in c] if exact else []
 
         def near(i: int, js: np.ndarray) -> np.ndarray:
             ok = _maybe(n[i], fp[i], n[js], fp[js], share, most)
             some = js[ok]
-            if len(some):
-                every = np.concatenate([sets[j] for j in some.tolist()])
-                at = np.minimum(np.searchsorted(sets[i], every), n[i] - 1)
-                both = np.add.reduceat(sets[i][at] == every, np.cumsum(n[some]) - n[some], dtype=np.int64)
-                ok[ok] = both * share[1] >= (n[i] + n[some] - both) * share[0]
+            if exact and len(some):
+                ok[ok] = _alike(sets[i], np.concatenate([sets[j] for j in some.tolist()]), n[some], share)
             return ok
 
-        return _forest(t.column("node").to_numpy(), near, 1 << 10)
+        return near
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches):
-            key = t.column(0).to_numpy()
-            cuts = [*np.flatnonzero(np.diff(key, prepend=key[0] - 1)).tolist(), len(key)]
-            yield _pairs([x for a, z in zip(cuts, cuts[1:], strict=False) for x in links_of(t.slice(a, z - a))])
+    return of
 
-    return run
+
+#: Shingles of a group of candidates that one task compares at a time: twice this, 8 bytes each, and their texts' sets once more.
+BLOCK_SHINGLES = 1 << 22
+
+
+def _joined(nodes: DataFrame, links: DataFrame, col: str) -> DataFrame:
+    """nodes (node, ...) with the least node of the links' component, itself for others, in a column."""
+    cc = components(links).select(F.col("node").alias("c0"), F.col("component").alias("c1"))
+    return nodes.join(cc, F.col(col) == F.col("c0"), "left").withColumn(col, F.coalesce("c1", col)).drop("c0", "c1")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, words: int = 8, share: tuple[int, int] = (4, 5), most: int = 144) -> DataFrame:
-    """(doc_id, w0, ..., component_id) for each row of docs: groups of texts linked by a Jaccard similarity of share or more.
+    """(doc_id, component_id) for each row of docs: groups of texts linked by a Jaccard similarity of share or more.
 
     The similarity is that of the sets of k-word shingles, counted exactly. Sets are entered under so many of their
     rarest shingles that all pairs as alike as that share an entry. Of these, pairs whose sizes and, from 64 shingles
     on, fingerprints (64 * words bits, `most` differing) allow it are candidates; at 512 bits and similarity 0.8 about
-    78 +- 8 differ. Each group of candidates then meets in one task, with its sets, and only links between sets that
-    are alike count. A task holds the distinct sets of one group of candidates; equal sets are one node. Null and empty
-    texts are one set; ids as in near_duplicates.
+    78 +- 8 differ. Candidates are verified in two rounds, and no group is ever one task's:
+
+    1. Each entry's least set is its hub, and its other sets are compared with the hub. This joins most of any large
+       group of copies, in work and memory in proportion to the entries.
+    2. Sets that share an entry without its hub, and are in different groups yet, can still be alike. Where they are
+       candidates, their groups' sets that take part meet in blocks, every two of which are a unit of work. A set is
+       compared with sets of other groups only, and a unit gives fewer links than rows.
+
+    Equal sets are one node; null and empty texts are one set, without entries. Ids, repeated rows and empty tables as
+    in near_duplicates; other columns of docs are not read. A very long text's set, 8 bytes a shingle, is held whole.
     """
     spark, ws = docs.sparkSession, [f"w{i}" for i in range(words)]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     x = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     common = spark.sparkContext.broadcast(_common(x, "t", k))
     fp = spill(x.mapInArrow(_set_rows(k, words, common, share), f"id {kind}, node long, n long, {', '.join(f'{w} long' for w in ws)}, keys array<long>"), "sets")
     nodes = spill(fp.groupBy("node", "n", *ws).agg(F.min("id").alias("least")), "nodes")
-    entries = fp.select(F.explode("keys").alias("key"), "node").repartition(parts, "key").sortWithinPartitions("key", "node")
-    crowd = spill(entries.mapInArrow(_crowded, "key long, node long"), "crowd")
-    full = crowd.join(nodes.select(F.col("node").alias("m"), "n", *ws), F.col("node") == F.col("m")).select("key", "node", "n", *ws)
-    found = full.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_candidates(words, share, most), "src long, dst long")
-    cand = components(spill(found.distinct(), "candidates")).select(F.col("node").alias("m"), "component")
-    cand = spill(nodes.join(cand, F.col("node") == F.col("m")).drop("m"), "grouped")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = [shingle_set(t.as_py(), k) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_node(v) for v in h], pa.int64()), pa.array([v.tobytes() for v in h], pa.binary())], names=["m", "h"])
-
-    # The text with a set's least id has that set; others with this id may not, and find no node or their own.
-    least = cand.select("least").distinct()
-    made = x.join(least, F.col("id").eqNullSafe(F.col("least")), "left_semi").select("t").mapInArrow(sets, "m long, h binary").dropDuplicates(["m"])
-    met = made.join(cand, F.col("m") == F.col("node")).select("component", "node", "n", "h", *ws)
-    alike = met.repartition(parts, "component").sortWithinPartitions("component", "node").mapInArrow(_verified(words, share, most), "src long, dst long")
-    cc = components(spill(alike, "links")).select(F.col("node").alias("m"), "component")
-    own = nodes.select("node", "least").join(cc, F.col("node") == F.col("m"), "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    own = spill(own, "classes")
-    named = own.groupBy(F.col("component").alias("c")).agg(F.min("least").alias("component_id"))
-    own = own.join(named, F.col("component") == F.col("c")).select(F.col("node").alias("m"), "component_id")
-    return fp.join(own, F.col("node") == F.col("m")).select(F.col("id").alias(id_col), *ws, "component_id")
+    crowd = spill(_dealt(fp.select(F.explode("keys").alias("key"), "node"), "key", "node").mapInArrow(_crowded, "key long, node long, hub long"), "crowd")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        """(node, h) of nodes, made again from the texts that have the sets' least ids."""
+        some = spill(some.distinct(), "some")
+        least = nodes.join(some, nodes["node"] == some["node"], "left_semi").select("least").distinct()
+        # ids of 8 bytes or so: at most some MB are broadcast, more are joined by shuffles
+        least = F.broadcast(least) if some.count() <= 1 << 19 else least
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo in range(0, b.num_rows, 500):
+                    h = [shingle_set(t.as_py(), k) for t in b.column(0).slice(lo, 500)]
+                    yield pa.RecordBatch.from_arrays([pa.array([_set_node(v) for v in h], pa.int64()), pa.array([v.tobytes() for v in h], pa.binary())], names=["m", "h"])
+
+        # another text that has the same id may have been made too: its set is no node of these, or is its own node's
+        every = x.join(least, F.col("id").eqNullSafe(F.col("least")), "left_semi").select("t").mapInArrow(made, "m long, h binary")
+        return spill(every.join(some, F.col("m") == F.col("node"), "left_semi").dropDuplicates(["m"]).withColumnRenamed("m", "node"), "made")
+
+    # round 1: every set with its entries' hubs
+    pairs = crowd.filter("node != hub").select("hub", "node").distinct()
+    side = nodes.select(F.col("node").alias("m0"), F.col("n").alias("m"), *[F.col(w).alias(f"v{i}") for i, w in enumerate(ws)])
+    pairs = pairs.join(nodes.select(F.col("node").alias("n0"), "n", *ws), F.col("node") == F.col("n0")).join(side, F.col("hub") == F.col("m0"))
+    pairs = spill(pairs.filter(_can_be(words, share, most)).select("hub", "node"), "pairs")
+    sets = sets_of(pairs.select(F.explode(F.array("hub", "node")).alias("node")))
+    found = spill(_hub_links(pairs, sets, share), "links")
+    own = spill(_joined(nodes.select("node", "least", F.col("node").alias("label")), found, "label"), "classes")
+    # round 2: entries whose sets, the hub left out, are not all of one group yet
+    rest = crowd.filter("node != hub").join(own.select(F.col("node").alias("n0"), "label"), F.col("node") == F.col("n0")).select("key", "node", "label")
+    mixed = rest.groupBy(F.col("key").alias("k0")).agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("k0")
+    rest = spill(rest.join(mixed, F.col("key") == F.col("k0"), "left_semi"), "mixed")
+    told = nodes.select(F.col("node").alias("n0"), "n", *ws)
+    units = in_blocks(rest, "key", "node", F.lit(1), BLOCK).join(told, F.col("node") == F.col("n0")).select("unit", "label", "node", "n", *ws)
+    maybe = _dealt(units, "unit", "node").mapInArrow(_unit_links(_near_rows(words, share, most, False), words), "src long, dst long")
+    maybe = spill(maybe.distinct(), "candidates")
+    cand = components(maybe).select(F.col("node").alias("l0"), F.col("component").alias("grp"))
+    active = rest.select("node", "label").distinct().join(cand, F.col("label") == F.col("l0")).join(told, F.col("node") == F.col("n0"))
+    active = spill(active.select("node", "label", "grp", "n", *ws), "active")
+    more = sets_of(active.select("node"))
+    units = in_blocks(active, "grp", "node", F.col("n"), BLOCK_SHINGLES).join(more.withColumnRenamed("node", "m0"), F.col("node") == F.col("m0")).select("unit", "label", "node", "n", *ws, "h")
+    alike = spill(_dealt(units, "unit", "node").mapInArrow(_unit_links(_near_rows(words, share, most, True), words), "src long, dst long"), "more")
+    own = spill(_joined(own, alike, "label"), "classes")
+    named = own.groupBy(F.col("label").alias("c")).agg(F.min("least").alias("component_id"))
+    own = own.join(named, F.col("label") == F.col("c")).select(F.col("node").alias("m"), "component_id")
+    return fp.select("id", "node").join(own, F.col("node") == F.col("m")).select(F.col("id").alias(id_col), "component_id")
 
 
 def hexed(w: Column) -> Column:
