@@ -337,7 +337,7 @@ def test_gru_scores_are_probabilities_and_carry_state():
 
 
 def test_gru_documents(docs, rows):
-    cfg = gru_lm.Config(head=300, vocab=120, classes=8, rate=1, rounds=2)
+    cfg = gru_lm.Config(head=300, vocab=120, classes=8)
     out = gru_lm.score_documents(docs, ~langid.in_fold(docs["doc_id"], 7, 2), cfg=cfg).collect()
     train = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
     toks = lambda r: [*WORD.findall(lower(r.text or "")), ""]
@@ -352,13 +352,61 @@ def test_gru_documents(docs, rows):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_gru_trains_on_every_window():
+def test_gru_trains_on_every_window(docs, rows):
     cfg = gru_lm.Config()
     head = gru_lm._Head({b"a": 0, b"b": 1, b"": 2})
     number = np.array([0, 1, 2, 3])
-    texts = [(i, "a b c " * n) for i, n in enumerate((1, 40, 200, 700))]
-    got = [c for part in range(cfg.rounds) for c in gru_lm._chunks(iter(texts), head, number, cfg, 2, part)]
-    assert sum(len(c) - 1 for c in got) == sum(3 * n + 1 for n in (1, 40, 200, 700))
+    sizes = (1, 40, 200, 700)
+    got = list(gru_lm._chunks(iter(["a b c " * n for n in sizes]), head, number, cfg, 2))
+    assert sum(len(c) - 1 for c in got) == sum(3 * n + 1 for n in sizes)
+    net, cls = gru_lm.new_net(gru_lm.Config(hidden=5, dim=4, classes=2), [9, 7, 5], 4)
+    assert gru_lm.train(net, cls, iter(got), 2)[1] == sum(3 * n + 1 for n in sizes)
+
+
+def test_gru_weights_are_averaged_by_words(spark):
+    parts = [(b, p, p + 1, np.full(3, float(p * (p + 1) + b)).tobytes()) for p in range(150) for b in (0, 1)]
+    df = spark.createDataFrame(parts, "block int, part long, seen long, v binary").repartition(150, "part")
+    got = {r.block: (r.seen, np.frombuffer(bytes(r.v))) for r in gru_lm._summed(df, fan=8).collect()}
+    for b in (0, 1):
+        assert got[b][0] == sum(range(1, 151)) and np.allclose(got[b][1], sum(p * (p + 1) + b for p in range(150)))
+
+
+def test_gru_score_of_the_registered_configuration(docs, rows):
+    """Scores against each text's own sum: the network's classes and words by plain formulas, and counts of rare words."""
+    train = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    held = ~langid.in_fold(docs["doc_id"], 7, 2)
+    got = {r.doc_id: r.score for r in gru_lm.score_documents(docs, held).collect()}
+    cfg, seen = gru_lm.Config(), docs.filter(held)
+    counts = Counter(t for r in train for t in gru_lm.words_of(r.text))
+    n = sum(counts.values())
+    head = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    assert head[: cfg.vocab] == gru_lm._commonest(gru_lm.token_counts(seen, "text"), cfg)[: cfg.vocab]
+    net, cls, number, start = gru_lm.fit(seen, "text", head, n, cfg)
+    at = {t: int(i) for (t, _), i in zip(head, number, strict=False)}
+    rare = {t: c for t, c in counts.items() if at[t] == net.vocab}
+    p, sig = {k: v.astype(float) for k, v in net.p.items()}, lambda x: 1 / (1 + np.exp(-x))
+    k = cfg.hidden
+
+    def by_hand(text):
+        h, prev, total = np.zeros(k), start, 0.0
+        for w in gru_lm.words_of(text):
+            x, hu = p["emb"][prev] @ p["wx"] + p["b"], h @ p["u"]
+            r, z = sig(x[:k] + hu[:k]), sig(x[k : 2 * k] + hu[k : 2 * k])
+            cand = np.tanh(x[2 * k :] + r * hu[2 * k :])
+            h = cand + z * (h - cand)
+            prev = at.get(w, net.vocab)
+            lg = h @ p["wc"] + p["bc"]
+            total += lg[cls[prev]] - np.log(np.exp(lg).sum())
+            if prev == net.vocab:
+                total += math.log((rare.get(w, 0) + 1) / (sum(rare.values()) + len(rare) + 1))
+            else:
+                a, e = net.cuts[cls[prev]], net.cuts[cls[prev] + 1]
+                lg = h @ p["ww"][a:e].T + p["bw"][a:e]
+                total += lg[prev - a] - np.log(np.exp(lg).sum())
+        return total / math.log(10)
+
+    for r in rows[:40]:
+        assert math.isclose(got[r.doc_id], by_hand(r.text), rel_tol=1e-3), r.doc_id
 
 
 def test_gru_trains_on_few_windows():
@@ -368,7 +416,7 @@ def test_gru_trains_on_few_windows():
 
 
 def test_gru_odd_rows(spark, odd):
-    cfg = gru_lm.Config(head=50, vocab=20, classes=4, rate=1)
+    cfg = gru_lm.Config(head=50, vocab=20, classes=4)
     got = gru_lm.score_documents(odd, odd["doc_id"] > 2, cfg=cfg).collect()
     assert len(got) == len(ODD) and all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1}

@@ -9,7 +9,6 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,24 +33,23 @@ def words_of(text: str | None) -> list[bytes]:
 class Config:
     """head: words whose counts every task holds, of at most max_bytes bytes each; vocab: those the network models.
 
-    Every window of `chunk` words of every training document is trained on, in one of the rounds, if rate is 1; at a
-    higher rate one in `rate` is, drawn by the window, so that short documents may have none.
+    Every window of `chunk` words of every training document is trained on once. lanes and train_lanes step together;
+    the update is made each `window` steps of a lane, which is where back-propagation ends. group_words: words that a
+    task scores at a time, so that long texts, whose lanes end last, share their steps with others.
     """
 
     head: int = 65536
     max_bytes: int = 64
-    vocab: int = 4096
-    classes: int = 64
-    dim: int = 24
-    hidden: int = 24
-    rounds: int = 1
-    rate: int = 1
+    vocab: int = 2048
+    classes: int = 48
+    dim: int = 16
+    hidden: int = 16
     chunk: int = 256
     window: int = 32
     train_lanes: int = 256
     lanes: int = 512
     step: float = 0.01
-    group_words: int = 1_000_000
+    group_words: int = 2_000_000
 
 
 # ------------------------------------------------------------------------------------------------------- counts
@@ -125,111 +123,155 @@ def new_net(cfg: Config, counts: list[int], rare: int) -> tuple[Net, np.ndarray]
     return Net(cfg, cuts, p), np.append(cls, c)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
 class Runner:
-    """Steps of a network over lanes of words; the state h of each lane goes on from window to window."""
+    """Steps of a network over lanes of words; the state h of each lane goes on from window to window.
+
+    Gates are kept apart, as [3, lanes, H] arrays (reset, update, candidate), so that all arithmetic runs over whole
+    arrays.
+    """
 
     def __init__(self, net: Net, cls: np.ndarray, lanes: int):
         self.net, self.cls = net, cls
         self.h = np.zeros((lanes, net.cfg.hidden), np.float32)
         self.refresh()
 
+    def _gates(self, w: np.ndarray) -> np.ndarray:
+        """[N, 3H] as [3, N, H]."""
+        return np.ascontiguousarray(w.reshape(len(w), 3, -1).transpose(1, 0, 2))
+
     def refresh(self) -> None:
         p = self.net.p
-        self.x = p["emb"] @ p["wx"] + p["b"]
+        self.u, self.wx = self._gates(p["u"]), self._gates(p["wx"])
+        self.x = p["emb"] @ self.wx + p["b"].reshape(3, 1, -1)
 
-    def forward(self, prev: np.ndarray, fresh: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+    def forward(self, prev: np.ndarray, fresh: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
         """States [T, B, H] after each word of prev [T, B]; fresh marks where a lane's state starts anew."""
         t, b = prev.shape
-        hid, u = self.net.cfg.hidden, self.net.p["u"]
-        out, tape = np.empty((t, b, hid), np.float32), []
-        h = self.h[:b].copy()
-        for i in range(t):
-            if fresh[i].any():
-                h = np.where(fresh[i][:, None], np.float32(0), h)
-            x, hu = self.x[prev[i]], h @ u
-            rz = _sigmoid(np.clip(x[:, : 2 * hid] + hu[:, : 2 * hid], -30, 30))
-            r, z = rz[:, :hid], rz[:, hid:]
-            n = np.tanh(x[:, 2 * hid :] + r * hu[:, 2 * hid :])
-            new = n + z * (h - n)
-            if keep:
-                tape.append((h, r, z, n, hu[:, 2 * hid :]))
-            h = out[i] = new
+        hid, kind = self.net.cfg.hidden, self.x.dtype
+        out = np.empty((t, b, hid), kind)
+        gates, inner = (np.empty((t if keep else 1, 3, b, hid), kind) for _ in range(2))
+        before = np.empty((t if keep else 0, b, hid), kind)
+        h, some = self.h[:b].astype(kind), fresh.any(axis=1)
+        with np.errstate(over="ignore"):
+            for i in range(t):
+                if some[i]:
+                    h = np.where(fresh[i][:, None], kind.type(0), h)
+                g, c = gates[i if keep else 0], inner[i if keep else 0]
+                for k in range(3):
+                    np.take(self.x[k], prev[i], axis=0, out=g[k], mode="clip")
+                np.matmul(h, self.u, out=c)
+                rz, n = g[:2], g[2]
+                rz += c[:2]
+                np.negative(rz, out=rz)
+                np.exp(rz, out=rz)
+                rz += 1
+                np.reciprocal(rz, out=rz)
+                n += g[0] * c[2]
+                np.tanh(n, out=n)
+                if keep:
+                    before[i] = h
+                new = np.subtract(h, n, out=out[i])
+                new *= g[1]
+                new += n
+                h = new
         self.h[:b] = h
-        return out, tape
+        return out, (before, gates, inner)
 
     def losses(self, hs: np.ndarray, want: np.ndarray, grad: bool = False):
         """ln P of each wanted word given its state; with grad also what the loss's gradients need."""
         p, cuts = self.net.p, self.net.cuts
         cls = self.cls[want]
-        logit = hs @ p["wc"] + p["bc"]
-        logit -= logit.max(axis=1, keepdims=True)
-        e = np.exp(logit)
-        s = e.sum(axis=1)
-        row = np.arange(len(want))
-        lp = logit[row, cls] - np.log(s)
+        # by class, so that each class's rows are one slice
         order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(len(cuts)))
-        g = {}
+        hs, want, cls = hs[order], want[order], cls[order]
+        ends = np.searchsorted(cls, np.arange(len(cuts)))
+        row = np.arange(len(want))
+        e = hs @ p["wc"]
+        e += p["bc"]
+        e -= e.max(axis=1, keepdims=True)
+        lp = e[row, cls]
+        np.exp(e, out=e)
+        s = e @ np.ones(e.shape[1], e.dtype)
+        lp -= np.log(s)
         if grad:
             e /= s[:, None]
             e[row, cls] -= 1
             g = {"wc": hs.T @ e, "bc": e.sum(axis=0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
             dh = e @ p["wc"].T
         for c in range(len(cuts) - 1):
-            idx = order[ends[c] : ends[c + 1]]
+            lo, hi = ends[c], ends[c + 1]
             a, z = cuts[c], cuts[c + 1]
-            if not len(idx) or z - a < 2:
+            if lo == hi or z - a < 2:
                 continue
-            hc = hs[idx]
-            lg = hc @ p["ww"][a:z].T + p["bw"][a:z]
-            lg -= lg.max(axis=1, keepdims=True)
-            k, w = np.arange(len(idx)), want[idx] - a
-            ex = np.exp(lg)
-            sx = ex.sum(axis=1)
-            lp[idx] += lg[k, w] - np.log(sx)
+            hc, w, k = hs[lo:hi], want[lo:hi] - a, row[: hi - lo]
+            ex = hc @ p["ww"][a:z].T
+            ex += p["bw"][a:z]
+            ex -= ex.max(axis=1, keepdims=True)
+            part = ex[k, w]
+            np.exp(ex, out=ex)
+            sx = ex @ np.ones(z - a, ex.dtype)
+            lp[lo:hi] += part - np.log(sx)
             if grad:
                 ex /= sx[:, None]
                 ex[k, w] -= 1
-                g["ww"][a:z] += ex.T @ hc
-                g["bw"][a:z] += ex.sum(axis=0)
-                dh[idx] += ex @ p["ww"][a:z]
-        return (lp, g, dh) if grad else lp
+                g["ww"][a:z] = ex.T @ hc
+                g["bw"][a:z] = ex.sum(axis=0)
+                dh[lo:hi] += ex @ p["ww"][a:z]
+        back = np.empty(len(order), np.int64)
+        back[order] = row
+        return (lp[back], g, dh[back]) if grad else lp[back]
 
     def gradients(self, prev: np.ndarray, fresh: np.ndarray, want: np.ndarray, valid: np.ndarray) -> tuple[float, dict]:
         """Mean loss of a window over its valid places and the gradients, truncated at the window's start."""
         t, b = prev.shape
-        hid, p = self.net.cfg.hidden, self.net.p
-        hs, tape = self.forward(prev, fresh, keep=True)
+        hid, p, kind = self.net.cfg.hidden, self.net.p, self.x.dtype
+        hs, (before, gates, inner) = self.forward(prev, fresh, keep=True)
         ok = valid.ravel()
-        lp, g, part = self.losses(hs.reshape(-1, hid)[ok], want.ravel()[ok], grad=True)
-        dout = np.zeros((t * b, hid), np.float32)
-        dout[ok] = part
-        dout = dout.reshape(t, b, hid)
-        dx, du, dh = np.empty((t, b, 3 * hid), np.float32), np.zeros_like(p["u"]), np.zeros((b, hid), np.float32)
+        if ok.all():
+            lp, g, part = self.losses(hs.reshape(-1, hid), want.ravel(), grad=True)
+            dout = part.reshape(t, b, hid)
+        else:
+            lp, g, part = self.losses(hs.reshape(-1, hid)[ok], want.ravel()[ok], grad=True)
+            dout = np.zeros((t * b, hid), kind)
+            dout[ok] = part
+            dout = dout.reshape(t, b, hid)
+        r, z, n = (gates[:, k] for k in range(3))
+        # what a state's gradient is multiplied by for each gate, for the whole window at once
+        keep_z = 1 - z
+        by_n = keep_z * (1 - n * n)
+        by_z = (before - n) * z * keep_z
+        by_r = by_n * inner[:, 2] * r * (1 - r)
+        by_h = by_n * r
+        d, dhu = np.empty((t, 3, b, hid), kind), np.empty((3, b, hid), kind)
+        du, dh = np.zeros_like(self.u), np.zeros((b, hid), kind)
+        ut, some = np.ascontiguousarray(self.u.transpose(0, 2, 1)), fresh.any(axis=1)
         for i in range(t - 1, -1, -1):
-            h, r, z, n, hn = tape[i]
-            dh = dh + dout[i]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h - n) * z * (1 - z)
-            dr = dn * hn * r * (1 - r)
-            dx[i] = np.concatenate([dr, dz, dn], axis=1)
-            dhu = np.concatenate([dr, dz, dn * r], axis=1)
-            du += h.T @ dhu
-            dh = dh * z + dhu @ p["u"].T
-            dh[fresh[i]] = 0
-        flat, back = dx.reshape(-1, 3 * hid), prev.ravel()
-        demb = np.zeros((len(p["emb"]), 3 * hid), np.float32)
-        order = np.argsort(back, kind="stable")
-        first = np.flatnonzero(np.diff(back[order], prepend=-1))
-        demb[back[order[first]]] = np.add.reduceat(flat[order], first)
-        g |= {"u": du, "b": flat.sum(axis=0), "wx": p["emb"].T @ demb, "emb": demb @ p["wx"].T}
+            dh += dout[i]
+            np.multiply(dh, by_r[i], out=d[i, 0])
+            np.multiply(dh, by_z[i], out=d[i, 1])
+            np.multiply(dh, by_n[i], out=d[i, 2])
+            dhu[:2] = d[i, :2]
+            np.multiply(dh, by_h[i], out=dhu[2])
+            du += before[i].T @ dhu
+            back = dhu @ ut
+            dh *= z[i]
+            dh += back[0]
+            dh += back[1]
+            dh += back[2]
+            if some[i]:
+                dh[fresh[i]] = 0
+        words = prev.ravel()
+        order = np.argsort(words, kind="stable")
+        first = np.flatnonzero(np.diff(words[order], prepend=-1))
+        seen = words[order[first]]
+        demb, emb = np.zeros_like(p["emb"]), p["emb"][seen]
+        dwx, db = np.empty_like(self.wx), np.empty((3, hid), kind)
+        for k in range(3):
+            per = np.add.reduceat(d[:, k].reshape(-1, hid)[order], first)
+            demb[seen] += per @ self.wx[k].T
+            dwx[k], db[k] = emb.T @ per, per.sum(axis=0)
+        flat = lambda w: w.transpose(1, 0, 2).reshape(w.shape[1], -1)
+        g |= {"u": flat(du), "b": db.ravel(), "wx": flat(dwx), "emb": demb}
         n_all = max(1, int(ok.sum()))
         return -float(lp.sum()) / n_all, {k: v / n_all for k, v in g.items()}
 
@@ -260,22 +302,37 @@ def train(net: Net, cls: np.ndarray, chunks: Iterator[np.ndarray], start: int) -
             _, g = run.gradients(part[:-1], fresh, part[1:], there)
             steps += 1
             seen += int(there.sum())
-            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            cut = min(1.0, 1.0 / (norm + 1e-9))
+            norm = np.sqrt(sum(float(np.vdot(v, v)) for v in g.values()))
+            cut = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+            rate, grow = np.float32(cfg.step / (1 - 0.9**steps)), np.float32(1 / (1 - 0.99**steps))
             for k, v in g.items():
-                v = v * cut
-                m[k] += 0.1 * (v - m[k])
-                s[k] += 0.01 * (v * v - s[k])
-                net.p[k] -= cfg.step * (m[k] / (1 - 0.9**steps)) / (np.sqrt(s[k] / (1 - 0.99**steps)) + 1e-7)
+                v *= cut
+                m[k] += np.float32(0.1) * (v - m[k])
+                v *= v
+                v -= s[k]
+                v *= np.float32(0.01)
+                s[k] += v
+                np.multiply(s[k], grow, out=v)
+                np.sqrt(v, out=v)
+                v += np.float32(1e-7)
+                np.divide(m[k], v, out=v)
+                v *= rate
+                net.p[k] -= v
             run.refresh()
 
+    def lessons() -> None:
+        # windows of near length together, so that few places of a lesson are empty; the order of lessons is mixed again
+        held.sort(key=len)
+        groups = [held[a : a + cfg.train_lanes] for a in range(0, len(held), cfg.train_lanes)]
+        for j in np.random.default_rng(len(held)).permutation(len(groups)).tolist():
+            lesson(groups[j])
+        held.clear()
+
     for c in chunks:
         held.append(c)
-        if len(held) >= cfg.train_lanes:
-            lesson(held)
-            held = []
-    if held:
-        lesson(held)
+        if len(held) >= 8 * cfg.train_lanes:
+            lessons()
+    lessons()
     return net, seen
 
 
@@ -301,6 +358,15 @@ def score(net: Net, cls: np.ndarray, docs: list[np.ndarray], start: int) -> np.n
     run, out = Runner(net, cls, len(lanes)), np.zeros(len(docs))
     last = np.full(len(lanes), -1)
     prev_word = np.full(len(lanes), start)
+    states: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def weigh() -> None:
+        # the softmax of many windows at once: few lanes are left at the end of a long text
+        hs, want, own = (np.concatenate(x) for x in zip(*states, strict=True))
+        np.add(out, np.bincount(own, weights=run.losses(hs, want), minlength=len(docs)), out=out)
+        states.clear()
+
+    rows = 0
     for at in range(0, int(size[0]), cfg.window):
         b = int(np.searchsorted(-size, -at, side="left"))
         want = np.full((cfg.window, b), start, np.int64)
@@ -315,9 +381,14 @@ def score(net: Net, cls: np.ndarray, docs: list[np.ndarray], start: int) -> np.n
         prev[fresh] = start
         hs, _ = run.forward(prev, fresh)
         valid = own.ravel() >= 0
-        lp = run.losses(hs.reshape(-1, cfg.hidden)[valid], want.ravel()[valid])
-        out += np.bincount(own.ravel()[valid], weights=lp, minlength=len(docs))
+        states.append((hs.reshape(-1, cfg.hidden)[valid], want.ravel()[valid], own.ravel()[valid]))
+        rows += len(states[-1][1])
+        if rows >= 1 << 14:
+            weigh()
+            rows = 0
         last[:b], prev_word[:b] = own[-1], want[-1]
+    if states:
+        weigh()
     return out
 
 
@@ -329,25 +400,36 @@ class _Head(dict):
         return -1
 
 
-def _chunks(texts: Iterator[tuple[object, str | None]], head: dict, number: np.ndarray, cfg: Config, start: int, part: int) -> Iterator[np.ndarray]:
-    """The round's windows, all of them at rate 1 and one round: the word before each, then its words."""
-    for key, text in texts:
-        ids, words = None, words_of(text)
+def _chunks(texts: Iterator[str | None], head: dict, number: np.ndarray, cfg: Config, start: int) -> Iterator[np.ndarray]:
+    """All windows of the texts: the word before each, then its words, as numbers."""
+    for text in texts:
+        words = words_of(text)
         n = len(words)
+        ids = np.concatenate(([start], number[np.fromiter(map(head.__getitem__, words), np.int64, n)]))
         for i in range(0, n, cfg.chunk):
-            if xxhash.xxh32_intdigest(f"{key}/{i}") % (cfg.rate * cfg.rounds) != part:
-                continue
-            if ids is None:
-                ids = np.concatenate(([start], number[np.fromiter(map(head.__getitem__, words), np.int64, n)]))
             yield ids[i : i + cfg.chunk + 1]
 
 
-def fit(docs: DataFrame, text_col: str, id_col: str, head: list[tuple[bytes, int]], total: int, cfg: Config) -> tuple[Net, np.ndarray, np.ndarray, int]:
+def _summed(parts: DataFrame, fan: int = 64) -> DataFrame:
+    """(block, seen, v) with a row a block: weights summed in a tree, `fan` rows of a block at most in each task's turn."""
+
+    def add(t: pa.Table) -> pa.Table:
+        v = sum(np.frombuffer(x.as_py(), np.float64) for x in t.column("v"))
+        return pa.table({"block": t.column("block").slice(0, 1), "part": t.column("part").slice(0, 1), "seen": pa.array([sum(t.column("seen").to_pylist())], pa.int64()), "v": pa.array([v.tobytes()], pa.binary())})
+
+    n = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    while n > 1:
+        n = -(-n // fan)
+        parts = parts.withColumn("part", F.floor(F.col("part") / fan)).groupBy("block", "part").applyInArrow(add, "block int, part long, seen long, v binary")
+    return parts
+
+
+def fit(docs: DataFrame, text_col: str, head: list[tuple[bytes, int]], total: int, cfg: Config) -> tuple[Net, np.ndarray, np.ndarray, int]:
     """(network, classes, number of each head word, number of the end) learned from all rows of docs.
 
-    The network starts as the unigram model of the counts. In each round every partition trains a copy of it, by
-    truncated backpropagation, on the round's windows of all its documents; the copies are averaged, weighted by the
-    words they saw. Weights are averaged in blocks on the executors; one network comes to the driver.
+    The network starts as the unigram model of the counts. Every partition trains a copy of it, by truncated
+    backpropagation, on all windows of all its documents; the copies are averaged, weighted by the words they saw.
+    Weights are averaged in blocks on the executors; one network comes to the driver.
     """
     spark = docs.sparkSession
     model = [t for t, _ in head[: cfg.vocab]]
@@ -359,26 +441,21 @@ def fit(docs: DataFrame, text_col: str, id_col: str, head: list[tuple[bytes, int
     number = np.array([at.get(t, len(model)) for t, _ in head] + [len(model)], np.int64)  # the last, index -1: not in the head
     start = at[END]
     lookup = spark.sparkContext.broadcast(_Head((t, i) for i, (t, _) in enumerate(head)))  # at most head words of max_bytes
-    for part in range(cfg.rounds):
-        sent = spark.sparkContext.broadcast((net, cls, number, start))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, part=part) -> Iterator[pa.RecordBatch]:
-            net, cls, number, start = sent.value
-            texts = ((k.as_py(), t.as_py()) for b in batches for k, t in zip(b.column(0), b.column(1), strict=True))
-            got, seen = train(net, cls, _chunks(texts, lookup.value, number, cfg, start, part), start)
-            if seen:
-                v = got.flat() * np.float32(seen)
-                cuts = range(0, len(v), BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([a // BLOCK for a in cuts], pa.int32()), pa.array([seen] * len(cuts), pa.int64()), pa.array([v[a : a + BLOCK].tobytes() for a in cuts], pa.binary())], names=["block", "seen", "v"])
-
-        def mean(t: pa.Table) -> pa.Table:
-            v = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in t.column("v")) / sum(t.column("seen").to_pylist())
-            return pa.table({"block": t.column("block").slice(0, 1), "v": pa.array([v.astype(np.float32).tobytes()], pa.binary())})
-
-        made = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).mapInArrow(run, "block int, seen long, v binary")
-        rows = sorted((r["block"], bytes(r["v"])) for r in made.groupBy("block").applyInArrow(mean, "block int, v binary").collect())
-        if rows:
-            net = net.loaded(np.frombuffer(b"".join(v for _, v in rows), np.float32))
+    sent = spark.sparkContext.broadcast((net, cls, number, start))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, cls, number, start = sent.value
+        texts = (t.as_py() for b in batches for t in b.column(0))
+        got, seen = train(net, cls, _chunks(texts, lookup.value, number, cfg, start), start)
+        if seen:
+            v = got.flat().astype(np.float64) * seen
+            cuts = range(0, len(v), BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array([a // BLOCK for a in cuts], pa.int32()), pa.array([TaskContext.get().partitionId()] * len(cuts), pa.int64()), pa.array([seen] * len(cuts), pa.int64()), pa.array([v[a : a + BLOCK].tobytes() for a in cuts], pa.binary())], names=["block", "part", "seen", "v"])
+
+    made = spill(docs.select(F.col(text_col).alias("t")).mapInArrow(run, "block int, part long, seen long, v binary"), "weights")
+    rows = sorted((r["block"], np.frombuffer(bytes(r["v"]), np.float64) / r["seen"]) for r in _summed(made).collect())
+    if rows:
+        net = net.loaded(np.concatenate([v for _, v in rows]).astype(np.float32))
     return net, cls, number, start
 
 
@@ -409,6 +486,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     Counts cover all training rows. The commonest words' counts go to every task (cfg.head words of max_bytes at most);
     the others are joined by word, a document's distinct words at a time. No training row: N and V are 0, and the
     network is untrained. Repeated rows are scored each; null ids are kept; an empty table gives an empty result.
+    A very long text is scored whole, in one lane whose state goes on; its words are held by one task.
     """
     cfg = cfg or Config()
     spark = docs.sparkSession
@@ -418,7 +496,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     counts = spill(token_counts(seen, "t"), "counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     head = _commonest(counts, cfg)
-    net, cls, number, start = fit(seen, "t", "id", head, sums["n"], cfg)
+    net, cls, number, start = fit(seen, "t", head, sums["n"], cfg)
     c = np.array([n for _, n in head] + [0], np.float64)
     is_rare = number == net.vocab
     n_rare, v_rare = sums["n"] - float(c[~is_rare].sum()), sums["v"] - int(((c > 0) & ~is_rare).sum())

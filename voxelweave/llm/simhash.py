@@ -198,8 +198,8 @@ def _bucket_links(most: int):
     return run
 
 
-#: Rows of a bucket that one task compares at a time.
-BLOCK = 1 << 14
+#: Rows of a bucket that one task compares at a time, and sets that one turn compares with their hub.
+BLOCK, MEMBERS = 1 << 14, 1 << 8
 
 
 def links(fps: DataFrame, most: int = 3, count: int = 2, radius: int = 1) -> DataFrame:
@@ -407,8 +407,8 @@ def _with_hub(share: tuple[int, int]):
 
 
 def _hub_links(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs (hub, node) whose sets (node, h) are alike. Members of a hub come in parts of BLOCK at most, each with its set."""
-    n = pairs.groupBy(F.col("hub").alias("h0")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    """The pairs (hub, node) whose sets (node, h) are alike. Members of a hub come in parts of about MEMBERS, each with its set."""
+    n = pairs.groupBy(F.col("hub").alias("h0")).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
     s = sets.select(F.col("node").alias("m"), "h")
     heads = n.select(F.col("h0").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("unit", F.xxhash64("node", "part")).withColumn("member", F.lit(0))
     members = pairs.join(n, F.col("hub") == F.col("h0")).select("node", F.xxhash64("hub", F.expr("pmod(xxhash64(node), parts)").cast("int")).alias("unit"), F.lit(1).alias("member"))
