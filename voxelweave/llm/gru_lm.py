@@ -18,6 +18,7 @@ from voxelweave.llm.common import byte_blocks, spill
 #: The end of a text, which no word equals.
 END = b""
 BLOCK = 2048
+LIMIT = 60.0
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,7 +50,7 @@ class Config:
     train_lanes: int = 256
     lanes: int = 512
     step: float = 0.01
-    group_words: int = 2_000_000
+    group_words: int = 4_000_000
 
 
 # ------------------------------------------------------------------------------------------------------- counts
@@ -158,7 +159,7 @@ class Runner:
                     h = np.where(fresh[i][:, None], kind.type(0), h)
                 g, c = gates[i if keep else 0], inner[i if keep else 0]
                 for k in range(3):
-                    np.take(self.x[k], prev[i], axis=0, out=g[k], mode="clip")
+                    self.x[k].take(prev[i], axis=0, out=g[k], mode="clip")
                 np.matmul(h, self.u, out=c)
                 rz, n = g[:2], g[2]
                 rz += c[:2]
@@ -186,15 +187,17 @@ class Runner:
         hs, want, cls = hs[order], want[order], cls[order]
         ends = np.searchsorted(cls, np.arange(len(cuts)))
         row = np.arange(len(want))
+        # logits are kept within LIMIT, where neither sums nor their logarithms overflow: no row needs its own maximum
         e = hs @ p["wc"]
         e += p["bc"]
-        e -= e.max(axis=1, keepdims=True)
+        np.clip(e, -LIMIT, LIMIT, out=e)
         lp = e[row, cls]
         np.exp(e, out=e)
-        s = e @ np.ones(e.shape[1], e.dtype)
+        one = np.ones(max(e.shape[1], int(np.diff(cuts).max(initial=0))), e.dtype)
+        s = e @ one[: e.shape[1]]
         lp -= np.log(s)
         if grad:
-            e /= s[:, None]
+            e *= np.reciprocal(s)[:, None]
             e[row, cls] -= 1
             g = {"wc": hs.T @ e, "bc": e.sum(axis=0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
             dh = e @ p["wc"].T
@@ -206,13 +209,13 @@ class Runner:
             hc, w, k = hs[lo:hi], want[lo:hi] - a, row[: hi - lo]
             ex = hc @ p["ww"][a:z].T
             ex += p["bw"][a:z]
-            ex -= ex.max(axis=1, keepdims=True)
+            np.clip(ex, -LIMIT, LIMIT, out=ex)
             part = ex[k, w]
             np.exp(ex, out=ex)
-            sx = ex @ np.ones(z - a, ex.dtype)
+            sx = ex @ one[: z - a]
             lp[lo:hi] += part - np.log(sx)
             if grad:
-                ex /= sx[:, None]
+                ex *= np.reciprocal(sx)[:, None]
                 ex[k, w] -= 1
                 g["ww"][a:z] = ex.T @ hc
                 g["bw"][a:z] = ex.sum(axis=0)
