@@ -37,23 +37,35 @@ def features(text: str, buckets: int, block: int = 1 << 20) -> np.ndarray:
     return (out / norm if norm else out).astype(np.float32)
 
 
-def code_matrix(classes: int, bits: int, seed: int = 7) -> np.ndarray:
-    """A codeword of `bits` signs for each class, the best separated of a number of random draws.
+def code_matrix(classes: int, bits: int | None = None, apart: int = 3, seed: int = 7) -> np.ndarray:
+    """A codeword of signs for each class, any two of them at least `apart` bits from each other where classes allow.
 
-    No two bits split the classes alike if there are enough splits, and none puts all on one side.
+    No two bits split the classes alike, and none puts all on one side. Up to five classes have every split as a bit,
+    2^(classes - 1) - 1 of them, at distance 2^(classes - 2); more have `bits` random ones (by default 5 for each
+    binary digit of their number), the best separated of a number of draws, and eight more until they are apart.
     """
-    if classes == 1:
-        return np.ones((1, bits), np.int8)
+    if classes <= 1:
+        return np.ones((classes, 1), np.int8)
+    if classes <= 5:
+        splits = np.arange(1, 1 << (classes - 1))
+        return np.where(splits[None, :] << 1 >> np.arange(classes)[:, None] & 1, -1, 1).astype(np.int8)
     rng = np.random.default_rng(seed)
-    best, gap = None, -1
-    for _ in range(200):
-        m = rng.choice(np.array([-1, 1], np.int8), size=(classes, bits))
-        for j in np.flatnonzero(np.abs(m.sum(axis=0)) == classes):
-            m[rng.integers(classes), j] *= -1
-        apart = ((bits - m.astype(int) @ m.T.astype(int)) // 2 + np.eye(classes, dtype=int) * bits).min()
-        if apart > gap:
-            best, gap = m, apart
-    return best
+    bits = min(bits or max(15, 5 * classes.bit_length()), 2 ** (classes - 1) - 1)
+    while True:
+        best, gap = None, -1
+        for _ in range(50):
+            m = np.zeros((classes, 0), np.int8)
+            while m.shape[1] < bits:
+                m = np.concatenate([m, rng.choice(np.array([-1, 1], np.int8), size=(classes, bits))], axis=1)
+                m = m[:, np.abs(m.sum(axis=0)) < classes]
+                m = np.unique(m * m[:1], axis=1)
+            m = m[:, rng.permutation(m.shape[1])[:bits]]
+            d = ((bits - m.astype(int) @ m.T.astype(int)) // 2 + np.eye(classes, dtype=int) * bits).min()
+            if d > gap:
+                best, gap = m, d
+        if gap >= apart or bits >= 2 ** (classes - 1) - 1:
+            return best.astype(np.int8)
+        bits = min(bits + 8, 2 ** (classes - 1) - 1)
 
 
 @dataclass
@@ -84,20 +96,20 @@ class Model:
         return self.languages[order[0]], float(min(1.0, share[order[0]])), bool(lead < self.min_margin)
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 1600, max_languages: int = 512, buckets: int = 4096, bits: int = 15, min_margin: float = 0.1, epochs: int = 300) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 1600, max_languages: int = 512, buckets: int = 4096, bits: int | None = None, min_margin: float = 0.1, epochs: int = 300) -> Model:
     """A model from the labelled rows of docs (text and lang not null; give training rows only).
 
     The classifiers are fitted on at most sample rows in all, an even share of each language's, chosen by the hash of
-    their id; whole texts are used. The sample and max_languages (languages beyond it are an error) bound what comes to
+    id and text; whole texts are used. Repeated rows are chosen together, the first ones at a tie. The sample and max_languages (languages beyond it are an error) bound what comes to
     the driver: sample vectors of `buckets` numbers. Ids and sources are no inputs. No labelled row: a model without
     languages, which predicts `und` for every text.
     """
-    rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")).alias("h"))
+    rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("fit")).alias("h"))
     langs = sorted(r["l"] for r in rows.select("l").distinct().limit(max_languages + 1).collect())
     if len(langs) > max_languages:
         raise ValueError(f"over {max_languages} languages")
     if not langs:
-        return Model([], np.zeros((0, bits), np.int8), np.zeros((buckets, bits), np.float32), np.zeros(bits, np.float32), buckets, min_margin)
+        return Model([], np.zeros((0, 1), np.int8), np.zeros((buckets, 1), np.float32), np.zeros(1, np.float32), buckets, min_margin)
     each = max(1, sample // len(langs))
     # The each smallest hashes of a language, as a bound from the sorted heads of its slices: no group is sorted in one task.
     counts = {r["l"]: r["n"] for r in rows.filter(F.rlike("t", F.lit(r"\p{L}"))).groupBy("l").agg(F.count("*").alias("n")).collect()}
@@ -141,7 +153,8 @@ def _logistic(x: np.ndarray, t: np.ndarray, per: np.ndarray, epochs: int) -> tup
 def identify(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
     """docs with the predicted language, its score and whether it is ambiguous (columns of these names are replaced).
 
-    Whole texts are read. Null texts and texts without letters are `und` with score 0. Empty table: empty result.
+    Whole texts are read, in blocks, however long. Null texts and texts without letters are `und` with score 0. Languages
+    that score alike: the first by name. Null ids are kept, repeated rows are judged each. Empty table: empty result.
     """
     rest = [c for c in docs.columns if c not in out]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages * bits + buckets * bits numbers
