@@ -245,30 +245,84 @@ def _prefixed(s: int, b: Bits) -> int:
     return ((2 + (s & 1)) << extra) + b.read(extra) + 1
 
 
-def _literals(b: Bits, t: Table, n: int) -> np.ndarray:
-    """n symbols of one prefix code, in arrays: the code's length at every bit of the stream, then the chain of them."""
-    lo = b.at >> 3
-    raw = np.frombuffer(b.data, np.uint8)[lo : lo + ((b.at & 7) + n * t.bits + 7) // 8]
-    d = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.uint32)
-    w = d[:-3] | d[1:-2] << np.uint32(8) | d[2:-1] << np.uint32(16)
-    mask, size = np.uint32((1 << t.bits) - 1), t.length.astype(np.uint8)
-    step = np.empty((len(w), 8), np.uint8)
+def _extra(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least value, extra bits) of the prefix symbols of lengths and distances."""
+    bits = np.maximum(s - 2, 0) >> 1
+    return np.where(s < 4, s + 1, ((2 + (s & 1)) << bits) + 1), bits
+
+
+def _near_distances(width: int) -> np.ndarray:
+    """The distance in scan order that each near distance code from 1 on stands for."""
+    return np.array([0, *[max(1, dx + dy * width) for dx, dy in NEAR]], np.int64)
+
+
+def _greys(b: Bits, g: Table, dist: Table, n: int, width: int) -> np.ndarray:
+    """n pixels of one varying channel that end the stream, in arrays: what a token that starts at any bit of the stream
+    would take is found for all bits at once, then followed from token to token, and back-references are copied."""
+    lo, skip = b.at >> 3, b.at & 7
+    raw = np.frombuffer(b.data, np.uint8)[lo:]
+    d = np.concatenate([raw, np.zeros(12, np.uint8)]).astype(np.uint32)
+    w = d[:-3] | d[1:-2] << np.uint32(8) | d[2:-1] << np.uint32(16) | d[3:] << np.uint32(24)
+    mask, size, end = np.uint32((1 << g.bits) - 1), g.length.astype(np.uint8), 8 * len(raw)
+    at_bit = lambda p: w[p >> 3] >> (p & 7).astype(np.uint32)
+    step, refs = np.empty((len(raw), 8), np.uint8), None
+    many = g.symbol.max() >= 256
+    found = np.empty((len(raw), 8), bool) if many else None
     for s in range(8):
-        step[:, s] = size[w >> np.uint32(s) & mask]
+        k = w[: len(raw)] >> np.uint32(s) & mask
+        step[:, s] = size[k]
+        if many:
+            found[:, s] = (g.symbol >= 256)[k]
+    if many:
+        p = np.flatnonzero(found)
+        k = at_bit(p) & mask
+        long = g.length[k] + _extra(g.symbol[k] - 256)[1]
+        j = at_bit(p + long) & np.uint32((1 << dist.bits) - 1)
+        step.reshape(-1)[p] = long + dist.length[j] + _extra(dist.symbol[j])[1]
     jump = step.tobytes()
-    p, at = b.at & 7, []
+    p, at, left = skip, [], n
     add = at.append
-    try:
-        for _ in range(n):
-            add(p)
-            p += jump[p]
-    except IndexError:
-        raise ValueError("the stream ends early") from None
-    b.at = (lo << 3) + p
+    # every token is a pixel at least; those beyond the image are cut off below
+    while p < end and left:
+        add(p)
+        p += jump[p]
+        left -= 1
+    pos = np.array(at, np.int64)
+    k = at_bit(pos) & mask
+    sym = g.symbol[k]
+    refs = np.flatnonzero(sym >= 256)
+    counts = np.ones(len(sym), np.int64)
+    if len(refs):
+        base, bits = _extra(sym[refs] - 256)
+        q = pos[refs] + g.length[k[refs]]
+        counts[refs] = base + (at_bit(q) & (1 << bits).astype(np.uint32) - np.uint32(1))
+    upto = np.cumsum(counts)
+    last = int(np.searchsorted(upto, n))
+    if last >= len(upto) or upto[last] != n:
+        raise ValueError("the stream ends early, or a back-reference outside the image")
+    b.at = (lo << 3) + at[last] + jump[at[last]]
     if b.at > 8 * len(b.data):
         raise ValueError("the stream ends early")
-    pos = np.array(at, np.int64)
-    return t.symbol[w[pos >> 3] >> (pos & 7).astype(np.uint32) & mask]
+    refs = refs[refs <= last]
+    if not len(refs):
+        return sym[: last + 1]
+    q = pos[refs] + g.length[k[refs]] + _extra(sym[refs] - 256)[1]
+    j = at_bit(q) & np.uint32((1 << dist.bits) - 1)
+    base, bits = _extra(dist.symbol[j])
+    far = base + (at_bit(q + dist.length[j]) & (1 << bits).astype(np.uint32) - np.uint32(1))
+    near = _near_distances(width)
+    far = np.where(far < len(near), near[np.minimum(far, len(near) - 1)], far - len(NEAR))
+    if (far > upto[refs] - counts[refs]).any():
+        raise ValueError("a back-reference outside the image")
+    plain = sym[: last + 1][sym[: last + 1] < 256].astype(np.uint8).tobytes()
+    out, done = bytearray(), 0
+    for i, (r, size, back) in enumerate(zip(refs.tolist(), counts[refs].tolist(), far.tolist(), strict=True)):
+        out += plain[done : r - i]  # before token r there are i references, the rest are plain
+        done = r - i
+        start = len(out) - back
+        out += out[start : start + size] if back >= size else (out[start:] * (size // back + 1))[:size]
+    out += plain[done:]
+    return np.frombuffer(bytes(out), np.uint8).astype(np.int64)
 
 
 def _pixels(b: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -285,9 +339,9 @@ def _pixels(b: Bits, width: int, height: int, main: bool) -> np.ndarray:
     groups = [[Table(_get_code(b, s)) for s in sizes] for _ in range(int(group.max()) + 1 if group is not None else 1)]
     n = width * height
     g, r, bl, a, _ = groups[0]
-    if group is None and not cache_bits and not (r.bits or bl.bits or a.bits) and g.symbol.max() < 256:
+    if main and group is None and not cache_bits and not (r.bits or bl.bits or a.bits) and (g.bits or g.symbol[0] < 256):
         base = int(a.symbol[0]) << 24 | int(r.symbol[0]) << 16 | int(bl.symbol[0])
-        green = _literals(b, g, n) if g.bits else np.full(n, g.symbol[0])
+        green = _greys(b, g, groups[0][4], n, width) if g.bits else np.full(n, g.symbol[0])
         return green << 8 | base
     out = [0] * n
     cache, shift, stored, i = [0] * (1 << cache_bits), 32 - cache_bits, 0, 0
@@ -369,6 +423,13 @@ def _prediction(px: np.ndarray, flat: np.ndarray, i: int, y: int, x: int, modes:
 def _unpredict(c: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
     """Adds the predictions to residuals [H, W, 4], in scan order. The last column's top right is the next in memory."""
     px = c.copy()
+    if (modes == 1).all() or (modes == 2).all():
+        # one running sum along the first row or column, then one across: sums of bytes, taken modulo 256
+        px[0, 0] += _split(np.int64(BLACK))
+        first, across = (0, 1) if modes.flat[0] == 1 else (1, 0)
+        edge = (slice(None), 0) if first == 0 else (0, slice(None))
+        px[edge] = np.cumsum(px[edge], axis=0)
+        return np.cumsum(px, axis=across) & 255
     flat, width = px.reshape(-1, 4), px.shape[1]
     for i in range(len(flat)):
         flat[i] = (flat[i] + _prediction(px, flat, i, i // width, i % width, modes, bits)) & 255
@@ -376,6 +437,13 @@ def _unpredict(c: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _residuals(c: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
+    if (modes == 1).all() or (modes == 2).all():
+        across = 1 if modes.flat[0] == 1 else 0
+        out = np.diff(c, axis=across, prepend=0)
+        edge = (slice(1, None), 0) if across == 1 else (0, slice(1, None))
+        out[edge] = np.diff(c[:, 0] if across == 1 else c[0], axis=0)
+        out[0, 0] = c[0, 0] - _split(np.int64(BLACK))
+        return out & 255
     flat, width = c.reshape(-1, 4), c.shape[1]
     out = np.array([(flat[i] - _prediction(c, flat, i, i // width, i % width, modes, bits)) & 255 for i in range(len(flat))])
     return out.reshape(c.shape)
@@ -455,24 +523,93 @@ def decode_argb(data: bytes) -> np.ndarray:
 # ------------------------------------------------------------------------------------------------------- encoder
 
 
+#: The farthest distance that the format's 40 distance symbols name, less the near ones; the least length looked for.
+FARTHEST, LEAST = (1 << 20) - 120, 8
+
+
+def references(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, distance) of back-references in bytes g, from the first to the last, none overlapping.
+
+    Every place's latest earlier place with the same 8 bytes is found by one sort; places in a row at one distance are
+    one long reference. From the start on, the first that reaches 8 bytes beyond the last one is taken.
+    """
+    none = np.zeros(0, np.int64)
+    if len(g) <= LEAST:
+        return none, none, none
+    w = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(g, LEAST)).view(np.uint64).ravel()
+    i = np.arange(len(w), dtype=np.uint64)
+    # 40 bits of a hash and the place, at most 16000 rows of 576: equal windows in order of place
+    placed = np.sort((w * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << 64) - (1 << 24)) | i)
+    at = (placed & np.uint64((1 << 24) - 1)).astype(np.int64)
+    same = np.flatnonzero(placed[1:] >> np.uint64(24) == placed[:-1] >> np.uint64(24))
+    to, back = at[same + 1], at[same]
+    ok = (w[to] == w[back]) & (to - back <= FARTHEST)
+    far = np.zeros(len(w) + 1, np.int64)
+    far[to[ok]] = (to - back)[ok]
+    cuts = np.flatnonzero(np.diff(far, prepend=0))
+    runs = cuts[:-1][far[cuts[:-1]] > 0] if len(cuts) else none
+    ends = cuts[1:][far[cuts[:-1]] > 0] + LEAST - 1 if len(cuts) else none
+    out, p = [], 0
+    for a, z, d in zip(runs.tolist(), ends.tolist(), far[runs].tolist(), strict=True):
+        a = max(a, p)
+        if z - a >= LEAST:
+            p = z
+            while z - a > 4096:
+                out.append((a, 4096, d))
+                a += 4096
+            if z > a:
+                out.append((a, z - a, d))
+    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
+
+
+def _prefix_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra value, extra bits) of lengths or distance codes from 1 on."""
+    top = np.floor(np.log2(np.maximum(v - 1, 1))).astype(np.int64)
+    bits = np.where(v <= 4, 0, top - 1)
+    return np.where(v <= 4, v - 1, 2 * top + ((v - 1) >> np.maximum(top - 1, 0) & 1)), (v - 1) & (1 << bits) - 1, bits
+
+
+def _put_greys(w: Writer, flat: np.ndarray, width: int, main: bool, refs: bool) -> bytes:
+    """Appends an image of one varying channel, in arrays; returns all bytes, and w is then spent."""
+    w.put(0, 1)
+    if main:
+        w.put(0, 1)
+    green = flat >> 8 & 255
+    start, size, far = references(green.astype(np.uint8)) if refs else (np.zeros(0, np.int64),) * 3
+    near = _near_distances(width)
+    order = np.argsort(near[1:], kind="stable") + 1
+    hit = np.minimum(np.searchsorted(near[order], far), len(NEAR) - 1)
+    code = np.where(near[order][hit] == far, order[hit], far + len(NEAR))
+    (ls, le, lb), (ds, de, db) = _prefix_of(size), _prefix_of(code)
+    inside = np.zeros(len(green) + 1, np.int64)
+    np.add.at(inside, start, 1)
+    np.add.at(inside, start + size, -1)
+    plain = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
+    lengths = code_lengths(np.bincount(green[plain], minlength=ALPHABETS[0]) + np.bincount(ls + 256, minlength=ALPHABETS[0]))
+    apart = code_lengths(np.bincount(ds, minlength=ALPHABETS[4]))
+    _put_code(w, lengths)
+    for v in (int(flat[0]) >> 16 & 255, int(flat[0]) & 255, int(flat[0]) >> 24 & 255):
+        one = np.zeros(256, np.int64)
+        one[v] = 1
+        _put_code(w, one)
+    _put_code(w, apart)
+    # a code alone in its alphabet takes no bits
+    lengths, apart = (np.where(np.count_nonzero(x) > 1, x, 0) for x in (lengths, apart))
+    codes, dcodes = codes_of(lengths), codes_of(apart)
+    # a plain pixel is one item, a reference four, in order of place
+    place = np.concatenate([4 * plain, *[4 * start + k for k in range(4)]])
+    value = np.concatenate([codes[green[plain]], codes[ls + 256], le, dcodes[ds], de])
+    bits = np.concatenate([lengths[green[plain]], lengths[ls + 256], lb, apart[ds], db])
+    order = np.argsort(place, kind="stable") if len(start) else slice(None)
+    return pack(value[order], bits[order], w)
+
+
 def _put_pixels(w: Writer, x: np.ndarray, width: int, main: bool, cache_bits: int = 0, refs: bool = False, tile: int = 0) -> bytes | None:
     """Appends an entropy-coded image. Plain images of one varying channel are packed in arrays: their bytes are
     returned, and w is then spent. refs: back-references; tile: two groups of codes dealt by blocks."""
     flat = x.ravel().astype(np.int64)
-    if not (cache_bits or refs or tile) and not ((flat & 0xFFFF00FF) != (flat[0] & 0xFFFF00FF)).any():
-        w.put(0, 1)
-        if main:
-            w.put(0, 1)
-        green = flat >> 8 & 255
-        lengths = code_lengths(np.bincount(green, minlength=ALPHABETS[0]))
-        _put_code(w, lengths)
-        for v in (int(flat[0]) >> 16 & 255, int(flat[0]) & 255, int(flat[0]) >> 24 & 255, 0):
-            one = np.zeros(256, np.int64)
-            one[v] = 1
-            _put_code(w, one)
-        if np.count_nonzero(lengths) == 1:
-            return pack(np.zeros(0, np.int64), np.zeros(0, np.int64), w)
-        return pack(codes_of(lengths)[green], lengths[green], w)
+    if main and not (cache_bits or tile) and not ((flat & 0xFFFF00FF) != (flat[0] & 0xFFFF00FF)).any():
+        return _put_greys(w, flat, width, main, refs)
     px, n = flat.tolist(), len(flat)
     tokens: list[tuple] = []  # (place, green symbol, red, blue, alpha) or (place, symbol, extra, bits, distance symbol, extra, bits)
     cache, shift, i = {}, 32 - cache_bits, 0
@@ -624,13 +761,37 @@ SIDE = 576
 MOST_ROWS = 16000
 
 
+def _bits(counts: np.ndarray) -> float:
+    """What symbols of these counts take by their entropy."""
+    c = counts[counts > 0]
+    return float((c * np.log2(c.sum() / c)).sum())
+
+
+def _form(rows: np.ndarray) -> dict:
+    """How an image of grey levels is stored: bundled by a palette where it has 16 levels or fewer, as differences to the
+    left or upper pixel where these take fewer bits, else as it is; back-references in any case.
+
+    One channel leaves nothing to the colour cache (a cached pixel's symbol says no less than its green), to subtracted
+    green or to the cross-colour transform, so no grey image is smaller by them.
+    """
+    counts = np.bincount(rows.ravel(), minlength=256)
+    if np.count_nonzero(counts) <= 16:
+        return {"transforms": [PALETTE]}
+    plain = _bits(counts)
+    left, up = (_bits(np.bincount(np.diff(rows, axis=k, prepend=np.uint8(0)).ravel(), minlength=256)) for k in (1, 0))
+    if min(left, up) < 0.9 * plain:
+        return {"transforms": [PREDICTOR], "modes": np.array([1 if left <= up else 2]), "block": 9}
+    return {}
+
+
 def store(payload: bytes) -> bytes:
     """Bytes, a positive multiple of 576, as grey-level samples: lossless WebP files of 576 columns, end to end.
 
     A sample is the green channel of an opaque pixel. Each file holds at most 16000 rows, so memory is bounded.
     """
     rows = np.frombuffer(payload, np.uint8).reshape(-1, SIDE)
-    return b"".join(encode_argb(rows[a : a + MOST_ROWS].astype(np.int64) << 8 | BLACK) for a in range(0, len(rows), MOST_ROWS))
+    parts = (rows[a : a + MOST_ROWS] for a in range(0, len(rows), MOST_ROWS))
+    return b"".join(encode_argb(x.astype(np.int64) << 8 | BLACK, refs=True, **_form(x)) for x in parts)
 
 
 def load(media: bytes) -> np.ndarray:
