@@ -48,8 +48,29 @@ def _attr(tag: Column, name: str) -> Column:
     return F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*([\"']?)(.*?)\1(?=\s|/?>|\z)", 2)
 
 
+def normal(url: Column) -> Column:
+    """One spelling for equivalent URLs: scheme and host lower-cased, no default port, no fragment, no dot segments in the
+    path, / for an empty path. Text without :// only loses its fragment; a null stays null."""
+    u = F.regexp_replace(url, r"(?s)#.*\z", "")
+    scheme = ascii_lower(F.regexp_extract(u, r"\A([^:/?#]*)://", 1))
+    host = ascii_lower(F.regexp_extract(u, r"\A[^:/?#]*://([^/?#]*)", 1))
+    host = F.when(scheme == "http", F.regexp_replace(host, r":(80)?\z", "")).when(scheme == "https", F.regexp_replace(host, r":(443)?\z", "")).otherwise(host)
+    path = F.regexp_extract(u, r"(?s)\A[^:/?#]*://[^/?#]*([^?]*)", 1)
+    query = F.regexp_extract(u, r"(?s)\A[^?]*(\?.*)\z", 1)
+    parts = F.split(path, "/")
+    up = lambda kept: F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")), lambda k, p: F.when(p == ".", k).when(p == "..", up(k)).otherwise(F.concat(k, F.array(p))))
+    plain = F.concat_ws("/", F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept))
+    # most paths have no dot segment
+    path = F.when(path == "", "/").when(path.contains("/."), F.when(plain == "", "/").otherwise(plain)).otherwise(path)
+    return F.when(u.contains("://"), F.concat(scheme, F.lit("://"), host, path, query)).otherwise(u)
+
+
 def resolve(base: Column, link: Column) -> Column:
-    """An absolute URL for link, without its fragment: absolute, //host, /path, ?query or relative to base's folder."""
+    """An absolute URL for link, without its fragment: absolute, //host, /path, ?query or relative to base's folder.
+
+    Null where the link is empty or only a fragment, or where either is null.
+    """
     link = F.regexp_replace(F.trim(link), r"(?s)#.*\z", "")
     scheme = F.regexp_extract(base, r"\A([^:/?#]*:)//", 1)
     origin = F.regexp_extract(base, r"\A[^:/?#]*://[^/?#]*", 0)
@@ -69,20 +90,22 @@ def resolve(base: Column, link: Column) -> Column:
 def aliases(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst) edges: a page's canonical links, og:url and refresh redirects, as absolute URLs.
 
-    The tags are looked for in the whole page; comments and scripts are left out.
+    The tags are looked for in the whole page, however long or broken; comments and scripts are left out. Links are
+    relative to the page's first <base href>, if it has one.
     """
     html = F.regexp_replace(F.col(html_col), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     hint = F.col(html_col).rlike(r"(?i)canonical|refresh|og:url")
-    x = pages.filter(hint & F.col(url_col).isNotNull()).select(F.col(url_col).alias("src"), F.explode(tags).alias("tag"))
+    x = pages.filter(hint & F.col(url_col).isNotNull()).select(F.col(url_col).alias("src"), F.regexp_extract(html, r"(?is)<base\b[^>]*>", 0).alias("base"), F.explode(tags).alias("tag"))
     canonical = _attr(F.col("tag"), "rel").rlike(r"(?i)(\A|\s)canonical(\s|\z)")
     refresh = F.lower(_attr(F.col("tag"), "http-equiv")) == "refresh"
     og = F.lower(_attr(F.col("tag"), "property")) == "og:url"
     goes = F.regexp_extract(_attr(F.col("tag"), "content"), r"(?is);\s*url\s*=\s*[\"']?([^\"']*)", 1)
     link = F.when(canonical, _attr(F.col("tag"), "href")).when(refresh, goes).when(og, _attr(F.col("tag"), "content"))
     link = F.regexp_replace(link, "&amp;", "&")
-    x = spill(x.select("src", link.alias("link")).filter("link is not null and link != ''"), "links")
-    return x.select("src", resolve(F.col("src"), F.col("link")).alias("dst")).filter("dst is not null")
+    x = spill(x.select("src", _attr(F.col("base"), "href").alias("base"), link.alias("link")).filter("link is not null and link != ''"), "links")
+    base = F.coalesce(resolve(F.col("src"), F.col("base")), F.col("src"))
+    return x.select("src", resolve(base, F.col("link")).alias("dst")).filter("dst is not null")
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -93,8 +116,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = Non
     any URL of the class, a page of it or only a link's target, the page is blocked; an explicit allow rule always goes
     first, for its own URL alone, and doesn't undo what the class inherits. All others are allowed.
 
-    Fragments don't tell URLs apart. Null urls have no aliases and are allowed; repeated rows are judged alike; an
-    empty table gives an empty result. Classes are found by distributed star rounds over linked URLs only.
+    Equivalent spellings of a URL (see normal) are one node. Null urls have no aliases and are allowed; a null html has
+    no links; repeated rows are judged alike; an empty table gives an empty result. Classes are found by distributed star rounds over linked URLs only.
     """
     at = "__node"
     rest = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
@@ -102,13 +125,12 @@ def judge(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = Non
     own = pages.select(*rest, host.alias("host"), path.alias("path"))
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
     own = own.withColumn("rule", name).withColumn("__own", verdict)
-    no_fragment = lambda c: F.regexp_replace(c, r"(?s)#.*\z", "")
     e = aliases(pages, url_col, html_col) if edges is None else edges
-    e = spill(e.select(no_fragment(F.col("src")).alias("src"), no_fragment(F.col("dst")).alias("dst")).filter("src != dst").distinct(), "aliases")
+    e = spill(e.select(normal(F.col("src")).alias("src"), normal(F.col("dst")).alias("dst")).filter("src != dst").distinct(), "aliases")
     cc = components(e)
     nh, np = host_path(F.col("node"))
     blocked = cc.withColumn("__v", rule_for(nh, np, rules)[1]).groupBy("component").agg(F.max((F.col("__v") == "block").cast("int")).alias("hit")).filter("hit = 1").select(F.col("component").alias("c"))
     hit = cc.join(blocked, F.col("component") == F.col("c"), "left_semi").select(F.col("node").alias(at)).distinct()
     # Only pages that no rule decides need the join.
-    joined = own.withColumn("__key", F.when(F.col("__own").isNull(), no_fragment(F.col(url_col)))).join(hit, F.col("__key") == F.col(at), "left")
+    joined = own.withColumn("__key", F.when(F.col("__own").isNull(), normal(F.col(url_col)))).join(hit, F.col("__key") == F.col(at), "left")
     return joined.select(*rest, "host", "path", "rule", F.coalesce("__own", F.when(F.col(at).isNotNull(), F.lit("block")), F.lit("allow")).alias("verdict"))
