@@ -233,9 +233,41 @@ def test_language_id_held_out(docs, rows):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
-def test_codewords_are_apart():
-    m = langid.code_matrix(4, 15)
-    assert min((m[a] != m[b]).sum() for a, b in itertools.combinations(range(4), 2)) >= 7
+@pytest.mark.parametrize("classes", [2, 3, 4, 5, 6, 30, 200, 512])
+def test_codewords_are_apart(classes):
+    m = langid.code_matrix(classes)
+    apart = min((m[a] != m[b]).sum() for a, b in itertools.combinations(range(classes), 2))
+    assert apart >= (3 if classes > 3 else 2 ** (classes - 2))
+    # no two bits are one split, and none is no split
+    assert len({tuple(c * c[0]) for c in m.T}) == m.shape[1] and (abs(m.sum(axis=0)) < classes).all()
+
+
+def test_language_decoding_by_hand():
+    model = langid.Model(["a", "b", "c"], langid.code_matrix(3), np.zeros((64, 3), np.float32), np.array([2.0, -1.0, 0.5], np.float32), 64, 0.1)
+    loss = [sum(math.log1p(math.exp(-s * v)) for s, v in zip(code, (2.0, -1.0, 0.5))) for code in model.codes.tolist()]
+    share = [math.exp(-x) for x in loss]
+    best = max(range(3), key=lambda i: share[i])
+    lang, score, ambiguous = model.predict("text")
+    assert lang == "abc"[best] and math.isclose(score, share[best] / sum(share), rel_tol=1e-6)
+    two = sorted(share)[-2:]
+    assert ambiguous == ((two[1] - two[0]) / sum(share) < 0.1)
+    assert model.predict("12 ½") == model.predict(None) == ("und", 0.0, False)
+
+
+def test_language_of_mixed_texts_and_null_ids(spark, docs):
+    """Half a text in each of two languages is flagged; languages that only rows with null ids have are learned."""
+    model = langid.fit(docs)
+    by = defaultdict(list)
+    for r in docs.filter("lang is not null and text is not null").collect():
+        by[r.lang].append(" ".join(r.text.split()[:60]))
+    one = [model.predict(t)[2] for v in by.values() for t in v if len(t) > 200]
+    langs = sorted(by)
+    pairs = [(a, b) for a, b in itertools.combinations(langs, 2)]
+    mixed = [model.predict(f"{x} {y}") for a, b in pairs for x, y in zip(by[a][:20], by[b][:20])]
+    assert np.mean([m[2] for m in mixed]) > np.mean(one) and np.mean([m[1] for m in mixed]) < 0.9
+    rows = [(None, f"das haus und der garten {i}", "de") for i in range(3000)] + [(i, f"the house and the garden {i}", "en") for i in range(30)]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=200)
+    assert m.predict("der garten und das haus")[0] == "de" and m.predict("the garden and the house")[0] == "en"
 
 
 def test_features_do_not_depend_on_blocks():
@@ -446,6 +478,23 @@ def test_top_k_equals_brute_force(spark):
     assert got == want
 
 
+def test_top_k_prunes(spark):
+    """The share of pairs that the bounds end before exact products, on the registered table."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    x = np.floor(1024 * np.array([r.embedding for r in e], float))
+    ids = np.array([r.vec_id for r in e])
+    q, left = ids % 100 == 0, []
+    r, c, s = topk.block_top(x[q], ids[q], x, ids, 10, left=left)
+    marks = np.array([s[r == i].min() for i in range(q.sum())], float)
+    topk.block_top(x[q], ids[q], x, ids, 10, marks, left)
+    assert left[0][-1] < 0.8 * left[0][0] and left[1][-1] < 0.6 * left[1][0]
+    # with structure, as real embeddings have, the coarse levels end most pairs
+    rng = np.random.default_rng(1)
+    y = np.floor(1024 * (np.repeat(rng.normal(size=(40, 8)), 8, axis=1)[rng.integers(0, 40, 2000)] + 0.1 * rng.normal(size=(2000, 64))))
+    topk.block_top(y[:50], np.arange(50), y, np.arange(2000), 10, left=left)
+    assert left[2][2] < 0.2 * left[2][0]
+
+
 def test_top_k_ties_nulls_and_short_tables(spark):
     v = [(0, [1.0, 2.0]), (3, [1.0, 2.0]), (2, [1.0, 2.0]), (1, [0.5, 0.25]), (4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 0.0]), (8, []), (9, [1.0]), (100, [3e8, -2e9])]
     df = spark.createDataFrame([(i, x, 1) for i, x in v], "vec_id long, embedding array<double>, score int")
@@ -491,9 +540,24 @@ def test_url_aliases_carry_blocks(spark):
         (7, "http://f.org/a/b", page('<meta property="og:url" content="../c"><link rel=stylesheet href="http://b.net/es/1">')),
         (8, None, page('<link rel="canonical" href="http://b.net/es/1">')),
     ]
+    # verdicts that depend on the links' meeting: dot segments, a base, case, ports, empty paths, long and broken pages
+    x += [
+        (9, "HTTP://F.org:80/c#x", page('<link rel=canonical href="http://b.net/es/../es/./1">')),
+        (10, "https://g.org", page('<base href="http://h.org/deep/er/"><link rel=canonical href="../b">')),
+        (11, "http://h.org/deep/b", page('<meta http-equiv=refresh content="3;url=//B.NET:80/es/1">')),
+        (12, "https://G.org:443/", None),
+        (13, "http://long.org/", "<p>" * 200000 + '<link rel=canonical href="http://b.net/es/1">' + "<!-- <meta"),
+        (14, "http://broken.org/", "<link rel=canonical href='http://b.net/es/1"),
+    ]
     df = spark.createDataFrame(x, "page_id long, url string, html string")
     got = {r.page_id: r.verdict for r in urls.judge(df, RULES).collect()}
-    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "allow", 8: "allow"}
+    assert got == {**{i: "block" for i in (1, 2, 6, 7, 9, 10, 11, 12, 13)}, **{i: "allow" for i in (3, 4, 5, 8, 14)}}
+
+
+def test_urls_normal(spark):
+    x = {"HTTP://A.Org:80/x/../y/./z?Q=/../#f": "http://a.org/y/z?Q=/../", "https://a.org": "https://a.org/", "http://a.org/../..": "http://a.org/", "http://a.org/b/..": "http://a.org/", "http://a.org/b/.": "http://a.org/b/", "http://a.org:8080/.b/c..d": "http://a.org:8080/.b/c..d", "no scheme#x": "no scheme", "http://a.org?q": "http://a.org/?q", "": ""}
+    got = spark.createDataFrame([(k,) for k in x] + [(None,)], "u string").select("u", urls.normal(urls.F.col("u")).alias("n")).collect()
+    assert {r.u: r.n for r in got} == {**x, None: None}
 
 
 # ---------------------------------------------------------------------------------------------------------- operator 8
@@ -527,6 +591,63 @@ def test_webp_one_pixel_by_hand():
     assert webp.decode_argb(data).tolist() == [[0xFFC80507]]
 
 
+def test_webp_references_by_plain_decoding():
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in rng.integers(2, 12, 60)]
+    text = b" ".join(words[i] for i in rng.integers(0, 60, 3000))
+    for payload in (text, b"\xff" * 576, text[:300], b"abc" * 40000, bytes(rng.integers(0, 256, 5000, dtype=np.uint8)), b"A" + b"\xff" * 575):
+        payload += b"\xff" * (-len(payload) % 576)
+        g = np.frombuffer(payload, np.uint8)
+        start, size, far = webp.references(g)
+        assert all((g[a : a + n] == g[a - d : a + n - d]).all() for a, n, d in zip(start, size, far))
+        x = g.reshape(-1, 576).astype(np.int64) << 8 | webp.BLACK
+        kept = webp.encode_argb(x, refs=True)
+        assert (webp.decode_argb(kept) == x).all()
+        # the same stream pixel by pixel, token by token: after sides, alpha, version and no transform
+        b = webp.Bits(kept[21:])
+        b.read(33)
+        assert (_slow_pixels(b, 576, len(x)) == x.ravel()).all()
+    assert len(webp.references(np.frombuffer(text, np.uint8))[0]) > 100
+
+
+def _slow_pixels(b, width, height):
+    """Plain decoding of one group of codes without a cache, by the format's description."""
+    assert (b.read(1), b.read(1)) == (0, 0)
+    codes = [webp.Table(webp._get_code(b, n)) for n in webp.ALPHABETS]
+    out = []
+    while len(out) < width * height:
+        s = b.symbol(codes[0])
+        if s < 256:
+            red, blue, alpha = (b.symbol(c) for c in codes[1:4])
+            out.append(alpha << 24 | red << 16 | s << 8 | blue)
+            continue
+        size = webp._prefixed(s - 256, b)
+        far = webp._prefixed(b.symbol(codes[4]), b)
+        if far <= 120:
+            dx, dy = webp.NEAR[far - 1]
+            far = max(1, dx + dy * width)
+        else:
+            far -= 120
+        for _ in range(size):
+            out.append(out[-far])
+    return np.array(out)
+
+
+def test_store_takes_the_smaller_form():
+    steps = np.add.outer(np.arange(60) * 3, np.arange(576) * 2).astype(np.uint8).tobytes()
+    forms = {"few": b"ab" * 576, "smooth": steps, "text": ("some plain text, line %d\n" * 200 % tuple(range(200))).encode()}
+    for name, p in forms.items():
+        p += b"\xff" * (-len(p) % 576)
+        form = webp._form(np.frombuffer(p, np.uint8).reshape(-1, 576))
+        assert form.get("transforms") == {"few": [webp.PALETTE], "smooth": [webp.PREDICTOR], "text": None}[name]
+        kept = webp.store(p)
+        assert webp.load(kept).tobytes() == p and len(kept) < len(p) / 2
+    long = b"".join(b"row %07d %s\n" % (i, b"x" * (i % 50)) for i in range(260000))  # two files
+    long += b"\xff" * (-len(long) % 576)
+    kept = webp.store(long)
+    assert len(long) > webp.MOST_ROWS * 576 and kept.count(b"WEBPVP8L") >= 2 and webp.load(kept).tobytes() == long
+
+
 def test_webp_rejects_broken_files():
     data = webp.encode_argb(np.arange(400).reshape(20, 20) << 8 | 0xFF000000)
     for bad in (b"", data[:30], b"GIF8" + data[4:], data[:-8]):
@@ -568,6 +689,16 @@ def test_mixing_meets_targets(docs, rows):
         assert t <= 2 * n + 1e-9 and abs(per[s] - t) <= most[s] / 2 + 1e-6
     again = {(r.doc_id, r.taken) for r in mixing.mix(docs.repartition(7), mixing.word_count(docs["text"])).collect()}
     assert again == {(r.doc_id, r.taken) for r in got}
+    # longer texts come more often: inclusion grows with the digits of the size
+    share = defaultdict(list)
+    for r in got:
+        rate = r.target / r.source_size
+        if r.size and 0.05 < rate % 1 < 0.95:
+            share[r.source].append((r.size.bit_length(), r.copies - math.floor(rate)))
+    for v in share.values():
+        if len(v) > 60:
+            mid = sorted(b for b, _ in v)[len(v) // 2]
+            assert np.mean([m for b, m in v if b >= mid]) > np.mean([m for b, m in v if b < mid])
     # weights 3, 1, 2 in turn, null last; uncapped targets stand as the weights
     level = {s: t / [3, 1, 2][i % 3] for i, (s, (t, n)) in enumerate(sorted(want.items())) if t < 2 * n - 1e-6}
     assert len(level) == 0 or max(level.values()) - min(level.values()) < 1e-6 * max(level.values())

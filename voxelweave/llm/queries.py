@@ -70,6 +70,17 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 with redirects given as edges: of seven pages that follow each other, all are aliases of the first."""
+    from voxelweave.llm.urls import Rule, judge
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    first = pages.select((F.col("page_id") - F.col("page_id") % 7).alias("first"), F.col("url").alias("src"))
+    edges = first.join(pages.select(F.col("page_id").alias("first"), F.col("url").alias("dst")), "first").select("src", "dst")
+    out = judge(pages, [Rule(*r) for r in (*RULES, ("block", "spam-farm.example.org", "/"))], edges)
+    return out.select("page_id", "rule", "verdict")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxelweave.llm.mixing import mix, word_count
 
@@ -86,7 +97,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_sentencepiece, op3_language_id, op4_line_dedup, op5_gru_lm, op6_top_k, op7_url_filters, op8_webp, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_sentencepiece, op3_language_id, op4_line_dedup, op5_gru_lm, op6_top_k, op7_url_filters, op8_webp, op9_mixing, op10_sharding, url_aliases)}
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -116,6 +127,19 @@ r(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/
 m AS (SELECT h.page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
       FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY h.page_id)
 SELECT h.page_id, h.host, h.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM h LEFT JOIN m ON h.page_id = m.page_id""",
+    "url_aliases": r"""
+WITH RECURSIVE p AS (SELECT page_id, url, regexp_extract(url, '^[^:/?#]*') AS scheme, regexp_extract(url, '^[^:/?#]*://([^/?#]*)', 1) AS h, regexp_extract(url, '^[^:/?#]*://[^/?#]*([^?#]*)', 1) AS path,
+                            regexp_extract(regexp_replace(url, '#.*$', ''), '^[^?]*([?].*)$', 1) AS query FROM pages),
+n AS (SELECT page_id, lower(h) AS host, path, lower(scheme) || '://' || lower(h) || CASE path WHEN '' THEN '/' ELSE path END || query AS url FROM p),
+r(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/'), ('block', 'spam-farm.example.org', '/')),
+m AS (SELECT n.page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
+      FROM n JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY n.page_id),
+o AS (SELECT n.*, m.rule, m.verdict FROM n LEFT JOIN m ON n.page_id = m.page_id),
+e AS (SELECT a.url AS src, b.url AS dst FROM n a JOIN n b ON b.page_id = a.page_id - a.page_id % 7 WHERE a.url <> b.url),
+both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+reach AS (SELECT src, dst FROM both_ways UNION SELECT reach.src, b.dst FROM reach JOIN both_ways b ON reach.dst = b.src),
+hit AS (SELECT DISTINCT reach.src FROM reach JOIN o ON o.url = reach.dst WHERE o.verdict = 'block')
+SELECT page_id, rule, coalesce(verdict, CASE WHEN hit.src IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM o LEFT JOIN hit ON o.url = hit.src""",
     "op9_mixing": f"""
 WITH x AS (SELECT doc_id, source, coalesce(len({_WORDS}), 0)::BIGINT AS size,
                   (('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
@@ -126,10 +150,25 @@ lv AS (SELECT a.stop, ((SELECT 1.5::DOUBLE * sum(source_size)::DOUBLE FROM s) -
 level AS (SELECT lack / open AS level FROM lv WHERE open > 0 AND lack / open > stop AND lack / open < (SELECT min(stop) FROM g b WHERE b.stop > lv.stop)),
 t AS (SELECT source, source_size, least(cap, w * (SELECT max(level) FROM level)) AS target FROM g),
 f AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
-k AS (SELECT *, floor(rate) AS whole, target - floor(rate) * source_size AS lack, rate - floor(rate) AS p FROM f),
-o AS (SELECT x.doc_id, x.size, k.source_size, k.target, k.whole, k.lack, k.p,
-             sum(x.size) OVER (PARTITION BY x.source ORDER BY x.u, x.doc_id NULLS LAST, x.size ROWS UNBOUNDED PRECEDING) AS upto
-      FROM x JOIN k ON x.source IS NOT DISTINCT FROM k.source)
+k AS (SELECT *, floor(rate) AS whole, target - floor(rate) * source_size AS lack FROM f),
+d AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS digits FROM x),
+gr AS (SELECT source, digits, sum(size)::BIGINT AS words FROM d WHERE digits > 0 GROUP BY 1, 2),
+gw AS (SELECT source, digits, coalesce(sum(words) OVER (PARTITION BY source ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS certain,
+              (sum(words * digits) OVER (PARTITION BY source ORDER BY digits ROWS UNBOUNDED PRECEDING))::BIGINT AS open FROM gr),
+sc AS (SELECT k.*, gw.digits AS most_digits, k.lack - gw.certain AS open_lack, (k.lack - gw.certain) / gw.open::DOUBLE AS scale FROM k JOIN gw ON k.source IS NOT DISTINCT FROM gw.source),
+b AS (SELECT * FROM sc WHERE scale * most_digits <= 1 QUALIFY row_number() OVER (PARTITION BY source ORDER BY most_digits DESC) = 1),
+j AS (SELECT d.*, k.source_size, k.target, k.whole, k.lack, coalesce(b.most_digits, 0) AS most_digits, b.open_lack, b.scale * d.digits AS p
+      FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+r AS (SELECT *, CASE WHEN digits > 0 AND digits <= most_digits AND p > 0 THEN (u / (1 - u)) * ((1 - p) / p) END AS q FROM j),
+o AS (SELECT *, CASE WHEN q IS NOT NULL THEN sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) END AS upto FROM r)
 SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN p > 0 AND abs(upto - lack) < abs(upto - size - lack) THEN 1 ELSE 0 END))::BIGINT AS taken FROM o""",
+       (size * (whole + CASE WHEN digits > most_digits AND lack > 0 OR q IS NOT NULL AND abs(upto - open_lack) < abs(upto - size - open_lack) THEN 1 ELSE 0 END))::BIGINT AS taken FROM o""",
+    "op10_sharding": r"""
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n::BIGINT)) AS t),
+x AS (SELECT doc_id, coalesce(text, '') AS s FROM documents),
+b AS (SELECT doc_id, s, list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM x),
+c AS (SELECT doc_id, len(bytes) + 8 AS size, xor(list_reduce(bytes, lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM b, t),
+m AS (SELECT *, list_transform(range(25), lambda i: ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || i), 1, 13))::BIGINT) AS bids FROM c),
+o AS (SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, (list_position(bids[:24], list_max(bids[:24])) - 1)::INT AS shard, (list_position(bids, list_max(bids)) - 1)::INT AS grown_shard FROM m)
+SELECT doc_id, size, text_crc32, law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST, size, text_crc32, grown_shard) - 1 AS slot, grown_shard FROM o""",
 }
