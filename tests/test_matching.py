@@ -6,7 +6,7 @@ from voxelweave.functions import vectors as V
 from voxelweave.operators import features as FT
 from voxelweave.operators import match as M
 from voxelweave.operators import points as P
-from voxelweave.plans.match import match_to_first
+from voxelweave.plans.match import match_by_polarity, match_images, match_to_first
 from voxelweave.sources import text as TX
 from voxelweave.sources import volumes as VS
 
@@ -36,6 +36,70 @@ def test_planted_transform_is_found(spark):
     assert np.allclose(got[0].trans, -(r.T @ t) / s, atol=1e-2)
 
 
+def test_ring_few_matches_and_options(spark):
+    df, r, s, t = images(spark, 12)
+    c = df.filter("image_id = 'a' and feat_id < 3").withColumn("image_id", M.F.lit("c"))
+    # a-b by twelve matches, b-c by three (too few), c-a by twelve of a's nearest among three: voted on, not agreed on
+    got = {(g.a, g.b): g for g in match_to_first(df.unionByName(c), ring=True).collect()}
+    assert ("b", "c") not in got and got["a", "b"].n == 12 and got["a", "b"].inliers >= 10
+    out = match_images(df, dedupe=True)
+    assert {(h.a_feat, h.b_feat) for h in out.inliers.collect()} <= {(i, i) for i in range(12)} and out.inliers.count() == out.transforms.first().inliers
+    own = {x.feat_id: (x.x, x.y, x.z, x.scale) for x in df.filter("image_id = 'a'").collect()}
+    for x in out.aligned.collect():
+        assert x.image_id == "b" and np.allclose((x.x, x.y, x.z, x.scale), own[x.feat_id], atol=0.3)
+    assert match_images(df, max_ratio=0.0).transforms.count() == 0
+    f = df.withColumn("info", M.F.when(df["feat_id"] < 6, 16).otherwise(0))
+    parts = match_by_polarity(f)
+    assert {k: v.transforms.first().n for k, v in parts.items()} == {"all": 12, "minima": 6, "maxima": 6}
+    assert match_images(df.limit(0)).transforms.count() == 0
+
+
+def test_second_neighbour_is_another_structure(spark):
+    eye = FT.IDENTITY
+    # the first five targets are one structure, seen five times; the sixth is elsewhere
+    rows = [(i, 1, [0.1 * i, 0.0], 5.0 + 0.01 * i, 5.0, 5.0, 1.0, eye) for i in range(1, 6)] + [(6, 1, [2.0, 0.0], 50.0, 5.0, 5.0, 1.0, eye)]
+    t = spark.createDataFrame(rows, "id long, grp long, pc array<double>, x double, y double, z double, scale double, ori array<array<double>>")
+    q = spark.createDataFrame([(9, 2, [0.0, 0.0])], "id long, grp long, pc array<double>")
+    got = M.apart(q, t, k=2).first()
+    assert (got.t, round(got.d, 6), round(got.second, 6), round(got.ratio, 6)) == (1, 0.01, 4.0, 0.0025)
+    alone = M.apart(q, t.filter("id < 6"), k=2).first()
+    assert alone.t == 1 and alone.second is None and alone.ratio is None
+
+
+def test_mirrored_frames_vote(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    mirror = np.diag([1.0, 1.0, -1.0])
+    for i in range(30):
+        o = rotation(rng)
+        p = rng.random(3) * 20
+        rows.append(("k", i, 1.0, 2.0, p.tolist(), (2 * p + 1).tolist(), o.tolist(), (o if i % 2 else mirror @ o).tolist()))
+    df = spark.createDataFrame(rows, "pair string, id long, s0 double, s1 double, p0 array<double>, p1 array<double>, o0 array<array<double>>, o1 array<array<double>>")
+    votes = {(r.hyp, r.corr) for r in M.hough(df, ["pair"], rows=7).collect()}
+    assert all((i, j) in votes for i in range(1, 30, 2) for j in range(1, 30, 2))
+    counts = {r.hyp: r.inliers for r in M.hough(df, ["pair"], rows=7, count=True).collect()}
+    assert counts == {h: sum(a == h for a, _ in votes) for h in {a for a, _ in votes}}
+    best = M.best_hypothesis(M.hough(df, ["pair"], count=True), ["pair"])
+    assert {r.corr for r in M.inliers(df, best, ["pair"]).collect()} == {c for h, c in votes if h == best.first().hyp}
+    turned = spark.createDataFrame([(rotation(rng).tolist(),)], "o array<array<double>>").select("o", M.rotation(M.F.col("o"), M.F.col("o")).alias("r")).first()
+    assert np.allclose(turned.r, np.eye(3))
+
+
+def test_line_grid_loses_no_pair(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(150):
+        p = rng.random(3) * 10
+        q = p + rng.normal(size=3) * np.exp(rng.normal())
+        rows.append((i, *p.tolist(), [(q if i % 15 else p).tolist()]))
+    df = spark.createDataFrame(rows, "feat_id long, x double, y double, z double, ori array<array<double>>")
+    d = lambda a, b: np.linalg.norm(np.subtract(a, b))
+    for share in (0.5, 0.8):
+        want = {(a[0], b[0]) for a in rows for b in rows if d(a[1:4], a[4][0]) * d(b[1:4], b[4][0]) > 0 and (d(a[1:4], b[1:4]) + d(a[4][0], b[4][0])) / (d(a[1:4], a[4][0]) + d(b[1:4], b[4][0])) < share}
+        got = [(r.a.feat_id, r.b.feat_id) for r in M.compatible_lines(df, df, share).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_transform_algebra(spark):
     rng = np.random.default_rng(1)
     r, t = rotation(rng), [1.0, 2.0, 3.0]
@@ -94,7 +158,10 @@ def test_suppression_is_greedy(spark):
     for q in p:
         if all(((q - k) ** 2).sum() >= 16 for k in kept):
             kept.append(q)
-    assert sorted((r.x, r.y, r.z) for r in P.suppress(df, "vol", 4).collect()) == sorted(map(tuple, np.array(kept).tolist()))
+    want = sorted(map(tuple, np.array(kept).tolist()))
+    for whole in (1000, 10):  # by a fold, and in rounds
+        assert sorted((r.x, r.y, r.z) for r in P.suppress(df, "vol", 4, ("seq",), whole).collect()) == want
+    assert P.suppress(df.limit(0), "vol", 4, ("seq",)).count() == 0
 
 
 def test_feature_text_round_trip(spark, tmp_path):

@@ -53,6 +53,8 @@ def descriptors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def volume(spark: SparkSession, d: str) -> DataFrame:
+    """FIXTURES D2, from whole cents, times a constant without which prices of two digits and kernels of quarters would put
+    very many values on rounding ties, where two engines' sums differ in the last bit."""
     li = table(spark, d, "lineitem")
     key = [F.lit("lineitem").alias("vol"), F.round(100 * F.col("l_tax")).cast("int").alias("z"), F.round(100 * F.col("l_discount")).cast("int").alias("y"), (F.col("l_quantity").cast("int") - 1).alias("x")]
     cents = F.sum(F.round(100 * F.col("l_extendedprice")).cast("long"))
@@ -105,15 +107,36 @@ def knn5(spark, d):
     return _near(spark, d, 5, True).select("q", "t", "rank", r("d").alias("d"))
 
 
-@query(f"WITH {_nn(2, _OTHER)} SELECT q, max(CASE WHEN rank = 1 THEN t END) AS t, round(max(CASE WHEN rank = 1 THEN d END) / max(CASE WHEN rank = 2 THEN d END), 6) AS ratio FROM nn GROUP BY q")
+_SPHERE = "abs(ln(a.scale / b.scale)) < 0.4054651081081644 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) < 0.5 * a.scale"
+_APART = f"""{_D}, {_F}, pr AS (SELECT a.feat_id AS q, a.image_id AS qimg, b.feat_id AS t, {_DIST} AS d FROM d a JOIN d b ON a.image_id <> b.image_id),
+r1 AS (SELECT q, qimg, t, d FROM pr QUALIFY row_number() OVER (PARTITION BY q ORDER BY d, t) = 1),
+r2 AS (SELECT pr.q, min(pr.d) AS second FROM pr JOIN r1 ON pr.q = r1.q AND pr.t <> r1.t JOIN f a ON a.feat_id = pr.t JOIN f b ON b.feat_id = r1.t WHERE NOT ({_SPHERE}) GROUP BY pr.q),
+m AS (SELECT r1.q, r1.qimg, r1.t, r1.d / r2.second AS ratio FROM r1 LEFT JOIN r2 ON r1.q = r2.q)"""
+
+
+def _apart(spark, d):
+    x = features(spark, d).select(F.col("feat_id").alias("id"), F.col("image_id").cast("long").alias("grp"), "pc", "x", "y", "z", "scale", "ori")
+    return M.apart(x, x)
+
+
+@query(f"WITH {_APART} SELECT q, t, round(ratio, 6) AS ratio FROM m")
 def knn_ratio(spark, d):
-    return M.ratio(_near(spark, d, 2, True)).select("q", "t", r("ratio").alias("ratio"))
+    return _apart(spark, d).select("q", "t", r("ratio").alias("ratio"))
 
 
-@query(f"WITH {_nn(2, _OTHER)}, m AS (SELECT q, any_value(qimg) AS qimg, max(CASE WHEN rank = 1 THEN d END) / max(CASE WHEN rank = 2 THEN d END) AS ratio FROM nn GROUP BY q) SELECT q, qimg, row_number() OVER (PARTITION BY qimg ORDER BY ratio, q)::INT AS n FROM m QUALIFY n <= 30")
+@query(f"WITH {_APART} SELECT q, qimg, row_number() OVER (PARTITION BY qimg ORDER BY ratio, q)::INT AS n FROM m QUALIFY n <= 30")
 def best_matches(spark, d):
-    x = descriptors(spark, d).select(F.col("feat_id").alias("q"), F.col("image_id").alias("qimg"))
-    return M.best_matches(M.ratio(_near(spark, d, 2, True)).join(x, "q"), ["qimg"], 30).select("q", "qimg", "n")
+    x = descriptors(spark, d).select(F.col("feat_id").alias("q0"), F.col("image_id").alias("qimg"))
+    return M.best_matches(_apart(spark, d).join(x, F.col("q") == F.col("q0")), ["qimg"], 30).select("q", "qimg", "n")
+
+
+@query("""WITH t AS (SELECT vec_id AS feat_id, label AS image_id, list_transform(embedding, lambda e: round(10 * e::DOUBLE)) AS pc FROM embeddings),
+n AS (SELECT a.feat_id AS q, b.feat_id AS t, list_sum(list_transform(range(1, 65), lambda i: (a.pc[i] - b.pc[i]) * (a.pc[i] - b.pc[i]))) AS d FROM t a JOIN t b ON a.image_id <> b.image_id)
+SELECT q, t, d, row_number() OVER (PARTITION BY q ORDER BY d, t)::INT AS rank FROM n QUALIFY rank <= 5""")
+def knn_ties(spark, d):
+    """Descriptors of few levels, so that many distances tie; the lower id goes first."""
+    x = descriptors(spark, d).select(F.col("feat_id").alias("id"), F.col("image_id").cast("long").alias("grp"), F.transform("pc", lambda e: F.round(10 * e.cast("double"))).alias("pc"))
+    return M.nearest(x, x, 5).select("q", "t", "d", "rank")
 
 
 @query(f"WITH {_D} SELECT a.feat_id AS feat_id, b.feat_id AS next_id, round(power(list_distance(a.pc[1:16]::DOUBLE[], b.pc[1:16]::DOUBLE[]), 2), 6) + 0.0 AS d16, round({_DIST}, 6) + 0.0 AS d64 FROM d a JOIN d b ON b.feat_id = a.feat_id + 1")
@@ -162,9 +185,6 @@ def label_loglik(spark, d):
     return out.select("image", "label", r("loglik", 4).alias("loglik"))
 
 
-_SPHERE = "abs(ln(a.scale / b.scale)) < 0.4054651081081644 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) < 0.5 * a.scale"
-
-
 @query(f"WITH {_F} SELECT a.feat_id AS a_id, b.feat_id AS b_id FROM f a JOIN f b ON {_SPHERE}")
 def compat_sphere(spark, d):
     x = features(spark, d).select("feat_id", "x", "y", "z", "scale", "ori")
@@ -177,8 +197,8 @@ dd AS (SELECT a.feat_id AS a_id, b.feat_id AS b_id, sqrt((a.x - b.x) ** 2 + (a.y
 SELECT a_id, b_id FROM dd WHERE gap / len < 0.5""")
 def compat_line(spark, d):
     x = features(spark, d).select("feat_id", "image_id", "x", "y", "z", F.array(F.array("z", "x", "y")).alias("ori"))
-    j = x.alias("a").join(x.alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.feat_id") < F.col("b.feat_id")))
-    return j.filter(M.line_ok("a", "b")).select(F.col("a.feat_id").alias("a_id"), F.col("b.feat_id").alias("b_id"))
+    j = M.compatible_lines(x, x).filter("a.image_id = b.image_id and a.feat_id < b.feat_id")
+    return j.select(F.col("a.feat_id").alias("a_id"), F.col("b.feat_id").alias("b_id"))
 
 
 def correspondences(spark: SparkSession, d: str) -> DataFrame:
@@ -202,18 +222,28 @@ _CORR = f"""{_F}, c AS (SELECT a.feat_id AS id, a.x, a.y, a.z, a.scale AS s0, a.
 
 @query(f"WITH {_CORR} SELECT hyp, inliers FROM n")
 def hough_votes(spark, d):
-    return M.hough(correspondences(spark, d), ["pair"]).groupBy("hyp").agg(F.count("*").alias("inliers"))
+    return M.hough(correspondences(spark, d), ["pair"], count=True).select("hyp", "inliers")
 
 
 @query(f"WITH {_CORR} SELECT hyp, inliers FROM n ORDER BY inliers DESC, hyp LIMIT 1")
 def hough_best(spark, d):
-    return M.best_hypothesis(M.hough(correspondences(spark, d), ["pair"]), ["pair"]).select("hyp", "inliers")
+    return M.best_hypothesis(M.hough(correspondences(spark, d), ["pair"], count=True), ["pair"]).select("hyp", "inliers")
 
 
 @query(f"WITH {_CORR} SELECT corr FROM i WHERE hyp = (SELECT hyp FROM n ORDER BY inliers DESC, hyp LIMIT 1)")
 def hough_inliers(spark, d):
-    v = M.hough(correspondences(spark, d), ["pair"])
-    return v.join(M.best_hypothesis(v, ["pair"]).select("pair", "hyp"), ["pair", "hyp"]).select("corr")
+    c = correspondences(spark, d)
+    return M.inliers(c, M.best_hypothesis(M.hough(c, ["pair"], count=True), ["pair"]), ["pair"]).select("corr")
+
+
+_VOTE_PAIRS = f"{_CORR} SELECT hyp, corr FROM i"
+
+
+@query(f"WITH {_VOTE_PAIRS} WHERE hyp % 10 = 4 AND corr % 10 = 4")
+def hough_pairs(spark, d):
+    """The votes one by one, among the correspondences of every tenth feature that are true."""
+    c = correspondences(spark, d).filter("id % 10 = 4")
+    return M.hough(c, ["pair"], rows=16).select("hyp", "corr")
 
 
 @query("WITH l AS (SELECT DISTINCT label FROM embeddings) SELECT (SELECT min(label) FROM l) AS a, label AS b FROM l WHERE label <> (SELECT min(label) FROM l)")
@@ -690,10 +720,13 @@ def top_share(spark, d):
     return P.top_share(located(spark, d), ["z"], 0.8, 11).select("z", "y", "x", "rank")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_G}, p AS (SELECT row_number() OVER (ORDER BY v DESC, z, y, x) AS n, x, y, z, v FROM g),
+k(n, kept) AS (SELECT 0::BIGINT, []::STRUCT(x INT, y INT, z INT, v DOUBLE)[] UNION ALL SELECT p.n, CASE WHEN len(list_filter(kept, lambda o: (o.x - p.x) * (o.x - p.x) + (o.y - p.y) * (o.y - p.y) + (o.z - p.z) * (o.z - p.z) < 25)) = 0
+ THEN list_append(kept, {{'x': p.x, 'y': p.y, 'z': p.z, 'v': p.v}}) ELSE kept END FROM k JOIN p ON p.n = k.n + 1)
+SELECT o.x, o.y, o.z, o.v FROM (SELECT unnest(kept) AS o FROM k WHERE n = (SELECT max(n) FROM p))""")
 def nms_min_dist(spark, d):
-    p = P.by_value(located(spark, d)).withColumn("seq", -F.col("v")).withColumn("vol", F.lit("lineitem"))
-    return P.suppress(p.select("vol", "x", "y", "z", "v", "seq"), "vol", 5).select("x", "y", "z", "v")
+    p = located(spark, d).select(F.lit("lineitem").alias("vol"), "x", "y", "z", "v")
+    return P.suppress(p, "vol", 5, ("-v", "z", "y", "x")).select("x", "y", "z", "v")
 
 
 @query()
@@ -704,11 +737,54 @@ def extract_features(spark, d):
     return extract(twice, Options(eigen=-1.0))
 
 
-@query()
+def two_images(spark: SparkSession, d: str) -> DataFrame:
+    """All features as one image, and moved by the planted transform as another."""
+    f = features(spark, d).drop("image_id")
+    one = f.withColumn("image_id", F.lit("a"))
+    return one.unionByName(FT.aligned(one, _t(*_T1)).withColumn("image_id", F.lit("b")))
+
+
+@query(f"WITH {_F} SELECT 'a' AS a, 'b' AS b, least(count(*), 3000) AS n, least(count(*), 3000) AS inliers, round(1 / 1.5::DOUBLE, 6) AS scale, 1.0::DOUBLE AS r01, -1.0::DOUBLE AS r10, round(5 / 1.5::DOUBLE, 4) AS t0, round(10 / 1.5::DOUBLE, 4) AS t1, round(-2 / 1.5::DOUBLE, 4) AS t2 FROM f")
 def match_images(spark, d):
     from voxelweave.plans.match import match_to_first
 
-    return match_to_first(features(spark, d))
+    t = match_to_first(two_images(spark, d))
+    return t.select("a", "b", "n", "inliers", r("scale").alias("scale"), r(F.col("rot")[0][1]).alias("r01"), r(F.col("rot")[1][0]).alias("r10"), *[r(F.col("trans")[i], 4).alias(f"t{i}") for i in range(3)])
+
+
+@query(f"WITH {_F} SELECT feat_id AS a_feat, feat_id AS b_feat FROM f")
+def match_inliers(spark, d):
+    from voxelweave.plans.match import match_images
+
+    return match_images(two_images(spark, d)).inliers.select("a_feat", "b_feat")
+
+
+@query(f"WITH {_F} SELECT feat_id, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(z, 4) + 0.0 AS z, round(scale, 4) AS scale, 1.0::DOUBLE AS o00 FROM f")
+def match_aligned(spark, d):
+    from voxelweave.plans.match import match_images
+
+    out = match_images(two_images(spark, d)).aligned
+    return out.select("feat_id", *[r(c, 4).alias(c) for c in ("x", "y", "z", "scale")], r(F.col("ori")[0][0], 4).alias("o00"))
+
+
+@query("""WITH l AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), o AS (SELECT DISTINCT label FROM embeddings)
+SELECT label::VARCHAR AS a, least(n, 3000) AS n, least(n, 3000) AS inliers FROM l""")
+def match_ring(spark, d):
+    """Every image followed by itself moved: in a ring of twenty, each odd pair is one image and its copy."""
+    f = features(spark, d)
+    one = f.withColumn("image_id", F.format_string("%04d-a", F.col("image_id").cast("long")))
+    two = FT.aligned(f, _t(*_T1)).withColumn("image_id", F.format_string("%04d-b", F.col("image_id").cast("long")))
+    from voxelweave.plans.match import match_to_first
+
+    t = match_to_first(one.unionByName(two), ring=True).filter("substring_index(a, '-', 1) = substring_index(b, '-', 1) and a < b")
+    return t.select(F.substring_index("a", "-", 1).cast("int").cast("string").alias("a"), "n", "inliers")
+
+
+@query("SELECT true AS enough")
+def lsh_recall(spark, d):
+    """Whether the approximate neighbours hold at least nine tenths of the exact ones."""
+    hits = knn5(spark, d).select("q", "t").join(knn5_lsh(spark, d).select("q", "t"), ["q", "t"]).agg(F.count("*").alias("hits"))
+    return hits.join(knn5(spark, d).agg(F.count("*").alias("all"))).select((F.col("hits") >= 0.9 * F.col("all")).alias("enough"))
 
 
 @query()

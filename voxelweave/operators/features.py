@@ -83,3 +83,12 @@ def world(feats: DataFrame, m: list[list[float]]) -> DataFrame:
     rows = F.array(*[F.array(*[F.lit(float(v)) for v in r[:3]]) for r in m[:3]])
     frame = F.transform("ori", lambda a: V.unit(V.mat_vec(rows, a)))
     return feats.withColumns({**p, "scale": F.col("scale") * mean, "ori": frame})
+
+
+def aligned(feats: DataFrame, t: Column) -> DataFrame:
+    """Features moved by the similarity t (scale, rot, trans): places, scales and frames; descriptors stay."""
+    p = F.array(*[F.col(c).cast("double") for c in "xyz"])
+    at = F.transform(V.mat_vec(t["rot"], p), lambda v: v * t["scale"])
+    out = feats.withColumn("__at", V.plus(at, t["trans"]))
+    frame = F.transform("ori", lambda axis: V.mat_vec(t["rot"], axis))
+    return out.withColumns({**{c: F.col("__at")[i] for i, c in enumerate("xyz")}, "scale": F.col("scale") * t["scale"], "ori": frame}).drop("__at")

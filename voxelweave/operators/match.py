@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,40 +11,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelweave.functions import vectors as V
+from voxelweave.stage import written
 
+#: Features of one structure differ by less than ln 1.5 in scale and half a scale in place, at any angle.
+SAME = (0.4054651081081644, 0.5, -1.0)
+#: Correspondences agree to ln 2 in scale, one scale in place, and a cosine of 0.7.
+VOTE = (0.6931471805599453, 1.0, 0.7)
 
-def _blocks(df: DataFrame, rows: int, prefix: str) -> DataFrame:
-    """Blocks of at most `rows` (id, group, vector), as binary columns."""
+
+def _blocks(df: DataFrame, rows: int, prefix: str, by: bool) -> DataFrame:
+    """Blocks of at most `rows` (id, group, vector), as binary columns; if by, of one group each, named in `by`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list = []
-        groups: list = []
-        vecs: list = []
+        held: dict[int | None, tuple[list, list, list]] = {}
 
-        def out() -> pa.RecordBatch:
-            r = pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(groups, np.int64).tobytes()], pa.binary()), pa.array([np.array(vecs, np.float64).tobytes()], pa.binary())], names=[f"{prefix}_{c}" for c in ("id", "group", "vec")])
-            ids.clear(), groups.clear(), vecs.clear()
-            return r
+        def out(key: int | None) -> pa.RecordBatch:
+            ids, groups, vecs = held.pop(key)
+            cols = [pa.array([key], pa.int64()), *[pa.array([np.array(v, k).tobytes()], pa.binary()) for v, k in ((ids, np.int64), (groups, np.int64), (vecs, np.float64))]]
+            return pa.RecordBatch.from_arrays(cols, names=[f"{prefix}_{c}" for c in ("by", "id", "group", "vec")])
 
         for b in batches:
             for i, g, v in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                ids.append(i), groups.append(g), vecs.append(v)
-                if len(ids) == rows:
-                    yield out()
-        if ids:
-            yield out()
+                part = held.setdefault(g if by else None, ([], [], []))
+                part[0].append(i), part[1].append(g), part[2].append(v)
+                if len(part[0]) == rows:
+                    yield out(g if by else None)
+        for key in list(held):
+            yield out(key)
 
-    return df.mapInArrow(run, ", ".join(f"{prefix}_{c} binary" for c in ("id", "group", "vec")))
+    return df.mapInArrow(run, f"{prefix}_by long, " + ", ".join(f"{prefix}_{c} binary" for c in ("id", "group", "vec")))
 
 
-def nearest(queries: DataFrame, targets: DataFrame, k: int, other_groups: bool = True, rows: int = 2048) -> DataFrame:
+def nearest(queries: DataFrame, targets: DataFrame, k: int, other_groups: bool | None = True, rows: int = 2048) -> DataFrame:
     """(q, t, d, rank): each query's k nearest targets by squared distance, ties by id.
 
-    Both have (id long, grp long, pc). other_groups: targets of the query's own group take no part; else only itself.
-    Blocks of queries meet blocks of targets, as one matrix product each; k rows a query and block go to the window.
-    Of a block all targets as near as the k-th one, within rounding, are measured exactly, however many are equal.
+    Both have (id long, grp long, pc). other_groups: True, targets of the query's own group take no part; False, only
+    the query itself; None, only targets of the query's group, by a join of blocks on the group. Blocks of queries meet
+    blocks of targets, as one matrix product each; k rows a query and block go to the window. Of a block all targets as
+    near as the k-th one, within rounding, are measured exactly, however many are equal. Rows with nulls or NaN in pc
+    have no neighbours and are none.
     """
-    q, t = _blocks(queries.select("id", "grp", "pc"), rows, "q"), _blocks(targets.select("id", "grp", "pc"), rows, "t")
+    by = other_groups is None
+    q, t = _blocks(queries.select("id", "grp", "pc"), rows, "q", by), _blocks(targets.select("id", "grp", "pc"), rows, "t", by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -52,7 +61,8 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, other_groups: bool =
                 qv, tv = qv.reshape(len(qi), -1), tv.reshape(len(ti), -1)
                 qq, tt = (qv * qv).sum(axis=1), (tv * tv).sum(axis=1)
                 d = qq[:, None] + tt[None, :] - 2 * qv @ tv.T
-                d[np.isnan(d) | ((qg[:, None] == tg[None, :]) if other_groups else (qi[:, None] == ti[None, :]))] = np.inf
+                out = (qg[:, None] == tg[None, :]) if other_groups else (qg[:, None] != tg[None, :]) if by else (qi[:, None] == ti[None, :])
+                d[np.isnan(d) | out] = np.inf
                 m = min(len(ti), k)
                 slack = 4 * np.finfo(float).eps * (qv.shape[1] + 4) * (qq + np.fmax.reduce(tt))
                 i, j = np.nonzero((d <= (np.partition(d, m - 1, axis=1)[:, m - 1] + slack)[:, None]) & np.isfinite(d))
@@ -62,11 +72,40 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, other_groups: bool =
                 best = np.arange(len(i)) - np.searchsorted(i, i) < k
                 yield pa.RecordBatch.from_arrays([pa.array(qi[i[best]]), pa.array(ti[j[best]]), pa.array(exact[best])], names=["q", "t", "d"])
 
-    found = q.hint("shuffle_replicate_nl").crossJoin(t).mapInArrow(run, "q long, t long, d double")
+    pairs = q.join(t, F.col("q_by") == F.col("t_by")) if by else q.hint("shuffle_replicate_nl").crossJoin(t)
+    found = pairs.mapInArrow(run, "q long, t long, d double")
     w = Window.partitionBy("q").orderBy("d", "t")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def apart(queries: DataFrame, targets: DataFrame, other_groups: bool | None = True, k: int = 8, rows: int = 2048) -> DataFrame:
+    """(q, t, d, second, ratio): each query's nearest target, and the distance of the nearest one that is not compatible
+    with it: another instance of the same structure next to the first says nothing against it.
+
+    targets: (id, grp, pc, x, y, z, scale, ori); queries: (id, grp, pc). The k nearest are asked for; queries whose every
+    further one is compatible with the first are asked again with four times as many, until none are left or all
+    targets were met. second and ratio are null where there is no such target, ratio also where second is 0.
+    """
+    place = targets.select(F.col("id").alias("__id"), F.struct("x", "y", "z", "scale", "ori").alias("__p"))
+    done, ask, had = None, queries, -1
+    while True:
+        near = written(nearest(ask, targets, k, other_groups, rows), "near")
+        x = near.join(place.select(F.col("__id").alias("__t"), F.col("__p").alias("own")), F.col("t") == F.col("__t"))
+        first = x.filter("rank = 1").select(F.col("q").alias("__q"), F.col("t").alias("first"), F.col("d").alias("d1"), F.col("own").alias("one"))
+        x = x.join(first, F.col("q") == F.col("__q"))
+        other = F.when((F.col("rank") > 1) & ~sphere_ok("own", "one", *SAME), F.col("d"))
+        got = x.groupBy("q").agg(F.first("first").alias("t"), F.first("d1").alias("d"), F.min(other).alias("second"), F.count("*").alias("met"))
+        got = written(got, "apart")
+        # fewer than k neighbours: there are no more
+        short = got.filter((F.col("second").isNull()) & (F.col("met") == k)).select(F.col("q").alias("__q"))
+        left = short.count()
+        part = got if not left else got.join(short, F.col("q") == F.col("__q"), "left_anti")
+        done = part if done is None else done.unionByName(part)
+        if not left:
+            return done.select("q", "t", "d", "second", F.try_divide("d", "second").alias("ratio"))
+        ask, k = ask.join(short, F.col("id") == F.col("__q"), "left_semi"), 4 * k
+
+
 def nearest_lsh(queries: DataFrame, targets: DataFrame, k: int, width: float = 0.5, tables: int = 8, limit: float = 1.5) -> DataFrame:
     """The same by locality-sensitive hashing, approximate: pairs that share no bucket are missed."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -101,7 +140,7 @@ def sphere_ok(a: str, b: str, log_scale: float, shift: float, cosine: float) ->
     return (F.abs(F.ln(f(a, "scale") / f(b, "scale"))) < log_scale) & (F.sqrt(d2) < shift * f(a, "scale")) & (turn > cosine)
 
 
-def compatible(left: DataFrame, right: DataFrame, log_scale: float = 0.4054651081081644, shift: float = 0.5, cosine: float = -1.0) -> DataFrame:
+def compatible(left: DataFrame, right: DataFrame, log_scale: float = SAME[0], shift: float = SAME[1], cosine: float = SAME[2]) -> DataFrame:
     """(a, b) structs of compatible features: a theta join by way of grid cells.
 
     Scales are dealt in octaves of e; a cell's side in an octave is the largest reach there, so that a compatible b is
@@ -130,6 +169,33 @@ def line_ok(a: str, b: str, share: float = 0.5) -> Column:
     return F.try_divide(d(p(a), p(b)) + d(ea, eb), d(p(a), ea) + d(p(b), eb)) < share
 
 
+def compatible_lines(left: DataFrame, right: DataFrame, share: float = 0.5) -> DataFrame:
+    """(a, b) structs of compatible lines, each from (x, y, z) to ori[0]: a theta join by way of grid cells.
+
+    Of a compatible pair the lengths differ by a factor below (1 + share) / (1 - share), and the middles by less than half
+    of share times both lengths. So a's cell, as wide as that may be in its octave of lengths, has b's middle next to
+    it, in one of few octaves: an equi-join, whose matches are then tested. Lines of no length fit none.
+    """
+    if not 0 < share < 1:
+        raise ValueError("share: between 0 and 1")
+    most = (1 + share) / (1 - share)
+    span = math.ceil(math.log2(most)) + 1
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        p, e = (F.array(*[c.cast("double") for c in v]) for v in ([F.col("x"), F.col("y"), F.col("z")], [F.col("ori")[0][i] for i in range(3)]))
+        size = F.sqrt(V.dist2(p, e))
+        out = df.select(F.struct(*df.columns).alias(name), size.alias("__l"), *[((p[i] + e[i]) / 2).alias(f"__m{i}") for i in range(3)])
+        return out.filter("__l > 0").withColumn("__o", F.floor(F.log2("__l")))
+
+    side = lambda o: F.pow(F.lit(2.0), o + 1) * (share * (1 + most) / 2)
+    a = placed(left, "a").select("a", F.col("__o").alias("o"), *[F.floor(F.col(f"__m{i}") / side(F.col("__o"))).alias(f"c{i}") for i in range(3)])
+    b = placed(right, "b").withColumn("bo", F.explode(F.sequence(F.col("__o") - span, F.col("__o") + span)))
+    for i in range(3):
+        b = b.withColumn(f"b{i}", F.explode(_around(F.floor(F.col(f"__m{i}") / side(F.col("bo"))))))
+    on = (F.col("o") == F.col("bo")) & (F.col("c0") == F.col("b0")) & (F.col("c1") == F.col("b1")) & (F.col("c2") == F.col("b2"))
+    return a.join(b, on).filter(line_ok("a", "b", share)).select("a", "b")
+
+
 # ------------------------------------------------------------------------------------------------------- similarity
 
 
@@ -149,27 +215,107 @@ def compose(left: Column, t: Column) -> Column:
     return F.struct((left["scale"] * t["scale"]).alias("scale"), V.mat_mul(left["rot"], t["rot"]).alias("rot"), V.plus(F.transform(V.mat_vec(left["rot"], t["trans"]), lambda x: x * left["scale"]), left["trans"]).alias("trans"))
 
 
-def hough(corr: DataFrame, pair: list[str], log_scale: float = 0.6931471805599453, shift: float = 1.0, cosine: float = 0.7) -> DataFrame:
-    """(pair, hyp, corr): votes of each correspondence's transform for the others it brings near.
+_FRAME = "array<array<double>>"
+
+
+def _turns(o0: np.ndarray, o1: np.ndarray) -> np.ndarray:
+    """The rotations [n, 3, 3] from frames o0 to o1 (axes as rows), by the triangles of the axes' ends.
 
-    corr: id, s0, s1, p0, p1 (arrays of 3), o0, o1 (3x3 frames, axes as rows, of one handedness). The transform that
-    correspondence i stands for has scale s1 / s0, rotation o1' o0 and takes p0 to p1; it brings j near if the moved
-    p0 of j is within shift of j's scale, the scales agree to log_scale and every axis to the cosine. Quadratic in a
-    pair's correspondences, of which best_matches() leaves 3000 at most.
+    For frames of one handedness that is o1' o0; of a frame and a mirrored one it is the rotation between the triangles.
     """
-    h = corr.select(*pair, F.col("id").alias("hyp"), (F.col("s1") / F.col("s0")).alias("hs"), V.mat_mul(V.transpose(F.col("o1")), F.col("o0")).alias("hr"), F.col("p0").alias("h0"), F.col("p1").alias("h1"))
-    j = h.join(corr, pair)
-    moved = apply_similarity(F.col("p0"), F.col("h0"), F.col("h1"), F.col("hr"), F.col("hs"))
-    near = V.dist2(moved, F.col("p1")) < (shift * F.col("s1")) * (shift * F.col("s1"))
-    alike = F.abs(F.ln(F.col("s0") * F.col("hs") / F.col("s1"))) < log_scale
-    turn = F.least(*[V.dot(V.mat_vec(F.col("hr"), F.col("o0")[i]), F.col("o1")[i]) for i in range(3)]) > cosine
-    return j.filter(alike & near).filter(turn).select(*pair, "hyp", F.col("id").alias("corr"))
 
+    def frame(o: np.ndarray) -> np.ndarray:
+        first = o[:, 1] - o[:, 0]
+        first = first / np.maximum(np.linalg.norm(first, axis=1), 1e-300)[:, None]
+        up = np.cross(first, o[:, 2] - o[:, 0])
+        up = up / np.maximum(np.linalg.norm(up, axis=1), 1e-300)[:, None]
+        return np.stack([first, np.cross(up, first), up], axis=1)
+
+    return frame(o1).transpose(0, 2, 1) @ frame(o0)
+
+
+def _supported(h: np.ndarray, c: np.ndarray, log_scale: float, shift: float, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """(hypothesis, correspondence) rows of h and c [n, 26] where the first's transform brings the second near."""
+    (s0, s1, p0, p1, o0, o1), (t0, t1, q0, q1, u0, u1) = ((v[:, 0], v[:, 1], v[:, 2:5], v[:, 5:8], v[:, 8:17].reshape(-1, 3, 3), v[:, 17:26].reshape(-1, 3, 3)) for v in (h, c))
+    scale, turn = s1 / s0, _turns(o0, o1)
+    i, j = np.nonzero(np.abs(np.log(t0[None, :] / t1[None, :] * scale[:, None])) < log_scale)
+    moved = np.einsum("nij,nj->ni", turn[i], q0[j] - p0[i]) * scale[i][:, None] + p1[i]
+    ok = ((moved - q1[j]) ** 2).sum(axis=1) < (shift * t1[j]) ** 2
+    i, j = i[ok], j[ok]
+    ok = np.einsum("nab,nkb,nka->nk", turn[i], u0[j], u1[j]).min(axis=1, initial=np.inf) > cosine
+    return i[ok], j[ok]
+
+
+def hough(corr: DataFrame, pair: list[str], log_scale: float = VOTE[0], shift: float = VOTE[1], cosine: float = VOTE[2], rows: int = 512, count: bool = False) -> DataFrame:
+    """(pair, hyp, corr): votes of each correspondence's transform for the others it brings near; if count, (pair, hyp,
+    inliers) alone, without a row for each vote.
+
+    corr: id, s0, s1, p0, p1 (arrays of 3), o0, o1 (3x3 frames, axes as rows). The transform that correspondence i stands
+    for has scale s1 / s0, the rotation between its frames and takes p0 to p1; it brings j near if the moved p0 of j is
+    within shift of j's scale, the scales agree to log_scale and every axis to the cosine. Rows with a scale of 0 or
+    below, or nulls, take no part. Quadratic in a pair's correspondences, of which best_matches() leaves 3000 at most; a
+    pair's rows are packed in blocks of about `rows`, and every two blocks of a pair are a turn of their own.
+    """
+    num = F.concat(F.array(F.col("s0").cast("double"), F.col("s1").cast("double")), *[F.col(c).cast("array<double>") for c in ("p0", "p1")], *[F.flatten(F.col(c).cast(_FRAME)) for c in ("o0", "o1")])
+    x = corr.select(*pair, F.col("id").cast("long").alias("id"), num.alias("v")).filter("s0 > 0 and s1 > 0 and size(v) = 26 and not exists(v, e -> e is null)")
+    n = x.groupBy(*[F.col(c).alias(f"__{c}") for c in pair]).agg(F.ceil(F.count("*") / rows).alias("__n"))
+    same = lambda p, q: [F.col(f"{p}{c}") == F.col(f"{q}{c}") for c in pair]
+    x = x.join(n, same("", "__")).withColumn("__b", F.expr("pmod(xxhash64(id), __n)"))
+    packed = written(x.groupBy(*pair, "__b").agg(F.collect_list(F.struct("id", "v")).alias("rows")), "blocks")
+    other = packed.select(*[F.col(c).alias(f"__{c}") for c in pair], F.col("rows").alias("others"))
+    both = packed.drop("__b").join(other, same("", "__")).select(*pair, "rows", "others")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in corr.select(*pair).schema)
+
+    def unpack(v: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        return v.values.field("id").to_numpy(), v.values.field("v").flatten().to_numpy().reshape(-1, 26)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                (hi, h), (ci, c) = unpack(b.column("rows")[k]), unpack(b.column("others")[k])
+                i, j = _supported(h, c, log_scale, shift, cosine)
+                if count:
+                    i, m = np.unique(i, return_counts=True)
+                    cols, names = [pa.array(hi[i]), pa.array(m)], ["hyp", "inliers"]
+                else:
+                    cols, names = [pa.array(hi[i]), pa.array(ci[j])], ["hyp", "corr"]
+                key = [pa.array([b.column(c)[k].as_py()] * len(i), b.column(c).type) for c in pair]
+                yield pa.RecordBatch.from_arrays([*key, *cols], names=[*pair, *names])
+
+    if count:
+        got = both.mapInArrow(run, f"{kinds}, hyp long, inliers long")
+        return got.groupBy(*pair, "hyp").agg(F.sum("inliers").alias("inliers"))
+    return both.mapInArrow(run, f"{kinds}, hyp long, corr long")
+
+
+def inliers(corr: DataFrame, best: DataFrame, pair: list[str], log_scale: float = VOTE[0], shift: float = VOTE[1], cosine: float = VOTE[2]) -> DataFrame:
+    """(pair, hyp, corr): the correspondences that each pair's one hypothesis (pair, hyp) brings near; linear in corr."""
+    num = F.concat(F.array(F.col("s0").cast("double"), F.col("s1").cast("double")), *[F.col(c).cast("array<double>") for c in ("p0", "p1")], *[F.flatten(F.col(c).cast(_FRAME)) for c in ("o0", "o1")])
+    x = corr.select(*pair, F.col("id").cast("long").alias("id"), num.alias("v")).filter("s0 > 0 and s1 > 0 and size(v) = 26 and not exists(v, e -> e is null)")
+    h = best.select(*[F.col(c).alias(f"__{c}") for c in pair], "hyp")
+    on = lambda p, q: [F.col(f"{p}{c}") == F.col(f"{q}{c}") for c in pair]
+    one = x.join(h, [*on("", "__"), F.col("id") == F.col("hyp")]).select(*[F.col(c).alias(f"__{c}") for c in pair], "hyp", F.col("v").alias("h"))
+    both = x.join(one, on("", "__")).select(*pair, "hyp", "id", "h", "v")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in corr.select(*pair).schema)
 
-def best_hypothesis(votes: DataFrame, pair: list[str]) -> DataFrame:
-    """(pair, hyp, inliers): the most votes, the first hypothesis at a tie."""
-    n = votes.groupBy(*pair, "hyp").agg(F.count("*").alias("inliers"))
-    return n.groupBy(*pair).agg(F.max_by(F.struct("hyp", "inliers"), F.struct(F.col("inliers"), -F.col("hyp"))).alias("__best")).select(*pair, "__best.hyp", "__best.inliers")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, c = (b.column(k).flatten().to_numpy().reshape(-1, 26) for k in ("h", "v"))
+            ok = np.zeros(len(h), bool)
+            # one hypothesis a pair: its rows are side by side or not, each distinct one is taken once
+            kinds, which = np.unique(h, axis=0, return_inverse=True) if len(h) else (h, np.zeros(0, int))
+            for g in range(len(kinds)):
+                at = np.flatnonzero(which.ravel() == g)
+                ok[at[_supported(kinds[g : g + 1], c[at], log_scale, shift, cosine)[1]]] = True
+            keep = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(keep) for c in pair], b.column("hyp").take(keep), b.column("id").take(keep)], names=[*pair, "hyp", "corr"])
+
+    return both.mapInArrow(run, f"{kinds}, hyp long, corr long")
+
+
+def best_hypothesis(counts: DataFrame, pair: list[str]) -> DataFrame:
+    """(pair, hyp, inliers): of (pair, hyp, inliers) the most inliers, the first hypothesis at a tie."""
+    return counts.groupBy(*pair).agg(F.max_by(F.struct("hyp", "inliers"), F.struct(F.col("inliers"), -F.col("hyp"))).alias("__best")).select(*pair, "__best.hyp", "__best.inliers")
 
 
 def three_points(p: Column, ori: Column, scale: Column) -> Column:
@@ -190,6 +336,11 @@ def frame_of(p: Column) -> Column:
     return _let(towards(1), whole)
 
 
+def rotation(o0: Column, o1: Column) -> Column:
+    """The rotation from frame o0 to frame o1 (axes as rows), by the triangles of the axes' ends: also for a mirrored one."""
+    return _let(F.struct(frame_of(o0).alias("f0"), frame_of(o1).alias("f1")), lambda s: V.mat_mul(V.transpose(s["f1"]), s["f0"]))
+
+
 def similarity_of(p: Column, q: Column) -> Column:
     """The similarity (scale, rot, trans) that takes three points p to q; null if two points of either are one.
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelweave.stage import written
+
 
 def in_range(pts: DataFrame, axis: str, low: int, high: int) -> DataFrame:
     return pts.filter(F.col(axis).between(low, high))
@@ -63,14 +65,29 @@ def top_share(pts: DataFrame, group: list[str], share: float, most: int) -> Data
     return some.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
-def suppress(pts: DataFrame, group: str, least: int) -> DataFrame:
-    """Greedy: in order of seq, a point stays if no point that stayed is nearer than `least`. One group a task's turn.
+def suppress(pts: DataFrame, group: str, least: int, order: tuple[str, ...], whole: int = 200_000) -> DataFrame:
+    """Greedy: in order, a point of a group stays if no point that stayed is nearer than `least`. (x, y, z) are whole
+    numbers; order names columns, "-v" for descending. Of points at one place the first counts, equal rows as one.
 
-    The order makes it a fold; groups are volumes, whose point lists the reference holds whole as well.
+    A group of at most `whole` places is a fold in one task. Larger ones take rounds, in which no task needs a group: a
+    point stays if all earlier points near it have gone, and goes if an earlier one near it stays. Near points are in
+    the same or a touching cell of side `least`, an equi-join; there are as many rounds as the longest chain of points
+    that decide each other, each written to the shared folder.
     """
+    by = [F.col(c[1:]).desc() if c[0] == "-" else F.col(c).asc() for c in order]
+    w = Window.partitionBy(group, "x", "y", "z").orderBy(*by)
+    first = pts.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    sizes = first.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__size"))
+    large = [r["__g"] for r in sizes.filter(F.col("__size") > whole).collect()]
+    small = _folded(first.filter(~F.col(group).isin(large)) if large else first, group, least, order)
+    return small.unionByName(_rounds(first.filter(F.col(group).isin(large)), group, least, order)) if large else small
+
+
+def _folded(pts: DataFrame, group: str, least: int, order: tuple[str, ...]) -> DataFrame:
+    names, up = [c.lstrip("-") for c in order], [c[0] != "-" for c in order]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
+        pdf = pdf.sort_values(names, ascending=up, kind="stable")
         kept: list[int] = []
         cells: dict[tuple, list[int]] = {}
         at = pdf[["x", "y", "z"]].to_numpy()
@@ -86,6 +103,37 @@ def suppress(pts: DataFrame, group: str, least: int) -> DataFrame:
     return pts.groupBy(group).applyInPandas(fold, pts.schema)
 
 
+def _rounds(pts: DataFrame, group: str, least: int, order: tuple[str, ...]) -> DataFrame:
+    size = max(least, 1)
+    key = F.struct(F.col(group).alias("g"), "x", "y", "z").alias("p")
+    cells = {c: F.floor(F.col(c) / size) for c in "xyz"}
+    names = [c.lstrip("-") for c in order]
+    one = pts.select(key, F.struct(*names).alias("o"), *[v.alias(f"c{c}") for c, v in cells.items()])
+    two = one.select(F.col("p").alias("q"), F.col("o").alias("o2"), *[F.col(f"c{c}").alias(f"d{c}") for c in "xyz"])
+    for c in "xyz":
+        two = two.withColumn(f"d{c}", F.explode(F.array(*[F.col(f"d{c}") + i for i in (-1, 0, 1)])))
+    near = sum(((F.col(f"p.{c}") - F.col(f"q.{c}")) * (F.col(f"p.{c}") - F.col(f"q.{c}")) for c in "yz"), (F.col("p.x") - F.col("q.x")) * (F.col("p.x") - F.col("q.x"))) < least * least
+    earlier, same = F.lit(False), F.lit(True)
+    for c, n in zip(order, names, strict=True):
+        a, b = F.col(f"o2.{n}"), F.col(f"o.{n}")
+        earlier = earlier | (same & ((a > b) if c[0] == "-" else (a < b)))
+        same = same & (a == b)
+    on = (F.col("p.g") == F.col("q.g")) & (F.col("cx") == F.col("dx")) & (F.col("cy") == F.col("dy")) & (F.col("cz") == F.col("dz")) & near & earlier
+    edges = written(one.join(two, on).select("p", "q"), "edges")
+    todo, kept = written(one.select("p"), "todo"), None
+    while todo.count():
+        stay = written(todo.join(edges.select("p").distinct(), "p", "left_anti"), "stay")
+        kept = stay if kept is None else kept.unionByName(stay)
+        gone = edges.join(stay.select(F.col("p").alias("q")), "q", "left_semi").select("p").distinct()
+        out = written(stay.unionByName(gone), "out")
+        todo = written(todo.join(out, "p", "left_anti"), "todo")
+        edges = written(edges.join(out, "p", "left_anti").join(out.select(F.col("p").alias("q")), "q", "left_anti"), "edges")
+    if kept is None:
+        return pts
+    at = F.struct(F.col(group).alias("g"), "x", "y", "z")
+    return pts.join(kept.select(F.col("p").alias("__p")), at == F.col("__p"), "left_semi")
+
+
 def visit(df: DataFrame, fn, schema: str) -> DataFrame:
     """fn over batches of rows: the per-voxel visitor, without a shuffle."""
 
