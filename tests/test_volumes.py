@@ -135,3 +135,109 @@ def test_extract_rows(spark):
     got = X.extract(frame(spark, blob(), "b1").unionByName(frame(spark, blob(-1), "b2")), X.Options(eigen=-1.0))
     rows = got.collect()
     assert {r.image_id for r in rows} == {"b1", "b2"} and all(sorted(r.pc) == list(range(64)) for r in rows)
+
+
+def test_patches_equal_the_arrays(spark):
+    from voxelweave.operators import patches as PT
+
+    rng = np.random.default_rng(3)
+    arrays = {f"p{i}": rng.random((11, 11, 11)) if i else np.zeros((11, 11, 11)) for i in range(4)}
+    df = None
+    for name, a in arrays.items():
+        df = frame(spark, a, name) if df is None else df.unionByName(frame(spark, a, name))
+    pc = {r.vol: np.array(r.pc) for r in PT.orientation_histogram(df).collect()}
+    e = {r.vol: np.array(r.e) for r in PT.tensor_eigenvalues(df).collect()}
+    for name, a in arrays.items():
+        assert np.allclose(pc[name], X.descriptor(a)) and np.allclose(e[name], X.tensor(a)[0], atol=1e-9)
+
+
+def test_sampled_patches_equal_the_arrays(spark):
+    from voxelweave.operators import patches as PT
+
+    rng = np.random.default_rng(4)
+    a = rng.random((20, 24, 28))
+    q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    df = spark.createDataFrame([("v", 1, 14.2, 12.6, 10.1, 2.0, q.tolist()), ("v", 2, 2.0, 12.0, 10.0, 2.0, q.tolist())], "vol string, id int, fx double, fy double, fz double, scale double, ori array<array<double>>")
+    got = PT.sampled(df, frame(spark, a, "v"), a.shape).collect()
+    want = X.patch(a, np.array([14.2, 12.6, 10.1]), 2.0, q, "clamp")
+    assert {r.vol for r in got} == {1} and X.patch(a, np.array([2.0, 12.0, 10.0]), 2.0, q, "clamp") is None
+    assert len(got) == 1331 and all(np.isclose(r.v, want[r.z, r.y, r.x]) for r in got)
+
+
+def test_doubled_arrays_equal_the_rows(spark):
+    a = np.random.default_rng(5).random((3, 4, 5))
+    v = a
+    for axis in range(3):
+        v = X.doubled(v, axis)
+    got = {(r.z, r.y, r.x): r.v for r in VOL.double(frame(spark, a, "v"), a.shape).collect()}
+    assert v.shape == (6, 8, 10) and all(np.isclose(got[i], v[i]) for i in np.ndindex(v.shape))
+
+
+def test_extraction_options(spark):
+    b = blob()
+    at = lambda opt: [k for k in X.keypoints(b, opt) if np.abs(np.array(k[:3]) - (16.8, 16.1, 16.6)).max() < 1.5]
+    plain = X.Options(eigen=-1.0, reoriented=False)
+    # places and scales are in the given volume's voxels, whatever it was extracted from
+    found = at(X.replace(plain, size=2.0))
+    assert found and min(abs(k[3] - at(plain)[0][3]) for k in found) < 1.5
+    z, y, x = np.mgrid[:48, :48, :48]
+    big = np.exp(-((x - 24.3) ** 2 + (y - 23.6) ** 2 + (z - 24.1) ** 2) / 72)
+    for size in (0.5, 1.0):
+        near = [k[3] for k in X.keypoints(big, X.replace(plain, size=size)) if np.abs(np.array(k[:3]) - (24.8, 24.1, 24.6)).max() < 2]
+        assert near and min(abs(s - 12) for s in near) < 4
+    pairs = X.random_pairs(64, 1)
+    assert len(set(pairs)) > 60 and X.random_pairs(64, 1) == pairs != X.random_pairs(64, 1, sigma=2.0)
+    for how in ("raw", "sign", "scaled"):
+        d = at(X.replace(plain, descriptor=how, pairs=pairs))
+        assert d and sorted(d[0][7]) == list(range(64))
+    for bad in ({"size": 3.0}, {"descriptor": "raw"}, {"pairs": pairs}, {"descriptor": "raw", "pairs": ((0, 0, 0, 0, 0, 0),)}):
+        try:
+            X.Options(**bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+    df = frame(spark, b, "b")
+    m = ((0.0, -2.0, 0.0, 5.0), (2.0, 0.0, 0.0, 0.0), (0.0, 0.0, 2.0, 1.0))
+    own = sorted((r.feat_id, r.x, r.y, r.z, r.scale) for r in X.extract(df, plain).collect())
+    out = {r.feat_id: r for r in X.extract(df, X.replace(plain, affine=m)).collect()}
+    for i, x, y, z, s in own:
+        assert np.allclose((out[i].x, out[i].y, out[i].z, out[i].scale), (-2 * y + 5, 2 * x, 2 * z + 1, 2 * s), atol=1e-3)
+    # cubic voxels of spacing 1 from ones of 1 x 1 x 2: the world's places of a blob in the squeezed volume
+    eye = [[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 2.0, 0]]
+    world = X.extract_world(frame(spark, b[::2], "h"), b[::2].shape, (2.0, 1.0, 1.0), eye, plain).collect()
+    assert min(np.abs(np.array((r.x, r.y, r.z)) - (16.8, 16.1, 16.6)).max() for r in world) < 1.5
+    try:
+        X.extract(df, plain, most=1000).collect()
+    except Exception as e:
+        assert "over 1000 voxels" in str(e)
+
+
+def test_small_matrices(spark):
+    from voxelweave.functions import linear as L
+    from voxelweave.functions import vectors as V
+
+    rng = np.random.default_rng(7)
+    m4, s, wide = rng.normal(size=(4, 4)), rng.normal(size=(3, 3)), rng.normal(size=(2, 3))
+    sym = s @ s.T
+    rows = [(m4.tolist(), sym.tolist(), wide.tolist()), (np.zeros((4, 4)).tolist(), (2 * np.eye(3)).tolist(), None)]
+    df = spark.createDataFrame(rows, "m array<array<double>>, s array<array<double>>, w array<array<double>>")
+    e = lambda i, j: df["s"][i][j]
+    got = df.select(V.invert4(df["m"]).alias("i"), V.eigenvalues3(e(0, 0), e(0, 1), e(0, 2), e(1, 1), e(1, 2), e(2, 2)).alias("e"), L.pinv(df["w"]).alias("p"), L.svd(df["w"]).alias("d")).collect()
+    assert np.allclose(got[0].i, np.linalg.inv(m4)) and got[1].i is None
+    assert np.allclose(got[0].e, np.linalg.eigvalsh(sym)[::-1]) and got[1].e == [2, 2, 2]
+    assert np.allclose(got[0].p, np.linalg.pinv(wide)) and got[1].p is None
+    assert np.allclose(np.array(got[0].d.u) @ np.diag(got[0].d.s) @ np.array(got[0].d.vt), wide)
+
+
+def test_components_of_descriptors(spark):
+    """The first components against numpy's, up to sign."""
+    from voxelweave import catalog as C
+
+    sf = "/root/testdata/sf0.001"
+    x = {r.feat_id: list(r.pc) for r in C.descriptors(spark, sf).collect()}
+    ids = sorted(x)
+    a = np.array([x[i] for i in ids], float)
+    u, s, vt = np.linalg.svd(a - a.mean(axis=0), full_matrices=False)
+    got = {r.feat_id: list(r.c) for r in C.pca(spark, sf).collect()}
+    g = np.array([got[i] for i in ids])
+    assert np.allclose(np.abs(g), np.abs(a @ vt[:3].T), atol=1e-6)

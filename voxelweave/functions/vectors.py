@@ -68,6 +68,50 @@ def invert3(m: Column) -> Column:
     return F.when(d != 0, F.transform(transpose(cof), lambda r: F.transform(r, lambda x: x / d)))
 
 
+def invert4(m: Column) -> Column:
+    """The inverse of a 4x4 matrix, by the 2x2 minors of its upper and lower halves; null if its determinant is 0."""
+    pairs = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+    minor = lambda a, b: {p: m[a][p[0]] * m[b][p[1]] - m[a][p[1]] * m[b][p[0]] for p in pairs}
+    parts = F.struct(*[v.alias(f"{h}{i}{j}") for h, rows in (("u", (0, 1)), ("l", (2, 3))) for (i, j), v in minor(*rows).items()])
+
+    def made(s: Column) -> Column:
+        u, low = ({p: s[f"{h}{p[0]}{p[1]}"] for p in pairs} for h in "ul")
+        sign = {p: -1.0 if sum(p) % 2 == 0 else 1.0 for p in pairs}
+        rest = lambda p: tuple(k for k in range(4) if k not in p)
+        det = sum((u[p] * low[rest(p)] * sign[p] for p in pairs[1:]), u[pairs[0]] * low[rest(pairs[0])] * sign[pairs[0]])
+
+        def cofactor(r: int, c: int) -> Column:
+            """Of the row and column left out: the other row of the same half, times the other half's minors."""
+            same, half = m[r ^ 1], (low if r < 2 else u)
+            cols = [k for k in range(4) if k != c]
+            terms = [same[cols[0]] * half[(cols[1], cols[2])], -same[cols[1]] * half[(cols[0], cols[2])], same[cols[2]] * half[(cols[0], cols[1])]]
+            # rows in order: for the lower half the minor's two rows come before the single one, which changes no sign
+            v = terms[0] + terms[1] + terms[2]
+            return v if (r + c) % 2 == 0 else -v
+
+        inverse = F.array(*[F.array(*[F.try_divide(cofactor(r, c), det) for r in range(4)]) for c in range(4)])
+        return F.when(det != 0, inverse)
+
+    return F.transform(F.array(parts), made)[0]
+
+
+def eigenvalues3(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> Column:
+    """The eigenvalues of a symmetric 3x3 matrix, the largest first, by the trigonometric solution of its cubic."""
+    mean = (xx + yy + zz) / 3
+    off = xy * xy + xz * xz + yz * yz
+    parts = F.struct(mean.alias("m"), F.sqrt(((xx - mean) * (xx - mean) + (yy - mean) * (yy - mean) + (zz - mean) * (zz - mean) + 2 * off) / 6).alias("p"))
+
+    def made(s: Column) -> Column:
+        a, b, c = xx - s["m"], yy - s["m"], zz - s["m"]
+        det = a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)
+        half = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(det, 2 * s["p"] * s["p"] * s["p"])))
+        angle = F.acos(half) / 3
+        first, last = s["m"] + 2 * s["p"] * F.cos(angle), s["m"] + 2 * s["p"] * F.cos(angle + 2 * math.pi / 3)
+        return F.when(s["p"] == 0, F.array(s["m"], s["m"], s["m"])).otherwise(F.array(first, 3 * s["m"] - first - last, last))
+
+    return F.transform(F.array(parts), made)[0]
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

@@ -6,7 +6,7 @@ the work is array arithmetic. The relational forms of the same steps are in voxe
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -14,22 +14,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelweave.functions.vectors import gaussian
+from voxelweave.operators.features import world
+from voxelweave.operators.volumes import resample_isotropic
 from voxelweave.schemas import MAXIMUM, PATCH, REORIENTED
 
 #: The first blur, levels an octave, peaks' shares of the largest, the most frames of a point.
 SIGMA, LEVELS, PRIMARY, SECONDARY, MOST_FRAMES = 1.6, 6, 0.8, 0.5, 11
-CORNERS = np.array([[x, y, z] for z in (-1, 1) for y in (-1, 1) for x in (-1, 1)], float) / np.sqrt(3)
 
 
 @dataclass(frozen=True)
 class Options:
-    """eigen: the limit of the eigen-ratio filter, below 0 none; scale: 1, or 0.5 for a doubled volume; edge: how a patch
-    reads beyond the volume, "clamp" (y and z held, x zero, as the reference has it) or "zero"."""
+    """eigen: the limit of the eigen-ratio filter, below 0 none; size: 1, 2 (the volume is doubled first) or 0.5 (halved):
+    places and scales come in the given volume's voxels; edge: how a patch reads beyond the volume, "clamp" (y and z
+    held, x zero) or "zero"; descriptor: "histogram", or "raw", "sign" or "scaled" differences at `pairs`, places (x0, y0,
+    z0, x1, y1, z1) of 0 to 10 in the patch; affine: 4x4 rows that take voxels to the world, applied to the features."""
 
     eigen: float = 140.0
-    scale: float = 1.0
+    size: float = 1.0
     edge: str = "clamp"
     reoriented: bool = True
+    descriptor: str = "histogram"
+    pairs: tuple[tuple[int, ...], ...] = ()
+    affine: tuple[tuple[float, ...], ...] | None = None
+
+    def __post_init__(self) -> None:
+        if self.size not in (0.5, 1.0, 2.0) or self.descriptor not in ("histogram", "raw", "sign", "scaled"):
+            raise ValueError("size: 0.5, 1 or 2; descriptor: histogram, raw, sign or scaled")
+        if (self.descriptor != "histogram") != bool(self.pairs) or any(len(p) != 6 or not all(0 <= v < PATCH for v in p) or p[:3] == p[3:] for p in self.pairs):
+            raise ValueError("pairs: two places of the patch each, for a descriptor of differences")
 
 
 def blurred(v: np.ndarray, sigma: float) -> np.ndarray:
@@ -45,6 +57,12 @@ def pooled(v: np.ndarray) -> np.ndarray:
     return v[:d, :h, :w].reshape(d // 2, 2, h // 2, 2, w // 2, 2).mean(axis=(1, 3, 5))
 
 
+def doubled(v: np.ndarray, axis: int) -> np.ndarray:
+    """Twice as long along an axis: samples as they were, the means of neighbours between them, the last one repeated."""
+    between = (v + np.concatenate([np.take(v, range(1, v.shape[axis]), axis), np.take(v, [-1], axis)], axis)) / 2
+    return np.stack([v, between], axis=axis + 1).reshape(*v.shape[:axis], -1, *v.shape[axis + 1 :])
+
+
 def _shifted(v: np.ndarray, d: tuple[int, int, int]) -> np.ndarray:
     return v[tuple(slice(1 + i, n - 1 + i) for i, n in zip(d, v.shape, strict=True))]
 
@@ -185,17 +203,20 @@ def frames(p: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+#: The share of each of 11 planes that the lower half of a patch has; the middle one is dealt to both halves.
+LOWER = np.where(np.arange(PATCH) < PATCH // 2, 1.0, np.where(np.arange(PATCH) == PATCH // 2, 0.5, 0.0))
+
+
 def descriptor(p: np.ndarray) -> np.ndarray:
-    """64 numbers: gradients of 2x2x2 blocks by the nearest of 8 corner directions, lifted to 0 and of length 1."""
+    """64 numbers: gradients of 2x2x2 halves by the nearest of 8 corner directions, lifted to 0 and of length 1."""
     g = edges(p).reshape(-1, 3)
     size = np.linalg.norm(g, axis=1)
-    k = np.argmax(g @ CORNERS.T, axis=1)
-    at = (_GRID + PATCH // 2 + 0.5) * 2 / PATCH - 0.5
-    at = np.clip(at, 0, 1)
+    k = (g[:, 0] < 0) * 4 + (g[:, 1] < 0) * 2 + (g[:, 2] < 0)
+    low = LOWER[(_GRID + PATCH // 2).astype(int)]
     out = np.zeros(64)
     for c in range(8):
         d = np.array([c & 1, c >> 1 & 1, c >> 2 & 1])
-        w = np.where(d, at, 1 - at).prod(axis=1) * size
+        w = np.where(d, 1 - low, low).prod(axis=1) * size
         np.add.at(out, ((d[2] * 2 + d[1]) * 2 + d[0]) * 8 + k, w)
     out -= out.min()
     n = np.linalg.norm(out)
@@ -208,6 +229,16 @@ def ranks(v: np.ndarray) -> np.ndarray:
     return out
 
 
+def random_pairs(count: int = 64, seed: int = 0, sigma: float | None = None) -> tuple[tuple[int, ...], ...]:
+    """Places for a descriptor of differences, by a rule: both uniform in the patch, or Gaussian about its middle."""
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < count:
+        p = rng.integers(0, PATCH, 6) if sigma is None else np.clip(np.rint(rng.normal(PATCH // 2, sigma, 6)), 0, PATCH - 1).astype(int)
+        if (p[:3] != p[3:]).any():
+            out.append(tuple(p.tolist()))
+    return tuple(out)
+
+
 def pair_descriptor(p: np.ndarray, pairs: np.ndarray, how: str = "raw") -> np.ndarray:
     """Differences of a blurred patch at pairs of places [n, 2, 3] (x, y, z): raw, by sign, or over the whole distance."""
     b = blurred(p, 0.95)
@@ -220,8 +251,12 @@ def pair_descriptor(p: np.ndarray, pairs: np.ndarray, how: str = "raw") -> np.nd
 def keypoints(v: np.ndarray, opt: Options = Options()) -> list[tuple]:
     """(x, y, z, scale, frame, eigenvalues, info, ranks) of a volume [z, y, x], over its octaves."""
     k, out, octave = 2 ** (1 / 3), [], 0
-    first = 0.5 / opt.scale
-    v = blurred(v.astype(float), np.sqrt(max(SIGMA**2 - first**2, 1e-6)))
+    v = v.astype(float)
+    if opt.size == 0.5:
+        v = pooled(v)
+    for axis in range(3) if opt.size == 2 else ():
+        v = doubled(v, axis)
+    v = blurred(v, np.sqrt(max(SIGMA**2 - (0.5 * max(opt.size, 1.0)) ** 2, 1e-6)))
     while min(v.shape) > 2:
         sigmas = [SIGMA * k**j for j in range(LEVELS)]
         g = [v]
@@ -233,7 +268,8 @@ def keypoints(v: np.ndarray, opt: Options = Options()) -> list[tuple]:
             for z, y, x, top in candidates(low, mid, high):
                 at = np.array([vertex((c - 1, c, c + 1), f) + 0.5 for c, f in ((x, mid[z, y, x - 1 : x + 2]), (y, mid[z, y - 1 : y + 2, x]), (z, mid[z - 1 : z + 2, y, x]))])
                 scale = 2 * vertex(tuple(sigmas[j - 1 : j + 2]), (low[z, y, x], mid[z, y, x], high[z, y, x]))
-                out += [(*(at * 2**octave), scale * 2**octave, *rest) for rest in _described(g[j], at, scale, MAXIMUM * top, opt)]
+                unit = 2**octave / opt.size
+                out += [(*(at * unit), scale * unit, *rest) for rest in _described(g[j], at, scale, MAXIMUM * top, opt)]
         v = pooled(g[3])
         octave += 1
     return out
@@ -247,22 +283,28 @@ def _described(img: np.ndarray, at: np.ndarray, scale: float, info: int, opt: Op
     e, axes = tensor(p)
     if opt.eigen >= 0 and not e.sum() ** 3 < opt.eigen * e.prod():
         return []
-    out = [(axes, e, info, ranks(descriptor(p)))]
+    numbers = lambda p: descriptor(p) if opt.descriptor == "histogram" else pair_descriptor(p, np.array(opt.pairs).reshape(-1, 2, 3), opt.descriptor)
+    out = [(axes, e, info, ranks(numbers(p)))]
     for f in frames(p) if opt.reoriented else []:
         turned = patch(img, at, scale, f, opt.edge)
         if turned is not None:
-            out.append((f, e, info | REORIENTED, ranks(descriptor(unit_patch(turned)))))
+            out.append((f, e, info | REORIENTED, ranks(numbers(unit_patch(turned)))))
     return out
 
 
 _SCHEMA = "image_id string, feat_id long, x float, y float, z float, scale float, ori array<array<float>>, eigs array<float>, info int, pc array<float>"
 
 
-def extract(vols: DataFrame, opt: Options = Options()) -> DataFrame:
-    """Features of every volume of (vol, z, y, x, v); voxels that are missing are 0. Octaves end at two voxels a side."""
+def extract(vols: DataFrame, opt: Options = Options(), most: int = 1 << 27) -> DataFrame:
+    """Features of every volume of (vol, z, y, x, v); voxels that are missing are 0. Octaves end at two voxels a side.
+
+    A volume is one task's turn, with all octaves: about 100 bytes a voxel. One of more than `most` voxels is an error.
+    """
 
     def one(t: pa.Table) -> pa.Table:
         z, y, x = (t.column(c).to_numpy() for c in "zyx")
+        if (int(z.max()) + 1) * (int(y.max()) + 1) * (int(x.max()) + 1) > most:
+            raise ValueError(f"{t.column('vol')[0].as_py()}: over {most} voxels")
         arr = np.zeros((z.max() + 1, y.max() + 1, x.max() + 1))
         arr[z, y, x] = t.column("v").to_numpy()
         name, rows = t.column("vol")[0].as_py(), keypoints(arr, opt)
@@ -271,4 +313,17 @@ def extract(vols: DataFrame, opt: Options = Options()) -> DataFrame:
         arrays = [pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), *[pa.array([float(c) for c in cols[i]], f4) for i in range(4)], pa.array([o.tolist() for o in cols[4]], pa.list_(pa.list_(f4))), pa.array([e.tolist() for e in cols[5]], pa.list_(f4)), pa.array([int(i) for i in cols[6]], pa.int32()), pa.array([d.tolist() for d in cols[7]], pa.list_(f4))]
         return pa.table(arrays, names=["image_id", "feat_id", "x", "y", "z", "scale", "ori", "eigs", "info", "pc"])
 
-    return vols.select("vol", "z", "y", "x", F.col("v").cast("double").alias("v")).groupBy("vol").applyInArrow(one, _SCHEMA)
+    out = vols.select("vol", "z", "y", "x", F.col("v").cast("double").alias("v")).groupBy("vol").applyInArrow(one, _SCHEMA)
+    if opt.affine is None:
+        return out
+    moved = world(out, [list(r) for r in opt.affine])
+    return moved.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in out.schema])
+
+
+def extract_world(vols: DataFrame, dims: tuple[int, int, int], spacing: tuple[float, float, float], affine: list[list[float]], opt: Options = Options()) -> DataFrame:
+    """Features in world coordinates: the volumes, of one shape and spacing (z, y, x), are resampled to cubic voxels of the
+    least spacing, and the affine, whose columns stand for x, y, z, is rescaled to these."""
+    cubic, _ = resample_isotropic(vols, dims, spacing)
+    share = [min(spacing) / d for d in spacing[::-1]]
+    rows = tuple(tuple(v * k for v, k in zip(r, [*share, 1.0], strict=True)) for r in affine)
+    return extract(cubic, replace(opt, affine=rows))

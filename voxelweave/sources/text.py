@@ -71,7 +71,7 @@ def feature_files(feats: DataFrame, limit: float = -1.0) -> DataFrame:
         head = f"{BINARY}\nFeatures: {len(pdf)}\n".encode()
         return pd.DataFrame({"vol": [key[0]], "content": [head + out.tobytes()]})
 
-    return eigen_ratio(feats, limit).select(F.col("image_id").alias("vol"), *cols).groupBy("vol").applyInPandas(one, "vol string, content binary")
+    return eigen_ratio(feats, limit).select(F.col("image_id").cast("string").alias("vol"), *cols).groupBy("vol").applyInPandas(one, "vol string, content binary")
 
 
 def read_feature_files(spark: SparkSession, path: str) -> DataFrame:
