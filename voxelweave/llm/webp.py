@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import struct
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 
@@ -66,9 +67,9 @@ def codes_of(lengths: np.ndarray) -> np.ndarray:
     """Canonical codes of the lengths, their bits reversed, as they go into a stream that starts at the low bits."""
     out = np.zeros(len(lengths), np.int64)
     used = np.flatnonzero(lengths)
-    if not len(used):
+    if len(used) < 2:  # a symbol alone has code 0
         return out
-    order = used[np.lexsort((used, lengths[used]))]
+    order = used[np.argsort(lengths[used], kind="stable")]
     n = lengths[order]
     top = int(n.max())
     first = np.cumsum(1 << (top - n)) - (1 << (top - n))  # left-aligned to `top` bits
@@ -76,13 +77,19 @@ def codes_of(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=16)
+def _flipped(bits: int) -> np.ndarray:
+    """Every number of so many bits with its bits in reverse."""
+    return FLIPPED[: 1 << bits] >> (16 - bits)
+
+
 class Table:
     """Decodes a prefix code by its next `bits` bits: symbol and length of each."""
 
     def __init__(self, lengths: np.ndarray):
         lengths = np.asarray(lengths)
         used = np.flatnonzero(lengths)
-        self.bits = 0
+        self.bits, self._lists = 0, None
         if len(used) <= 1:
             self.symbol, self.length = np.array([used[0] if len(used) else 0]), np.zeros(1, np.int64)
             return
@@ -90,12 +97,16 @@ class Table:
         if (1 / 2.0**n).sum() != 1:
             raise ValueError("not a complete prefix code")
         self.bits = top = int(n.max())
-        self.symbol, self.length = np.zeros(1 << top, np.int64), np.zeros(1 << top, np.int64)
-        codes = codes_of(lengths)
-        for s in used.tolist():
-            k = int(lengths[s])
-            self.symbol[codes[s] :: 1 << k] = s
-            self.length[codes[s] :: 1 << k] = k
+        # canonical codes, left-aligned, count up by length and symbol: each takes 2^(top - length) places in a row
+        order = np.argsort(n, kind="stable")
+        rank = np.repeat(order, 1 << (top - n[order]))[_flipped(top)]
+        self.symbol, self.length = used[rank], n[rank]
+
+    def lists(self) -> tuple[list[int], list[int]]:
+        """symbol and length, for those who look up one at a time."""
+        if self._lists is None:
+            self._lists = self.symbol.tolist(), self.length.tolist()
+        return self._lists
 
 
 class Bits:
@@ -114,12 +125,12 @@ class Bits:
     def symbol(self, t: Table) -> int:
         if not t.bits:
             return int(t.symbol[0])
-        lo = self.at
+        lo, (symbol, length) = self.at, t.lists()
         k = int.from_bytes(self.data[lo >> 3 : (lo >> 3) + 3], "little") >> (lo & 7) & (1 << t.bits) - 1
-        self.at += int(t.length[k])
+        self.at += length[k]
         if self.at > 8 * len(self.data):
             raise ValueError("the stream ends early")
-        return int(t.symbol[k])
+        return symbol[k]
 
 
 class Writer:
@@ -154,25 +165,26 @@ def pack(values: np.ndarray, lengths: np.ndarray, head: Writer) -> bytes:
     return out[:size].tobytes()
 
 
+def _put_few(w: Writer, used: list[int]) -> None:
+    """Writes a prefix code of one or two symbols below 256, or of none."""
+    used = used or [0]
+    w.put(1, 1)
+    w.put(len(used) - 1, 1)
+    w.put(int(used[0] > 1), 1)
+    w.put(used[0], 8 if used[0] > 1 else 1)
+    if len(used) == 2:
+        w.put(used[1], 8)
+
+
 def _put_code(w: Writer, lengths: np.ndarray) -> None:
     """Writes a prefix code: as one or two symbols if it has no more, else by its lengths, runs of zeros shortened."""
     used = np.flatnonzero(lengths).tolist()
     if len(used) <= 2 and all(s < 256 for s in used):
-        used = used or [0]
-        w.put(1, 1)
-        w.put(len(used) - 1, 1)
-        w.put(int(used[0] > 1), 1)
-        w.put(used[0], 8 if used[0] > 1 else 1)
-        if len(used) == 2:
-            w.put(used[1], 8)
-        return
+        return _put_few(w, used)
     tokens: list[tuple[int, int, int]] = []
-    i, n = 0, len(lengths)
-    while i < n:
-        v, run = int(lengths[i]), 1
-        while i + run < n and lengths[i + run] == v:
-            run += 1
-        left = run
+    cuts = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(lengths)]
+    for i, z in zip(cuts, cuts[1:]):
+        v, left = int(lengths[i]), z - i
         if v == 0:
             while left >= 3:
                 k = min(left, 138)
@@ -187,19 +199,19 @@ def _put_code(w: Writer, lengths: np.ndarray) -> None:
                 tokens.append((16, k - 3, 2))
                 left -= k
             tokens += [(v, 0, 0)] * left
-        i += run
     meta = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
-    meta_codes = codes_of(meta)
+    codes, sizes = codes_of(meta).tolist(), meta.tolist()
     w.put(0, 1)
     w.put(15, 4)
     for s in LENGTH_ORDER:
-        w.put(int(meta[s]), 3)
+        w.put(sizes[s], 3)
     w.put(0, 1)
     alone = np.count_nonzero(meta) == 1
     for s, extra, bits in tokens:
         if not alone:
-            w.put(int(meta_codes[s]), int(meta[s]))
-        w.put(extra, bits)
+            w.put(codes[s], sizes[s])
+        if bits:
+            w.put(extra, bits)
 
 
 def _get_code(b: Bits, size: int) -> np.ndarray:
@@ -251,11 +263,21 @@ def _extra(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(s < 4, s + 1, ((2 + (s & 1)) << bits) + 1), bits
 
 
+@lru_cache(maxsize=64)
 def _near_distances(width: int) -> np.ndarray:
-    """The distance in scan order that each near distance code from 1 on stands for."""
+    """The distance in scan order that each near distance code from 1 on stands for. Not to be written to."""
     return np.array([0, *[max(1, dx + dy * width) for dx, dy in NEAR]], np.int64)
 
 
+def _twice(step: np.ndarray, end: int) -> np.ndarray:
+    """The bits that two steps in a row take, from each place before `end`; in blocks, so that indices take little."""
+    out = step.copy()
+    for lo in range(0, end, 1 << 18):
+        hi = min(end, lo + (1 << 18))
+        out[lo:hi] += step[np.arange(lo, hi) + step[lo:hi]]
+    return out
+
+
 def _greys(b: Bits, g: Table, dist: Table, n: int, width: int) -> np.ndarray:
     """n pixels of one varying channel that end the stream, in arrays: what a token that starts at any bit of the stream
     would take is found for all bits at once, then followed from token to token, and back-references are copied."""
@@ -263,31 +285,34 @@ def _greys(b: Bits, g: Table, dist: Table, n: int, width: int) -> np.ndarray:
     raw = np.frombuffer(b.data, np.uint8)[lo:]
     d = np.concatenate([raw, np.zeros(12, np.uint8)]).astype(np.uint32)
     w = d[:-3] | d[1:-2] << np.uint32(8) | d[2:-1] << np.uint32(16) | d[3:] << np.uint32(24)
-    mask, size, end = np.uint32((1 << g.bits) - 1), g.length.astype(np.uint8), 8 * len(raw)
+    mask, end = np.uint32((1 << g.bits) - 1), 8 * len(raw)
     at_bit = lambda p: w[p >> 3] >> (p & 7).astype(np.uint32)
-    step, refs = np.empty((len(raw), 8), np.uint8), None
-    many = g.symbol.max() >= 256
-    found = np.empty((len(raw), 8), bool) if many else None
+    # a token's bits, 15 at most, and 128 more for a reference; nothing moves beyond the end
+    size = (g.length + 128 * (g.symbol >= 256)).astype(np.uint8)
+    step = np.zeros(end + 256, np.uint8)
     for s in range(8):
-        k = w[: len(raw)] >> np.uint32(s) & mask
-        step[:, s] = size[k]
-        if many:
-            found[:, s] = (g.symbol >= 256)[k]
-    if many:
-        p = np.flatnonzero(found)
+        step[s:end:8] = size[w[: len(raw)] >> np.uint32(s) & mask]
+    p = np.flatnonzero(step & 128)
+    if len(p):
         k = at_bit(p) & mask
         long = g.length[k] + _extra(g.symbol[k] - 256)[1]
         j = at_bit(p + long) & np.uint32((1 << dist.bits) - 1)
-        step.reshape(-1)[p] = long + dist.length[j] + _extra(dist.symbol[j])[1]
-    jump = step.tobytes()
-    p, at, left = skip, [], n
+        step[p] = long + dist.length[j] + _extra(dist.symbol[j])[1]
+    # no token has over 15 + 10 + 15 + 18 bits, so four at once stay below 256
+    two = _twice(step, end)
+    jump, p, at, left = _twice(two, end).tobytes(), skip, [], n
     add = at.append
     # every token is a pixel at least; those beyond the image are cut off below
-    while p < end and left:
+    while p < end and left > 0:
         add(p)
         p += jump[p]
-        left -= 1
-    pos = np.array(at, np.int64)
+        left -= 4
+    pos = np.empty((len(at), 4), np.int64)
+    pos[:, 0] = at
+    pos[:, 2] = pos[:, 0] + two[pos[:, 0]]
+    pos[:, 1::2] = pos[:, ::2] + step[pos[:, ::2]]
+    pos = pos.ravel()
+    pos = pos[pos < end][:n]
     k = at_bit(pos) & mask
     sym = g.symbol[k]
     refs = np.flatnonzero(sym >= 256)
@@ -300,7 +325,7 @@ def _greys(b: Bits, g: Table, dist: Table, n: int, width: int) -> np.ndarray:
     last = int(np.searchsorted(upto, n))
     if last >= len(upto) or upto[last] != n:
         raise ValueError("the stream ends early, or a back-reference outside the image")
-    b.at = (lo << 3) + at[last] + jump[at[last]]
+    b.at = (lo << 3) + int(pos[last]) + int(step[pos[last]])
     if b.at > 8 * len(b.data):
         raise ValueError("the stream ends early")
     refs = refs[refs <= last]
@@ -589,9 +614,7 @@ def _put_greys(w: Writer, flat: np.ndarray, width: int, main: bool, refs: bool)
     apart = code_lengths(np.bincount(ds, minlength=ALPHABETS[4]))
     _put_code(w, lengths)
     for v in (int(flat[0]) >> 16 & 255, int(flat[0]) & 255, int(flat[0]) >> 24 & 255):
-        one = np.zeros(256, np.int64)
-        one[v] = 1
-        _put_code(w, one)
+        _put_few(w, [v])
     _put_code(w, apart)
     # a code alone in its alphabet takes no bits
     lengths, apart = (np.where(np.count_nonzero(x) > 1, x, 0) for x in (lengths, apart))
