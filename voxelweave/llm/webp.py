@@ -6,12 +6,15 @@ import heapq
 import struct
 from collections.abc import Sequence
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 
-#: Fixed values of the format: the order of code-length code lengths, the alphabets' sizes, the near distances' offsets.
+#: Fixed values of the format: the order of code-length code lengths, the alphabets' sizes, the least runs and extra bits of
+#: repeated code lengths, the near distances' offsets.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 ALPHABETS = (256 + 24, 256, 256, 256, 40)
+REPEATS = ((3, 2), (3, 3), (11, 7))
 NEAR = (
     (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2),
     (0, 3), (3, 0), (1, 3), (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3), (3, 2), (-3, 2), (0, 4), (4, 0),
@@ -41,7 +44,7 @@ def code_lengths(counts: np.ndarray, most: int = 12) -> np.ndarray:
         return out
     c = counts[used].astype(np.int64)
     while True:
-        heap = [(int(n), i) for i, n in enumerate(c)]
+        heap = list(zip(c.tolist(), range(len(used))))
         heapq.heapify(heap)
         up, at = [0] * (2 * len(used) - 1), len(used)
         while len(heap) > 1:
@@ -65,16 +68,16 @@ FLIPPED = sum((np.arange(1 << 16) >> b & 1) << (15 - b) for b in range(16))
 
 def codes_of(lengths: np.ndarray) -> np.ndarray:
     """Canonical codes of the lengths, their bits reversed, as they go into a stream that starts at the low bits."""
-    out = np.zeros(len(lengths), np.int64)
-    used = np.flatnonzero(lengths)
-    if len(used) < 2:  # a symbol alone has code 0
-        return out
-    order = used[np.argsort(lengths[used], kind="stable")]
-    n = lengths[order]
-    top = int(n.max())
-    first = np.cumsum(1 << (top - n)) - (1 << (top - n))  # left-aligned to `top` bits
-    out[order] = FLIPPED[first >> (top - n)] >> (16 - n)
-    return out
+    n = lengths.tolist()
+    out, code, last = [0] * len(n), 0, 0
+    used = [s for s, k in enumerate(n) if k]
+    if len(used) > 1:  # a symbol alone has code 0
+        for s in sorted(used, key=n.__getitem__):
+            code <<= n[s] - last
+            last = n[s]
+            out[s] = code << (16 - last)
+            code += 1
+    return FLIPPED[out]
 
 
 @lru_cache(maxsize=16)
@@ -94,13 +97,15 @@ class Table:
             self.symbol, self.length = np.array([used[0] if len(used) else 0]), np.zeros(1, np.int64)
             return
         n = lengths[used]
-        if (1 / 2.0**n).sum() != 1:
-            raise ValueError("not a complete prefix code")
         self.bits = top = int(n.max())
         # canonical codes, left-aligned, count up by length and symbol: each takes 2^(top - length) places in a row
         order = np.argsort(n, kind="stable")
-        rank = np.repeat(order, 1 << (top - n[order]))[_flipped(top)]
-        self.symbol, self.length = used[rank], n[rank]
+        n = n[order]
+        places = 1 << (top - n)
+        if int(places.sum()) != 1 << top:
+            raise ValueError("not a complete prefix code")
+        both = np.repeat(used[order] << 4 | n, places)[_flipped(top)]
+        self.symbol, self.length = both >> 4, both & 15
 
     def lists(self) -> tuple[list[int], list[int]]:
         """symbol and length, for those who look up one at a time."""
@@ -150,19 +155,20 @@ class Writer:
 def pack(values: np.ndarray, lengths: np.ndarray, head: Writer) -> bytes:
     """head's bits and then the values' low bits, each of its length (22 at most), in a byte string."""
     ends = np.cumsum(lengths)
-    start = ends - lengths + head.n
     total = head.n + (int(ends[-1]) if len(ends) else 0)
-    size = (total + 7) // 8
-    out = np.zeros(size + 4, np.uint8)
-    first = np.frombuffer(head.bytes(), np.uint8)
-    out[: len(first)] = first
-    at, v = start >> 3, values << (start & 7)
-    for k in range(3):
-        # the bits of one byte don't overlap: their sum is their union
-        out[k : k + size + 1] += np.bincount(at, weights=v >> (8 * k) & 255, minlength=size + 1)[: size + 1].astype(np.uint8)
-    if len(v) and int(lengths.max()) > 17:
-        out[3 : 3 + size + 1] += np.bincount(at, weights=v >> 24 & 255, minlength=size + 1)[: size + 1].astype(np.uint8)
-    return out[:size].tobytes()
+    words = np.zeros((total >> 6) + 2, np.uint64)
+    if len(values):
+        start = ends - lengths + head.n
+        word, shift, v = start >> 6, (start & 63).astype(np.uint64), values.astype(np.uint64)
+        # the bits that start in one word of 64 don't overlap; a word's last value may go on in the next one
+        first = np.concatenate(([0], np.flatnonzero(word[1:] != word[:-1]) + 1))
+        words[word[first]] = np.bitwise_or.reduceat(v << shift, first)
+        last = np.append(first[1:], len(v)) - 1
+        words[word[last] + 1] |= v[last] >> np.uint64(1) >> (np.uint64(63) - shift[last])
+    out = words.astype("<u8").view(np.uint8)[: (total + 7) // 8]
+    front = np.frombuffer(head.bytes(), np.uint8)
+    out[: len(front)] |= front
+    return out.tobytes()
 
 
 def _put_few(w: Writer, used: list[int]) -> None:
@@ -182,15 +188,13 @@ def _put_code(w: Writer, lengths: np.ndarray) -> None:
     if len(used) <= 2 and all(s < 256 for s in used):
         return _put_few(w, used)
     tokens: list[tuple[int, int, int]] = []
-    cuts = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(lengths)]
-    for i, z in zip(cuts, cuts[1:]):
-        v, left = int(lengths[i]), z - i
+    for v, same in groupby(lengths.tolist()):
+        left = len(list(same))
         if v == 0:
             while left >= 3:
                 k = min(left, 138)
                 tokens.append((17, k - 3, 3) if k <= 10 else (18, k - 11, 7))
                 left -= k
-            tokens += [(0, 0, 0)] * left
         else:
             tokens.append((v, 0, 0))
             left -= 1
@@ -198,7 +202,7 @@ def _put_code(w: Writer, lengths: np.ndarray) -> None:
                 k = min(left, 6)
                 tokens.append((16, k - 3, 2))
                 left -= k
-            tokens += [(v, 0, 0)] * left
+        tokens += [(v, 0, 0)] * left
     meta = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
     codes, sizes = codes_of(meta).tolist(), meta.tolist()
     w.put(0, 1)
@@ -206,12 +210,13 @@ def _put_code(w: Writer, lengths: np.ndarray) -> None:
     for s in LENGTH_ORDER:
         w.put(sizes[s], 3)
     w.put(0, 1)
-    alone = np.count_nonzero(meta) == 1
+    if np.count_nonzero(meta) == 1:  # a code alone takes no bits
+        sizes = [0] * 19
+    value = n = 0
     for s, extra, bits in tokens:
-        if not alone:
-            w.put(codes[s], sizes[s])
-        if bits:
-            w.put(extra, bits)
+        value |= (codes[s] | extra << sizes[s]) << n
+        n += sizes[s] + bits
+    w.put(value, n)
 
 
 def _get_code(b: Bits, size: int) -> np.ndarray:
@@ -225,25 +230,39 @@ def _get_code(b: Bits, size: int) -> np.ndarray:
         out[s] = 1
         return out
     meta = np.zeros(19, np.int64)
-    for s in LENGTH_ORDER[: 4 + b.read(4)]:
-        meta[s] = b.read(3)
+    some = LENGTH_ORDER[: 4 + b.read(4)]
+    each = b.read(3 * len(some))
+    meta[list(some)] = [each >> 3 * k & 7 for k in range(len(some))]
     table = Table(meta)
     most = size if not b.read(1) else 2 + b.read(2 + 2 * b.read(3))
-    i, last = 0, 8
+    symbol, length = table.lists()
+    mask, i, last, got = (1 << table.bits) - 1, 0, 8, [0] * size
+    # the bits to come as one number: a symbol takes 14 at most
+    lo, at = b.at, 0
+    v = int.from_bytes(b.data[lo >> 3 : (lo >> 3) + 2 * size + 2], "little") >> (lo & 7)
     while i < size and most > 0:
         most -= 1
-        s = b.symbol(table)
+        k = v & mask
+        s, n = symbol[k], length[k]
         if s < 16:
-            out[i] = s
+            got[i] = s
             last = s or last
             i += 1
-            continue
-        run, v = (3 + b.read(2), last) if s == 16 else (3 + b.read(3), 0) if s == 17 else (11 + b.read(7), 0)
-        if i + run > size:
-            raise ValueError("code lengths beyond the alphabet")
-        out[i : i + run] = v
-        i += run
-    return out
+        else:
+            least, bits = REPEATS[s - 16]
+            run = least + (v >> n & (1 << bits) - 1)
+            n += bits
+            if i + run > size:
+                raise ValueError("code lengths beyond the alphabet")
+            if s == 16:
+                got[i : i + run] = [last] * run
+            i += run
+        v >>= n
+        at += n
+    b.at = lo + at
+    if b.at > 8 * len(b.data):
+        raise ValueError("the stream ends early")
+    return np.array(got, np.int64)
 
 
 # ------------------------------------------------------------------------------------------------------- pixels
@@ -257,10 +276,10 @@ def _prefixed(s: int, b: Bits) -> int:
     return ((2 + (s & 1)) << extra) + b.read(extra) + 1
 
 
-def _extra(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(least value, extra bits) of the prefix symbols of lengths and distances."""
-    bits = np.maximum(s - 2, 0) >> 1
-    return np.where(s < 4, s + 1, ((2 + (s & 1)) << bits) + 1), bits
+_SYMBOLS = np.arange(40)
+#: Least value and extra bits of each prefix symbol of lengths and distances.
+EXTRA_BITS = np.maximum(_SYMBOLS - 2, 0) >> 1
+EXTRA_BASE = np.where(_SYMBOLS < 4, _SYMBOLS + 1, ((2 + (_SYMBOLS & 1)) << EXTRA_BITS) + 1)
 
 
 @lru_cache(maxsize=64)
@@ -269,6 +288,14 @@ def _near_distances(width: int) -> np.ndarray:
     return np.array([0, *[max(1, dx + dy * width) for dx, dy in NEAR]], np.int64)
 
 
+@lru_cache(maxsize=64)
+def _near_order(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The near distances in order, and their codes. Not to be written to."""
+    near = _near_distances(width)
+    order = np.argsort(near[1:], kind="stable") + 1
+    return near[order], order
+
+
 def _twice(step: np.ndarray, end: int) -> np.ndarray:
     """The bits that two steps in a row take, from each place before `end`; in blocks, so that indices take little."""
     out = step.copy()
@@ -295,9 +322,9 @@ def _greys(b: Bits, g: Table, dist: Table, n: int, width: int) -> np.ndarray:
     p = np.flatnonzero(step & 128)
     if len(p):
         k = at_bit(p) & mask
-        long = g.length[k] + _extra(g.symbol[k] - 256)[1]
+        long = g.length[k] + EXTRA_BITS[g.symbol[k] - 256]
         j = at_bit(p + long) & np.uint32((1 << dist.bits) - 1)
-        step[p] = long + dist.length[j] + _extra(dist.symbol[j])[1]
+        step[p] = long + (dist.length + EXTRA_BITS[dist.symbol])[j]
     # no token has over 15 + 10 + 15 + 18 bits, so four at once stay below 256
     two = _twice(step, end)
     jump, p, at, left = _twice(two, end).tobytes(), skip, [], n
@@ -318,9 +345,10 @@ def _greys(b: Bits, g: Table, dist: Table, n: int, width: int) -> np.ndarray:
     refs = np.flatnonzero(sym >= 256)
     counts = np.ones(len(sym), np.int64)
     if len(refs):
-        base, bits = _extra(sym[refs] - 256)
+        which = sym[refs] - 256
+        bits = EXTRA_BITS[which]
         q = pos[refs] + g.length[k[refs]]
-        counts[refs] = base + (at_bit(q) & (1 << bits).astype(np.uint32) - np.uint32(1))
+        counts[refs] = EXTRA_BASE[which] + (at_bit(q) & (1 << bits).astype(np.uint32) - np.uint32(1))
     upto = np.cumsum(counts)
     last = int(np.searchsorted(upto, n))
     if last >= len(upto) or upto[last] != n:
@@ -331,10 +359,11 @@ def _greys(b: Bits, g: Table, dist: Table, n: int, width: int) -> np.ndarray:
     refs = refs[refs <= last]
     if not len(refs):
         return sym[: last + 1]
-    q = pos[refs] + g.length[k[refs]] + _extra(sym[refs] - 256)[1]
+    q = pos[refs] + g.length[k[refs]] + EXTRA_BITS[sym[refs] - 256]
     j = at_bit(q) & np.uint32((1 << dist.bits) - 1)
-    base, bits = _extra(dist.symbol[j])
-    far = base + (at_bit(q + dist.length[j]) & (1 << bits).astype(np.uint32) - np.uint32(1))
+    which = dist.symbol[j]
+    bits = EXTRA_BITS[which]
+    far = EXTRA_BASE[which] + (at_bit(q + dist.length[j]) & (1 << bits).astype(np.uint32) - np.uint32(1))
     near = _near_distances(width)
     far = np.where(far < len(near), near[np.minimum(far, len(near) - 1)], far - len(NEAR))
     if (far > upto[refs] - counts[refs]).any():
@@ -561,7 +590,8 @@ def references(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if len(g) <= LEAST:
         return none, none, none
-    w = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(g, LEAST)).view(np.uint64).ravel()
+    # the 8 bytes from each place on as a number
+    w = np.ndarray((len(g) - LEAST + 1,), np.uint64, g.tobytes(), 0, (1,)).copy()
     i = np.arange(len(w), dtype=np.uint64)
     # 40 bits of a hash and the place, at most 16000 rows of 576: equal windows in order of place
     placed = np.sort((w * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << 64) - (1 << 24)) | i)
@@ -569,29 +599,32 @@ def references(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     same = np.flatnonzero(placed[1:] >> np.uint64(24) == placed[:-1] >> np.uint64(24))
     to, back = at[same + 1], at[same]
     ok = (w[to] == w[back]) & (to - back <= FARTHEST)
-    far = np.zeros(len(w) + 1, np.int64)
-    far[to[ok]] = (to - back)[ok]
-    cuts = np.flatnonzero(np.diff(far, prepend=0))
-    runs = cuts[:-1][far[cuts[:-1]] > 0] if len(cuts) else none
-    ends = cuts[1:][far[cuts[:-1]] > 0] + LEAST - 1 if len(cuts) else none
-    out, p = [], 0
-    for a, z, d in zip(runs.tolist(), ends.tolist(), far[runs].tolist(), strict=True):
-        a = max(a, p)
-        if z - a >= LEAST:
+    # one zero more at both ends, so that every run is between two cuts
+    far = np.zeros(len(w) + 2, np.int64)
+    far[to[ok] + 1] = (to - back)[ok]
+    cuts = np.flatnonzero(far[1:] != far[:-1])
+    value = far[cuts[:-1] + 1] if len(cuts) else none
+    runs = np.flatnonzero(value)
+    starts, sizes, fars, p = [], [], [], 0
+    for a, z, d in zip(cuts[runs].tolist(), (cuts[runs + 1] + LEAST - 1).tolist() if len(runs) else [], value[runs].tolist(), strict=True):
+        if a < p:
+            a = p
+        n = z - a
+        if n >= LEAST:
             p = z
-            while z - a > 4096:
-                out.append((a, 4096, d))
+            while n > 0:
+                starts.append(a)
+                sizes.append(min(n, 4096))
+                fars.append(d)
                 a += 4096
-            if z > a:
-                out.append((a, z - a, d))
-    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
+                n -= 4096
+    return np.array(starts, np.int64), np.array(sizes, np.int64), np.array(fars, np.int64)
 
 
 def _prefix_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbol, extra value, extra bits) of lengths or distance codes from 1 on."""
-    top = np.floor(np.log2(np.maximum(v - 1, 1))).astype(np.int64)
-    bits = np.where(v <= 4, 0, top - 1)
-    return np.where(v <= 4, v - 1, 2 * top + ((v - 1) >> np.maximum(top - 1, 0) & 1)), (v - 1) & (1 << bits) - 1, bits
+    symbol = np.searchsorted(EXTRA_BASE, v, side="right") - 1
+    return symbol, v - EXTRA_BASE[symbol], EXTRA_BITS[symbol]
 
 
 def _put_greys(w: Writer, flat: np.ndarray, width: int, main: bool, refs: bool) -> bytes:
@@ -601,14 +634,13 @@ def _put_greys(w: Writer, flat: np.ndarray, width: int, main: bool, refs: bool)
         w.put(0, 1)
     green = flat >> 8 & 255
     start, size, far = references(green.astype(np.uint8)) if refs else (np.zeros(0, np.int64),) * 3
-    near = _near_distances(width)
-    order = np.argsort(near[1:], kind="stable") + 1
-    hit = np.minimum(np.searchsorted(near[order], far), len(NEAR) - 1)
-    code = np.where(near[order][hit] == far, order[hit], far + len(NEAR))
+    near, order = _near_order(width)
+    hit = np.minimum(np.searchsorted(near, far), len(NEAR) - 1)
+    code = np.where(near[hit] == far, order[hit], far + len(NEAR))
     (ls, le, lb), (ds, de, db) = _prefix_of(size), _prefix_of(code)
     inside = np.zeros(len(green) + 1, np.int64)
-    np.add.at(inside, start, 1)
-    np.add.at(inside, start + size, -1)
+    inside[start] += 1  # no two start, and no two end, at one place
+    inside[start + size] -= 1
     plain = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
     lengths = code_lengths(np.bincount(green[plain], minlength=ALPHABETS[0]) + np.bincount(ls + 256, minlength=ALPHABETS[0]))
     apart = code_lengths(np.bincount(ds, minlength=ALPHABETS[4]))
@@ -620,11 +652,15 @@ def _put_greys(w: Writer, flat: np.ndarray, width: int, main: bool, refs: bool)
     lengths, apart = (np.where(np.count_nonzero(x) > 1, x, 0) for x in (lengths, apart))
     codes, dcodes = codes_of(lengths), codes_of(apart)
     # a plain pixel is one item, a reference four, in order of place
-    place = np.concatenate([4 * plain, *[4 * start + k for k in range(4)]])
-    value = np.concatenate([codes[green[plain]], codes[ls + 256], le, dcodes[ds], de])
-    bits = np.concatenate([lengths[green[plain]], lengths[ls + 256], lb, apart[ds], db])
-    order = np.argsort(place, kind="stable") if len(start) else slice(None)
-    return pack(value[order], bits[order], w)
+    item = 4 * np.arange(len(start)) + np.searchsorted(plain, start)
+    ours = (item[:, None] + np.arange(4)).ravel()
+    rest = np.ones(len(plain) + len(ours), bool)
+    rest[ours] = False
+    value, bits = np.empty((2, len(rest)), np.int64)
+    value[rest], bits[rest] = codes[green[plain]], lengths[green[plain]]
+    value[ours] = np.stack([codes[ls + 256], le, dcodes[ds], de], axis=1).ravel()
+    bits[ours] = np.stack([lengths[ls + 256], lb, apart[ds], db], axis=1).ravel()
+    return pack(value, bits, w)
 
 
 def _put_pixels(w: Writer, x: np.ndarray, width: int, main: bool, cache_bits: int = 0, refs: bool = False, tile: int = 0) -> bytes | None:
@@ -801,7 +837,10 @@ def _form(rows: np.ndarray) -> dict:
     if np.count_nonzero(counts) <= 16:
         return {"transforms": [PALETTE]}
     plain = _bits(counts)
-    left, up = (_bits(np.bincount(np.diff(rows, axis=k, prepend=np.uint8(0)).ravel(), minlength=256)) for k in (1, 0))
+    across, down = rows.copy(), rows.copy()
+    across[:, 1:] -= rows[:, :-1]
+    down[1:] -= rows[:-1]
+    left, up = (_bits(np.bincount(d.ravel(), minlength=256)) for d in (across, down))
     if min(left, up) < 0.9 * plain:
         return {"transforms": [PREDICTOR], "modes": np.array([1 if left <= up else 2]), "block": 9}
     return {}
@@ -834,5 +873,5 @@ def features(px: np.ndarray) -> str:
     v = np.arange(256)
     mean = float((n * v).sum()) / px.size
     dev = float(np.sqrt(max(0.0, float((n * v * v).sum()) / px.size - mean * mean)))
-    same = float((px[:, 1:] == px[:, :-1]).mean())
+    same = np.count_nonzero(px[:, 1:] == px[:, :-1]) / (px.shape[0] * (px.shape[1] - 1))
     return f"{px.shape[0]}x{px.shape[1]} mean={mean:.6f} dev={dev:.6f} entropy={float(-(p * np.log2(p)).sum()):.6f} same={same:.6f}"
