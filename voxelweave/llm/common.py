@@ -54,15 +54,21 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted at the driver's exit."""
+    path = f"{shared_dir(spark)}/voxelweave/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def spill(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors.
 
     The table is deleted at the driver's exit, or before by release().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/voxelweave/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     df.write.parquet(path)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._spilled_path = path
     return out

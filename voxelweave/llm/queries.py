@@ -97,7 +97,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_sentencepiece, op3_language_id, op4_line_dedup, op5_gru_lm, op6_top_k, op7_url_filters, op8_webp, op9_mixing, op10_sharding, url_aliases)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelweave.llm.common import fresh_path
+    from voxelweave.llm.digests import DigestIndex, exact_duplicates
+
+    index = DigestIndex(spark, fresh_path(spark, "digest-index"))
+    out = exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), index)
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelweave.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_sentencepiece, op3_language_id, op4_line_dedup, op5_gru_lm, op6_top_k, op7_url_filters, op8_webp, op9_mixing, op10_sharding, op11_exact_dedup, op12_source_divergence, url_aliases)}
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -171,4 +186,22 @@ c AS (SELECT doc_id, len(bytes) + 8 AS size, xor(list_reduce(bytes, lambda c, b:
 m AS (SELECT *, list_transform(range(25), lambda i: ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || i), 1, 13))::BIGINT) AS bids FROM c),
 o AS (SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, (list_position(bids[:24], list_max(bids[:24])) - 1)::INT AS shard, (list_position(bids, list_max(bids)) - 1)::INT AS grown_shard FROM m)
 SELECT doc_id, size, text_crc32, law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST, size, text_crc32, grown_shard) - 1 AS slot, grown_shard FROM o""",
+    "op11_exact_dedup": f"""
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), {_LETTERS})) AS h FROM documents),
+g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
+SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, h AS text_sha256 FROM d JOIN g USING (h)""",
+    "op12_source_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT lang, source, r, unnest(ts) AS term FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n, count(DISTINCT r) AS docs FROM t GROUP BY 1, 2, 3),
+k AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY 1, 2 HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM k GROUP BY lang),
+o AS (SELECT c.* FROM c JOIN k ON c.lang = k.lang AND c.term = k.term),
+g AS (SELECT x.lang, x.source, coalesce(sum(o.n), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN o ON x.lang = o.lang AND x.source = o.source GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(o.n, 0) + 1)) // (g.n + v.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 1)) // (v.n + v.v) AS q
+      FROM g JOIN k ON g.lang = k.lang JOIN v ON g.lang = v.lang LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::HUGEINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM u QUALIFY part = 'pair' OR rank <= 200""",
 }
