@@ -52,7 +52,7 @@ def term_counts(texts: DataFrame, most: int = ENTRIES, most_bytes: int = BYTES)
 
         def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, docs) in held.items():
-                cols = [pa.array([lang] * len(n)), pa.array([source] * len(n)), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in n], pa.int64())]
+                cols = [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in n], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["lang", "source", "term", "n", "docs"])
 
         for b in batches:
