@@ -1,5 +1,7 @@
 """Matching, voting, points, formats and the driver's contract."""
 
+import math
+
 import numpy as np
 
 from voxelweave.functions import vectors as V
@@ -60,9 +62,9 @@ def test_second_neighbour_is_another_structure(spark):
     rows = [(i, 1, [0.1 * i, 0.0], 5.0 + 0.01 * i, 5.0, 5.0, 1.0, eye) for i in range(1, 6)] + [(6, 1, [2.0, 0.0], 50.0, 5.0, 5.0, 1.0, eye)]
     t = spark.createDataFrame(rows, "id long, grp long, pc array<double>, x double, y double, z double, scale double, ori array<array<double>>")
     q = spark.createDataFrame([(9, 2, [0.0, 0.0])], "id long, grp long, pc array<double>")
-    got = M.apart(q, t, k=2).first()
+    got = M.apart(q, t).first()
     assert (got.t, round(got.d, 6), round(got.second, 6), round(got.ratio, 6)) == (1, 0.01, 4.0, 0.0025)
-    alone = M.apart(q, t.filter("id < 6"), k=2).first()
+    alone = M.apart(q, t.filter("id < 6")).first()
     assert alone.t == 1 and alone.second is None and alone.ratio is None
 
 
@@ -270,3 +272,72 @@ def test_registry():
 
     q, s = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert len(q) > 70 and set(s) <= set(q)
+
+
+def test_votes_reach_the_thresholds(spark):
+    """Scales up to a factor of e, places up to two scales away, axes up to a cosine of 0.7: votes within, none beyond."""
+    def frame(angle):
+        c, s = math.cos(angle), math.sin(angle)
+        return [[c, s, 0.0], [-s, c, 0.0], [0.0, 0.0, 1.0]]
+
+    eye = frame(0.0)
+    at = [(0, 1.0, 0.0, eye), (1, 2.5, 0.0, eye), (2, 2.8, 0.0, eye), (3, 1.0, 1.5, eye), (4, 1.0, 2.1, eye), (5, 1.0, 0.0, frame(math.acos(0.72))), (6, 1.0, 0.0, frame(math.acos(0.68)))]
+    corr = spark.createDataFrame([("p", i, 1.0, s, [10.0 * i, 0.0, 0.0], [10.0 * i + d, 0.0, 0.0], eye, o) for i, s, d, o in at], "pair string, id long, s0 double, s1 double, p0 array<double>, p1 array<double>, o0 array<array<double>>, o1 array<array<double>>")
+    votes = {r["corr"] for r in M.hough(corr, ["pair"]).filter("hyp = 0").collect()}
+    assert votes == {0, 1, 3, 5}
+    best = spark.createDataFrame([("p", 0)], "pair string, hyp long")
+    assert {r["corr"] for r in M.inliers(corr, best, ["pair"]).collect()} == votes
+
+
+def test_zones_rule_out_most_of_clustered_targets(spark):
+    """Equal to brute force with every rule, ties and repeats among them; most pairs of clustered rows are not measured."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(12, 6)) * 8
+    vecs = np.round(centres[rng.integers(12, size=900)] + rng.normal(size=(900, 6)) * 0.4, 1)
+    vecs[:200] = vecs[0]  # very many equal ones
+    rows = [(i, i % 5, vecs[i].tolist()) for i in range(900)]
+    odd = [(1000, 1, None), (1001, 1, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1002, 1, [float("nan")] * 6), (1003, None, [0.0] * 6), (None, 1, [0.0] * 6), (1004, 1, [float("inf")] * 6)]
+    df = spark.createDataFrame(rows + odd, "id long, grp long, pc array<double>").repartition(3)
+    ids, grp = np.arange(900), np.arange(900) % 5
+    d = ((vecs[:, None] - vecs[None]) ** 2).sum(axis=2)
+    for other, allowed in ((True, grp[:, None] != grp[None]), (False, ids[:, None] != ids[None]), (None, grp[:, None] == grp[None])):
+        met = M.KNN.Met()
+        got = {(r.q, r.rank): (r.t, r.d) for r in M.nearest(df, df, 4, other, rows=64, met=met).collect()}
+        assert len(got) == 3600
+        for q in range(900):
+            own = np.where(allowed[q], d[q], np.inf)
+            for rank, t in enumerate(np.lexsort((ids, own))[:4], 1):
+                assert got[q, rank][0] == t and math.isclose(got[q, rank][1], own[t], abs_tol=1e-12)
+        if other is not None:
+            assert met.rounds >= 2 and met.skipped > 0.5, met
+
+
+def test_zones_where_few_targets_are_allowed(spark):
+    """A query whose group holds all but a few far targets goes on, round by round, until it has them."""
+    rng = np.random.default_rng(2)
+    vecs = np.r_[rng.normal(size=(400, 3)), rng.normal(size=(3, 3)) + 90]
+    df = spark.createDataFrame([(i, int(i >= 400), v.tolist()) for i, v in enumerate(vecs)], "id long, grp long, pc array<double>")
+    got = M.nearest(df.filter("id < 20"), df, 5, rows=32).groupBy("q").count().collect()
+    assert [r["count"] for r in got] == [3] * 20
+
+
+def test_second_neighbour_by_zones(spark):
+    """apart() with zones against brute force: most neighbours are compatible with the first."""
+    rng = np.random.default_rng(8)
+    n = 300
+    spot, scale = rng.integers(0, 12, n), rng.uniform(1.0, 1.2, n)
+    place = rng.normal(size=(12, 3))[spot] * 50 + rng.normal(size=(n, 3)) * 0.1
+    vecs = spot[:, None] * 3.0 + rng.normal(size=(n, 4))
+    eye = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    df = spark.createDataFrame([(i, i % 3, vecs[i].tolist(), *place[i].tolist(), float(scale[i]) if i else None, eye) for i in range(n)], "id long, grp long, pc array<double>, x double, y double, z double, scale double, ori array<array<double>>")
+    for rows in (16, 2048):
+        got = {r.q: r for r in M.apart(df, df, rows=rows).collect()}
+        assert len(got) == n
+        for q in range(n):
+            d = np.where(np.arange(n) % 3 == q % 3, np.inf, ((vecs - vecs[q]) ** 2).sum(axis=1))
+            t = int(d.argmin())
+            far = (np.abs(np.log(scale / scale[t])) >= M.SAME[0]) | (np.sqrt(((place - place[t]) ** 2).sum(axis=1)) >= M.SAME[1] * scale)
+            far &= (np.arange(n) != 0) & (t != 0)  # the first has no scale, so no whole place
+            second = np.where(far, d, np.inf).min()
+            assert got[q].t == t and math.isclose(got[q].d, d[t])
+            assert (got[q].second is None) == (not np.isfinite(second)) and (got[q].second is None or math.isclose(got[q].second, second))

@@ -134,9 +134,9 @@ def best_matches(spark, d):
 n AS (SELECT a.feat_id AS q, b.feat_id AS t, list_sum(list_transform(range(1, 65), lambda i: (a.pc[i] - b.pc[i]) * (a.pc[i] - b.pc[i]))) AS d FROM t a JOIN t b ON a.image_id <> b.image_id)
 SELECT q, t, d, row_number() OVER (PARTITION BY q ORDER BY d, t)::INT AS rank FROM n QUALIFY rank <= 5""")
 def knn_ties(spark, d):
-    """Descriptors of few levels, so that many distances tie; the lower id goes first."""
+    """Descriptors of few levels, so that many distances tie; the lower id goes first. Small blocks give small tables zones."""
     x = descriptors(spark, d).select(F.col("feat_id").alias("id"), F.col("image_id").cast("long").alias("grp"), F.transform("pc", lambda e: F.round(10 * e.cast("double"))).alias("pc"))
-    return M.nearest(x, x, 5).select("q", "t", "d", "rank")
+    return M.nearest(x, x, 5, rows=128).select("q", "t", "d", "rank")
 
 
 @query(f"WITH {_D} SELECT a.feat_id AS feat_id, b.feat_id AS next_id, round(power(list_distance(a.pc[1:16]::DOUBLE[], b.pc[1:16]::DOUBLE[]), 2), 6) + 0.0 AS d16, round({_DIST}, 6) + 0.0 AS d64 FROM d a JOIN d b ON b.feat_id = a.feat_id + 1")
@@ -217,7 +217,7 @@ _CORR = f"""{_F}, c AS (SELECT a.feat_id AS id, a.x, a.y, a.z, a.scale AS s0, a.
  -1.5 * CASE WHEN a.feat_id % 10 < 3 THEN b.y ELSE a.y END + 10 AS u, 1.5 * CASE WHEN a.feat_id % 10 < 3 THEN b.x ELSE a.x END - 5 AS v, 1.5 * CASE WHEN a.feat_id % 10 < 3 THEN b.z ELSE a.z END + 2 AS w
  FROM f a JOIN f b ON b.feat_id = a.feat_id + 7), k AS (SELECT h.id AS hyp, j.id AS corr, h.s1 / h.s0 AS hs, h.eye = j.eye AS turn, j.s0, j.s1,
  h.u + h.s1 / h.s0 * CASE WHEN h.eye THEN j.x - h.x ELSE -(j.y - h.y) END - j.u AS du, h.v + h.s1 / h.s0 * CASE WHEN h.eye THEN j.y - h.y ELSE j.x - h.x END - j.v AS dv, h.w + h.s1 / h.s0 * (j.z - h.z) - j.w AS dw FROM c h CROSS JOIN c j),
- i AS (SELECT hyp, corr FROM k WHERE turn AND du * du + dv * dv + dw * dw < s1 * s1 AND abs(ln(s0 * hs / s1)) < 0.6931471805599453), n AS (SELECT hyp, count(*) AS inliers FROM i GROUP BY hyp)"""
+ i AS (SELECT hyp, corr FROM k WHERE turn AND du * du + dv * dv + dw * dw < 4 * s1 * s1 AND abs(ln(s0 * hs / s1)) < 1), n AS (SELECT hyp, count(*) AS inliers FROM i GROUP BY hyp)"""
 
 
 @query(f"WITH {_CORR} SELECT hyp, inliers FROM n")
@@ -236,14 +236,11 @@ def hough_inliers(spark, d):
     return M.inliers(c, M.best_hypothesis(M.hough(c, ["pair"], count=True), ["pair"]), ["pair"]).select("corr")
 
 
-_VOTE_PAIRS = f"{_CORR} SELECT hyp, corr FROM i"
-
-
-@query(f"WITH {_VOTE_PAIRS} WHERE hyp % 10 = 4 AND corr % 10 = 4")
+@query(f"WITH {_CORR} SELECT corr, count(*) AS supporters, min(hyp) AS first, max(hyp) AS last, sum(hyp)::BIGINT AS total FROM i GROUP BY corr")
 def hough_pairs(spark, d):
-    """The votes one by one, among the correspondences of every tenth feature that are true."""
-    c = correspondences(spark, d).filter("id % 10 = 4")
-    return M.hough(c, ["pair"], rows=16).select("hyp", "corr")
+    """The votes one by one, gathered by the correspondence that is brought near."""
+    votes = M.hough(correspondences(spark, d), ["pair"])
+    return votes.groupBy("corr").agg(F.count("*").alias("supporters"), F.min("hyp").alias("first"), F.max("hyp").alias("last"), F.sum("hyp").alias("total"))
 
 
 @query("WITH l AS (SELECT DISTINCT label FROM embeddings) SELECT (SELECT min(label) FROM l) AS a, label AS b FROM l WHERE label <> (SELECT min(label) FROM l)")

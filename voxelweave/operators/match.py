@@ -11,99 +11,78 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelweave.functions import vectors as V
+from voxelweave.operators import knn as KNN
 from voxelweave.stage import written
 
 #: Features of one structure differ by less than ln 1.5 in scale and half a scale in place, at any angle.
 SAME = (0.4054651081081644, 0.5, -1.0)
-#: Correspondences agree to ln 2 in scale, one scale in place, and a cosine of 0.7.
-VOTE = (0.6931471805599453, 1.0, 0.7)
+#: Correspondences agree to 1 in the logarithm of scale, two scales in place, and a cosine of 0.7.
+VOTE = (1.0, 2.0, 0.7)
 
 
-def _blocks(df: DataFrame, rows: int, prefix: str, by: bool) -> DataFrame:
-    """Blocks of at most `rows` (id, group, vector), as binary columns; if by, of one group each, named in `by`."""
+def _base(other_groups: bool | None) -> KNN.Rule:
+    if other_groups is None:
+        return lambda q, t: np.ones((len(q["id"]), len(t["id"])), bool)
+    key = "grp" if other_groups else "id"
+    return lambda q, t: q[key][:, None] != t[key][None, :]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int | None, tuple[list, list, list]] = {}
-
-        def out(key: int | None) -> pa.RecordBatch:
-            ids, groups, vecs = held.pop(key)
-            cols = [pa.array([key], pa.int64()), *[pa.array([np.array(v, k).tobytes()], pa.binary()) for v, k in ((ids, np.int64), (groups, np.int64), (vecs, np.float64))]]
-            return pa.RecordBatch.from_arrays(cols, names=[f"{prefix}_{c}" for c in ("by", "id", "group", "vec")])
 
-        for b in batches:
-            for i, g, v in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                part = held.setdefault(g if by else None, ([], [], []))
-                part[0].append(i), part[1].append(g), part[2].append(v)
-                if len(part[0]) == rows:
-                    yield out(g if by else None)
-        for key in list(held):
-            yield out(key)
+def _vectors(df: DataFrame, *more: str) -> DataFrame:
+    """Rows with a valid vector, as doubles, without negative zeros, which are equal to zeros and no other number."""
+    x = df.select("id", "grp", F.transform("pc", lambda e: e.cast("double") + F.lit(0.0)).alias("pc"), *more)
+    return x.filter(KNN.VALID + " and id is not null and grp is not null")
 
-    return df.mapInArrow(run, f"{prefix}_by long, " + ", ".join(f"{prefix}_{c} binary" for c in ("id", "group", "vec")))
 
-
-def nearest(queries: DataFrame, targets: DataFrame, k: int, other_groups: bool | None = True, rows: int = 2048) -> DataFrame:
+def nearest(queries: DataFrame, targets: DataFrame, k: int, other_groups: bool | None = True, rows: int = 2048, met: KNN.Met | None = None) -> DataFrame:
     """(q, t, d, rank): each query's k nearest targets by squared distance, ties by id.
 
     Both have (id long, grp long, pc). other_groups: True, targets of the query's own group take no part; False, only
-    the query itself; None, only targets of the query's group, by a join of blocks on the group. Blocks of queries meet
-    blocks of targets, as one matrix product each; k rows a query and block go to the window. Of a block all targets as
-    near as the k-th one, within rounding, are measured exactly, however many are equal. Rows with nulls or NaN in pc
-    have no neighbours and are none.
+    the query itself; None, only targets of the query's group, by a join of blocks on the group. Else targets lie in
+    zones about pivots, and a query meets those that may hold a neighbour (see KNN.search; met tells how many pairs were
+    measured). Of equal targets no more than can be a result are met. Of a block all targets as near as the k-th one,
+    within rounding, are measured exactly, however many are equal. Rows without id or group, and with nulls, NaN or
+    infinities in pc, have no neighbours and are none.
     """
-    by = other_groups is None
-    q, t = _blocks(queries.select("id", "grp", "pc"), rows, "q", by), _blocks(targets.select("id", "grp", "pc"), rows, "t", by)
+    q, t = _vectors(queries), _vectors(targets)
+    if other_groups is None:
+        return KNN.search_groups(q, KNN.few_equal(t, k, True), k, _base(None), rows=rows)
+    return KNN.search(q, t, k, _base(other_groups), rows=rows, met=met)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                (qi, qg, qv), (ti, tg, tv) = ((np.frombuffer(r[f"{p}_id"], np.int64), np.frombuffer(r[f"{p}_group"], np.int64), np.frombuffer(r[f"{p}_vec"], np.float64)) for p in "qt")
-                qv, tv = qv.reshape(len(qi), -1), tv.reshape(len(ti), -1)
-                qq, tt = (qv * qv).sum(axis=1), (tv * tv).sum(axis=1)
-                d = qq[:, None] + tt[None, :] - 2 * qv @ tv.T
-                out = (qg[:, None] == tg[None, :]) if other_groups else (qg[:, None] != tg[None, :]) if by else (qi[:, None] == ti[None, :])
-                d[np.isnan(d) | out] = np.inf
-                m = min(len(ti), k)
-                slack = 4 * np.finfo(float).eps * (qv.shape[1] + 4) * (qq + np.fmax.reduce(tt))
-                i, j = np.nonzero((d <= (np.partition(d, m - 1, axis=1)[:, m - 1] + slack)[:, None]) & np.isfinite(d))
-                exact = ((qv[i] - tv[j]) ** 2).sum(axis=1)
-                order = np.lexsort((ti[j], exact, i))
-                i, j, exact = i[order], j[order], exact[order]
-                best = np.arange(len(i)) - np.searchsorted(i, i) < k
-                yield pa.RecordBatch.from_arrays([pa.array(qi[i[best]]), pa.array(ti[j[best]]), pa.array(exact[best])], names=["q", "t", "d"])
-
-    pairs = q.join(t, F.col("q_by") == F.col("t_by")) if by else q.hint("shuffle_replicate_nl").crossJoin(t)
-    found = pairs.mapInArrow(run, "q long, t long, d double")
-    w = Window.partitionBy("q").orderBy("d", "t")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+def _structure(log_scale: float, shift: float, cosine: float) -> KNN.Rule:
+    """Targets that are no instance of the structure at the query's `place` (x, y, z, scale, frame): none without places."""
+
+    def rule(q: dict[str, np.ndarray], t: dict[str, np.ndarray]) -> np.ndarray:
+        a, b = t["place"][None, :], q["place"][:, None]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            known = (np.isfinite(a).all(axis=2) & (a[..., 3] > 0)) & (np.isfinite(b).all(axis=2) & (b[..., 3] > 0))
+            near = (np.abs(np.log(a[..., 3] / b[..., 3])) < log_scale) & (((a[..., :3] - b[..., :3]) ** 2).sum(axis=2) < (shift * a[..., 3]) ** 2)
+            i, j = np.nonzero(near & known)
+            turn = (t["place"][j, 4:].reshape(-1, 3, 3) * q["place"][i, 4:].reshape(-1, 3, 3)).sum(axis=2).min(axis=1, initial=np.inf)
+            near[i, j] = turn > cosine
+        return known & ~near
+
+    return rule
 
 
-def apart(queries: DataFrame, targets: DataFrame, other_groups: bool | None = True, k: int = 8, rows: int = 2048) -> DataFrame:
+def apart(queries: DataFrame, targets: DataFrame, other_groups: bool | None = True, rows: int = 2048, met: KNN.Met | None = None) -> DataFrame:
     """(q, t, d, second, ratio): each query's nearest target, and the distance of the nearest one that is not compatible
-    with it: another instance of the same structure next to the first says nothing against it.
+    with that: another instance of the same structure next to the first says nothing against it.
 
-    targets: (id, grp, pc, x, y, z, scale, ori); queries: (id, grp, pc). The k nearest are asked for; queries whose every
-    further one is compatible with the first are asked again with four times as many, until none are left or all
-    targets were met. second and ratio are null where there is no such target, ratio also where second is 0.
+    targets: (id, grp, pc, x, y, z, scale, ori); queries: (id, grp, pc). Two searches with bounds: the second one's
+    queries bring the place of their first, and compatible targets take no part in it, however many they are. second and
+    ratio are null where there is no such target (one without a whole place is none), ratio also where second is 0.
     """
-    place = targets.select(F.col("id").alias("__id"), F.struct("x", "y", "z", "scale", "ori").alias("__p"))
-    done, ask, had = None, queries, -1
-    while True:
-        near = written(nearest(ask, targets, k, other_groups, rows), "near")
-        x = near.join(place.select(F.col("__id").alias("__t"), F.col("__p").alias("own")), F.col("t") == F.col("__t"))
-        first = x.filter("rank = 1").select(F.col("q").alias("__q"), F.col("t").alias("first"), F.col("d").alias("d1"), F.col("own").alias("one"))
-        x = x.join(first, F.col("q") == F.col("__q"))
-        other = F.when((F.col("rank") > 1) & ~sphere_ok("own", "one", *SAME), F.col("d"))
-        got = x.groupBy("q").agg(F.first("first").alias("t"), F.first("d1").alias("d"), F.min(other).alias("second"), F.count("*").alias("met"))
-        got = written(got, "apart")
-        # fewer than k neighbours: there are no more
-        short = got.filter((F.col("second").isNull()) & (F.col("met") == k)).select(F.col("q").alias("__q"))
-        left = short.count()
-        part = got if not left else got.join(short, F.col("q") == F.col("__q"), "left_anti")
-        done = part if done is None else done.unionByName(part)
-        if not left:
-            return done.select("q", "t", "d", "second", F.try_divide("d", "second").alias("ratio"))
-        ask, k = ask.join(short, F.col("id") == F.col("__q"), "left_semi"), 4 * k
+    base, structure = _base(other_groups), _structure(*SAME)
+    spot = F.array(*[F.coalesce(c.cast("double"), F.lit(float("nan"))) for c in (*map(F.col, ("x", "y", "z", "scale")), *[F.col("ori")[i][j] for i in range(3) for j in range(3)])])
+    q, t = _vectors(queries), written(_vectors(targets.withColumn("place", spot), "place"), "targets")
+    first = written(nearest(queries, t, 1, other_groups, rows, met).select(F.col("q").alias("__q"), F.col("t").alias("__t"), "d"), "first")
+    place = t.select(F.col("id").alias("__p"), "place")
+    ask = q.join(first, F.col("id") == F.col("__q")).join(place, F.col("__t") == F.col("__p")).select("id", "grp", "pc", "place")
+    search = (lambda *a, **o: KNN.search_groups(*a, **o)) if other_groups is None else (lambda *a, **o: KNN.search(*a, met=met, equal=False, **o))
+    other = search(written(ask, "ask"), t, 1, lambda a, b: base(a, b) & structure(a, b), lists=("place",), rows=rows)
+    out = first.join(other.select(F.col("q").alias("__o"), F.col("d").alias("second")), F.col("__q") == F.col("__o"), "left")
+    return out.select(F.col("__q").alias("q"), F.col("__t").alias("t"), "d", "second", F.try_divide("d", "second").alias("ratio"))
 
 
 def nearest_lsh(queries: DataFrame, targets: DataFrame, k: int, width: float = 0.5, tables: int = 8, limit: float = 1.5) -> DataFrame:
