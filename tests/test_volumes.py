@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxelweave.functions import vectors as V
+from voxelweave.operators import bricks as BR
 from voxelweave.operators import volumes as VOL
 from voxelweave.plans import extract as X
 
@@ -206,10 +208,6 @@ def test_extraction_options(spark):
     eye = [[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 2.0, 0]]
     world = X.extract_world(frame(spark, b[::2], "h"), b[::2].shape, (2.0, 1.0, 1.0), eye, plain).collect()
     assert min(np.abs(np.array((r.x, r.y, r.z)) - (16.8, 16.1, 16.6)).max() for r in world) < 1.5
-    try:
-        X.extract(df, plain, most=1000).collect()
-    except Exception as e:
-        assert "over 1000 voxels" in str(e)
 
 
 def test_small_matrices(spark):
@@ -241,3 +239,65 @@ def test_components_of_descriptors(spark):
     got = {r.feat_id: list(r.c) for r in C.pca(spark, sf).collect()}
     g = np.array([got[i] for i in ids])
     assert np.allclose(np.abs(g), np.abs(a @ vt[:3].T), atol=1e-6)
+
+
+def rows_of_features(df):
+    return sorted((tuple(map(repr, r)) for r in df.collect()), key=lambda r: (r[0], int(r[1])))
+
+
+@pytest.mark.parametrize("opt", [X.Options(eigen=-1.0), X.Options(eigen=500.0, size=2.0, edge="zero")])
+def test_tiles_give_the_features_of_the_whole(spark, opt):
+    """Two volumes in bricks, one with halos wider than its bricks, against the whole arrays: equal bit by bit."""
+    rng = np.random.default_rng(6)
+    one, two = (X.blurred(rng.normal(size=s), 1.5) * 100 for s in ((40, 44, 37), (36, 41, 35)))
+    one[:, :, :12] = 0  # bricks of zeros alone have no voxel row
+    vols = frame(spark, one, "a").filter("v != 0").unionByName(frame(spark, two, "b"))
+    whole = rows_of_features(X.extract(vols, opt))
+    assert len({r[0] for r in whole}) == 2 and len(whole) >= 8
+    assert rows_of_features(X.extract_tiles(vols, opt, side=16)) == whole
+    if opt.size == 1.0:
+        # one volume whole, the other in bricks
+        assert rows_of_features(X.extract(vols, opt, whole=55_000, side=16)) == whole
+        assert X.extract_tiles(vols.limit(0), opt).collect() == []
+
+
+def test_bricks_equal_arrays(spark, noise):
+    side, df = 4, frame(spark, noise)
+    kernel = [(-2, 0.1), (-1, 0.2), (0, 0.4), (1, 0.2), (2, 0.1)]
+    want = noise
+    for axis in (2, 1, 0):
+        want = BR.along(want, kernel, axis)
+    b = BR.pack(df, side)
+    assert (dense(BR.unpack(b, side), noise.shape) == noise).all()
+    assert (dense(BR.unpack(BR.blur(b, side, kernel), side), noise.shape) == want).all()
+    holes = BR.pack(df.filter("x != 4"), side, float("nan"))
+    assert (dense(BR.unpack(BR.blur(holes, side, kernel), side), noise.shape) == dense(BR.unpack(BR.blur(BR.pack(df.withColumn("v", F.when(F.col("x") == 4, 0.0).otherwise(F.col("v"))), side), side, kernel), side), noise.shape)).all()
+    assert BR.unpack(holes, side).count() == noise.size - 35 and BR.unpack(holes, side, absent=True).count() == noise.size
+    half = X.pooled(noise)
+    assert (dense(BR.unpack(BR.pool(b, side), side), half.shape) == half).all()
+    twice = noise
+    for axis in range(3):
+        twice = X.doubled(twice, axis)
+    assert (dense(BR.unpack(BR.double(b, side), 2 * side), twice.shape) == twice).all()
+    levels = BR.pack(df.withColumn("level", F.lit(0)).unionByName(VOL.blur(df, None, noise.shape, kernel).withColumn("level", F.lit(1))), side)
+    got = BR.unpack(BR.differences(levels, side), side)
+    assert np.allclose(dense(got, noise.shape), noise - want) and {r.level for r in got.collect()} == {0}
+
+
+def test_extrema_of_bricks_equal_the_joins(spark, noise):
+    """With a missing voxel, whose neighbours are no extrema; levels beside each other; in the slice alone."""
+    df = frame(spark, noise).filter("not (z = 2 and y = 3 and x = 3)")
+    other = frame(spark, noise * 0.5 + 0.01)
+    pick = lambda d: sorted(tuple(r) for r in d.select("z", "y", "x", "v", "polarity").collect())
+    b = BR.pack(df, 4, float("nan"))
+    assert pick(BR.extrema(b, 4)) == pick(VOL.extrema(df)) != []
+    both = BR.pack(df.withColumn("level", F.lit(0)).unionByName(other.withColumn("level", F.lit(1))), 4, float("nan"))
+    assert pick(BR.extrema(both, 4, 0, (1,))) == pick(VOL.extrema(df, other))
+    flat = frame(spark, np.pad(noise[:1], ((1, 1), (0, 0), (0, 0))))
+    assert pick(BR.extrema(BR.pack(flat, 4, float("nan")), 4, flat=True).filter("z = 1")) == pick(VOL.extrema(flat, flat=True).filter("z = 1"))
+    places = {(r.z, r.y, r.x): (r.fx, r.fy, r.fz) for r in VOL.refine(VOL.extrema(df), df).collect()}
+    got = BR.extrema(b, 4)
+    for r in got.collect():
+        if (r.z, r.y, r.x) in places:
+            fx, fy, fz = places[r.z, r.y, r.x]
+            assert np.allclose([X.vertex((c - 1, c, c + 1), (p, r.v, n)) + 0.5 for c, p, n in ((r.x, r.x0, r.x2), (r.y, r.y0, r.y2), (r.z, r.z0, r.z2))], [fx, fy, fz])

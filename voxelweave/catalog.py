@@ -7,19 +7,23 @@ descriptors of images (their labels), `lineitem` binned by quantity, discount an
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelweave.functions import vectors as V
+from voxelweave.operators import bricks as BR
 from voxelweave.operators import features as FT
 from voxelweave.operators import match as M
 from voxelweave.operators import points as P
 from voxelweave.operators import volumes as VOL
 from voxelweave.operators import vote as VT
+from voxelweave.stage import written
 
 DIMS = (9, 11, 50)
 KERNEL = [(-1, 0.25), (0, 0.5), (1, 0.25)]
+SIDE = 16
 PAIRS = [(0, 7), (3, 12), (20, 41), (63, 1), (30, 31), (8, 40)]
 SPREAD = [1, 2, 3, 4, 5, 6]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -426,16 +430,21 @@ def _strict(src: str, level: str, name: str, n: int, extra: str = "") -> str:
 
 
 def _blur(spark, v):
-    return VOL.blur(v, None, DIMS, KERNEL)
+    return BR.unpack(BR.blur(BR.pack(v, SIDE), SIDE, KERNEL), SIDE).drop("level")
 
 
 def _dogs(spark, d):
-    """Three levels of differences of blurs, to six digits."""
-    g = [volume(spark, d)]
-    for _ in range(3):
-        g.append(_blur(spark, g[-1]))
-    six = lambda df: df.withColumn("v", F.round("v", 6))
-    return [six(VOL.mult_sum(a, b, -1.0)) for a, b in zip(g, g[1:], strict=False)]
+    """Levels 0 to 2 of differences of blurs, to six digits, by bricks; each blur is one exchange, written before the next.
+    Voxels that the volume lacks count as 0 in blurs, and have no first difference."""
+    g = [written(BR.pack(volume(spark, d), SIDE, float("nan")), "g0")]
+    for j in range(1, 4):
+        g.append(written(BR.blur(g[-1], SIDE, KERNEL, j), f"g{j}"))
+    rows = BR.unpack(BR.differences(reduce(DataFrame.unionByName, g), SIDE), SIDE)
+    return written(rows.withColumn("v", F.round("v", 6)), "dogs")
+
+
+def _extrema(spark, d, level, others=(), flat=False):
+    return BR.extrema(BR.pack(_dogs(spark, d).filter(F.col("level").isin(level, *others)), SIDE, float("nan")), SIDE, level, others, flat)
 
 
 @query(f"WITH {_G} {_OUT} g")
@@ -450,7 +459,7 @@ def blur3(spark, d):
 
 @query(f"WITH {_DOG} SELECT z, y, x, v + 0.0 AS v FROM d1")
 def dog(spark, d):
-    return _vox(_dogs(spark, d)[0], 6)
+    return _vox(_dogs(spark, d).filter("level = 0"), 6)
 
 
 @query(f"WITH {_B1} SELECT g.z, g.y, g.x, round(g.v + 0.5 * b.v, 4) AS v FROM g JOIN b USING (z, y, x)")
@@ -476,7 +485,7 @@ _E26 = f"{_DOG}, {_strict('d2', 'd2', 'e', 26)}"
 
 @query(f"WITH {_E26} SELECT z, y, x, (s > 0)::INT AS polarity FROM e")
 def extrema26(spark, d):
-    return VOL.extrema(_dogs(spark, d)[1]).select("z", "y", "x", "polarity")
+    return _extrema(spark, d, 1).select("z", "y", "x", "polarity")
 
 
 _E53 = f"{_DOG}, {_strict('d1', 'd1', 'e', 26)}, {_strict('e', 'd2', 'e2', 27, ', p.s AS p')}"
@@ -484,14 +493,12 @@ _E53 = f"{_DOG}, {_strict('d1', 'd1', 'e', 26)}, {_strict('e', 'd2', 'e2', 27, '
 
 @query(f"WITH {_E53} SELECT z, y, x, (p > 0)::INT AS polarity FROM e2 WHERE s * p > 0")
 def extrema53(spark, d):
-    g = _dogs(spark, d)
-    return VOL.extrema(g[0], g[1]).select("z", "y", "x", "polarity")
+    return _extrema(spark, d, 0, (1,)).select("z", "y", "x", "polarity")
 
 
 @query(f"WITH {_E26}, {_strict('e', 'd3', 'e3', 27, ', p.s AS p')} SELECT z, y, x, (p > 0)::INT AS polarity FROM e3 WHERE s * p > 0")
 def validate_next(spark, d):
-    g = _dogs(spark, d)
-    return VOL.validate(VOL.extrema(g[1]), g[2]).select("z", "y", "x", "polarity")
+    return _extrema(spark, d, 1, (2,)).select("z", "y", "x", "polarity")
 
 
 def _vertex_sql(c: str) -> str:
@@ -501,8 +508,9 @@ def _vertex_sql(c: str) -> str:
 
 @query(f"WITH {_E26}, six(dz, dy, dx) AS (VALUES (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)), e6 AS (SELECT e.*, dz, dy, dx, e.z + dz AS nz, e.y + dy AS ny, e.x + dx AS nx FROM e CROSS JOIN six) SELECT e.z, e.y, e.x, {', '.join(map(_vertex_sql, 'xyz'))} FROM e6 e JOIN d2 q ON q.z = nz AND q.y = ny AND q.x = nx GROUP BY e.z, e.y, e.x, e.v")
 def refine(spark, d):
-    g = _dogs(spark, d)[1]
-    return VOL.refine(VOL.extrema(g), g).select("z", "y", "x", *[r(f"f{c}", 4).alias(f"f{c}") for c in "xyz"])
+    at = lambda c: F.col(c).cast("double")
+    vertex = lambda c: V.parabola(at(c) - 1, at(c), at(c) + 1, F.col(f"{c}0"), F.col("v"), F.col(f"{c}2")) + 0.5
+    return _extrema(spark, d, 1).select("z", "y", "x", *[r(vertex(c), 4).alias(f"f{c}") for c in "xyz"])
 
 
 @query(f"WITH {_G}, p AS (SELECT z // 2 AS z, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM g GROUP BY 1, 2, 3) {_OUT} p WHERE z < 4 AND y < 5 AND x < 25")

@@ -8,6 +8,7 @@ from voxelweave import catalog as C
 from voxelweave.catalog import DIMS, query, r
 from voxelweave.functions import linear as L
 from voxelweave.functions import vectors as V
+from voxelweave.operators import bricks as BR
 from voxelweave.operators import patches as PT
 from voxelweave.operators import points as P
 from voxelweave.operators import volumes as VOL
@@ -29,7 +30,7 @@ def _pass(src: str, axis: str, name: str) -> str:
 
 @query(f"WITH {C._G}, {_KERNEL}, {_pass('g', 'x', 'b1')}, {_pass('b1', 'y', 'b2')}, {_pass('b2', 'z', 'b3')} SELECT z, y, x, round(v, 4) + 0.0 AS v FROM b3")
 def gauss_blur(spark, d):
-    return C._vox(VOL.blur(C.volume(spark, d), 1.6, DIMS))
+    return C._vox(BR.unpack(BR.blur(BR.pack(C.volume(spark, d), C.SIDE), C.SIDE, V.gaussian(1.6)), C.SIDE))
 
 
 @query(f"WITH {_KERNEL} SELECT o::INT AS o, round(w, 9) AS w FROM kern")
@@ -39,7 +40,7 @@ def gauss_kernel(spark, d):
 
 @query(f"WITH {C._DOG}, {C._strict('d2', 'd2', 'e', 26).replace('WHERE NOT (dz = 0 AND dy = 0 AND dx = 0)', 'WHERE dz = 0 AND NOT (dy = 0 AND dx = 0)').replace('abs(s) = 26', 'abs(s) = 8')} SELECT z, y, x, (s > 0)::INT AS polarity FROM e")
 def extrema_flat(spark, d):
-    return VOL.extrema(C._dogs(spark, d)[1], flat=True).select("z", "y", "x", "polarity")
+    return C._extrema(spark, d, 1, flat=True).select("z", "y", "x", "polarity")
 
 
 # ------------------------------------------------------------------------------------------------------- patches
