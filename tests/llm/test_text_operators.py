@@ -270,6 +270,15 @@ def test_language_of_mixed_texts_and_null_ids(spark, docs):
     assert m.predict("der garten und das haus")[0] == "de" and m.predict("the garden and the house")[0] == "en"
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2, 3])
+def test_a_language_of_one_text_repeated_is_learned(spark, seed):
+    """3000 copies of one row beside 3000 other rows: whatever their hash, the copies are one row of the fit."""
+    rows = [(seed, "das haus und der garten", "de")] * 3000 + [(i, f"the house and the garden {seed} {i}", "en") for i in range(3000)]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=200)
+    assert m.languages == ["de", "en"]
+    assert m.predict("das haus und der garten")[0] == "de" and m.predict("the house and the garden")[0] == "en"
+
+
 def test_features_do_not_depend_on_blocks():
     t = "Ein Text, der über mehrere Blöcke geht. " * 40
     assert np.allclose(langid.features(t, 512), langid.features(t, 512, block=37), atol=1e-6)

@@ -99,30 +99,34 @@ class Model:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 1600, max_languages: int = 512, buckets: int = 4096, bits: int | None = None, min_margin: float = 0.1, epochs: int = 300) -> Model:
     """A model from the labelled rows of docs (text and lang not null; give training rows only).
 
-    The classifiers are fitted on at most sample rows in all, an even share of each language's, chosen by the hash of
-    id and text; whole texts are used. Repeated rows are chosen together, the first ones at a tie. The sample and max_languages (languages beyond it are an error) bound what comes to
+    The classifiers are fitted on at most sample distinct texts in all, an even share of each language's: those of the
+    smallest hashes. Whole texts are used, each once however often it is repeated, so a language of one text repeated has
+    one row and languages weigh alike. The sample and max_languages (languages beyond it are an error) bound what comes to
     the driver: sample vectors of `buckets` numbers. Ids and sources are no inputs. No labelled row: a model without
     languages, which predicts `und` for every text.
     """
-    rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("fit")).alias("h"))
+    rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.lit("fit"), F.col(text_col)).alias("h"))
     langs = sorted(r["l"] for r in rows.select("l").distinct().limit(max_languages + 1).collect())
     if len(langs) > max_languages:
         raise ValueError(f"over {max_languages} languages")
     if not langs:
         return Model([], np.zeros((0, 1), np.int8), np.zeros((buckets, 1), np.float32), np.zeros(1, np.float32), buckets, min_margin)
     each = max(1, sample // len(langs))
-    # The each smallest hashes of a language, as a bound from the sorted heads of its slices: no group is sorted in one task.
-    counts = {r["l"]: r["n"] for r in rows.filter(F.rlike("t", F.lit(r"\p{L}"))).groupBy("l").agg(F.count("*").alias("n")).collect()}
-    most = F.create_map(*[x for c in langs for x in (F.lit(c), F.lit(min(1.0, 1.2 * each / max(1, counts.get(c, 0)))))])
+    # Distinct texts under a share of the hashes that holds a few more of each language than are taken: none is sorted
+    # whole. Of very many repeats each task gives on one row.
+    rows = rows.filter(F.rlike("t", F.lit(r"\p{L}")))
+    counts = {r["l"]: r["n"] for r in rows.select("l", "h").distinct().groupBy("l").agg(F.count("*").alias("n")).collect()}
+    # four deviations more than are taken, so that these are there
+    most = F.create_map(*[x for c in langs for x in (F.lit(c), F.lit(min(1.0, (each + 4 * each**0.5 + 4) / max(1, counts.get(c, 0)))))])
     pick = (F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < most[F.col("l")]
-    picked = rows.filter(pick & F.rlike("t", F.lit(r"\p{L}"))).select("l", "h", "t")
+    picked = rows.filter(pick).groupBy("l", "h").agg(F.min("t").alias("t"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = [features(t.as_py(), buckets).tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(v, pa.binary())], names=["l", "h", "v"])
 
-    found = sorted((r["l"], r["h"], bytes(r["v"])) for r in picked.mapInArrow(vectors, "l string, h long, v binary").collect())
+    found = sorted((r["l"], r["h"] % (1 << 64), bytes(r["v"])) for r in picked.mapInArrow(vectors, "l string, h long, v binary").collect())
     kept: dict[str, list[bytes]] = {c: [] for c in langs}
     for c, _, v in found:
         if len(kept[c]) < each:
