@@ -177,3 +177,38 @@ def test_odd_rows_and_empty_tables(spark):
     fourth = STAGE["mixing sources"](spark, third, SF)
     assert fourth.columns == df.columns and {r.doc_id for r in fourth.collect()} <= {None, 1, 5, 6, 7}
     assert STAGE["SentencePiece"](spark, df, SF).count() == len(odd)
+
+
+def keyed(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_copies_of_null_and_repeated_ids(spark):
+    """Each row is judged by its own text, whatever other rows share its id or have none."""
+    text = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    near = lambda a: text(a) + " end"
+    rows = [(1, text("a"), "s"), (None, near("a"), "s"), (None, text("b"), "s"), (2, text("c"), "s"), (3, near("c"), "s"), (3, text("d"), "s"), (None, text("e"), "s"), (None, near("e"), "s"), (-5, near("d"), "s"), (7, text("f"), "s"), (7, text("f"), "s")]
+    left = sorted((r.text, r.doc_id) for r in STAGE["SimHash near-dedup"](spark, keyed(spark, rows), SF).collect())
+    assert [x for x in left if x[0][0] != "e"] == [(text("a"), 1), (text("b"), None), (text("c"), 2), (near("d"), -5), (text("f"), 7), (text("f"), 7)]
+    assert len([x for x in left if x[0][0] == "e"]) == 1
+
+
+def test_mixing_of_null_and_repeated_ids(spark):
+    """Of every source as many words come as the mix has, to half a document, with ids that are no keys."""
+    rows = [(None, f"w{i} " * (1 + i % 7), "c") for i in range(700)] + [(None, "same text", "c")] * 300 + [(i // 4, f"x{i} " * (1 + i % 5), "a") for i in range(400)] + [(9, "y z", "b")] * 501
+    words = lambda t: len(WORD.findall(t))
+    own = Counter()
+    for _, t, s in rows:
+        own[s] += words(t)
+    got, times = Counter(), Counter()
+    for r in STAGE["mixing sources"](spark, keyed(spark, rows).repartition(5), SF).collect():
+        got[r.source] += words(r.text)
+        times[r.text, r.source] += 1
+    weight, lo, hi = {"a": 3, "b": 1, "c": 2}, 0.0, 2.0 * sum(own.values())
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(2 * own[s], weight[s] * mid) for s in own) < 1.5 * sum(own.values()) else (lo, mid)
+    for s in own:
+        assert abs(got[s] - min(2 * own[s], weight[s] * hi)) <= 4
+    there = Counter((t, s) for _, t, s in rows)
+    assert all(n <= 2 * there[k] for k, n in times.items())
