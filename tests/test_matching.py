@@ -8,6 +8,7 @@ from voxelweave.functions import vectors as V
 from voxelweave.operators import features as FT
 from voxelweave.operators import match as M
 from voxelweave.operators import points as P
+from voxelweave.operators import vote as VT
 from voxelweave.plans.match import match_by_polarity, match_images, match_to_first
 from voxelweave.sources import text as TX
 from voxelweave.sources import volumes as VS
@@ -341,3 +342,31 @@ def test_second_neighbour_by_zones(spark):
             second = np.where(far, d, np.inf).min()
             assert got[q].t == t and math.isclose(got[q].d, d[t])
             assert (got[q].second is None) == (not np.isfinite(second)) and (got[q].second is None or math.isclose(got[q].second, second))
+
+
+def test_log_likelihood_without_the_own_share(spark):
+    """Against the sum by hand: the image's own rows are taken from its label's prior, before and in the totals."""
+    feats = [("a", "L")] * 3 + [("b", "L")] * 2 + [("c", "M")] * 4
+    near = [(1, "a", 10, "b", "L", 0.5, 1), (1, "a", 11, "c", "M", 1.0, 2), (2, "a", 12, "c", "M", 0.0, 1), (3, "c", 13, "a", "L", 2.0, 1)]
+    df = spark.createDataFrame(feats, "image string, label string")
+    out = VT.log_likelihood(spark.createDataFrame(near, "q long, qimg string, t long, timg string, label string, d double, rank int"), VT.priors(df), VT.own_shares(df))
+    got = {(r.image, r.label): r.loglik for r in out.collect()}
+    want = {}
+    for image, label in (("a", "L"), ("c", "M")):
+        prior = {"L": 6 / 11, "M": 5 / 11}
+        prior[label] -= sum(x == (image, label) for x in feats) / 11
+        for l in prior:
+            total = 0.0
+            for q in {n[0] for n in near if n[1] == image}:
+                mine = [n for n in near if n[0] == q]
+                m = min((n[5] for n in mine if n[5] > 0), default=0.0)
+                c = {k: p + sum(math.exp(-((n[5] / (m + 1)) ** 2)) for n in mine if n[4] == k) / p for k, p in prior.items()}
+                total += math.log(c[l] / sum(c.values()))
+            want[image, l] = total
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_places_join_the_descriptor(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], 4.0, 8.0, -2.0, 2.0), (2, [1.0, 2.0], 1.0, 1.0, 1.0, 0.0)], "feat_id long, pc array<float>, x float, y float, z float, scale float")
+    got = {r.feat_id: r.pc for r in FT.with_place(df, 0.5).collect()}
+    assert got[1] == [1.0, 2.0, 1.0, 2.0, -0.5] and got[2][2:] == [None] * 3

@@ -189,6 +189,33 @@ def label_loglik(spark, d):
     return out.select("image", "label", r("loglik", 4).alias("loglik"))
 
 
+_OWN = ORACLE["label_loglik"].replace("p.prior + coalesce(got.e, 0) / p.prior AS c", "r.prior + coalesce(got.e, 0) / r.prior AS c").replace(
+    "CROSS JOIN p LEFT JOIN got", "CROSS JOIN p CROSS JOIN LATERAL (SELECT p.prior - CASE WHEN p.label = k.qimg THEN p.rows / (SELECT sum(rows + 1) FROM p) ELSE 0 END AS prior) r LEFT JOIN got"
+)
+
+
+@query(_OWN)
+def label_loglik_own(spark, d):
+    """Each image is left out of the priors that it is judged by."""
+    e = table(spark, d, "embeddings")
+    out = VT.log_likelihood(_near_images(spark, d), VT.priors(e), VT.own_shares(e.select(F.col("label").alias("image"), "label")))
+    return out.select("image", "label", r("loglik", 4).alias("loglik"))
+
+
+_D_GEO = "d AS (SELECT vec_id AS feat_id, label AS image_id, list_concat(embedding::DOUBLE[], list_transform(embedding[1:3]::DOUBLE[], lambda v: 0.05 * (50 * v) / (1 + 10 * abs(embedding[4]::DOUBLE)))) AS pc FROM embeddings)"
+
+
+@query(f"WITH {_VOTES.replace(_D, _D_GEO)} SELECT image, label, round(votes, 5) AS votes, cnt FROM votes")
+def soft_vote_geo(spark, d):
+    """Votes of neighbours by descriptor and place."""
+    f = FT.with_place(features(spark, d), 0.05)
+    x = f.select(F.col("feat_id").alias("id"), F.col("image_id").cast("long").alias("grp"), "pc")
+    side = f.select("feat_id", "image_id")
+    n = M.nearest(x, x, 20, False)
+    n = n.join(side.select(F.col("feat_id").alias("q"), F.col("image_id").alias("qimg")), "q").join(side.select(F.col("feat_id").alias("t"), F.col("image_id").alias("timg")), "t")
+    return VT.soft_votes(n.withColumn("label", F.col("timg"))).select("image", "label", r("votes", 5).alias("votes"), "cnt")
+
+
 @query(f"WITH {_F} SELECT a.feat_id AS a_id, b.feat_id AS b_id FROM f a JOIN f b ON {_SPHERE}")
 def compat_sphere(spark, d):
     x = features(spark, d).select("feat_id", "x", "y", "z", "scale", "ori")

@@ -71,6 +71,12 @@ def pair_differences(feats: DataFrame, pairs: list[tuple[int, int]], how: str =
     return feats.withColumn("pc", F.array(*out))
 
 
+def with_place(feats: DataFrame, weight: float) -> DataFrame:
+    """pc with three numbers more: the place in units of the scale, times a weight. So the nearest neighbours of descriptors
+    are those that also lie alike; 0 leaves the distances as they are. Null where place or scale is, or the scale is 0."""
+    return feats.withColumn("pc", F.concat(F.transform("pc", lambda v: v.cast("double")), F.array(*[F.try_divide(F.lit(float(weight)) * F.col(c).cast("double"), F.col("scale").cast("double")) for c in "xyz"])))
+
+
 def size_factor(feats: DataFrame, factor: float) -> DataFrame:
     """Places and scales times a factor: 0.5 after a doubled volume, 2 after a halved one."""
     return feats.withColumns({c: F.col(c) * factor for c in ("x", "y", "z", "scale")})
