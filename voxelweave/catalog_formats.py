@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+import pandas as pd
 from pyspark.sql import functions as F
 
 from voxelweave import catalog as C
@@ -72,12 +73,12 @@ def inverse_text(spark, d):
     return t.select(r("t.scale", 5).alias("scale"), *[r(F.col("t.trans")[i], 5).alias(f"t{i}") for i in range(3)])
 
 
-@query(f"WITH {C._F} SELECT image_id, concat_ws(chr(9), 'img', printf('%.6f', round(x, 3)), printf('%.6f', round(y, 3)), printf('%.6f', round(z, 3)), printf('%.6f', round(scale, 3)), feat_id::VARCHAR, '0.000000', '1.000000', '0.000000', '0.000000', '0.000000', '1.000000', '0.000000', '0.000000', '0.000000', '1.000000') AS line FROM f WHERE feat_id % 2 = 0")
+@query(f"WITH {C._F} SELECT image_id, concat_ws(chr(9), 'img', printf('%.6f', round(x, 3)), printf('%.6f', round(y, 3)), printf('%.6f', round(z, 3)), printf('%.6f', round(scale, 3)), feat_id::VARCHAR, '0.000000', '1.000000', '0.000000', '0.000000', '0.000000', '1.000000', '0.000000', '0.000000', '0.000000', '1.000000') AS line FROM f")
 def report_text(spark, d):
     """Match reports by image, as they are read back."""
     path = fresh_path(spark, "reports")
     three = {c: F.round(c, 3) + 0.0 for c in ("x", "y", "z", "scale")}
-    m = C.features(spark, d).filter("feat_id % 2 = 0").withColumns(three).withColumns({"pair": F.col("image_id"), "name": F.lit("img"), "tag": F.col("feat_id"), "d": F.lit(0.0)})
+    m = C.features(spark, d).withColumns(three).withColumns({"pair": F.col("image_id"), "name": F.lit("img"), "tag": F.col("feat_id"), "d": F.lit(0.0)})
     TX.write_partitioned(TX.report_lines(m), "pair", path)
     return spark.read.text(path).select(F.col("pair").alias("image_id"), F.col("value").alias("line"))
 
@@ -161,9 +162,18 @@ def pgm(spark, d):
     return VS.read_pnm(spark, path).select("y", "x", F.col("v").cast("int").alias("v"))
 
 
-@query("SELECT n::INT AS n, (n * 1.5)::DOUBLE AS mean, (n + 0.25)::DOUBLE AS variance FROM range(5) t(n)")
+@query(f"WITH {C._G} SELECT z AS n, round(avg(v), 2) AS mean, round(var_pop(v), 2) AS variance FROM g GROUP BY z")
 def header_moments(spark, d):
-    """The means and variances that a header lists, one a channel."""
-    text = "m: " + " ".join(str(1.5 * i) for i in range(5)) + "\nv: " + " ".join(str(i + 0.25) for i in range(5)) + "\n"
-    got = VS.means_and_variances(text)
-    return spark.createDataFrame([(i, m, v) for i, (m, v) in enumerate(zip(got["means"], got["variances"], strict=True))], "n int, mean double, variance double")
+    """The means and variances that a header lists, one a channel: those of the volume's planes, written and read back."""
+    path = fresh_path(spark, "header")
+    planes = C.volume(spark, d).groupBy("z").agg(F.avg("v").alias("m"), F.var_pop("v").alias("v"))
+    listed = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z", c))), lambda e: F.format_string("%.2f", e[c])), " ") for c in "mv"]
+    planes.agg(F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), text) for c, text in zip("mv", listed, strict=True)]).alias("value")).coalesce(1).write.text(path)
+
+    def parsed(batches):
+        for b in batches:
+            for text in b["value"]:
+                got = VS.means_and_variances(text)
+                yield pd.DataFrame({"n": range(len(got["means"])), "mean": got["means"], "variance": got["variances"]})
+
+    return spark.read.text(path, wholetext=True).mapInPandas(parsed, "n int, mean double, variance double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from voxelweave import catalog as C
@@ -33,9 +34,20 @@ def gauss_blur(spark, d):
     return C._vox(BR.unpack(BR.blur(BR.pack(C.volume(spark, d), C.SIDE), C.SIDE, V.gaussian(1.6)), C.SIDE))
 
 
-@query(f"WITH {_KERNEL} SELECT o::INT AS o, round(w, 9) AS w FROM kern")
+@query("""WITH s AS (SELECT DISTINCT label, 1 + label / 4.0::DOUBLE AS sg FROM embeddings), tail AS (SELECT label, sg, i, exp(-i * i / (2 * sg * sg)) AS t FROM s, range(1, 60) n(i)),
+mass AS (SELECT label, 1 + 2 * sum(t) AS every FROM tail WHERE t > 1e-5 GROUP BY label), got AS (SELECT label, sg, i, 1 + 2 * sum(t) OVER (PARTITION BY label ORDER BY i) AS g FROM tail),
+width AS (SELECT got.label, got.sg, min(i) AS r, min(g) AS g FROM got JOIN mass ON got.label = mass.label WHERE g > 0.99::DOUBLE * every GROUP BY 1, 2)
+SELECT label, o::INT AS o, round(exp(-o * o / (2 * sg * sg)) / g, 9) AS w FROM width, range(-60, 61) n(o) WHERE abs(o) <= r""")
 def gauss_kernel(spark, d):
-    return spark.createDataFrame(V.gaussian(1.6), "o int, w double").select("o", r("w", 9).alias("w"))
+    """The kernel of a width for each label."""
+
+    def kernels(batches):
+        for b in batches:
+            for label in b["label"]:
+                yield pd.DataFrame([(label, o, w) for o, w in V.gaussian(1 + label / 4)], columns=["label", "o", "w"])
+
+    labels = C.table(spark, d, "embeddings").select("label").distinct()
+    return labels.mapInPandas(kernels, "label int, o int, w double").select("label", "o", r("w", 9).alias("w"))
 
 
 @query(f"WITH {C._DOG}, {C._strict('d2', 'd2', 'e', 26).replace('WHERE NOT (dz = 0 AND dy = 0 AND dx = 0)', 'WHERE dz = 0 AND NOT (dy = 0 AND dx = 0)').replace('abs(s) = 26', 'abs(s) = 8')} SELECT z, y, x, (s > 0)::INT AS polarity FROM e")
@@ -103,7 +115,6 @@ def patch_sample(spark, d):
 def canonical_ori(spark, d):
     """Frames of four patches by their main gradient directions: peaks of histograms on a sphere, in arrays."""
     import numpy as np
-    import pandas as pd
 
     from voxelweave.plans.extract import frames, unit_patch
 
