@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelweave.stage import written
+from voxelweave.stage import discard, written
 
 #: At most so many pivots (their vectors and the zones' bounds are sent to every task), and shells about each.
 PIVOTS, SHELLS = 1024, 4
@@ -68,8 +68,8 @@ def _rows(c: pa.Array) -> np.ndarray:
     return flat.reshape(len(c), -1) if len(c) else flat.reshape(0, 0)
 
 
-def zones_of(targets: DataFrame, count: int) -> tuple[DataFrame, Zones]:
-    """targets (id, grp, pc and more) with their zone, and the zones; the pivots are the targets of the smallest hashes.
+def zones_of(targets: DataFrame, count: int) -> tuple[DataFrame, Zones, DataFrame]:
+    """targets (id, grp, pc and more) with their zone, the zones, and the written table behind them; the pivots are the targets of the smallest hashes.
 
     There is a pivot for each 2 sqrt(count) targets, 1024 at most, and about each 4 shells with as many targets as each
     other by approximate quantiles; the zones' bounds are exact whatever these are.
@@ -86,7 +86,7 @@ def zones_of(targets: DataFrame, count: int) -> tuple[DataFrame, Zones]:
             at = np.arange(len(cell))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(near[at, cell]), pa.array(far[at, cell])], names=[*b.schema.names, "cell", "near", "far"])
 
-    dealt = written(targets.mapInArrow(deal, f"{kinds}, cell int, near double, far double"), "cells")
+    table = dealt = written(targets.mapInArrow(deal, f"{kinds}, cell int, near double, far double"), "cells")
     cuts = dealt.groupBy("cell").agg(F.percentile_approx("near", [i / SHELLS for i in range(1, SHELLS)], 1000).alias("cuts"))
     cut = {r["cell"]: sorted(set(r["cuts"])) for r in cuts.collect()}
     shells = F.lit(0)
@@ -99,7 +99,7 @@ def zones_of(targets: DataFrame, count: int) -> tuple[DataFrame, Zones]:
     # zones are numbered as they occur
     number = F.create_map(*[x for i, r in enumerate(found) for x in (F.lit(r["zone"]), F.lit(i))])
     zones = Zones(pivots, *[np.array([r[c] for r in found]) for c in ("cell", "low", "high", "rows")])
-    return dealt.withColumn("zone", number[F.col("zone")]).drop("cell", "near", "far"), zones
+    return dealt.withColumn("zone", number[F.col("zone")]).drop("cell", "near", "far"), zones, table
 
 
 def packed(df: DataFrame, prefix: str, rows: int, lists: list[str], numbers: list[str]) -> DataFrame:
@@ -173,10 +173,11 @@ def search(queries: DataFrame, targets: DataFrame, k: int, rule: Rule, lists: tu
         found = met_blocks(q, packed(one(targets).coalesce(1), "t", rows, ["pc", *lists], ["id", "grp"]), k, rule, lists)
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     targets = written(few_equal(targets, k) if equal else targets, "targets")
-    dealt, zones = zones_of(targets, targets.count())
+    dealt, zones, table = zones_of(targets, targets.count())
     # a zone of very many rows is several tasks'
     dealt = dealt.repartition("zone", F.pmod(F.xxhash64("id"), F.lit(16)))
     blocks = written(packed(dealt, "t", rows, ["pc", *lists], ["id", "grp"]), "zones")
+    discard(targets, table)
     many = len(zones.rows)
 
     def probe(step: int):
@@ -206,17 +207,21 @@ def search(queries: DataFrame, targets: DataFrame, k: int, rule: Rule, lists: tu
             met.measured += probes.agg(F.coalesce(F.sum("meets"), F.lit(0))).first()[0]
             met.rounds += 1
         found = met_blocks(packed(probes, "q", rows, ["pc", *lists], ["kth", "id", "grp"]), blocks, k, rule, lists)
+        spent = [best, probes]
         found = found if best is None else found.unionByName(best.select("q", "t", "d"))
         best = written(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "nearest")
+        discard(*[df for df in spent if df is not None])
         if step >= many:  # all zones, from the first round on
             break
         # those who knew a k-th distance have met all that they need
         kth = best.groupBy(F.col("q").alias("__q")).agg(F.max(F.when(F.col("rank") == k, F.col("d"))).alias("__kth"))
         more = ask.filter(F.col("kth") == float("inf")).withColumn("done", F.col("done") + step).filter(F.col("done") < many)
-        ask = written(more.join(kth, F.col("id") == F.col("__q"), "left").select(*names, F.coalesce("__kth", F.lit(float("inf"))).alias("kth"), "done"), "open")
+        asked, ask = ask, written(more.join(kth, F.col("id") == F.col("__q"), "left").select(*names, F.coalesce("__kth", F.lit(float("inf"))).alias("kth"), "done"), "open")
+        discard(asked)
         if ask.isEmpty():
             break
         step *= 4
+    discard(ask, blocks)
     if met is not None:
         met.pairs += count * queries.count()
     return best

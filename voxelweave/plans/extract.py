@@ -20,7 +20,7 @@ from voxelweave.operators import bricks as BR
 from voxelweave.operators.features import world
 from voxelweave.operators.volumes import resample_isotropic
 from voxelweave.schemas import MAXIMUM, PATCH, REORIENTED
-from voxelweave.stage import written
+from voxelweave.stage import discard, written
 
 #: The first blur, levels an octave, peaks' shares of the largest, the most frames of a point.
 SIGMA, LEVELS, PRIMARY, SECONDARY, MOST_FRAMES = 1.6, 6, 0.8, 0.5, 11
@@ -376,7 +376,7 @@ def extract_tiles(vols: DataFrame, opt: Options = Options(), side: int = 64) ->
         v = BR.pack(vols, side)
         v = BR.pool(v, side) if opt.size == 0.5 else v
     v = written(BR.blur(v, side, gaussian(first_sigma(opt)), 0), "octave0")
-    octave, found = 0, []
+    octave, found, base = 0, [], v
     point = "image_id string, " + ", ".join(f"{c} int" for c in _ORDER) + ", " + _SCHEMA.split("feat_id long, ")[1]
     while not (v := v.filter("least(nz, ny, nx) > 2")).isEmpty():
         g = [v]
@@ -391,7 +391,8 @@ def extract_tiles(vols: DataFrame, opt: Options = Options(), side: int = 64) ->
         every = reduce(DataFrame.unionByName, g)
         found.append(written(BR.step(every, side, reach, points, point), f"points{octave}"))
         v = written(BR.pool(g[3].withColumn("level", F.lit(0)), side), f"octave{octave + 1}")
-        octave += 1
+        discard(base, *g[1:])
+        base, octave = v, octave + 1
     if not found:
         return vols.sparkSession.createDataFrame([], _SCHEMA)
     # a volume's features are sorted in one task, which spills where they are many

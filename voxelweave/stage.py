@@ -34,17 +34,31 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back."""
+    """df as a Parquet table in the shared folder, read back. It is deleted at the driver's exit, or before by discard()."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no later plan reads; other frames are left alone."""
+    for df in tables:
+        if path := getattr(df, "_written_path", None):
+            _delete(df.sparkSession, path)
+            _written[:] = [x for x in _written if x[1] != path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; the folder's owner clears it
             return
