@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 
 from voxelweave.llm import components as cc
 from voxelweave.llm import gru_lm, langid, lines, media, mixing, pieces, shards, simhash, topk, urls, webp
@@ -422,7 +423,7 @@ def test_gru_score_of_the_registered_configuration(docs, rows):
     n = sum(counts.values())
     head = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
     assert head[: cfg.vocab] == gru_lm._commonest(gru_lm.token_counts(seen, "text"), cfg)[: cfg.vocab]
-    net, cls, number, start = gru_lm.fit(seen, "text", head, n, cfg)
+    net, cls, number, start = gru_lm.fit(seen, "doc_id", "text", head, n, cfg)
     at = {t: int(i) for (t, _), i in zip(head, number, strict=False)}
     rare = {t: c for t, c in counts.items() if at[t] == net.vocab}
     p, sig = {k: v.astype(float) for k, v in net.p.items()}, lambda x: 1 / (1 + np.exp(-x))
@@ -456,6 +457,28 @@ def test_gru_trains_on_few_windows():
     assert seen == 3 and not np.array_equal(got.flat(), net.flat())
 
 
+def test_gru_does_not_depend_on_partitions(docs):
+    cfg = gru_lm.Config(head=300, vocab=120, classes=8, rounds=2, copy_words=4000)
+    held = ~langid.in_fold(docs["doc_id"], 7, 2)
+    got = []
+    for n in (1, 8, 64):
+        r = gru_lm.score_documents(docs.repartition(n), held, cfg=cfg).collect()
+        got.append({x.doc_id: x.score for x in r})
+        assert sum(x.score for x in r if not x.train) > sum(x.base_score for x in r if not x.train)
+    for other in got[1:]:
+        assert all(math.isclose(v, got[0][k], rel_tol=1e-5) for k, v in other.items())
+
+
+def test_gru_deals_every_row_once(spark, docs):
+    rows = gru_lm.dealt(docs, "doc_id", "text", 4, 5)
+    met = {(r["round"], r["copy"]): r["n"] for r in rows.groupBy("round", "copy").agg(F.count("*").alias("n")).collect()}
+    assert sum(met.values()) == docs.count() and set(met) == {(a, b) for a in range(4) for b in range(5)}
+    # rows of one text and no id, or with ids of their own, are not one copy's
+    for same in (spark.range(2000).selectExpr("cast(null as bigint) id", "'a text' t"), spark.range(2000).selectExpr("id", "'a text' t")):
+        most = gru_lm.dealt(same, "id", "t", 4, 5).groupBy("round", "copy").count().agg(F.max("count")).first()[0]
+        assert most < 200
+
+
 def test_gru_odd_rows(spark, odd):
     cfg = gru_lm.Config(head=50, vocab=20, classes=4)
     got = gru_lm.score_documents(odd, odd["doc_id"] > 2, cfg=cfg).collect()

@@ -6,6 +6,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import byte_blocks, spill
+from voxelweave.llm.common import byte_blocks, release, spill
 
 #: The end of a text, which no word equals.
 END = b""
@@ -35,8 +36,9 @@ class Config:
     """head: words whose counts every task holds, of at most max_bytes bytes each; vocab: those the network models.
 
     Every window of `chunk` words of every training document is trained on once. lanes and train_lanes step together;
-    the update is made each `window` steps of a lane, which is where back-propagation ends. group_words: words that a
-    task scores at a time, so that long texts, whose lanes end last, share their steps with others.
+    the update is made each `window` steps of a lane, which is where back-propagation ends. rounds: how often copies are
+    averaged; copy_words: about how many words a copy learns from in a round. group_words: words that a task scores at a
+    time, so that long texts, whose lanes end last, share their steps with others.
     """
 
     head: int = 65536
@@ -50,6 +52,8 @@ class Config:
     train_lanes: int = 256
     lanes: int = 512
     step: float = 0.01
+    rounds: int = 4
+    copy_words: int = 500_000
     group_words: int = 4_000_000
 
 
@@ -427,12 +431,27 @@ def _summed(parts: DataFrame, fan: int = 64) -> DataFrame:
     return parts
 
 
-def fit(docs: DataFrame, text_col: str, head: list[tuple[bytes, int]], total: int, cfg: Config) -> tuple[Net, np.ndarray, np.ndarray, int]:
+def dealt(docs: DataFrame, id_col: str, text_col: str, rounds: int, copies: int) -> DataFrame:
+    """(t, h, round, copy): each row's round and copy, by a hash of its id and text, whatever partition it lies in.
+
+    Copies of a text go their own ways by their ids. Rows without one are dealt by their place in the table instead, so
+    that a text which very many of them hold is not one copy's.
+    """
+    place = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    x = docs.select(F.col(text_col).alias("t"), F.xxhash64(F.col(id_col), F.col(text_col), place).alias("h"))
+    return x.withColumn("round", F.pmod("h", F.lit(rounds)).cast("int")).withColumn("copy", F.pmod(F.xxhash64("h"), F.lit(copies)).cast("int"))
+
+
+def fit(docs: DataFrame, id_col: str, text_col: str, head: list[tuple[bytes, int]], total: int, cfg: Config) -> tuple[Net, np.ndarray, np.ndarray, int]:
     """(network, classes, number of each head word, number of the end) learned from all rows of docs.
 
-    The network starts as the unigram model of the counts. Every partition trains a copy of it, by truncated
-    backpropagation, on all windows of all its documents; the copies are averaged, weighted by the words they saw.
-    Weights are averaged in blocks on the executors; one network comes to the driver.
+    The network starts as the unigram model of the counts. Documents are dealt by hash to cfg.rounds rounds, and in each
+    to as many copies of the network as hold cfg.copy_words of its words each. In a round every copy starts from the last
+    average and is trained, by truncated backpropagation, on all windows of all its documents, in the order of their
+    hashes; then the copies are averaged, weighted by the words they saw. So every window is trained on once, and the
+    result follows from the rows and `total`, the words, not from how the table is partitioned (null ids apart).
+    A copy's documents stream through its task. Weights are averaged in blocks on the executors; one network a round
+    comes to the driver.
     """
     spark = docs.sparkSession
     model = [t for t, _ in head[: cfg.vocab]]
@@ -444,21 +463,27 @@ def fit(docs: DataFrame, text_col: str, head: list[tuple[bytes, int]], total: in
     number = np.array([at.get(t, len(model)) for t, _ in head] + [len(model)], np.int64)  # the last, index -1: not in the head
     start = at[END]
     lookup = spark.sparkContext.broadcast(_Head((t, i) for i, (t, _) in enumerate(head)))  # at most head words of max_bytes
-    sent = spark.sparkContext.broadcast((net, cls, number, start))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, cls, number, start = sent.value
-        texts = (t.as_py() for b in batches for t in b.column(0))
-        got, seen = train(net, cls, _chunks(texts, lookup.value, number, cfg, start), start)
-        if seen:
-            v = got.flat().astype(np.float64) * seen
-            cuts = range(0, len(v), BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array([a // BLOCK for a in cuts], pa.int32()), pa.array([TaskContext.get().partitionId()] * len(cuts), pa.int64()), pa.array([seen] * len(cuts), pa.int64()), pa.array([v[a : a + BLOCK].tobytes() for a in cuts], pa.binary())], names=["block", "part", "seen", "v"])
-
-    made = spill(docs.select(F.col(text_col).alias("t")).mapInArrow(run, "block int, part long, seen long, v binary"), "weights")
-    rows = sorted((r["block"], np.frombuffer(bytes(r["v"]), np.float64) / r["seen"]) for r in _summed(made).collect())
-    if rows:
-        net = net.loaded(np.concatenate([v for _, v in rows]).astype(np.float32))
+    copies = max(1, round(total / (cfg.rounds * cfg.copy_words)))
+    rows = dealt(docs, id_col, text_col, cfg.rounds, copies)
+    for turn in range(cfg.rounds):
+        sent = spark.sparkContext.broadcast((net, cls, number, start))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            net, cls, number, start = sent.value
+            texts = ((c.as_py(), t.as_py()) for b in batches for c, t in zip(b.column(0), b.column(1), strict=True))
+            for copy, own in groupby(texts, key=lambda x: x[0]):
+                got, seen = train(net, cls, _chunks((t for _, t in own), lookup.value, number, cfg, start), start)
+                v = got.flat().astype(np.float64) * seen
+                cuts = range(0, len(v), BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array([a // BLOCK for a in cuts], pa.int32()), pa.array([copy] * len(cuts), pa.int64()), pa.array([seen] * len(cuts), pa.int64()), pa.array([v[a : a + BLOCK].tobytes() for a in cuts], pa.binary())], names=["block", "part", "seen", "v"])
+
+        now = rows.filter(F.col("round") == turn).repartitionById(copies, "copy").sortWithinPartitions("copy", "h", "t")
+        made = spill(now.select("copy", "t").mapInArrow(run, "block int, part long, seen long, v binary"), "weights")
+        got = sorted((r["block"], np.frombuffer(bytes(r["v"]), np.float64) / r["seen"]) for r in _summed(made).collect())
+        release(made)
+        if got:
+            net = net.loaded(np.concatenate([v for _, v in got]).astype(np.float32))
+        sent.unpersist()
     return net, cls, number, start
 
 
@@ -499,7 +524,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     counts = spill(token_counts(seen, "t"), "counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     head = _commonest(counts, cfg)
-    net, cls, number, start = fit(seen, "t", head, sums["n"], cfg)
+    net, cls, number, start = fit(seen, "id", "t", head, sums["n"], cfg)
     c = np.array([n for _, n in head] + [0], np.float64)
     is_rare = number == net.vocab
     n_rare, v_rare = sums["n"] - float(c[~is_rare].sum()), sums["v"] - int(((c > 0) & ~is_rare).sum())
