@@ -396,10 +396,9 @@ def test_gru_documents(docs, rows):
 
 def test_gru_trains_on_every_window(docs, rows):
     cfg = gru_lm.Config()
-    head = gru_lm._Head({b"a": 0, b"b": 1, b"": 2})
-    number = np.array([0, 1, 2, 3])
+    index = {b"a": 0, b"b": 1, b"": 2}
     sizes = (1, 40, 200, 700)
-    got = list(gru_lm._chunks(iter(["a b c " * n for n in sizes]), head, number, cfg, 2))
+    got = list(gru_lm._chunks(iter(["a b c " * n for n in sizes]), index, cfg, 2))
     assert sum(len(c) - 1 for c in got) == sum(3 * n + 1 for n in sizes)
     net, cls = gru_lm.new_net(gru_lm.Config(hidden=5, dim=4, classes=2), [9, 7, 5], 4)
     assert gru_lm.train(net, cls, iter(got), 2)[1] == sum(3 * n + 1 for n in sizes)

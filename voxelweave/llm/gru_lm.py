@@ -6,7 +6,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from itertools import groupby
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +128,11 @@ def new_net(cfg: Config, counts: list[int], rare: int) -> tuple[Net, np.ndarray]
     return Net(cfg, cuts, p), np.append(cls, c)
 
 
+def _order(x: np.ndarray, most: int) -> np.ndarray:
+    """The stable order of numbers from 0 to most; 16 bits are sorted by radix."""
+    return np.argsort(x.astype(np.uint16) if most < 1 << 16 else x, kind="stable")
+
+
 class Runner:
     """Steps of a network over lanes of words; the state h of each lane goes on from window to window.
 
@@ -187,7 +192,7 @@ class Runner:
         p, cuts = self.net.p, self.net.cuts
         cls = self.cls[want]
         # by class, so that each class's rows are one slice
-        order = np.argsort(cls, kind="stable")
+        order = _order(cls, len(cuts))
         hs, want, cls = hs[order], want[order], cls[order]
         ends = np.searchsorted(cls, np.arange(len(cuts)))
         row = np.arange(len(want))
@@ -268,7 +273,7 @@ class Runner:
             if some[i]:
                 dh[fresh[i]] = 0
         words = prev.ravel()
-        order = np.argsort(words, kind="stable")
+        order = _order(words, self.net.vocab)
         first = np.flatnonzero(np.diff(words[order], prepend=-1))
         seen = words[order[first]]
         demb, emb = np.zeros_like(p["emb"]), p["emb"][seen]
@@ -402,17 +407,17 @@ def score(net: Net, cls: np.ndarray, docs: list[np.ndarray], start: int) -> np.n
 # ------------------------------------------------------------------------------------------------------- whole tables
 
 
-class _Head(dict):
-    def __missing__(self, _: bytes) -> int:
-        return -1
+def _numbers(words: list[bytes], index: dict[bytes, int], other: int) -> np.ndarray:
+    """Each word's number, `other` for words that have none."""
+    return np.fromiter(map(index.get, words, repeat(other)), np.int64, len(words))
 
 
-def _chunks(texts: Iterator[str | None], head: dict, number: np.ndarray, cfg: Config, start: int) -> Iterator[np.ndarray]:
-    """All windows of the texts: the word before each, then its words, as numbers."""
+def _chunks(texts: Iterator[str | None], index: dict[bytes, int], cfg: Config, start: int) -> Iterator[np.ndarray]:
+    """All windows of the texts: the word before each, then its words, as numbers; len(index) is any other word's."""
     for text in texts:
         words = words_of(text)
         n = len(words)
-        ids = np.concatenate(([start], number[np.fromiter(map(head.__getitem__, words), np.int64, n)]))
+        ids = np.concatenate(([start], _numbers(words, index, len(index))))
         for i in range(0, n, cfg.chunk):
             yield ids[i : i + cfg.chunk + 1]
 
@@ -462,17 +467,16 @@ def fit(docs: DataFrame, id_col: str, text_col: str, head: list[tuple[bytes, int
     at = {t: i for i, t in enumerate(model)}
     number = np.array([at.get(t, len(model)) for t, _ in head] + [len(model)], np.int64)  # the last, index -1: not in the head
     start = at[END]
-    lookup = spark.sparkContext.broadcast(_Head((t, i) for i, (t, _) in enumerate(head)))  # at most head words of max_bytes
     copies = max(1, round(total / (cfg.rounds * cfg.copy_words)))
     rows = dealt(docs, id_col, text_col, cfg.rounds, copies)
     for turn in range(cfg.rounds):
-        sent = spark.sparkContext.broadcast((net, cls, number, start))
+        sent = spark.sparkContext.broadcast((net, cls, at))  # at most vocab words of max_bytes, and the weights
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            net, cls, number, start = sent.value
+            net, cls, at = sent.value
             texts = ((c.as_py(), t.as_py()) for b in batches for c, t in zip(b.column(0), b.column(1), strict=True))
             for copy, own in groupby(texts, key=lambda x: x[0]):
-                got, seen = train(net, cls, _chunks((t for _, t in own), lookup.value, number, cfg, start), start)
+                got, seen = train(net, cls, _chunks((t for _, t in own), at, cfg, start), start)
                 v = got.flat().astype(np.float64) * seen
                 cuts = range(0, len(v), BLOCK)
                 yield pa.RecordBatch.from_arrays([pa.array([a // BLOCK for a in cuts], pa.int32()), pa.array([copy] * len(cuts), pa.int64()), pa.array([seen] * len(cuts), pa.int64()), pa.array([v[a : a + BLOCK].tobytes() for a in cuts], pa.binary())], names=["block", "part", "seen", "v"])
@@ -528,7 +532,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     c = np.array([n for _, n in head] + [0], np.float64)
     is_rare = number == net.vocab
     n_rare, v_rare = sums["n"] - float(c[~is_rare].sum()), sums["v"] - int(((c > 0) & ~is_rare).sum())
-    sent = spark.sparkContext.broadcast((_Head((t, i) for i, (t, _) in enumerate(head)), net, cls, number, start, np.log10(c + 1)))
+    sent = spark.sparkContext.broadcast(({t: i for i, (t, _) in enumerate(head)}, net, cls, number, start, np.log10(c + 1)))
     kind = x.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -554,7 +558,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
             id_type = b.column(0).type
             for key, t, tr in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 w = words_of(t.as_py())
-                at = np.fromiter(map(index.__getitem__, w), np.int64, len(w))
+                at = _numbers(w, index, -1)
                 nums = number[at]
                 rare = nums == net.vocab
                 tail = Counter(w[i] for i in np.flatnonzero(at < 0).tolist())
