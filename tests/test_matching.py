@@ -167,6 +167,14 @@ def test_suppression_is_greedy(spark):
     assert P.suppress(df.limit(0), "vol", 4, ("seq",)).count() == 0
 
 
+def test_suppression_of_large_small_and_null_groups(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, *map(int, rng.integers(0, 12, 3)), i) for g, n in ((1, 90), (2, 8), (None, 70)) for i in range(n)]
+    df = spark.createDataFrame(rows, "vol long, x long, y long, z long, seq long")
+    got = [sorted((str(r.vol), r.x, r.y, r.z) for r in P.suppress(df, "vol", 3, ("seq",), whole).collect()) for whole in (1000, 40, 1)]
+    assert got[0] == got[1] == got[2] and {g for g, *_ in got[0]} == {"1", "2", "None"}
+
+
 def test_feature_text_round_trip(spark, tmp_path):
     row = (1.5, 2.25, 3.0, 4.5, [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]], [3.0, 2.0, 1.0], 48, [float(i) for i in range(64)])
     flat = (9.0, 9.0, 9.0, 1.0, row[4], [1e6, 1.0, 1.0], 0, row[7])

@@ -68,6 +68,7 @@ def top_share(pts: DataFrame, group: list[str], share: float, most: int) -> Data
 def suppress(pts: DataFrame, group: str, least: int, order: tuple[str, ...], whole: int = 200_000) -> DataFrame:
     """Greedy: in order, a point of a group stays if no point that stayed is nearer than `least`. (x, y, z) are whole
     numbers; order names columns, "-v" for descending. Of points at one place the first counts, equal rows as one.
+    A null group is a group like others.
 
     A group of at most `whole` places is a fold in one task. Larger ones take rounds, in which no task needs a group: a
     point stays if all earlier points near it have gone, and goes if an earlier one near it stays. Near points are in
@@ -78,9 +79,12 @@ def suppress(pts: DataFrame, group: str, least: int, order: tuple[str, ...], who
     w = Window.partitionBy(group, "x", "y", "z").orderBy(*by)
     first = pts.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
     sizes = first.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__size"))
-    large = [r["__g"] for r in sizes.filter(F.col("__size") > whole).collect()]
-    small = _folded(first.filter(~F.col(group).isin(large)) if large else first, group, least, order)
-    return small.unionByName(_rounds(first.filter(F.col(group).isin(large)), group, least, order)) if large else small
+    large = sizes.filter(F.col("__size") > whole).select("__g")
+    of = F.col(group).eqNullSafe(F.col("__g"))
+    if large.isEmpty():
+        return _folded(first, group, least, order)
+    small = _folded(first.join(large, of, "left_anti"), group, least, order)
+    return small.unionByName(_rounds(first.join(large, of, "left_semi"), group, least, order))
 
 
 def _folded(pts: DataFrame, group: str, least: int, order: tuple[str, ...]) -> DataFrame:
@@ -118,7 +122,7 @@ def _rounds(pts: DataFrame, group: str, least: int, order: tuple[str, ...]) -> D
         a, b = F.col(f"o2.{n}"), F.col(f"o.{n}")
         earlier = earlier | (same & ((a > b) if c[0] == "-" else (a < b)))
         same = same & (a == b)
-    on = (F.col("p.g") == F.col("q.g")) & (F.col("cx") == F.col("dx")) & (F.col("cy") == F.col("dy")) & (F.col("cz") == F.col("dz")) & near & earlier
+    on = F.col("p.g").eqNullSafe(F.col("q.g")) & (F.col("cx") == F.col("dx")) & (F.col("cy") == F.col("dy")) & (F.col("cz") == F.col("dz")) & near & earlier
     edges = written(one.join(two, on).select("p", "q"), "edges")
     todo, kept = written(one.select("p"), "todo"), None
     while todo.count():
