@@ -825,6 +825,19 @@ def knn5_lsh(spark, d):
     return M.nearest_lsh(x, x, 5)
 
 
+@query("SELECT true AS enough")
+def forest_recall(spark, d):
+    """Whether a forest's neighbours hold at least nine tenths of the exact ones, on vectors without any structure."""
+    hits = knn5(spark, d).select("q", "t").join(knn5_forest(spark, d).select("q", "t"), ["q", "t"]).agg(F.count("*").alias("hits"))
+    return hits.join(knn5(spark, d).agg(F.count("*").alias("all"))).select((F.col("hits") >= 0.9 * F.col("all")).alias("enough"))
+
+
+@query()
+def knn5_forest(spark, d):
+    x = descriptors(spark, d).select(F.col("feat_id").alias("id"), F.col("image_id").cast("long").alias("grp"), "pc")
+    return M.nearest_forest(x, x, 5, checks=4096)
+
+
 @query()
 def pca(spark, d):
     """The descriptors' first components: the covariance is summed where the rows are."""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelweave.functions import vectors as V
+from voxelweave.operators import forest as FOREST
 from voxelweave.operators import knn as KNN
 from voxelweave.stage import written
 
@@ -99,6 +100,17 @@ def nearest_lsh(queries: DataFrame, targets: DataFrame, k: int, width: float = 0
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def nearest_forest(queries: DataFrame, targets: DataFrame, k: int, other_groups: bool = True, checks: int = 256, trees: int = 8) -> DataFrame:
+    """The same by a randomised k-d forest, approximate: a query meets the targets of leaves that hold `checks` rows or a
+    few more, of all trees together. What is found has its exact distance.
+
+    Rows without id or group and with no valid vector have no neighbours and are none. Of equal targets no more than can
+    be a result are dealt to leaves, so that no leaf is made of repeats.
+    """
+    t = written(KNN.few_equal(_vectors(targets), k), "targets")
+    return FOREST.search(_vectors(queries), FOREST.plant(t, trees), k, _base(other_groups), checks)
+
+
 def ratio(near: DataFrame) -> DataFrame:
     """(q, t, d, second, ratio) from the two nearest of each query; null ratio if the second is 0 or missing."""
     best = near.groupBy("q").agg(F.min_by("t", "rank").alias("t"), F.min_by("d", "rank").alias("d"), F.max(F.when(F.col("rank") == 2, F.col("d"))).alias("second"))
