@@ -1,11 +1,9 @@
-"""Volume formats: NIfTI and Analyze, raw arrays with a header, and PGM/PPM images, read through Spark's own reader."""
+"""Volume formats: NIfTI by its data source; raw arrays with a header and PGM/PPM images through Spark's reader of files."""
 
 from __future__ import annotations
 
-import gzip
 import os
 import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,79 +11,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The voxel codes that are read.
-DTYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
-VOXELS = "vol string, t int, z int, y int, x int, v double"
-
-
-#: (first, size) of a part along z, y and x.
-Box = tuple[tuple[int, int], tuple[int, int], tuple[int, int]]
-
-
-def parse_nifti(data: bytes, scaled: bool = False, volumes: list[int] | None = None, box: Box | None = None) -> tuple[np.ndarray, dict]:
-    """([t, z, y, x] as float32, header) of a .nii file, of .nii.gz, or of a header followed by its image.
-
-    volumes: only these of the t axis are decoded, box: only this part (size 1 along an axis: a plane of it). scaled:
-    slope and intercept are applied. Other codes, and parts that leave the volume, are errors.
-    """
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    end = "<" if struct.unpack("<i", data[:4])[0] == 348 else ">"
-    if struct.unpack(end + "i", data[:4])[0] != 348:
-        raise ValueError("not a NIfTI header")
-    dim = struct.unpack(end + "8h", data[40:56])
-    code = struct.unpack(end + "h", data[70:72])[0]
-    if code not in DTYPES:
-        raise ValueError(f"voxel code {code} isn't read")
-    pix = struct.unpack(end + "8f", data[76:108])
-    offset, slope, inter = struct.unpack(end + "3f", data[108:120])
-    n = [max(1, d) for d in dim[1:5]] + [1] * 4
-    nx, ny, nz, nt = (n[i] if i < dim[0] else 1 for i in range(4))
-    dt = np.dtype(end + DTYPES[code])
-    at, size = max(348, int(offset)), nx * ny * nz
-    want = list(range(nt)) if volumes is None else volumes
-    if box and any(a < 0 or k < 1 or a + k > m for (a, k), m in zip(box, (nz, ny, nx), strict=True)):
-        raise ValueError(f"{box} leaves a volume of {(nz, ny, nx)}")
-    part = tuple(slice(a, a + k) for a, k in box) if box else ...
-    arr = np.stack([np.frombuffer(data, dt, size, at + i * size * dt.itemsize).reshape(nz, ny, nx)[part].astype(np.float32) for i in want])
-    if scaled and slope:
-        arr = arr * slope + inter
-    affine = np.array(struct.unpack(end + "12f", data[280:328])).reshape(3, 4) if struct.unpack(end + "h", data[254:256])[0] > 0 else _quatern(struct.unpack(end + "6f", data[256:280]), pix)
-    return arr, {"dims": (nz, ny, nx), "spacing": (pix[3], pix[2], pix[1]), "affine": affine.tolist(), "slope": slope, "intercept": inter}
-
-
-def _quatern(q: tuple, pix: tuple) -> np.ndarray:
-    """The 3x4 affine of a quaternion, an offset and spacings."""
-    b, c, d, ox, oy, oz = q
-    a = np.sqrt(max(0.0, 1 - b * b - c * c - d * d))
-    r = np.array([[a * a + b * b - c * c - d * d, 2 * (b * c - a * d), 2 * (b * d + a * c)], [2 * (b * c + a * d), a * a + c * c - b * b - d * d, 2 * (c * d - a * b)], [2 * (b * d - a * c), 2 * (c * d + a * b), a * a + d * d - b * b - c * c]])
-    s = np.array([pix[1], pix[2], pix[3] * (-1 if pix[0] < 0 else 1)])
-    return np.hstack([r * s, [[ox], [oy], [oz]]])
-
-
-def encode_nifti(arr: np.ndarray, spacing: tuple[float, float, float] = (1, 1, 1), affine: np.ndarray | None = None) -> bytes:
-    """[t, z, y, x] as a little-endian float32 .nii file."""
-    t, z, y, x = arr.shape
-    m = np.array([[spacing[2], 0, 0, 0], [0, spacing[1], 0, 0], [0, 0, spacing[0], 0]], float) if affine is None else np.asarray(affine)[:3]
-    h = bytearray(352)
-    struct.pack_into("<i", h, 0, 348)
-    struct.pack_into("<8h", h, 40, 4 if t > 1 else 3, x, y, z, t, 1, 1, 1)
-    struct.pack_into("<2h", h, 70, 16, 32)
-    struct.pack_into("<8f", h, 76, 1, spacing[2], spacing[1], spacing[0], 1, 1, 1, 1)
-    struct.pack_into("<3f", h, 108, 352, 1, 0)
-    struct.pack_into("<2h", h, 252, 0, 1)
-    struct.pack_into("<12f", h, 280, *m.ravel())
-    h[344:348] = b"n+1\0"
-    return bytes(h) + arr.astype("<f4").tobytes()
-
-
-def _exploded(vol: str, arr: np.ndarray, first_t: list[int] | None = None, low: tuple[int, int, int] = (0, 0, 0)) -> Iterator[pd.DataFrame]:
-    """A volume as voxel rows, a plane at a time; low: where its first voxel is."""
+from voxelweave.sources.files import save
+from voxelweave.sources.nifti import VOXELS, encode_nifti, parse_nifti, read_headers, read_nifti  # noqa: F401  part of the formats
+
+
+def _exploded(vol: str, arr: np.ndarray) -> Iterator[pd.DataFrame]:
+    """A volume as voxel rows, a plane at a time."""
     nt, nz, ny, nx = arr.shape
-    y, x = np.mgrid[low[1] : low[1] + ny, low[2] : low[2] + nx]
+    y, x = np.mgrid[:ny, :nx]
     for t in range(nt):
         for z in range(nz):
-            yield pd.DataFrame({"vol": vol, "t": first_t[t] if first_t else t, "z": low[0] + z, "y": y.ravel(), "x": x.ravel(), "v": arr[t, z].ravel().astype(float)})
+            yield pd.DataFrame({"vol": vol, "t": t, "z": z, "y": y.ravel(), "x": x.ravel(), "v": arr[t, z].ravel().astype(float)})
 
 
 def _read(spark: SparkSession, path: str, decode) -> DataFrame:
@@ -99,25 +35,6 @@ def _read(spark: SparkSession, path: str, decode) -> DataFrame:
     return files.mapInPandas(run, VOXELS)
 
 
-def read_nifti(spark: SparkSession, path: str, scaled: bool = False, volumes: list[int] | None = None, box: Box | None = None) -> DataFrame:
-    """Voxels of all files at path; one file a task's turn, its name the volume's. Voxels of a box keep their places."""
-    low = tuple(a for a, _ in box) if box else (0, 0, 0)
-    return _read(spark, path, lambda name, data: _exploded(name, parse_nifti(data, scaled, volumes, box)[0], volumes, low))
-
-
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(vol, dims, spacing, affine), arrays in z, y, x order."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, data in zip(b.path, b.content, strict=True):
-                h = parse_nifti(bytes(data), volumes=[0])[1]
-                yield pd.DataFrame({"vol": [os.path.basename(name)], "dims": [list(h["dims"])], "spacing": [list(map(float, h["spacing"]))], "affine": [h["affine"]]})
-
-    return files.mapInPandas(run, "vol string, dims array<int>, spacing array<double>, affine array<array<double>>")
-
-
 def read_raw(spark: SparkSession, path: str, dims: tuple[int, int, int], channels: int = 1, channel: int = 0) -> DataFrame:
     """Little-endian float32 arrays without a header; dims (z, y, x) are required, channels lie side by side."""
 
@@ -141,7 +58,7 @@ def save_arrays(vols: DataFrame, dims: tuple[int, int, int], folder: str) -> Dat
     """Every volume as name.txt and name.img (little-endian float32) in a shared folder; (vol, bytes) of the payloads."""
     nt = vols.groupBy("vol").agg(((F.max("t") if "t" in vols.columns else F.lit(0)) + 1).alias("nt"))
     head = F.format_string(f"Features:\t1\nx:\t{dims[2]}\ny:\t{dims[1]}\nz:\t{dims[0]}\nt:\t%d\ndata:\t%s.img\n", "nt", "vol")
-    save(nt.select("vol", head.cast("binary").alias("content")), folder, ".txt").write.format("noop").mode("overwrite").save()
+    save(nt.select("vol", head.cast("binary").alias("content")), folder, ".txt")
     return save(assembled(vols, dims, lambda a: a.astype("<f4").tobytes()), folder, ".img")
 
 
@@ -197,22 +114,3 @@ def assembled(vols: DataFrame, dims: tuple[int, int, int], encode) -> DataFrame:
 
     x = vols if "t" in vols.columns else vols.withColumn("t", F.lit(0))
     return x.select("vol", "t", "z", "y", "x", "v").groupBy("vol").applyInPandas(one, "vol string, content binary")
-
-
-def save(files: DataFrame, folder: str, ext: str) -> DataFrame:
-    """Writes (vol, content) rows as files in a folder that all executors share; (vol, bytes) of each.
-
-    A file is written beside its place and then moved there, so a repeated task leaves it whole.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
-        for b in batches:
-            for vol, data in zip(b.vol, b.content, strict=True):
-                place = os.path.join(folder, os.path.basename(vol) + ext)
-                with open(f"{place}.{os.getpid()}.part", "wb") as f:
-                    f.write(bytes(data))
-                os.replace(f.name, place)
-            yield pd.DataFrame({"vol": b.vol, "bytes": [len(c) for c in b.content]})
-
-    return files.mapInPandas(run, "vol string, bytes long")
