@@ -735,6 +735,16 @@ def test_mixing_meets_targets(docs, rows):
     assert len(level) == 0 or max(level.values()) - min(level.values()) < 1e-6 * max(level.values())
 
 
+def test_mixing_of_equal_rows(spark):
+    """Thousands of rows without an id share one ranking number: as many are taken as come nearest to the target."""
+    rows = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"), F.when(F.col("id") % 5 == 0, "w w w w").otherwise("w w w w w").alias("text"))
+    rows = rows.unionByName(spark.range(50).select("id", F.lit("c"), F.repeat(F.lit("w "), F.col("id").cast("int") * 3)).toDF("doc_id", "source", "text"))
+    got = mixing.mix(rows, mixing.word_count(rows["text"])).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("size"), F.count("*").alias("rows"))
+    got = {r.source: r for r in got.collect()}
+    assert {s: r.rows for s, r in got.items()} == {"a": 2000, "b": 4000, "c": 50}
+    assert all(abs(r.taken - r.target) <= r.size / 2 for r in got.values())
+
+
 def test_mixing_odd_rows(spark, odd):
     got = mixing.mix(odd, mixing.word_count(odd["text"])).collect()
     assert len(got) == len(ODD)

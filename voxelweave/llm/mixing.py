@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxelweave.llm.common import WS, ranked, spill
 
 BINS = 1 << 10
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -87,6 +88,28 @@ def _cut(q: DataFrame, src: DataFrame, col: str, before: str) -> DataFrame:
     return out.select(*[c for c in src.columns if c != before], F.col(f"c.{col}").alias(f"cut_{col}"), F.col("c.start").alias(before))
 
 
+def _nearest_to_lack(inside: DataFrame) -> DataFrame:
+    """Rows of the bin that holds a source's cut, with `more`: 1 for those whose words bring the sum nearer to the lack.
+
+    Rows with one number, id and size are interchangeable: the window of a source goes over their counts, a row for each
+    of the SALTS parts of them. Of at most one such part of a source some rows are taken and others not.
+    """
+    key = ["source", "q", "doc_id", "size", "salt"]
+    order = Window.partitionBy("source").orderBy("q", F.col("doc_id").asc_nulls_last(), "size", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    parts = inside.groupBy(*key).agg(F.count("*").alias("rows"), F.first("before").alias("before"), F.first("open_lack").alias("open_lack"))
+    parts = parts.withColumn("base", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("rows")).over(order), F.lit(0)))
+    nearer = lambda n: f"abs(base + size * {n} - open_lack) < abs(base + size * ({n} - 1) - open_lack)"
+    parts = parts.withColumn("all", F.expr(nearer("rows"))).withColumn("any", F.expr(nearer("1")))
+    parts = parts.select(*[F.col(c).alias(f"p_{c}") for c in key], "base", "all", "any")
+    on = F.lit(True)
+    for c in key:
+        on = on & F.col(c).eqNullSafe(F.col(f"p_{c}"))
+    met = inside.join(parts, on).drop(*[f"p_{c}" for c in key])
+    some = F.col("any") & ~F.col("all")
+    split = ranked(met.filter(some), key, [], "n").withColumn("more", F.expr(nearer("(n + 1)")).cast("int")).drop("n")
+    return met.filter(~some).withColumn("more", F.col("all").cast("int")).unionByName(split)
+
+
 def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for each row of docs.
 
@@ -100,11 +123,15 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
 
     The cut is found without sorting a source: sums per source and bin of the ranking number give the bin that holds
     it, sums per bin inside that bin the next, and only that one's documents, one in BINS^2 or so, are ordered. Null
-    source: a source of its own, last. Null id: as the empty text. Rows with no words, however long the text: size 0,
-    taken 0. Repeated rows count each; equal ones are ranked side by side. Empty table: empty result.
+    source: a source of its own, last. Null id: as the empty text, so that all of them with as many digits share one
+    ranking number and go by size. Rows with no words, however long the text: size 0, taken 0. Repeated rows count each;
+    equal ones are ranked side by side, and are ordered as one row with their number, however many they are. Empty
+    table: empty result.
     """
     x = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), uniform(F.col(id_col), seed).alias("u"))
-    x = spill(x.withColumn("digits", digits(F.col("size"))), "sizes")
+    # equal rows may be very many: SALTS parts of them are told apart
+    x = x.withColumn("digits", digits(F.col("size"))).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    x = spill(x, "sizes")
     src = targets(x, weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     src = src.withColumn("whole", F.floor(rate)).withColumn("lack", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -126,9 +153,7 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
     src = spill(_cut(inner, src, "fine", "before"), "cuts")
     j = ranked_rows(src)
     here = F.coalesce((F.col("bin") == F.col("cut_bin")) & (F.col("fine") == F.col("cut_fine")), F.lit(False))
-    order = Window.partitionBy("source").orderBy("q", F.col("doc_id").asc_nulls_last(), "size")
-    inside = j.filter(here).withColumn("upto", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = inside.withColumn("more", F.expr("int(abs(upto - open_lack) < abs(upto - size - open_lack))"))
+    inside = _nearest_to_lack(j.filter(here))
     early = F.expr("q is not null and (cut_bin is null or bin < cut_bin or (bin = cut_bin and fine < cut_fine))")
     rest = j.filter(~here).withColumn("more", (early | ((F.col("digits") > F.col("most_digits")) & (F.col("lack") > 0))).cast("int"))
     cols = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("more")).cast("int").alias("copies")]
