@@ -378,3 +378,24 @@ def test_places_join_the_descriptor(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], 4.0, 8.0, -2.0, 2.0), (2, [1.0, 2.0], 1.0, 1.0, 1.0, 0.0)], "feat_id long, pc array<float>, x float, y float, z float, scale float")
     got = {r.feat_id: r.pc for r in FT.with_place(df, 0.5).collect()}
     assert got[1] == [1.0, 2.0, 1.0, 2.0, -0.5] and got[2][2:] == [None] * 3
+
+
+def test_rows_sent_to_zones_are_not_broadcast(spark, monkeypatch):
+    """What Python makes of a small table, a query's row for each zone that it meets, may be large: no task gets it whole."""
+    x = np.random.default_rng(21).normal(size=(700, 16))
+    df = spark.createDataFrame([(i, i % 4, v.tolist()) for i, v in enumerate(x)], "id long, grp long, pc array<double>")
+    plans, kept = [], M.KNN.written
+
+    def told(out, label):
+        if label == "nearest":
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return kept(out, label)
+
+    monkeypatch.setattr(M.KNN, "written", told)
+    met = M.KNN.Met()
+    got = {(r.q, r.rank): r.t for r in M.nearest(df, df, 3, rows=64, met=met).collect()}
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    d[np.arange(700)[:, None] % 4 == np.arange(700)[None] % 4] = np.inf
+    near = np.argsort(d, axis=1, kind="stable")[:, :3]
+    assert all(got[q, k + 1] == near[q, k] for q in range(700) for k in range(3))

@@ -145,7 +145,8 @@ def search(queries: DataFrame, forest: Forest, k: int, rule: KNN.Rule, checks: i
     kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
     asked = queries.select(*names).mapInArrow(probe, "zone long, " + ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", kth double")
     packed = KNN.packed(asked.repartition("zone", F.pmod(F.xxhash64("id"), F.lit(4))), "q", rows, ["pc"], ["kth", "id", "grp"])
-    found = KNN.met_blocks(packed, forest.blocks, k, rule, ())
+    # Spark takes packed for as small as the queries' table, and would else send it to all tasks
+    found = KNN.met_blocks(packed.hint("merge").join(forest.blocks, F.col("q_zone") == F.col("t_zone")), k, rule, ())
     # a target may be met in a leaf of each tree
     w = Window.partitionBy("q").orderBy("d", "t")
     return found.groupBy("q", "t").agg(F.min("d").alias("d")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
