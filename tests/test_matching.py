@@ -399,3 +399,23 @@ def test_rows_sent_to_zones_are_not_broadcast(spark, monkeypatch):
     d[np.arange(700)[:, None] % 4 == np.arange(700)[None] % 4] = np.inf
     near = np.argsort(d, axis=1, kind="stable")[:, :3]
     assert all(got[q, k + 1] == near[q, k] for q in range(700) for k in range(3))
+
+
+def test_lsh_keeps_its_pairs_and_lists_none(spark):
+    """The nearest of all pairs that share a bucket, as Spark's own join has them; its join of buckets is not used."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(4).normal(size=(300, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "id long, grp long, pc array<double>")
+    near = M.nearest_lsh(df, df, 3, width=0.05, tables=2)
+    assert "BucketedRandomProjection" not in near._jdf.queryExecution().executedPlan().toString()
+    v = df.select("id", "grp", array_to_vector("pc").alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.05, numHashTables=2, seed=1).fit(v)
+    met = {}
+    for r in model.approxSimilarityJoin(v, v, 1.5, "dist").filter("datasetA.grp != datasetB.grp").select("datasetA.id", F.col("datasetB.id").alias("t"), "dist").collect():
+        met.setdefault(r.id, []).append((r.dist, r.t))
+    got = {(r.q, r["rank"]): r.t for r in near.collect()}
+    assert got == {(q, k): t for q, found in met.items() for k, (_, t) in enumerate(sorted(found)[:3], 1)}
