@@ -419,3 +419,48 @@ def test_lsh_keeps_its_pairs_and_lists_none(spark):
         met.setdefault(r.id, []).append((r.dist, r.t))
     got = {(r.q, r["rank"]): r.t for r in near.collect()}
     assert got == {(q, k): t for q, found in met.items() for k, (_, t) in enumerate(sorted(found)[:3], 1)}
+
+
+def _correspondences(spark, n):
+    rng = np.random.default_rng(n)
+    eye = np.eye(3).tolist()
+    p = rng.normal(size=(n, 3)) * 3
+    rows = [("p", i, *rng.uniform(0.5, 2, 2).tolist(), p[i].tolist(), (p[i] + rng.normal(size=3)).tolist(), eye, eye) for i in range(n)]
+    return spark.createDataFrame(rows, "pair string, id long, s0 double, s1 double, p0 array<double>, p1 array<double>, o0 array<array<double>>, o1 array<array<double>>")
+
+
+def test_votes_of_one_pair_are_many_tasks(spark):
+    """Blocks of one pair of images meet in several tasks; votes gathered by either side are those listed one by one."""
+    corr = _correspondences(spark, 90)
+    votes = M.hough(corr, ["pair"], rows=10)
+    held = votes.rdd.glom().map(len).filter(bool).count()
+    assert held > 1
+    listed = {(r.hyp, r["corr"]) for r in votes.collect()}
+    of = lambda c: [h for h, x in listed if x == c]
+    got = {r["corr"]: tuple(r)[2:] for r in M.supporters(corr, ["pair"], rows=10).collect()}
+    assert got == {c: (len(of(c)), min(of(c)), max(of(c)), sum(of(c))) for c in {x for _, x in listed}}
+    counts = {r.hyp: r.inliers for r in M.hough(corr, ["pair"], rows=10, count=True).collect()}
+    assert counts == {h: sum(x == h for x, _ in listed) for h in {x for x, _ in listed}}
+
+
+def test_a_groups_neighbours_are_many_tasks(spark):
+    df = spark.createDataFrame([(i, 7, [float(i), 0.0]) for i in range(120)], "id long, grp long, pc array<double>")
+    met = M.nearest(df, df, 2, None, rows=10)
+    assert met.select("q").distinct().count() == 120
+    found = M.KNN.products(*[M._vectors(df).selectExpr("*", "grp as zone", "double('infinity') as kth")] * 2, 2, M._base(None), rows=10)
+    assert found.rdd.glom().map(len).filter(bool).count() > 1
+
+
+def test_inliers_are_all_matches_not_the_voters_alone(spark):
+    df, *_ = images(spark, 12)
+    out = match_images(df, most=6)
+    t = out.transforms.first()
+    assert t.n == 6 and t.inliers <= 6 and out.inliers.count() >= 10
+
+
+def test_reports_keep_the_sign_of_a_rounded_zero(spark, tmp_path):
+    from voxelweave.catalog_formats import report_text
+
+    rows = [(1, [-1e-6, 1e-6, -0.5] + [0.1] * 61, 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert report_text(spark, str(tmp_path)).first().line.split("\t")[1:4] == ["-0.000000", "0.000000", "-25.000000"]

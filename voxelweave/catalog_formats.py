@@ -77,7 +77,8 @@ def inverse_text(spark, d):
 def report_text(spark, d):
     """Match reports by image, as they are read back."""
     path = fresh_path(spark, "reports")
-    three = {c: F.round(c, 3) + 0.0 for c in ("x", "y", "z", "scale")}
+    # a negative number that is rounded to zero is written with its sign, as C's %f has it; Spark's round drops that
+    three = {c: F.when(F.col(c).cast("string").startswith("-"), -F.abs(F.round(c, 3))).otherwise(F.round(c, 3)) for c in ("x", "y", "z", "scale")}
     m = C.features(spark, d).withColumns(three).withColumns({"pair": F.col("image_id"), "name": F.lit("img"), "tag": F.col("feat_id"), "d": F.lit(0.0)})
     TX.write_partitioned(TX.report_lines(m), "pair", path)
     return spark.read.text(path).select(F.col("pair").alias("image_id"), F.col("value").alias("line"))
