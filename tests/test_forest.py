@@ -3,6 +3,7 @@
 import numpy as np
 
 from voxelweave.operators import forest as FO
+from voxelweave.operators import knn as KNN
 from voxelweave.operators import match as M
 
 FORM = "id long, grp long, pc array<double>"
@@ -64,3 +65,15 @@ def test_nulls_repeats_and_empty_tables(spark):
     same = spark.range(3000).selectExpr("id", "id % 3 as grp", "array(1D, 2D, 3D) as pc")
     few = same.filter("id < 9")
     assert pairs(M.nearest_forest(few, same, 4)) == pairs(M.nearest(few, same, 4))
+
+
+def test_a_sample_by_hash_is_not_each_tasks_own(spark, monkeypatch):
+    """The vectors of the smallest hashes come to the driver with few others, from however many tasks."""
+    x = spark.range(6000).repartition(40).selectExpr("id", "array(cast(id as double), cast(id % 7 as double)) as pc").cache()
+    want = [r["pc"] for r in x.orderBy(KNN.F.xxhash64("id", "pc"), "id").limit(100).collect()]
+    sent, whole = [], type(x).toArrow
+    monkeypatch.setattr(type(x), "toArrow", lambda df: sent.append(whole(df)) or sent[-1])
+    assert KNN.hashed_first(x, 6000, 100).tolist() == want and len(sent) == 1 and len(sent[0]) < 300
+    # a count that is too large leaves too few rows at first
+    assert KNN.hashed_first(x, 10**7, 100).tolist() == want
+    assert KNN.hashed_first(x.limit(3), 3, 100).shape == (3, 2) and not KNN.hashed_first(x.limit(0), 0, 100).size

@@ -103,7 +103,7 @@ def plant(targets: DataFrame, trees: int = 8, leaf: int = 32, rows: int = 2048,
     """
     names = ["id", "grp", "pc"]
     count = targets.count()
-    sample = np.array([r["pc"] for r in targets.select("id", "pc").orderBy(F.xxhash64("id", "pc"), "id").limit(SAMPLE).collect()], np.float64)
+    sample = KNN.hashed_first(targets, count, SAMPLE)
     levels = int(np.clip(np.ceil(np.log2(max(count, 1) / leaf)), 0, LEVELS))
     rng = np.random.default_rng(seed)
     grown = [grow(sample, levels, rng) for _ in range(trees)] if count else []
