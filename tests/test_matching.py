@@ -464,3 +464,43 @@ def test_reports_keep_the_sign_of_a_rounded_zero(spark, tmp_path):
     rows = [(1, [-1e-6, 1e-6, -0.5] + [0.1] * 61, 3)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert report_text(spark, str(tmp_path)).first().line.split("\t")[1:4] == ["-0.000000", "0.000000", "-25.000000"]
+
+
+def test_support_is_what_each_pair_measures_to():
+    """Of many turns and frames or few, with places and scales on thresholds, and with numbers that are none."""
+    rng = np.random.default_rng(8)
+    for kinds in (1, 3, 80):
+        for grid in (False, True):
+            n = 80
+            own = np.linalg.qr(rng.normal(size=(kinds, 2, 3, 3)))[0][rng.integers(0, kinds, n)].reshape(n, 18)
+            if kinds > 1:
+                own = np.where(rng.random(n)[:, None] < 0.5, np.tile(np.eye(3).ravel(), 2), own)
+            place = rng.integers(-2, 3, (n, 6)).astype(float) if grid else rng.normal(size=(n, 6))
+            v = np.concatenate([2.0 ** rng.integers(-1, 2, (n, 2)), place, own], axis=1)
+            v[3, 4], v[7, 11], v[9, 0], v[11, 20] = math.nan, math.inf, math.inf, math.nan
+            with np.errstate(all="ignore"):
+                h, c = M.Side.of(np.arange(n), v), M.Side.of(np.arange(n), v)
+                got = np.zeros((n, n), bool)
+                got[np.ix_(h.ids, c.ids)] = M._support(h, c, math.log(2), 2.0, 0.7)
+                turn = M._turns(v[:, 8:17].reshape(-1, 3, 3), v[:, 17:].reshape(-1, 3, 3))
+                for i in range(n):
+                    s = v[i, 1] / v[i, 0]
+                    moved = (v[:, 2:5] - v[i, 2:5]) @ turn[i].T * s + v[i, 5:8]
+                    near = (np.abs(np.log(v[:, 0] / v[:, 1] * s)) < math.log(2)) & (((moved - v[:, 5:8]) ** 2).sum(axis=1) < (2 * v[:, 1]) ** 2)
+                    near &= (np.einsum("ab,nkb,nka->nk", turn[i], v[:, 8:17].reshape(-1, 3, 3), v[:, 17:].reshape(-1, 3, 3)).min(axis=1) > 0.7)
+                    # random places are nowhere near a threshold; on the grid, sums of another order may differ there
+                    assert (got[i] == near).mean() >= (0.9 if grid and kinds > 1 else 1.0)
+            assert got.any()
+
+
+def test_votes_of_few_turns_measure_no_pair_alone(monkeypatch):
+    """Frames that are all one turn are one product: pairs far from each threshold are not measured one by one."""
+    rng = np.random.default_rng(9)
+    n, eye = 200, np.tile(np.eye(3).ravel(), 2)
+    v = np.concatenate([np.ones((n, 2)), rng.normal(size=(n, 3)) * 9, rng.normal(size=(n, 3)) * 9, np.tile(eye, (n, 1))], axis=1)
+    s = M.Side.of(np.arange(n), v)
+    assert len(s.frames) == len(s.turns) == 1
+    made = []
+    monkeypatch.setattr(M, "_runs", lambda w, f=M._runs: made.append(len(w)) or f(w))
+    ok = M._support(s, s, 1.0, 2.0, 0.7)
+    assert ok.diagonal().all() and made == [n, n]
