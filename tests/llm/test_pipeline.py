@@ -6,11 +6,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import regex
 
 import corpus_pipeline as cp
-from voxelweave.llm import pieces
+from voxelweave.llm import pieces, simhash
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -130,6 +131,36 @@ def test_near_copy_stage_is_exact_at_the_line(spark, parts):
     assert {r.doc_id for r in cp.drop_near_copies(spark, df, SF).collect()} == {d for d in sets if find(d) == d}
 
 
+@pytest.mark.parametrize("entries", [False, True])
+def test_near_copies_are_looked_up_by_fingerprints(spark, monkeypatch, entries):
+    """Alike texts within 3 bits are found without any shared entry; alike ones farther apart by entries, and no others."""
+    rows_of = simhash._set_rows
+    if not entries:  # a share above 1 leaves a set without entries
+        monkeypatch.setattr(simhash, "_set_rows", lambda k, words, common, share: rows_of(k, words, common, (3, 1)))
+    rng, texts = random.Random(5), []
+    for i in range(60):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 400, 900]))]
+        texts += [a, a[:-1], a[1:] + ["end"], a[: len(a) * 9 // 10], a[: len(a) // 2]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(1000, None), (1001, "")]
+    sets = {i: simhash.shingle_set(t, 5) for i, t in rows}
+    bits = lambda h: int((simhash._bit_counts(h) * 2 > len(h)) @ (1 << np.arange(64, dtype=object)))
+    fp, root, far = {i: bits(h) for i, h in sets.items()}, {i: i for i in sets}, 0
+    find = lambda d: d if root[d] == d else find(root[d])
+    for at in range(0, len(texts), 5):
+        for a, b in itertools.combinations(range(at, at + 5), 2):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                near = (fp[a] ^ fp[b]).bit_count() <= 3
+                far += not near
+                if near or entries:
+                    a, b = sorted((find(a), find(b)))
+                    root[b] = a
+    root[1001] = 1000
+    assert far > 20 and sum(find(d) != d for d in sets) > 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == {d: find(d) for d in sets}
+
+
 def test_mixing_stage(kept):
     words = lambda t: len(WORD.findall(t or ""))
     own, most, times = Counter(), Counter(), Counter()

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import byte_blocks, spill
+from voxelweave.llm.common import byte_blocks, release, spill
 from voxelweave.llm.components import components
 
 #: Odd multipliers of the finaliser that gives further words of a wide fingerprint.
@@ -465,17 +465,34 @@ def _joined(nodes: DataFrame, links: DataFrame, col: str) -> DataFrame:
     return nodes.join(cc, F.col(col) == F.col("c0"), "left").withColumn(col, F.coalesce("c1", col)).drop("c0", "c1")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, words: int = 8, share: tuple[int, int] = (4, 5), most: int = 144) -> DataFrame:
+def _fingerprint_pairs(nodes: DataFrame, bits: int) -> DataFrame:
+    """(hub, node): sets (node, n, w0) joined as by all pairs of 64-bit fingerprints w0 at `bits` or fewer, n - 1 pairs at most.
+
+    The look-ups of links(): of equal fingerprints the least set is the hub of the others and meets what its fingerprint
+    is linked to. Sets without shingles are one and have no pair.
+    """
+    nodes = nodes.filter("n > 0").select("node", "w0")
+    least = spill(nodes.groupBy(F.col("w0").alias("fp")).agg(F.min("node").alias("least")), "least")
+    equal = nodes.join(least, F.col("w0") == F.col("fp")).filter("node != least").select(F.col("least").alias("hub"), "node")
+    near = links(least.select(F.col("fp").alias("node")), bits)
+    near = near.join(least.select(F.col("fp").alias("f0"), F.col("least").alias("hub")), F.col("src") == F.col("f0"))
+    near = near.join(least.select(F.col("fp").alias("f1"), F.col("least").alias("node")), F.col("dst") == F.col("f1"))
+    return equal.unionByName(near.select("hub", "node"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, words: int = 8, share: tuple[int, int] = (4, 5), most: int = 144, bits: int = 3) -> DataFrame:
     """(doc_id, component_id) for each row of docs: groups of texts linked by a Jaccard similarity of share or more.
 
-    The similarity is that of the sets of k-word shingles, counted exactly. Sets are entered under so many of their
-    rarest shingles that all pairs as alike as that share an entry. Of these, pairs whose sizes and, from 64 shingles
-    on, fingerprints (64 * words bits, `most` differing) allow it are candidates; at 512 bits and similarity 0.8 about
-    78 +- 8 differ. Candidates are verified in two rounds, and no group is ever one task's:
+    The similarity is that of the sets of k-word shingles, counted exactly. No group is ever one task's:
 
-    1. Each entry's least set is its hub, and its other sets are compared with the hub. This joins most of any large
-       group of copies, in work and memory in proportion to the entries.
-    2. Sets that share an entry without its hub, and are in different groups yet, can still be alike. Where they are
+    1. SimHash: sets whose 64-bit fingerprints differ in `bits` or fewer, found by the look-ups of near_duplicates(), are
+       compared, and those alike are a group from then on.
+    2. At the share most fingerprints are farther apart than any look-up reaches (at 0.8 about 10 of 64 bits). An exact
+       way for these follows: sets are entered under so many of their rarest shingles that all pairs as alike as that
+       share an entry. Of these, pairs of different groups whose sizes and, from 64 shingles on, fingerprints (64 * words
+       bits, `most` differing; at 512 bits and 0.8 about 78 +- 8 differ) allow it are candidates. Each entry's least set
+       is its hub, and its other sets are compared with the hub, in work and memory in proportion to the entries.
+    3. Sets that share an entry without its hub, and are in different groups yet, can still be alike. Where they are
        candidates, their groups' sets that take part meet in blocks, every two of which are a unit of work. A set is
        compared with sets of other groups only, and a unit gives fewer links than rows.
 
@@ -507,15 +524,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         every = x.join(least, F.col("id").eqNullSafe(F.col("least")), "left_semi").select("t").mapInArrow(made, "m long, h binary")
         return spill(every.join(some, F.col("m") == F.col("node"), "left_semi").dropDuplicates(["m"]).withColumnRenamed("m", "node"), "made")
 
-    # round 1: every set with its entries' hubs
+    # SimHash: sets that the look-ups of fingerprints find
+    pairs = spill(_fingerprint_pairs(nodes, bits), "looked-up")
+    sets = sets_of(pairs.select(F.explode(F.array("hub", "node")).alias("node")))
+    looked = spill(_hub_links(pairs, sets, share), "by-fingerprint")
+    release(sets)
+    own = spill(_joined(nodes.select("node", "least", F.col("node").alias("label")), looked, "label"), "classes")
+    # every set with its entries' hubs, where these are in different groups
+    group = own.select(F.col("node").alias("g0"), "label")
     pairs = crowd.filter("node != hub").select("hub", "node").distinct()
+    pairs = pairs.join(group, F.col("node") == F.col("g0")).select("hub", "node", F.col("label").alias("mine"))
+    pairs = pairs.join(group, F.col("hub") == F.col("g0")).filter("label != mine").select("hub", "node")
     side = nodes.select(F.col("node").alias("m0"), F.col("n").alias("m"), *[F.col(w).alias(f"v{i}") for i, w in enumerate(ws)])
     pairs = pairs.join(nodes.select(F.col("node").alias("n0"), "n", *ws), F.col("node") == F.col("n0")).join(side, F.col("hub") == F.col("m0"))
     pairs = spill(pairs.filter(_can_be(words, share, most)).select("hub", "node"), "pairs")
     sets = sets_of(pairs.select(F.explode(F.array("hub", "node")).alias("node")))
-    found = spill(_hub_links(pairs, sets, share), "links")
+    found = spill(_hub_links(pairs, sets, share).unionByName(looked), "links")
+    release(sets)
     own = spill(_joined(nodes.select("node", "least", F.col("node").alias("label")), found, "label"), "classes")
-    # round 2: entries whose sets, the hub left out, are not all of one group yet
+    # entries whose sets, the hub left out, are not all of one group yet
     rest = crowd.filter("node != hub").join(own.select(F.col("node").alias("n0"), "label"), F.col("node") == F.col("n0")).select("key", "node", "label")
     mixed = rest.groupBy(F.col("key").alias("k0")).agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("k0")
     rest = spill(rest.join(mixed, F.col("key") == F.col("k0"), "left_semi"), "mixed")
