@@ -5,13 +5,14 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 import regex
 
 import corpus_pipeline as cp
-from voxelweave.llm import pieces, simhash
+from voxelweave.llm import common, pieces, simhash
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -161,6 +162,16 @@ def test_near_copies_are_looked_up_by_fingerprints(spark, monkeypatch, entries):
     assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == {d: find(d) for d in sets}
 
 
+def test_workers_give_back_what_they_have_freed():
+    """Small blocks of a freed heap go back to the system, though a later one keeps the heap's top in use."""
+    held = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1])
+    blocks = [np.ones(8000) for _ in range(2000)]
+    last, full = np.ones(8000), held()
+    del blocks
+    common.give_back()
+    assert full - held() > 64_000 and last.all()
+
+
 def test_mixing_stage(kept):
     words = lambda t: len(WORD.findall(t or ""))
     own, most, times = Counter(), Counter(), Counter()

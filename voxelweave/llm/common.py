@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,14 @@ def release(df: DataFrame) -> None:
         _written[:] = [x for x in _written if x[1] != path]
 
 
+def give_back() -> None:
+    """Returns what this worker has freed to the system, at a task's end: workers stay for later stages' tasks, and what
+    their allocators keep of one stage would be held through the next ones."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else as it is. Texts of ASCII alone take the fast built-in."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

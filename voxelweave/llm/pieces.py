@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelweave.llm.common import give_back
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: The piece types of the model file, and how far an unknown character scores below the worst piece.
@@ -227,6 +229,7 @@ def encode(docs: DataFrame, model: Pieces, text_col: str = "text", ids: str = "i
                 if decoded is not None:
                     cols.append(pa.array([None if g is None else tok.decode(g) for g in got], pa.string()))
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i, c in enumerate(rest) if c in keep], *cols], names=[*[c for c in rest if c in keep], *new])
+            give_back()
 
     order = [c for c in rest if c in keep]
     kinds = [kinds[names.index(c)] for c in order]

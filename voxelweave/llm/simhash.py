@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import byte_blocks, release, spill
+from voxelweave.llm.common import byte_blocks, give_back, release, spill
 from voxelweave.llm.components import components
 
 #: Odd multipliers of the finaliser that gives further words of a wide fingerprint.
@@ -194,6 +194,7 @@ def _bucket_links(most: int):
                 v = np.unique(fp[a:z])
                 out += _forest(v, lambda i, js, v=v: np.bitwise_count((v[js] ^ v[i]).view(np.uint64)) <= most)
             yield _pairs(out)
+        give_back()
 
     return run
 
@@ -283,6 +284,7 @@ def _common(docs: DataFrame, text_col: str, k: int, most: int = 1 << 16) -> tupl
         for b in batches:
             for t in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), k).view(np.int64))], names=["h"])
+        give_back()
 
     some = docs.filter(F.xxhash64(text_col) % 16 == 0).select(F.col(text_col).alias("t"))
     top = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 3").orderBy(F.desc("n"), "h").limit(most).collect()
@@ -332,6 +334,7 @@ def _set_rows(k: int, words: int, common, share: tuple[int, int]):
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), *[pa.array(np.ascontiguousarray(w[:, i])) for i in range(words)], keys], names=["id", "node", "n", *[f"w{i}" for i in range(words)], "keys"])
+        give_back()
 
     return run
 
@@ -402,6 +405,7 @@ def _with_hub(share: tuple[int, int]):
                     ok = _alike(own, data[ends[a] : ends[z]].view(np.uint64), np.diff(ends[a : z + 1]).astype(np.int64) // 8, share)
                     out += [(hub, x) for x in node[a:z][ok].tolist()]
             yield _pairs(out)
+        give_back()
 
     return run
 
@@ -431,6 +435,7 @@ def _unit_links(near, words: int):
                 first, root = np.unique(label, return_index=True, return_inverse=True)[1:]
                 if len(first) > 1:
                     yield _pairs(_forest(label, near(part), first[root]))
+        give_back()
 
     return run
 
@@ -519,6 +524,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for lo in range(0, b.num_rows, 500):
                     h = [shingle_set(t.as_py(), k) for t in b.column(0).slice(lo, 500)]
                     yield pa.RecordBatch.from_arrays([pa.array([_set_node(v) for v in h], pa.int64()), pa.array([v.tobytes() for v in h], pa.binary())], names=["m", "h"])
+            give_back()
 
         # another text that has the same id may have been made too: its set is no node of these, or is its own node's
         every = x.join(least, F.col("id").eqNullSafe(F.col("least")), "left_semi").select("t").mapInArrow(made, "m long, h binary")
