@@ -1,6 +1,7 @@
 """Matching, voting, points, formats and the driver's contract."""
 
 import math
+from collections import Counter
 
 import numpy as np
 
@@ -504,3 +505,26 @@ def test_votes_of_few_turns_measure_no_pair_alone(monkeypatch):
     monkeypatch.setattr(M, "_runs", lambda w, f=M._runs: made.append(len(w)) or f(w))
     ok = M._support(s, s, 1.0, 2.0, 0.7)
     assert ok.diagonal().all() and made == [n, n]
+
+
+def test_line_pairs_by_blocks(spark):
+    """line_pairs() against compatible_lines() within groups, over several blocks, with equal ids and odd rows."""
+    rng, rows = np.random.default_rng(3), []
+    for i in range(300):
+        p = rng.normal(size=3) * rng.choice([1, 1e-3]) + rng.choice([0, 0, 1e5])
+        rows.append((i // 2 if i < 20 else i, i % 2, *map(float, p), [list(map(float, p + rng.normal(size=3) * rng.choice([0.5, 2])))]))
+    # gap over length is the share itself, just below it, and lines without length or with no number
+    rows += [(900, 0, 0.0, 0.0, 0.0, [[2.0, 0.0, 0.0]]), (901, 0, 0.0, 1.0, 0.0, [[2.0, 1.0, 0.0]]), (902, 0, 0.0, 1 - 1e-15, 0.0, [[2.0, 1 - 1e-15, 0.0]])]
+    rows += [(903, 0, 1.0, 1.0, 1.0, [[1.0, 1.0, 1.0]]), (904, 0, float("nan"), 0.0, 0.0, [[1.0, 0.0, 0.0]]), (905, 0, float("inf"), 0.0, 0.0, [[1.0, 0.0, 0.0]]), (None, 0, 0.0, 0.0, 0.0, [[2.0, 0.0, 0.0]]), (906, None, 0.0, 0.0, 0.0, [[2.0, 0.0, 0.0]]), (907, 0, 0.0, 0.0, 0.0, None)]
+    df = spark.createDataFrame(rows, "feat_id long, image_id long, x double, y double, z double, ori array<array<double>>")
+    far = lambda a, b: math.sqrt(sum((u - w) ** 2 for u, w in zip(a, b, strict=True)))
+    whole, want = [r for r in rows if r[0] is not None and r[1] is not None and r[5]], Counter()
+    for a in whole:
+        for b in whole:
+            size = far(a[2:5], a[5][0]) + far(b[2:5], b[5][0])
+            if a[0] < b[0] and a[1] == b[1] and size and (far(a[2:5], b[2:5]) + far(a[5][0], b[5][0])) / size < 0.5:
+                want[a[0], b[0]] += 1
+    assert (900, 902) in want and (900, 901) not in want and sum(want.values()) > 100
+    for size in (4096, 40):
+        assert Counter((r.a_id, r.b_id) for r in M.line_pairs(df, "feat_id", ["image_id"], rows=size).collect()) == want
+    assert M.line_pairs(df.limit(0), "feat_id", ["image_id"]).count() == 0
