@@ -528,3 +528,22 @@ def test_line_pairs_by_blocks(spark):
     for size in (4096, 40):
         assert Counter((r.a_id, r.b_id) for r in M.line_pairs(df, "feat_id", ["image_id"], rows=size).collect()) == want
     assert M.line_pairs(df.limit(0), "feat_id", ["image_id"]).count() == 0
+
+
+def test_second_neighbour_takes_one_search(spark):
+    """Where the first neighbours are places apart, all pairs are measured once; where they are not, their queries go on."""
+    rng = np.random.default_rng(4)
+    place, vecs, eye = rng.normal(size=(60, 3)) * 100, rng.normal(size=(60, 4)), FT.IDENTITY
+    place[40:] = place[40] + rng.normal(size=(20, 3)) * 0.01
+    vecs[40:] = 50 + rng.normal(size=(20, 4))
+    rows = [(i, i % 2, vecs[i].tolist(), *place[i].tolist(), 1.0, eye) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, grp long, pc array<double>, x double, y double, z double, scale double, ori array<array<double>>")
+    for some, more in (("id < 40", 0), ("id >= 0", 20 * 60)):
+        met, x = M.KNN.Met(), df.filter(some)
+        got, n = M.apart(x, x, met=met).collect(), x.count()
+        assert met.measured == n * n + more and len(got) == n
+        for r in got:
+            d = ((vecs[:n] - vecs[r.q]) ** 2).sum(axis=1)
+            d[np.arange(n) % 2 == r.q % 2] = np.inf
+            apart = np.sqrt(((place[:n] - place[r.t]) ** 2).sum(axis=1)) >= M.SAME[1]
+            assert r.t == d.argmin() and math.isclose(r.second, d[apart].min())
