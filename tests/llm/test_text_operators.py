@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -201,6 +202,19 @@ def test_pieces_round_trip_and_best_score(tok, rows):
         assert math.isclose(got + unknown * tok.unknown, brute_viterbi(tok, s), rel_tol=1e-12)
 
 
+def test_pieces_met_before_cost_no_python_call(tok):
+    """A word met before is looked up without a call of Python code; what a small table has dropped is made anew."""
+    text = " ".join(f"word{i % 50}" for i in range(2000)) + " 日x"
+    want, calls = tok.encode(text).tolist(), []
+    sys.setprofile(lambda frame, event, arg: calls.append(1) if event == "call" else None)
+    try:
+        again = tok.encode(text).tolist()
+    finally:
+        sys.setprofile(None)
+    assert again == want and len(calls) < 100
+    assert pieces.Tokenizer(tok.model, cache=7).encode(text).tolist() == want
+
+
 def test_pieces_score_no_less_than_the_library(tok, rows):
     """The library's own segmentation, by merges, never scores more, and the library decodes these ids."""
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)

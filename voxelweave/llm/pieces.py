@@ -6,7 +6,7 @@ import hashlib
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -78,6 +78,29 @@ class Pieces:
         return cls(out, prefix, next((i for i, p in enumerate(out) if p[2] == UNKNOWN), 0), hashlib.sha256(data).hexdigest())
 
 
+class Stretches(dict):
+    """The ids of stretches met before, as int32 bytes, which take less room than lists; others are made when looked up.
+
+    A look-up of what is there runs no Python. At `limit` entries the older generation gives way to this one, of which
+    what is used again comes back.
+    """
+
+    def __init__(self, make: Callable[[str], list[int]], limit: int):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, s: str) -> bytes:
+        got = self.older.get(s)
+        if got is None:
+            got = array("i", self.make(s)).tobytes()
+        if len(s) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[s] = got
+        return got
+
+
 class Tokenizer:
     """Encodes texts to piece ids by the best sum of scores, and decodes them; decode(encode(text)) == text.
 
@@ -88,7 +111,7 @@ class Tokenizer:
     """
 
     def __init__(self, model: Pieces, cache: int = 100_000):
-        self.model, self.limit = model, cache
+        self.model = model
         self.auto = ahocorasick.Automaton()
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(model.pieces) if t == BYTE}
         self.single, worst = set(), 0.0
@@ -108,8 +131,7 @@ class Tokenizer:
             cut = rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
         self.stretches = re.compile(cut).findall
         self.table = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t in (CONTROL, UNUSED) else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in model.pieces]
-        self.cache: dict[str, bytes] = {}  # ids as int32, which take less room than lists
-        self.older: dict[str, bytes] = {}
+        self.cache = Stretches(self.viterbi, cache)
 
     def _char(self, c: str) -> list[int]:
         raw = [self.bytes.get(b) for b in c.encode()]
@@ -122,6 +144,22 @@ class Tokenizer:
         best score of its end. A character that is no piece itself may be passed at the unknown score.
         """
         n, neg = len(s), float("-inf")
+        if self.single.issuperset(s):
+            # every character is a piece, as in most stretches: none is passed as unknown. What ends with a character
+            # stands at its index; the start, before the first, is index -1
+            score, last = [neg] * n + [0.0], [(-1, 1, 0.0)] * n
+            for end, piece in self.auto.iter(s):
+                _, size, own = piece
+                v = score[end - size] + own
+                if v > score[end]:
+                    score[end], last[end] = v, piece
+            ids, at = [], n - 1
+            while at >= 0:
+                i, size, _ = last[at]
+                ids.append(i)
+                at -= size
+            ids.reverse()
+            return ids
         best, back = [0.0] + [neg] * n, [(-1, 0)] * (n + 1)
         done = 0
 
@@ -146,21 +184,8 @@ class Tokenizer:
             at -= size
         return list(chain.from_iterable(reversed(out)))
 
-    def _stretch(self, s: str) -> bytes:
-        got = self.cache.get(s)
-        if got is None:
-            got = self.older.get(s)
-            if got is None:
-                got = array("i", self.viterbi(s)).tobytes()
-            if len(s) <= 64:
-                if len(self.cache) >= self.limit:
-                    # what was used since the last turn stays at hand
-                    self.cache, self.older = {}, self.cache
-                self.cache[s] = got
-        return got
-
     def _marked(self, s: str) -> Iterator[bytes]:
-        return map(self._stretch, self.stretches(s))
+        return map(self.cache.__getitem__, self.stretches(s))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, as int32."""
