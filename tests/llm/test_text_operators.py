@@ -392,6 +392,23 @@ def test_gru_scores_are_probabilities_and_carry_state():
     assert np.allclose(gru_lm.score(net, cls, docs, 0), [alone(d) for d in docs], rtol=1e-4)
 
 
+def test_gru_scores_lanes_without_a_turn_for_each():
+    """A window of all lanes is taken by one look-up; logits beyond the limit are still cut where weights are large."""
+    rng = np.random.default_rng(5)
+    net, cls = gru_lm.new_net(gru_lm.Config(vocab=5, classes=2, dim=4, hidden=6, lanes=100), [9, 5, 4, 3, 2], 1)
+    docs, calls = [rng.integers(0, 6, 960 + i) for i in range(100)], []
+    sys.setprofile(lambda frame, event, arg: calls.append(1) if event == "c_call" and arg is len else None)
+    try:
+        got = gru_lm.score(net, cls, docs, 0)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 1500  # over 30 windows of 100 lanes
+    assert np.allclose(got, [gru_lm.score(net, cls, [d], 0)[0] for d in docs], rtol=1e-4)
+    net.p["wc"] += 1e4
+    net.p["ww"] += 1e4
+    assert np.isfinite(gru_lm.score(net, cls, docs, 0)).all()
+
+
 def test_gru_documents(docs, rows):
     cfg = gru_lm.Config(head=300, vocab=120, classes=8)
     out = gru_lm.score_documents(docs, ~langid.in_fold(docs["doc_id"], 7, 2), cfg=cfg).collect()

@@ -67,7 +67,7 @@ def token_counts(docs: DataFrame, text_col: str, flush: int = 400_000) -> DataFr
         c: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([t.decode(errors="replace") for t in c]), pa.array(list(c.values()), pa.int64())], names=["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["token", "n"])
 
         for b in batches:
             for t in b.column(0):
@@ -153,6 +153,9 @@ class Runner:
         p = self.net.p
         self.u, self.wx = self._gates(p["u"]), self._gates(p["wx"])
         self.x = p["emb"] @ self.wx + p["b"].reshape(3, 1, -1)
+        # states lie within 1, so these bound the logits
+        most = lambda w, b: float((np.abs(w).sum(axis=1) + np.abs(b)).max(initial=0))
+        self.clip_c, self.clip_w = most(p["wc"].T, p["bc"]) > LIMIT, most(p["ww"], p["bw"]) > LIMIT
 
     def forward(self, prev: np.ndarray, fresh: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
         """States [T, B, H] after each word of prev [T, B]; fresh marks where a lane's state starts anew."""
@@ -199,7 +202,8 @@ class Runner:
         # logits are kept within LIMIT, where neither sums nor their logarithms overflow: no row needs its own maximum
         e = hs @ p["wc"]
         e += p["bc"]
-        np.clip(e, -LIMIT, LIMIT, out=e)
+        if self.clip_c:
+            np.clip(e, -LIMIT, LIMIT, out=e)
         lp = e[row, cls]
         np.exp(e, out=e)
         one = np.ones(max(e.shape[1], int(np.diff(cuts).max(initial=0))), e.dtype)
@@ -218,7 +222,8 @@ class Runner:
             hc, w, k = hs[lo:hi], want[lo:hi] - a, row[: hi - lo]
             ex = hc @ p["ww"][a:z].T
             ex += p["bw"][a:z]
-            np.clip(ex, -LIMIT, LIMIT, out=ex)
+            if self.clip_w:
+                np.clip(ex, -LIMIT, LIMIT, out=ex)
             part = ex[k, w]
             np.exp(ex, out=ex)
             sx = ex @ one[: z - a]
@@ -254,24 +259,25 @@ class Runner:
         by_z = (before - n) * z * keep_z
         by_r = by_n * inner[:, 2] * r * (1 - r)
         by_h = by_n * r
-        d, dhu = np.empty((t, 3, b, hid), kind), np.empty((3, b, hid), kind)
-        du, dh = np.zeros_like(self.u), np.zeros((b, hid), kind)
+        # gradients at the gates, and for the third at the recurrent part of it
+        dhu, dn = np.empty((t, 3, b, hid), kind), np.empty((t, b, hid), kind)
+        dh = np.zeros((b, hid), kind)
         ut, some = np.ascontiguousarray(self.u.transpose(0, 2, 1)), fresh.any(axis=1)
         for i in range(t - 1, -1, -1):
             dh += dout[i]
-            np.multiply(dh, by_r[i], out=d[i, 0])
-            np.multiply(dh, by_z[i], out=d[i, 1])
-            np.multiply(dh, by_n[i], out=d[i, 2])
-            dhu[:2] = d[i, :2]
-            np.multiply(dh, by_h[i], out=dhu[2])
-            du += before[i].T @ dhu
-            back = dhu @ ut
+            np.multiply(dh, by_r[i], out=dhu[i, 0])
+            np.multiply(dh, by_z[i], out=dhu[i, 1])
+            np.multiply(dh, by_n[i], out=dn[i])
+            np.multiply(dh, by_h[i], out=dhu[i, 2])
+            back = dhu[i] @ ut
             dh *= z[i]
             dh += back[0]
             dh += back[1]
             dh += back[2]
             if some[i]:
                 dh[fresh[i]] = 0
+        # the steps' products, summed from the last step to the first
+        du = np.matmul(before.transpose(0, 2, 1)[:, None], dhu)[::-1].sum(axis=0)
         words = prev.ravel()
         order = _order(words, self.net.vocab)
         first = np.flatnonzero(np.diff(words[order], prepend=-1))
@@ -279,7 +285,7 @@ class Runner:
         demb, emb = np.zeros_like(p["emb"]), p["emb"][seen]
         dwx, db = np.empty_like(self.wx), np.empty((3, hid), kind)
         for k in range(3):
-            per = np.add.reduceat(d[:, k].reshape(-1, hid)[order], first)
+            per = np.add.reduceat((dhu[:, k] if k < 2 else dn).reshape(-1, hid)[order], first)
             demb[seen] += per @ self.wx[k].T
             dwx[k], db[k] = emb.T @ per, per.sum(axis=0)
         flat = lambda w: w.transpose(1, 0, 2).reshape(w.shape[1], -1)
@@ -364,9 +370,11 @@ def score(net: Net, cls: np.ndarray, docs: list[np.ndarray], start: int) -> np.n
         lanes[j].append(d)
         heapq.heappush(heap, (n + len(docs[d]), j))
     lanes = sorted((x for x in lanes if x), key=lambda x: -sum(len(docs[d]) for d in x))
-    words = [np.concatenate([docs[d] for d in x]) for x in lanes]
-    owner = [np.repeat(np.array(x), [len(docs[d]) for d in x]) for x in lanes]
-    size = np.array([len(w) for w in words])
+    every = [d for x in lanes for d in x]
+    words = np.concatenate([docs[d] for d in every])
+    owner = np.repeat(np.array(every), [len(docs[d]) for d in every])
+    size = np.array([sum(len(docs[d]) for d in x) for x in lanes])
+    first = np.cumsum(size) - size
     run, out = Runner(net, cls, len(lanes)), np.zeros(len(docs))
     last = np.full(len(lanes), -1)
     prev_word = np.full(len(lanes), start)
@@ -381,12 +389,10 @@ def score(net: Net, cls: np.ndarray, docs: list[np.ndarray], start: int) -> np.n
     rows = 0
     for at in range(0, int(size[0]), cfg.window):
         b = int(np.searchsorted(-size, -at, side="left"))
-        want = np.full((cfg.window, b), start, np.int64)
-        own = np.full((cfg.window, b), -1, np.int64)
-        for j in range(b):
-            w = words[j][at : at + cfg.window]
-            want[: len(w), j] = w
-            own[: len(w), j] = owner[j][at : at + cfg.window]
+        place = np.arange(at, at + cfg.window)[:, None]
+        there, place = place < size[:b], np.minimum(place, size[:b] - 1) + first[:b]
+        want = np.where(there, words[place], start)
+        own = np.where(there, owner[place], -1)
         before = np.vstack([last[:b], own[:-1]])
         fresh = (own != before) & (own >= 0)
         prev = np.vstack([prev_word[:b], want[:-1]])
@@ -561,9 +567,9 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
                 at = _numbers(w, index, -1)
                 nums = number[at]
                 rare = nums == net.vocab
-                tail = Counter(w[i] for i in np.flatnonzero(at < 0).tolist())
+                tail = Counter(map(w.__getitem__, np.flatnonzero(at < 0).tolist()))
                 s = lc[at]
-                held.append((row, key.as_py(), tr.as_py(), len(w), int((at >= 0).sum()), int(rare.sum()), float(s.sum()), float(s[rare].sum()), [k.decode(errors="replace") for k in tail], list(tail.values())))
+                held.append((row, key.as_py(), tr.as_py(), len(w), int((at >= 0).sum()), int(rare.sum()), float(s.sum()), float(s[rare].sum()), list(tail), list(tail.values())))
                 docs.append(nums.astype(np.int32))
                 row, load = row + 1, load + len(w)
                 if load >= cfg.group_words:
