@@ -1,6 +1,7 @@
 """Data sources: byte ranges of volume files, filters that narrow a read, and writes of all files or none."""
 
 import gzip
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -95,6 +96,16 @@ def test_files_are_written_by_uri_and_replaced(spark, tmp_path):
     assert FI.save(rows.limit(0), f"{tmp_path}/none", ".bin").count() == 0
 
 
+def test_a_late_task_brings_nothing_back(tmp_path, monkeypatch):
+    """A task that still runs when the driver has aborted the write fails, and leaves no folder."""
+    monkeypatch.setattr(FI, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 1)))
+    writer, row = FI.FilesWriter(str(tmp_path / "out"), ".bin"), SimpleNamespace(vol="v", content=b"x")
+    writer.abort([])
+    with pytest.raises(OSError):
+        writer.write(iter([row]))
+    assert list((tmp_path / "out").iterdir()) == []
+
+
 def test_a_failed_write_leaves_nothing(spark, tmp_path):
     content = F.when(F.col("id") < 90, F.encode(F.lit("x"), "utf-8")).otherwise(F.raise_error(F.lit("planted")).cast("binary"))
     rows = spark.range(100, numPartitions=4).select(F.col("id").cast("string").alias("vol"), content.alias("content"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -55,11 +56,14 @@ class Part(WriterCommitMessage):
 class FilesWriter(DataSourceWriter):
     """Each attempt writes to a folder of its own; the driver moves the files of those that count to their places.
 
-    Should moving be cut off, a repeated write replaces the files. A write that fails leaves no file behind.
+    Should moving be cut off, a repeated write replaces the files. A write that fails leaves no file behind: the driver
+    makes the job's folder, so that a task which is still being ended after the driver has deleted it can't bring it back.
     """
 
     def __init__(self, path: str, ext: str):
         self.path, self.ext, self.job = path.rstrip("/"), ext, f"_writing-{uuid.uuid4().hex}"
+        system, place = open_path(self.path)
+        system.create_dir(f"{place}/{self.job}", recursive=True)
 
     def write(self, iterator: Iterator) -> Part:
         system, place = open_path(self.path)
@@ -67,7 +71,7 @@ class FilesWriter(DataSourceWriter):
         folder, any_row = f"{place}/{self.job}/{task.partitionId()}-{task.taskAttemptId()}", False
         for row in iterator:
             if not any_row:
-                system.create_dir(folder, recursive=True)
+                system.create_dir(folder, recursive=False)
                 any_row = True
             with system.open_output_stream(f"{folder}/{row.vol.rpartition('/')[2]}{self.ext}", compression=None) as f:
                 f.write(bytes(row.content))
@@ -90,8 +94,15 @@ class FilesWriter(DataSourceWriter):
         self._clear(*open_path(self.path))
 
     def _clear(self, system: fs.FileSystem, place: str) -> None:
-        if system.get_file_info(f"{place}/{self.job}").type == fs.FileType.Directory:
-            system.delete_dir(f"{place}/{self.job}")
+        for left in range(9, -1, -1):
+            if system.get_file_info(f"{place}/{self.job}").type != fs.FileType.Directory:
+                return
+            try:
+                return system.delete_dir(f"{place}/{self.job}")
+            except OSError:  # a task that is being ended has added a file meanwhile
+                if not left:
+                    raise
+                time.sleep(0.2)
 
 
 class Files(DataSource):
