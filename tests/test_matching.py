@@ -422,6 +422,58 @@ def test_lsh_keeps_its_pairs_and_lists_none(spark):
     assert got == {(q, k): t for q, found in met.items() for k, (_, t) in enumerate(sorted(found)[:3], 1)}
 
 
+def test_wide_buckets_meet_once(spark, monkeypatch):
+    """Where nearly all rows share buckets, a row comes once and not for each table; the pairs are those of Spark's own join."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(5).normal(size=(120, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "id long, grp long, pc array<double>")
+    sent, products = [], M.KNN.products
+    monkeypatch.setattr(M.KNN, "products", lambda q, t, *a: sent.append((q.count(), t.count())) or products(q, t, *a))
+    got = {(r.q, r["rank"]): r.t for r in M.nearest_lsh(df, df, 3, width=0.7, tables=3).collect()}
+    assert sent == [(120, 120)]
+    v = df.select("id", "grp", array_to_vector("pc").alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.7, numHashTables=3, seed=1).fit(v)
+    met = {}
+    for r in model.approxSimilarityJoin(v, v, 1.5, "dist").filter("datasetA.grp != datasetB.grp").select("datasetA.id", F.col("datasetB.id").alias("t"), "dist").collect():
+        met.setdefault(r.id, []).append((r.dist, r.t))
+    assert got == {(q, k): t for q, found in met.items() for k, (_, t) in enumerate(sorted(found)[:3], 1)}
+    assert len({(q, t) for q, found in met.items() for _, t in found}) < 2 * 40 * 120  # some pairs share no bucket
+
+
+def test_recall_searches_exact_neighbours_once(spark, monkeypatch):
+    from voxelweave import catalog
+
+    asked, knn5 = [], catalog.knn5
+    monkeypatch.setattr(catalog, "knn5", lambda *a: asked.append(a) or knn5(*a))
+    for query in (catalog.lsh_recall, catalog.forest_recall):
+        assert query(spark, "/root/testdata/sf0.001").first().enough
+    assert len(asked) == 2
+
+
+def test_single_precision_decides_nothing():
+    """Blocks of vectors that single precision can't tell apart, can't hold or holds exactly: equal to sums in double, ties by id."""
+    rng = np.random.default_rng(6)
+    far = 10.0 ** rng.integers(-30, 30, (300, 1))
+    for v in (rng.normal(size=(300, 8)), 1e6 + rng.normal(size=(300, 8)) * 1e-3, rng.normal(size=(300, 8)) * 1e25, rng.normal(size=(300, 8)) * far, np.round(rng.normal(size=(300, 2))), rng.integers(0, 64, (300, 9)) * 1.0):
+        kept = M.KNN._from_bytes(M.KNN._to_bytes(v)).reshape(v.shape)
+        assert np.array_equal(kept, v)
+        x = {"id": rng.permutation(300), "grp": np.arange(300) % 4, "pc": kept}
+        with np.errstate(over="ignore"):
+            d = ((v[:, None] - v[None]) ** 2).sum(axis=2)
+        d[x["grp"][:, None] == x["grp"][None]] = np.inf
+        for k in (1, 5):
+            i, t, got, rank = M.KNN._first([M.KNN._best(x, x, np.full(300, np.inf), k, M._base(True))], k)
+            for q in range(300):
+                want = np.lexsort((x["id"], d[q]))[:k]
+                assert t[i == q].tolist() == x["id"][want].tolist() and got[i == q].tolist() == d[q][want].tolist()
+    kinds = [M.KNN._to_bytes(np.array(v, np.float64))[-1:] for v in ([0, 255], [0.5, -1], [0.1], [256.0], [float("nan")], [1e300], [])]
+    assert kinds == [b"B", b"f", b"d", b"f", b"f", b"d", b"f"]
+
+
 def _correspondences(spark, n):
     rng = np.random.default_rng(n)
     eye = np.eye(3).tolist()
