@@ -254,3 +254,48 @@ def test_mixing_of_null_and_repeated_ids(spark):
         assert abs(got[s] - min(2 * own[s], weight[s] * hi)) <= 4
     there = Counter((t, s) for _, t, s in rows)
     assert all(n <= 2 * there[k] for k, n in times.items())
+
+
+def test_shingle_sets_take_no_call_for_a_shingle(monkeypatch):
+    """Sets are as large as those of XXH64 of each shingle, through blocks, white space, long words and few words; only long
+    words are hashed one by one. Fingerprints are majorities of all wide hashes."""
+    rng = np.random.default_rng(12)
+    many = " ".join(map(str, rng.integers(0, 9, 40000)))
+    texts = [None, "", " \n", "a", "B b", "A  b\tc d\x0be", "a b c d e f a b c d e", "a b c d e", "ab c d e f", "a bc d e f", "é ü ß a b c " * 9, many, "x" * 90000 + " a b c d " + "y" * 70000, "\x00 \x01 a \x00\x01 b c d \x1f"]
+    want = [len(np.unique(np.concatenate([np.zeros(0, np.uint64), *simhash.shingle_hashes(t, 5)]))) for t in texts]
+    calls, digest = [], simhash.xxhash.xxh64_intdigest
+    monkeypatch.setattr(simhash.xxhash, "xxh64_intdigest", lambda *a: calls.append(a) or digest(*a))
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    assert [len(h) for h in sets] == want and len(calls) == 2
+    assert len(np.unique(np.concatenate(sets[7:10]))) == 3 and np.array_equal(simhash.shingle_set("A B C d e", 5), sets[7])
+    words = [bytes(w) for n in range(1, 13) for w in itertools.product(b"ab", repeat=n)]
+    assert len(np.unique(simhash._word_hashes(b" ".join(words)))) == len(words)
+    for h in sets:
+        bits = np.stack([simhash._bit_counts(simhash._word(h, i)) for i in range(8)])
+        assert simhash.majority(h, 8).tolist() == np.packbits(bits * 2 > len(h), axis=1, bitorder="little").view(np.int64).ravel().tolist()
+
+
+def test_little_units_are_looked_at_together():
+    """Links of little units join what forests of each unit would; a unit's own call is left to large ones."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(13)
+    size = [1, 2, 2, 3, 8, 9, 30, 1, 5]
+    unit = np.repeat(np.arange(len(size)), size)
+    fp = rng.integers(0, 4, (len(unit), 2))
+    t = pa.table({"unit": unit, "label": rng.integers(0, 40, len(unit)), "node": np.arange(len(unit)), "n": rng.integers(60, 90, len(unit)), "w0": fp[:, 0], "w1": fp[:, 1]})
+    args = 2, (4, 5), 1
+    asked, near = [], simhash._near_rows(*args, False)
+    few = simhash._unit_links(lambda part: asked.append(part.num_rows) or near(part), 2, simhash._near_pairs(*args))
+    all_ = simhash._unit_links(near, 2)
+
+    def groups(run):
+        root = {}
+        find = lambda x: x if root.get(x, x) == x else find(root[x])
+        links = [tuple(r.values()) for b in run(iter(t.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+        for a, b in links:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return {x: find(x) for x in range(40)}, links
+
+    (got, links), (want, _) = groups(few), groups(all_)
+    assert got == want and links and max(got.values()) > 0 and asked == [9, 30]

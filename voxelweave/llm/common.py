@@ -109,6 +109,11 @@ def fold(c: Column, folds: int) -> Column:
 
 def byte_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """Words of lower-cased data in blocks of about size bytes, each cut at white space; memory is bounded."""
+    return (block.split() for block in lower_blocks(data, size))
+
+
+def lower_blocks(data: bytes, size: int) -> Iterator[bytes]:
+    """Lower-cased data in blocks of about size bytes, each cut at white space."""
     at, end = 0, len(data)
     while at < end:
         cut = at + size
@@ -117,7 +122,7 @@ def byte_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         else:
             while cut < end and data[cut] not in b" \t\n\x0b\x0c\r":
                 cut += 1
-        yield data[at:cut].lower().split()
+        yield data[at:cut].lower()
         at = cut
 
 

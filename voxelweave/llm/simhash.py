@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import byte_blocks, give_back, release, spill
+from voxelweave.llm.common import byte_blocks, give_back, lower_blocks, release, spill
 from voxelweave.llm.components import components
 
 #: Odd multipliers of the finaliser that gives further words of a wide fingerprint.
@@ -41,14 +42,18 @@ def shingle_hashes(text: str | None, k: int) -> Iterator[np.ndarray]:
         yield np.array([h(b" ".join(tail), 42)], np.uint64)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of a 64-bit hash: one to one, every bit depends on all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX[0])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX[1])
+    return x ^ (x >> np.uint64(31))
+
+
 def _word(h: np.ndarray, i: int) -> np.ndarray:
     """The i-th 64-bit word of a shingle's wide hash; the first is the hash itself."""
     if not i:
         return h
-    x = h + np.uint64(_MIX[2] * i & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX[0])
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX[1])
-    return x ^ (x >> np.uint64(31))
+    return _mixed(h + np.uint64(_MIX[2] * i & (1 << 64) - 1))
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
@@ -264,10 +269,74 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 SMALL = 64
 
 
+#: A number for each byte, an odd base, and the longest word that is hashed by these.
+_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MIX[2]))
+_BASE, SHORT = 0xD1342543DE82EF95 | 2, 32
+
+
+@lru_cache(maxsize=2)
+def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse, modulo 2^64."""
+    up = lambda x: np.cumprod(np.append(np.uint64(1), np.full(count - 1, x, np.uint64)))
+    return up(_BASE), up(pow(_BASE, -1, 1 << 64))
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
+    """A hash of each word of data, in order: a polynomial in the base, from sums over all bytes; XXH64 of long words."""
+    a = np.frombuffer(data, np.uint8)
+    word = np.zeros(len(a) + 2, np.int8)
+    np.logical_not((a - np.uint8(9) <= 4) | (a == 32), out=word[1:-1].view(bool))
+    edges = np.flatnonzero(np.diff(word))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers(1 << max(14, len(a).bit_length()))
+    sums = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(_BYTE[a] * up[: len(a)], out=sums[1:])
+    h = _mixed((sums[ends] - sums[starts]) * down[starts])
+    for i in np.flatnonzero(ends - starts > SHORT).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]], 42)
+    return h
+
+
 def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """The distinct hashes of a text's k-word shingles, sorted."""
-    every = list(shingle_hashes(text, k))
-    return np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
+    """The distinct hashes of a text's k-word shingles, sorted: of the same words as shingle_hashes() takes, but a word
+    is hashed once, and a shingle's hash is made of its words' ones by an odd factor for each place. Shingles of different
+    words have one hash by chance alone, as with XXH64.
+
+    Fewer than k words: the whole sequence is one shingle. No word: nothing.
+    """
+    out, tail = [], np.zeros(0, np.uint64)
+    for data in lower_blocks((text or "").encode(), 1 << 16):
+        h = np.concatenate([tail, _word_hashes(data)])
+        if len(h) >= k:
+            out.append(_placed(h, k))
+        tail = h[max(0, len(h) - k + 1) :]
+    if not out and len(tail):
+        out.append(_placed(tail, len(tail)))
+    h = np.sort(np.concatenate([np.zeros(0, np.uint64), *out]))
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
+
+
+def _placed(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k hashes in a row, and of how many these are."""
+    n = len(h) - k + 1
+    x = np.full(n, k, np.uint64)
+    for i in range(k):
+        x += h[i : i + n] * np.uint64(_MIX[2] * (2 * i + 1) ** 5 & (1 << 64) - 1)
+    return _mixed(x)
+
+
+def majority(h: np.ndarray, words: int, block: int = 255 << 5) -> np.ndarray:
+    """The wide fingerprint [words] of hashes h: a bit is 1 if set in over half of their wide hashes (see _word); all
+    bits of a row are unpacked at once, and summed in bytes over 255 rows at a time."""
+    counts, steps = np.zeros(64 * words, np.int64), np.array([_MIX[2] * i & (1 << 64) - 1 for i in range(words)], np.uint64)
+    for at in range(0, len(h), block):
+        part = h[at : at + block]
+        wide = _mixed(part[:, None] + steps)
+        wide[:, 0] = part
+        bits = np.unpackbits(wide.view(np.uint8).ravel(), bitorder="little").reshape(len(part), -1)
+        for lo in range(0, len(part), 255):
+            counts += bits[lo : lo + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(h), bitorder="little").view(np.int64)
 
 
 def _set_node(h: np.ndarray) -> int:
@@ -282,8 +351,9 @@ def _common(docs: DataFrame, text_col: str, k: int, most: int = 1 << 16) -> tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), k).view(np.int64))], names=["h"])
+            for lo in range(0, b.num_rows, 64):
+                h = [shingle_set(t.as_py(), k) for t in b.column(0).slice(lo, 64)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], names=["h"])
         give_back()
 
     some = docs.filter(F.xxhash64(text_col) % 16 == 0).select(F.col(text_col).alias("t"))
@@ -324,8 +394,7 @@ def _set_rows(k: int, words: int, common, share: tuple[int, int]):
                 h = shingle_set(t.as_py(), k)
                 node.append(_set_node(h))
                 n.append(len(h))
-                bits = np.stack([_bit_counts(_word(h, i)) for i in range(words)])
-                w.append(np.packbits(bits * 2 > len(h), axis=1, bitorder="little").view(np.int64).ravel())
+                w.append(majority(h, words))
                 keys.append(np.zeros(0, np.int64) if node[-1] in met else _rarest(h, common.value, share).view(np.int64))
                 if len(met) >= 1 << 16:
                     met.clear()
@@ -421,15 +490,37 @@ def _hub_links(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Dat
     return _dealt(both, "unit", "member", "node").mapInArrow(_with_hub(share), "src long, dst long")
 
 
-def _unit_links(near, words: int):
+#: Rows of a unit whose pairs are looked at together with those of other such units.
+LITTLE = 8
+
+
+def _little(t: pa.Table, rows: np.ndarray, pairs) -> pa.RecordBatch:
+    """The links (label, label) of all pairs that meet in the units of these rows, which are little: by rows' distance in the table."""
+    unit, label = (t.column(c).to_numpy() for c in ("unit", "label"))
+    out = []
+    for step in range(1, LITTLE):
+        i = np.flatnonzero(rows[:-step] & (unit[step:] == unit[:-step]) & (label[step:] != label[:-step]))
+        out.append(np.stack([i, i + step]))
+    i, j = np.concatenate(out, axis=1)
+    ok = pairs(t, i, j)
+    return pa.RecordBatch.from_arrays([pa.array(label[x[ok]]) for x in (i, j)], names=["src", "dst"])
+
+
+def _unit_links(near, words: int, pairs=None):
     """Function over Arrow batches (unit, label, node, n, w0, ..., more) sorted by unit and node: forests over labels.
 
-    Rows of one label are one tree from the start. near(table) gives the test of a unit's rows.
+    Rows of one label are one tree from the start. near(table) gives the test of a unit's rows. pairs(table, i, j), if
+    given, tests pairs of rows: all those of little units at once, which give a link for each pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
-            for a, z in _runs(t.column("unit").to_numpy()):
+            unit = t.column("unit").to_numpy()
+            runs = np.array(list(_runs(unit)))
+            large = np.diff(runs, axis=1)[:, 0] > LITTLE
+            if pairs is not None and not large.all():
+                yield _little(t, np.repeat(~large, np.diff(runs, axis=1)[:, 0]), pairs)
+            for a, z in runs[large if pairs is not None else slice(None)].tolist():
                 part = t.slice(a, z - a)
                 label = part.column("label").to_numpy()
                 first, root = np.unique(label, return_index=True, return_inverse=True)[1:]
@@ -460,6 +551,17 @@ def _near_rows(words: int, share: tuple[int, int], most: int, exact: bool):
     return of
 
 
+def _near_pairs(words: int, share: tuple[int, int], most: int):
+    """The test of pairs of rows for _unit_links: whether they can be alike."""
+
+    def pairs(t: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n = t.column("n").to_numpy()
+        fp = np.stack([t.column(f"w{x}").to_numpy() for x in range(words)], axis=1)
+        return _maybe(n[i], fp[i], n[j], fp[j], share, most)
+
+    return pairs
+
+
 #: Shingles of a group of candidates that one task compares at a time: twice this, 8 bytes each, and their texts' sets once more.
 BLOCK_SHINGLES = 1 << 22
 
@@ -554,7 +656,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = spill(rest.join(mixed, F.col("key") == F.col("k0"), "left_semi"), "mixed")
     told = nodes.select(F.col("node").alias("n0"), "n", *ws)
     units = in_blocks(rest, "key", "node", F.lit(1), BLOCK).join(told, F.col("node") == F.col("n0")).select("unit", "label", "node", "n", *ws)
-    maybe = _dealt(units, "unit", "node").mapInArrow(_unit_links(_near_rows(words, share, most, False), words), "src long, dst long")
+    maybe = _dealt(units, "unit", "node").mapInArrow(_unit_links(_near_rows(words, share, most, False), words, _near_pairs(words, share, most)), "src long, dst long")
     maybe = spill(maybe.distinct(), "candidates")
     cand = components(maybe).select(F.col("node").alias("l0"), F.col("component").alias("grp"))
     active = rest.select("node", "label").distinct().join(cand, F.col("label") == F.col("l0")).join(told, F.col("node") == F.col("n0"))
